@@ -197,7 +197,7 @@ _MERGE_LEXICON = (
     + """,
 lexicon AS (
   SELECT word, CASE WHEN length(word) < 6 THEN 'M' ELSE 'FM' END AS mapping,
-         upper(word[1:3]) AS category
+         word[1:3] AS category
   FROM talk_words WHERE length(word) >= 3
 ),
 vocabulary AS (SELECT DISTINCT language, word FROM daily WHERE language IN ('EN', 'FR')),
@@ -281,6 +281,27 @@ all_rows AS (
 )""",
         _COUNTED.format(source="all_rows", types="'PROPN', 'NOUN', 'ORG', 'PER', 'LOC'"),
     ),
+    "plugged_annotator": _with(
+        DOCS
+        + f""",
+parts AS (
+  SELECT text_id, language, unnest(string_split_regex(text, '[{SPACE}]+')) AS part FROM docs
+),
+tagged AS (
+  SELECT text_id, language, 'PROPN' AS type, regexp_replace(part, '^[.,]+|[.,]+$', '', 'g') AS word
+  FROM parts WHERE regexp_matches(part, '^\p{{Lu}}')
+)""",
+        _COUNTED.format(source="tagged", types="'PROPN'"),
+    ),
+    "plugged_scorer": _with(
+        DOCS,
+        """SELECT text_id,
+       round_even((length(text) - length(replace(text, 'e', ''))) / greatest(length(text), 1) * 100, 0)
+         / 100 AS polarity,
+       round_even((length(text) - length(replace(text, ',', ''))) / greatest(length(text), 1) * 100, 0)
+         / 100 AS subjectivity
+FROM docs""",
+    ),
     "word_frequency": _with(
         WORDS,
         """SELECT language, type, word, sum(count)::BIGINT AS count FROM words GROUP BY 1, 2, 3""",

@@ -138,9 +138,14 @@ def word_frequency_filtered(spark, sf_dir):
 # Word index
 
 
+def _stored_words(spark, sf_dir):
+    """The word table as the first stage stores it, for operators that read it more than once."""
+    return settle(i.words(spark, sf_dir), "text-words")
+
+
 @query
 def select_word_index(spark, sf_dir):
-    return wl.select_word_index(i.words(spark, sf_dir), "EN", i.LIMITS)
+    return wl.select_word_index(_stored_words(spark, sf_dir), "EN", i.LIMITS)
 
 
 @query
@@ -183,13 +188,13 @@ def map_lexicon_large(spark, sf_dir):
         F.expr("element_at(array('FM','M','C'), 1 + length(word) % 3)").alias("mapping"),
         F.substring("word", 1, 1).alias("category"),
     )
-    return wl.map_lexicon(i.words(spark, sf_dir), lexicon)
+    return wl.map_lexicon(_stored_words(spark, sf_dir), lexicon)
 
 
 @query
 def build_word_index(spark, sf_dir):
     return wl.build_word_index(
-        i.words(spark, sf_dir),
+        _stored_words(spark, sf_dir),
         i.BLACKLIST,
         i.lexicon(spark),
         "EN",
@@ -231,6 +236,10 @@ def _daily(spark, sf_dir, **options):
     )
 
 
+def _stored_daily(spark, sf_dir):
+    return settle(_daily(spark, sf_dir), "word-frequency")
+
+
 @query
 def daily_word_frequency(spark, sf_dir):
     return _daily(spark, sf_dir)
@@ -249,13 +258,13 @@ def _rounded(trend: DataFrame) -> DataFrame:
 
 @query
 def word_trend(spark, sf_dir):
-    return _rounded(wl.word_trend(_daily(spark, sf_dir), i.BLACKLIST, min_count=3))
+    return _rounded(wl.word_trend(_stored_daily(spark, sf_dir), i.BLACKLIST, min_count=3))
 
 
 @query
 def word_trend_top30(spark, sf_dir):
     return _rounded(
-        wl.word_trend(_daily(spark, sf_dir), ["Bayer", "This"], top_n=30, merge=i.MERGE)
+        wl.word_trend(_stored_daily(spark, sf_dir), ["Bayer", "This"], top_n=30, merge=i.MERGE)
     )
 
 
@@ -263,7 +272,7 @@ def word_trend_top30(spark, sf_dir):
 def word_trend_by_language(spark, sf_dir):
     return _rounded(
         wl.word_trend(
-            _daily(spark, sf_dir),
+            _stored_daily(spark, sf_dir),
             min_count=2,
             top_ratio=0.25,
             periods=[7, 28],
@@ -279,9 +288,9 @@ def merge_words(spark, sf_dir):
         F.explode(F.array(F.lit("EN"), F.lit("FR"))).alias("language"),
         "word",
         F.when(F.length("word") < 6, F.lit("M")).otherwise(F.lit("FM")).alias("mapping"),
-        F.upper(F.substring("word", 1, 3)).alias("category"),
+        F.substring("word", 1, 3).alias("category"),
     )
-    merged = wl.merge_words(_daily(spark, sf_dir), lexicon)
+    merged = wl.merge_words(_stored_daily(spark, sf_dir), lexicon)
     return merged.groupBy("date", "language", "word").agg(F.sum("count").alias("count"))
 
 
@@ -446,18 +455,18 @@ def _topics(spark, sf_dir, words):
 
 @query
 def topic_keywords(spark, sf_dir):
-    return wl.topic_keywords(_topics(spark, sf_dir, i.words(spark, sf_dir)))
+    return wl.topic_keywords(_topics(spark, sf_dir, _stored_words(spark, sf_dir)))
 
 
 @query
 def topic_hits(spark, sf_dir):
-    words = i.words(spark, sf_dir)
+    words = _stored_words(spark, sf_dir)
     return wl.topic_hits(settle(_topics(spark, sf_dir, words), "topics"), words)
 
 
 @query
 def index_topics(spark, sf_dir):
-    words = i.words(spark, sf_dir)
+    words = _stored_words(spark, sf_dir)
     topics = settle(_topics(spark, sf_dir, words), "topics")
     return wl.index_topics(wl.topic_hits(topics, words), topics, 0.5)
 
@@ -467,7 +476,7 @@ def identify_topics(spark, sf_dir):
     import datetime
 
     return wl.identify_topics(
-        i.words(spark, sf_dir),
+        _stored_words(spark, sf_dir),
         num_topics=4,
         max_iter=4,
         subsampling_rate=0.25,

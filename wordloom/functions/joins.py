@@ -40,6 +40,19 @@ def fits_broadcast(df: DataFrame) -> bool:
     return rows <= BROADCAST_MAX_ROWS and size <= BROADCAST_MAX_BYTES
 
 
+def hot_lookup(key_counts: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """The most frequent keys of the large side with their answer: ``on``, found, right columns.
+
+    ``key_counts`` holds the ``on`` columns and ``n``. Every broadcast here has at most HOT_KEYS
+    rows.
+    """
+    hot_keys = key_counts.orderBy(F.col("n").desc(), *on).limit(HOT_KEYS).select(*on)
+    answers = right.join(F.broadcast(hot_keys), list(on), "left_semi").withColumn(
+        "found", F.lit(True)
+    )
+    return hot_keys.join(F.broadcast(answers), list(on), "left")
+
+
 def lookup_join(
     left: DataFrame,
     right: DataFrame,
@@ -48,14 +61,14 @@ def lookup_join(
     spread_by: Sequence[str],
     condition: Column | None = None,
     small: bool | None = None,
-    key_counts: DataFrame | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``left`` to ``right``, whose ``on`` keys are unique.
 
     ``how``: left, inner, semi or anti. ``condition`` limits which left rows may match.
     ``spread_by``: left columns that vary within a hot key. ``small``: True skips the measurement
     because the caller has a bound, False goes straight to the shuffle, None measures.
-    ``key_counts`` (``on`` columns plus ``n``) may be passed when already computed.
+    ``hot`` may be passed when the caller has it (see ``hot_lookup``).
     """
     on = list(on)
     if small is None:
@@ -77,24 +90,11 @@ def lookup_join(
     usable = allowed
     for c in on:
         usable = usable & F.col(c).isNotNull()
-    if key_counts is None:
-        key_counts = left.where(usable).groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
-    hot_keys = (
-        key_counts.orderBy(F.col("n").desc(), *on)
-        .limit(HOT_KEYS)
-        .select(*[F.col(c).alias(f"__h_{c}") for c in on])
-    )
-    same_hot = [F.col(f"__h_{c}") == F.col(f"__r_{c}") for c in on]
-    # Both joins below see at most HOT_KEYS rows on the broadcast side.
-    answers = table.join(F.broadcast(hot_keys), same_hot, "inner").select(
-        *[F.col(f"__r_{c}") for c in on],
-        *[F.col(f"__r_{c}").alias(f"__hot_{c}") for c in extra],
-        F.lit(True).alias("__hot_found"),
-    )
-    hot = (
-        hot_keys.join(F.broadcast(answers), same_hot, "left")
-        .drop(*[f"__r_{c}" for c in on])
-        .withColumn("__hot", F.lit(True))
+    if hot is None:
+        counts = left.where(usable).groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+        hot = hot_lookup(counts, right, on)
+    hot = hot.select(
+        *[F.col(c).alias(f"__h_{c}") for c in hot.columns], F.lit(True).alias("__hot")
     )
     tagged = left.withColumn("__ok", usable).join(
         F.broadcast(hot), [F.col("__ok")] + [F.col(c) == F.col(f"__h_{c}") for c in on], "left"
@@ -105,20 +105,18 @@ def lookup_join(
         "__salt",
         F.when(F.col("__ok") & F.col("__hot").isNull(), F.lit(0).cast("bigint")).otherwise(spread),
     )
-    cold = table.withColumns(
-        {"__r_salt": F.lit(0).cast("bigint"), "__cold_found": F.lit(True)}
-    )
+    cold = table.withColumns({"__r_salt": F.lit(0).cast("bigint"), "__cold": F.lit(True)})
     joined = tagged.join(
         cold,
         [F.col(c) == F.col(f"__r_{c}") for c in on] + [F.col("__salt") == F.col("__r_salt")],
         "left",
     )
-    found = F.coalesce(F.col("__hot_found"), F.col("__cold_found"), F.lit(False))
+    found = F.coalesce(F.col("__h_found"), F.col("__cold"), F.lit(False))
     if how == "anti":
         return joined.where(~found).select(*left.columns)
     if how in ("semi", "inner"):
         joined = joined.where(found)
     if how == "semi":
         return joined.select(*left.columns)
-    values = [F.coalesce(F.col(f"__hot_{c}"), F.col(f"__r_{c}")).alias(c) for c in extra]
+    values = [F.coalesce(F.col(f"__h_{c}"), F.col(f"__r_{c}")).alias(c) for c in extra]
     return joined.select(*left.columns, *values)

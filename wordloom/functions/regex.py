@@ -11,8 +11,8 @@ import re
 
 from pyspark.sql import Column, functions as F
 
-# U: Unicode character classes. d: only \n ends a line.
-_FLAGS = "(?Ud)"
+_UNICODE_CLASS = re.compile(r"\\[wWdDsSbB]")
+_LINE_END = re.compile(r"[.^$]")
 
 _NAMED_GROUP = re.compile(r"\(\?P<(\w+)>")
 _NAMED_BACKREF = re.compile(r"\(\?P=(\w+)\)")
@@ -32,10 +32,12 @@ def _fix_class(match: re.Match) -> str:
 
 
 def java_pattern(pattern: str) -> str:
-    """Translate a Python pattern."""
+    """Translate a Python pattern. U: Unicode character classes. d: only \\n ends a line."""
+    flags = "U" * bool(_UNICODE_CLASS.search(pattern)) + "d" * bool(_LINE_END.search(pattern))
+    prefix = f"(?{flags})" if flags else ""
     out = _NAMED_GROUP.sub(r"(?<\1>", pattern)
     out = _NAMED_BACKREF.sub(r"\\k<\1>", out)
-    return _FLAGS + _CLASS.sub(_fix_class, out)
+    return prefix + _CLASS.sub(_fix_class, out)
 
 
 def java_replacement(replacement: str) -> str:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.frames import as_word_table
 from ..functions.joins import BROADCAST_MAX_ROWS, lookup_join
-from ..functions.masks import one_of
+from ..functions.masks import one_of, sum_counts
+from ..functions.workdir import settle
 from ..schemas import canonical_names, require_columns
 
 # Default periods in days.
@@ -42,9 +43,8 @@ def _word_keywords(freq: DataFrame, lexicon: DataFrame) -> DataFrame:
     )
     # FM sorts before M; among stems the longest comes first.
     best = F.min(F.struct("mapping", (-F.length("part")).alias("n"), "keyword")).alias("best")
-    return hits.groupBy("language", "word").agg(best).select(
-        "language", "word", "best.keyword"
-    )
+    chosen = hits.groupBy("language", "word").agg(best).select("language", "word", "best.keyword")
+    return settle(chosen, "word-keywords")
 
 
 def merge_words(
@@ -124,13 +124,10 @@ def word_trend(
         rows = lookup_join(rows, listed, ["word"], "anti", spread_by=["date"], small=small)
     rows = merge_words(rows, lexicon, merge)
 
-    latest = rows.agg(F.max("date").alias("latest"))
-    series = (
-        rows.where(F.col("language").isNotNull() & F.col("word").isNotNull())
-        .groupBy("date", "language", "word")
-        .agg(F.sum("count").alias("count"))
-        .withColumn("past_days", F.datediff("date", latest.scalar()))
-    )
+    daily = sum_counts(rows, ["date", "language", "word"])
+    # The test on count keeps both uses of the daily counts alike, so their shuffle runs once.
+    latest = daily.where(F.col("count").isNotNull()).agg(F.max("date").alias("latest"))
+    series = daily.withColumn("past_days", F.datediff("date", latest.scalar()))
     today = F.col("past_days") == 0
     lines = (
         series.groupBy("language", "word")

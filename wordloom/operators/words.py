@@ -153,12 +153,13 @@ def extract_words(
 
     ``annotator`` receives batches (text_id, language, text) and yields batches
     (text_id, language, type, word); it is called once per partition, so it loads its model once.
-    Documents are filtered by language and for missing texts before any work on the text. When the
-    documents are already partitioned by id the count needs no shuffle.
+    Documents are filtered by language before any work on the text; missing texts have no words.
+    When the documents are already partitioned by id the count needs no shuffle.
     """
     require_columns(docs, ["text_id", "language", "text"], "extract_words")
-    docs = docs.where(one_of("language", languages) & F.col("text").isNotNull())
+    docs = docs.where(one_of("language", languages))
     if annotator is not None:
+        docs = docs.where(F.col("text").isNotNull())
         id_type = docs.schema["text_id"].dataType.simpleString()
         rows = docs.select("text_id", "language", "text").mapInPandas(
             annotator, _ANNOTATED.format(id_type=id_type)
