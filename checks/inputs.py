@@ -170,14 +170,14 @@ annotations AS (
 
 
 def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring words of the conversations as phrases."""
+    """Neighbouring words of the conversations as phrases, the first one capitalised."""
     talk = table(spark, sf_dir, "conversations").select(tx.tokens(F.col("text")).alias("w"))
     pairs = F.transform(
         F.sequence(F.lit(1), F.size("w") - 1),
         lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)),
     )
     phrases = talk.where(F.size("w") > 1).select(F.explode(pairs).alias("phrase")).distinct()
-    return phrases.select(
+    return phrases.where(F.col("phrase").rlike(tx.CAPITALISED)).select(
         F.explode(F.array(*[F.lit(x) for x in ("DE", "EN", "ES", "FR")])).alias("language"),
         "phrase",
         F.expr("element_at(array('ORG','PER','LOC'), 1 + length(phrase) % 3)").alias("label"),
@@ -193,6 +193,7 @@ gazetteer AS (
          (['ORG','PER','LOC'])[1 + length(phrase) % 3] AS label
   FROM (SELECT DISTINCT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))
                AS phrase FROM talk)
+  WHERE regexp_matches(phrase, '^\p{{Lu}}')
 )"""
 
 

@@ -92,7 +92,7 @@ def extract_words(spark, sf_dir):
 def annotate_words(spark, sf_dir):
     return wl.extract_words(
         i.docs(spark, sf_dir),
-        annotations=i.annotations(spark, sf_dir),
+        annotations=settle(i.annotations(spark, sf_dir)),
         types=("PROPN", "NOUN", "VERB", "ADJ"),
     )
 
@@ -101,8 +101,8 @@ def annotate_words(spark, sf_dir):
 def entity_words(spark, sf_dir):
     return wl.extract_words(
         i.docs(spark, sf_dir),
-        annotations=i.annotations(spark, sf_dir),
-        gazetteer=i.gazetteer(spark, sf_dir),
+        annotations=settle(i.annotations(spark, sf_dir)),
+        gazetteer=settle(i.gazetteer(spark, sf_dir)),
         max_phrase_words=2,
     )
 
@@ -306,7 +306,7 @@ def _sentiment_list(spark, sf_dir):
 @query
 def wordlist_sentiment(spark, sf_dir):
     tokens = wl.annotate_tokens(
-        i.docs(spark, sf_dir), i.annotations(spark, sf_dir), keep_empty=True
+        i.docs(spark, sf_dir), settle(i.annotations(spark, sf_dir)), keep_empty=True
     )
     result = wl.wordlist_sentiment(tokens, _sentiment_list(spark, sf_dir), ("DE", "EN"))
     return result.withColumn("sentiment", F.round("sentiment", 9))

@@ -85,17 +85,14 @@ def annotate_tokens(
 
 
 def _phrases(words: Column, longest: int) -> Column:
-    """All runs of 1..longest words as structs (n, phrase)."""
-
-    def from_position(word: Column, at: Column) -> Column:
-        runs = [F.struct(F.lit(1).alias("n"), word.alias("phrase"))]
-        for n in range(2, longest + 1):
-            phrase = F.array_join(F.slice(words, at + 1, n), " ")
-            whole = at + n <= F.size(words)
-            runs.append(F.when(whole, F.struct(F.lit(n).alias("n"), phrase.alias("phrase"))))
-        return F.filter(F.array(*runs), lambda run: run.isNotNull())
-
-    return F.flatten(F.transform(words, from_position))
+    """All runs of 1..longest words, joined by blanks (words themselves hold none)."""
+    runs, shorter = [words], words
+    for n in range(2, longest + 1):
+        # Beyond the last full run the shorter side runs out, and concat gives NULL.
+        later = F.slice(words, F.lit(n), F.greatest(F.size(words), F.lit(0)))
+        shorter = F.zip_with(shorter, later, lambda run, word: F.concat(run, F.lit(" "), word))
+        runs.append(F.array_compact(shorter))
+    return F.concat(*runs)
 
 
 def _tagged(
@@ -111,12 +108,12 @@ def _tagged(
         )
     words = docs.select("text_id", "language", tx.tokens(F.col("text")).alias("words"))
     runs = words.select(
-        "text_id", "language", F.explode(_phrases(F.col("words"), longest)).alias("run")
-    ).select("text_id", "language", "run.n", "run.phrase")
+        "text_id", "language", F.explode(_phrases(F.col("words"), longest)).alias("phrase")
+    )
 
     labels = gazetteer.groupBy("language", "phrase").agg(F.collect_set("label").alias("labels"))
     runs = lookup_join(runs, labels, ["language", "phrase"], "left", spread_by=["text_id"])
-    single = F.col("n") == 1
+    single = ~F.col("phrase").contains(" ")
     if annotations is None:
         pos, lemma = rule_type(F.col("phrase")), F.col("phrase")
     else:
