@@ -193,7 +193,7 @@ gazetteer AS (
          (['ORG','PER','LOC'])[1 + length(phrase) % 3] AS label
   FROM (SELECT DISTINCT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))
                AS phrase FROM talk)
-  WHERE regexp_matches(phrase, '^\p{{Lu}}')
+  WHERE regexp_matches(phrase, '^\\p{{Lu}}')
 )"""
 
 

@@ -289,7 +289,7 @@ parts AS (
 ),
 tagged AS (
   SELECT text_id, language, 'PROPN' AS type, regexp_replace(part, '^[.,]+|[.,]+$', '', 'g') AS word
-  FROM parts WHERE regexp_matches(part, '^\p{{Lu}}')
+  FROM parts WHERE regexp_matches(part, '^\\p{{Lu}}')
 )""",
         _COUNTED.format(source="tagged", types="'PROPN'"),
     ),
