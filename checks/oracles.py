@@ -466,6 +466,14 @@ SELECT 'Spiegel' AS media,
        CASE WHEN source = 'src7' THEN 'malformed JSON' ELSE 'missing title' END AS reject_reason,
        count(*) AS n, true AS has_line
 FROM documents WHERE lang = 'es' OR source = 'src7' GROUP BY 1, 2""",
+    "crawl_summary": _with(
+        GOOD_ARTICLES,
+        """
+SELECT 'Spiegel' || digit AS media, date '2024-01-15' AS date,
+       CASE digit WHEN '1' THEN 'DE' WHEN '2' THEN 'FR' ELSE 'unknown' END AS language,
+       'January' AS month, count(*) AS num_articles
+FROM (SELECT left(doc_id::VARCHAR, 1) AS digit FROM articles) GROUP BY digit""",
+    ),
     "assemble_articles": f"""
 SELECT * FROM (
   SELECT source AS website, '2024-01-15' AS date, doc_id AS index,

@@ -390,6 +390,13 @@ def ingest_rejects(spark, sf_dir):
     )
 
 
+@query
+def crawl_summary(spark, sf_dir):
+    media = F.concat(F.lit("Spiegel"), F.regexp_extract("value", r'"index":(\d)', 1))
+    articles, _ = wl.ingest_articles(i.article_lines(spark, sf_dir), media, "2024-01-15")
+    return wl.crawl_summary(articles, {"Spiegel1": "DE", "Spiegel2": "FR"})
+
+
 @query
 def assemble_articles(spark, sf_dir):
     items = i.table(spark, sf_dir, "documents").select(
@@ -514,7 +521,7 @@ def stream_daily_frequency(spark, sf_dir):
     base, checkpoint = _stream_paths(spark, "daily")
     events = _stream(spark, sf_dir, "events")
     words = events.select(
-        F.col("ts").cast("timestamp").alias("ts"),
+        "ts",
         F.lit("EN").alias("language"),
         F.lit("EVENT").alias("type"),
         F.col("event_type").alias("word"),

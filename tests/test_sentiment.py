@@ -70,9 +70,9 @@ def test_scores_by_plugged_model(spark):
         return pd.DataFrame({"polarity": texts.str.len() / 8, "subjectivity": (languages == "EN") * 1.0})
 
     docs = spark.createDataFrame(
-        [(1, "DE", "a"), (2, "ES", "aaa")], "text_id long, language string, text string"
+        [(1, "DE", "a"), (2, "ES", "aaa"), (3, "DE", None)], "text_id long, language string, text string"
     )
-    assert rows(wl.score_sentiment(docs, scorer=scorer)) == [(1, 0.12, 0.0), (2, 0.38, 1.0)]
+    assert rows(wl.score_sentiment(docs, scorer=scorer)) == [(1, 0.12, 0.0), (2, 0.38, 1.0), (3, None, None)]
     with pytest.raises(ValueError):
         wl.score_sentiment(docs)
 

@@ -1,14 +1,15 @@
 """Text analytics on Spark: every operator takes and returns DataFrames."""
 
-from .functions.frames import duplicate_report
+from .functions.frames import count_rows, duplicate_report
 from .operators.articles import (
     article_metadata,
     assemble_articles,
+    crawl_summary,
     ingest_articles,
     parse_article_lines,
     rejected,
 )
-from .operators.docs import media_language, prepare_docs, select_docs
+from .operators.docs import MEDIA_LANGUAGES, media_language, prepare_docs, select_docs
 from .operators.frequency import daily_word_frequency, word_frequency
 from .operators.index import (
     clean_words,
@@ -36,9 +37,10 @@ from .operators.trend import merge_words, word_trend
 from .operators.words import annotate_tokens, extract_words, unsupported_languages
 from .plans.documents import documents_to_words, index_to_trend
 from .plans.word_index import build_word_index
-from .session import build_session
+from .session import build_session, settings_for
 
 __all__ = [
+    "MEDIA_LANGUAGES",
     "MEDIA_RULES",
     "MediaRule",
     "Step",
@@ -48,6 +50,8 @@ __all__ = [
     "build_session",
     "build_word_index",
     "clean_words",
+    "count_rows",
+    "crawl_summary",
     "daily_word_frequency",
     "document_bags",
     "documents_to_words",
@@ -73,6 +77,7 @@ __all__ = [
     "select_docs",
     "select_word_index",
     "sentiment_list_range",
+    "settings_for",
     "topic_hits",
     "topic_keywords",
     "unsupported_languages",

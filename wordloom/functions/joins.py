@@ -12,8 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Bounds for a measured broadcast.
-BROADCAST_MAX_ROWS = 2_000_000
-BROADCAST_MAX_BYTES = 128 * 1024 * 1024
+BROADCAST_MAX_ROWS = 1_000_000
+BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
 # A key outside the HOT_KEYS most frequent ones holds at most 1/HOT_KEYS of all rows.
 HOT_KEYS = 10_000

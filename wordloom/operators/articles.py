@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import text as tx
 from ..functions.frames import first_per_key
 from ..schemas import ARTICLE_LINE, ARTICLES, require_columns
+from .docs import media_language
 
 # Fields a crawled line must have; texts must be longer than this.
 REQUIRED_FIELDS = ("website", "url", "date", "title", "index", "text")
@@ -144,3 +145,19 @@ def article_metadata(articles: DataFrame, language: Column) -> DataFrame:
         "num_characters",
         "paywall",
     )
+
+
+def crawl_summary(articles: DataFrame, languages: dict[str, str] | None = None) -> DataFrame:
+    """Per medium and day: language (``unknown`` for unknown media), month name, article count."""
+    language = media_language(F.col("media"), languages, default="unknown")
+    return (
+        articles.groupBy("media", "date")
+        .agg(F.count(F.lit(1)).alias("num_articles"))
+        .select(
+            "media",
+            "date",
+            language.alias("language"),
+            F.date_format("date", "MMMM").alias("month"),
+            "num_articles",
+        )
+    )

@@ -104,7 +104,8 @@ def prepare_docs(
     if dedupe:
         docs = first_per_key(docs, ["text_id"], [f"__order_{i}" for i in range(len(order))])
     if seen is not None:
-        ids = seen.select(F.col(seen.columns[0]).alias("text_id"))
+        # Distinct first: an id stored very often must not pile up in the join.
+        ids = seen.select(F.col(seen.columns[0]).alias("text_id")).distinct()
         docs = docs.join(ids, "text_id", "left_anti")
 
     cleaned = F.col("text")

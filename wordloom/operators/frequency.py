@@ -31,15 +31,22 @@ def daily_word_frequency(
 ) -> DataFrame:
     """Total count per (date, language, type, word), kept from ``min_count`` on.
 
-    Filters and columns reach both scans before the join on id. Both sides are shuffled by id and
-    joined as they come, so adaptive execution can split an id with very many rows.
+    Filters and columns reach both scans before the join on id. Repeated metadata rows of an id
+    and date are counted first, so a text stored very often stays small in the join; both sides
+    are then shuffled by id as they are, which lets adaptive execution split an id with very many
+    rows.
     """
     index, metadata = canonical_names(index), canonical_names(metadata)
     require_columns(index, ["text_id", "language", "type", "word", "count"], "daily_word_frequency")
     require_columns(metadata, ["text_id", "date"], "daily_word_frequency")
     rows = index.where(one_of("language", [language] if language else None) & one_of("type", types))
-    dated = rows.select("text_id", "language", "type", "word", "count").join(
-        metadata.select("text_id", "date"), "text_id"
+    dates = (
+        metadata.where(F.col("text_id").isNotNull())
+        .groupBy("text_id", "date")
+        .agg(F.count(F.lit(1)).alias("copies"))
+    )
+    dated = rows.select("text_id", "language", "type", "word", "count").join(dates, "text_id")
+    daily = dated.groupBy("date", "language", "type", "word").agg(
+        F.sum(F.col("count") * F.col("copies")).alias("count")
     )
-    daily = dated.groupBy("date", "language", "type", "word").agg(F.sum("count").alias("count"))
     return daily.where(F.col("count") >= min_count)

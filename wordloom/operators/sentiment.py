@@ -70,7 +70,8 @@ def score_sentiment(
     ``scored_lexicon(language, word, polarity, subjectivity)`` gives the mean over all hits of
     lower-cased words; a text without hits scores 0. Texts in a language outside
     ``analyzer_languages`` are scored with ``fallback_language``. A missing text scores NULL.
-    ``scorer(texts, languages)`` plugs in a model and returns both columns.
+    ``scorer(texts, languages)`` plugs in a model: it gets the texts that are not missing and
+    returns both columns with the index of the texts.
     """
     require_columns(docs, ["text_id", "language", "text"], "score_sentiment")
     language = F.when(one_of("language", analyzer_languages), F.col("language")).otherwise(
@@ -79,15 +80,21 @@ def score_sentiment(
     if scorer is not None:
         # Set by hand: pandas_udf reads annotations, which are strings in this module.
         def run(texts, codes):
-            return scorer(texts, codes)
+            given = texts.notna()
+            names = ["polarity", "subjectivity"]
+            if not given.any():
+                return pd.DataFrame(float("nan"), index=texts.index, columns=names)
+            return scorer(texts[given], codes[given])[names].reindex(texts.index)
 
         run.__annotations__ = {"texts": pd.Series, "codes": pd.Series, "return": pd.DataFrame}
         score = F.pandas_udf(run, "polarity double, subjectivity double")
         scored = docs.select("text_id", score(F.col("text"), language).alias("s"))
         return scored.select(
             "text_id",
-            round_half_even(F.col("s.polarity"), 2).alias("polarity"),
-            round_half_even(F.col("s.subjectivity"), 2).alias("subjectivity"),
+            *[
+                round_half_even(F.nanvl(f"s.{name}", F.lit(None).cast("double")), 2).alias(name)
+                for name in ("polarity", "subjectivity")
+            ],
         )
     if scored_lexicon is None:
         raise ValueError("score_sentiment: pass scored_lexicon or scorer")

@@ -114,6 +114,7 @@ def _tagged(
     labels = gazetteer.groupBy("language", "phrase").agg(F.collect_set("label").alias("labels"))
     runs = lookup_join(runs, labels, ["language", "phrase"], "left", spread_by=["text_id"])
     single = ~F.col("phrase").contains(" ")
+    runs = runs.where(single | F.col("labels").isNotNull())
     if annotations is None:
         pos, lemma = rule_type(F.col("phrase")), F.col("phrase")
     else:
@@ -123,14 +124,19 @@ def _tagged(
         )
         pos = F.coalesce(F.col("pos"), rule_type(F.col("phrase")))
         lemma = F.coalesce(F.col("lemma"), F.col("phrase"))
-    as_word = F.when(single, F.array(F.struct(pos.alias("type"), lemma.alias("word"))))
-    as_entities = F.transform(
-        F.col("labels"), lambda label: F.struct(label.alias("type"), F.col("phrase").alias("word"))
+    # One row per label, and one without label for the word itself.
+    no_label = F.lit(None).cast("string")
+    roles = (
+        F.when(F.col("labels").isNull(), F.array(no_label))
+        .when(single, F.array_append("labels", no_label))
+        .otherwise(F.col("labels"))
     )
-    empty = F.expr("cast(array() as array<struct<type:string,word:string>>)")
-    both = F.concat(F.coalesce(as_word, empty), F.coalesce(as_entities, empty))
-    return runs.select("text_id", "language", F.explode(both).alias("hit")).select(
-        "text_id", "language", "hit.type", "hit.word"
+    is_word = F.col("label").isNull()
+    return runs.withColumn("label", F.explode(roles)).select(
+        "text_id",
+        "language",
+        F.when(is_word, pos).otherwise(F.col("label")).alias("type"),
+        F.when(is_word, lemma).otherwise(F.col("phrase")).alias("word"),
     )
 
 

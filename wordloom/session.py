@@ -17,8 +17,23 @@ SETTINGS = {
 }
 
 
+def settings_for(input_bytes: int, cores: int, partition_bytes: int = 128 * 1024 * 1024) -> dict[str, str]:
+    """Shuffle settings for an input size: enough partitions that one fits an executor core.
+
+    Adaptive execution merges partitions that turn out small but does not split ordinary shuffles,
+    so the starting number has to be high enough.
+    """
+    partitions = max(cores, -(-input_bytes // partition_bytes))
+    # Beyond this many, the bookkeeping of map outputs on the driver costs more than it saves.
+    partitions = min(partitions, 200_000)
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+    }
+
+
 def build_session(app_name: str = "wordloom", master: str | None = None, **extra: str) -> SparkSession:
-    """Create (or reuse) a session; ``extra`` overrides, with ``_`` for ``.`` left to the caller."""
+    """Create (or reuse) a session; ``extra`` overrides the settings."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)

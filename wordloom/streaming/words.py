@@ -11,16 +11,21 @@ from pyspark.sql.streaming import StreamingQuery
 def daily_counts(words: DataFrame, event_time: str, lateness: str = "1 day") -> DataFrame:
     """Count per (date, language, type, word) by event time; for streams and tables alike.
 
-    In append mode a day is emitted once it is ``lateness`` behind the newest event.
+    Days are those of the session's time zone. In append mode a day is emitted once it is
+    ``lateness`` behind the newest event.
     """
+    # Windows start at midnight UTC, so local clock time is moved there and the day read from it.
+    clock = F.from_utc_timestamp(F.col(event_time).cast("timestamp"), F.current_timezone())
+    words = words.withColumn(event_time, clock)
     day = F.window(event_time, "1 day")
     counted = (
         words.withWatermark(event_time, lateness)
         .groupBy(day.alias("day"), "language", "type", "word")
         .agg(F.sum("count").alias("count"))
     )
+    since_1970 = F.floor(F.unix_seconds("day.start") / F.lit(86400)).cast("int")
     return counted.select(
-        F.to_date("day.start").alias("date"), "language", "type", "word", "count"
+        F.date_from_unix_date(since_1970).alias("date"), "language", "type", "word", "count"
     )
 
 
