@@ -6,14 +6,25 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .joins import BROADCAST_MAX_ROWS, fits_broadcast
 
-def as_word_table(spark: SparkSession, words: DataFrame | Iterable[str]) -> DataFrame:
-    """A list of words, or a table whose first column is the word, as distinct ``word`` rows."""
-    if not isinstance(words, DataFrame):
+
+def as_word_table(
+    spark: SparkSession, words: DataFrame | Iterable[str]
+) -> tuple[DataFrame, bool]:
+    """Distinct ``word`` rows of a list or of a table's ``word`` (or first) column.
+
+    Also says whether they are few enough to broadcast; measured before removing repeats.
+    """
+    if isinstance(words, DataFrame):
+        name = "word" if "word" in words.columns else words.columns[0]
+        table = words.select(F.col(name).alias("word"))
+        small = fits_broadcast(table)
+    else:
         rows = [(w,) for w in words]
-        words = spark.createDataFrame(rows, "word string")
-    name = "word" if "word" in words.columns else words.columns[0]
-    return words.select(F.col(name).alias("word")).where(F.col("word").isNotNull()).distinct()
+        table = spark.createDataFrame(rows, "word string")
+        small = len(rows) <= BROADCAST_MAX_ROWS
+    return table.where(F.col("word").isNotNull()).distinct(), small
 
 
 def first_per_key(

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.frames import first_per_key
-from ..functions.joins import lookup_join
+from ..functions.joins import fits_broadcast, lookup_join
 from ..functions.masks import one_of
 from ..functions.text import round_half_even, strip_space, tokens
 from ..schemas import require_columns
@@ -47,7 +47,8 @@ def wordlist_sentiment(
     )
     lemma = F.when(one_of("pos", pos), F.lower("lemma")).alias("word")
     rows = words.where(one_of("language", languages)).select("text_id", lemma)
-    hits = lookup_join(rows, per_word, ["word"], "left", spread_by=["text_id"])
+    small = fits_broadcast(sentiment_list.select("word", "value"))
+    hits = lookup_join(rows, per_word, ["word"], "left", spread_by=["text_id"], small=small)
     # All misses of a document fall into one NULL group, before the shuffle.
     hit_word = F.when(F.col("total").isNotNull(), F.col("word")).alias("word")
     distinct = hits.groupBy("text_id", hit_word).agg(
@@ -109,7 +110,9 @@ def score_sentiment(
         missing,
         F.explode_outer(tokens(F.lower("text"))).alias("word"),
     )
-    hits = lookup_join(rows, table, ["language", "word"], "left", spread_by=["text_id"])
+    small = fits_broadcast(scored_lexicon)
+    on = ["language", "word"]
+    hits = lookup_join(rows, table, on, "left", spread_by=["text_id"], small=small)
     means = {
         name: round_half_even(
             F.sum(name).cast("double") / F.nullif(F.count(name), F.lit(0).cast("bigint")), 2

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.frames import as_word_table
-from ..functions.joins import BROADCAST_MAX_ROWS, lookup_join
+from ..functions.joins import lookup_join
 from ..functions.masks import one_of, sum_counts
 from ..functions.workdir import settle
 from ..schemas import canonical_names, require_columns
@@ -116,11 +116,7 @@ def word_trend(
         F.to_date("date").alias("date"), "language", "word", F.col("count").cast("int").alias("count")
     )
     if blacklist is not None:
-        small = None
-        if not isinstance(blacklist, DataFrame):
-            blacklist = list(blacklist)
-            small = len(blacklist) <= BROADCAST_MAX_ROWS
-        listed = as_word_table(freq.sparkSession, blacklist)
+        listed, small = as_word_table(freq.sparkSession, blacklist)
         rows = lookup_join(rows, listed, ["word"], "anti", spread_by=["date"], small=small)
     rows = merge_words(rows, lexicon, merge)
 

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
-from ..functions.joins import lookup_join
+from ..functions.joins import fits_broadcast, lookup_join
 from ..functions.masks import one_of, sum_counts
 from ..schemas import require_columns
 
@@ -72,8 +72,14 @@ def annotate_tokens(
                 "pos": F.when(F.col("surface").isNotNull(), rule_type(F.col("surface"))),
             }
         )
-    table = one_annotation(annotations)
-    joined = lookup_join(rows, table, ["language", "surface"], "left", spread_by=["text_id"])
+    joined = lookup_join(
+        rows,
+        one_annotation(annotations),
+        ["language", "surface"],
+        "left",
+        spread_by=["text_id"],
+        small=fits_broadcast(annotations),
+    )
     surface = F.col("surface")
     return joined.select(
         "text_id",
@@ -112,7 +118,10 @@ def _tagged(
     )
 
     labels = gazetteer.groupBy("language", "phrase").agg(F.collect_set("label").alias("labels"))
-    runs = lookup_join(runs, labels, ["language", "phrase"], "left", spread_by=["text_id"])
+    on = ["language", "phrase"]
+    runs = lookup_join(
+        runs, labels, on, "left", spread_by=["text_id"], small=fits_broadcast(gazetteer)
+    )
     single = ~F.col("phrase").contains(" ")
     runs = runs.where(single | F.col("labels").isNotNull())
     if annotations is None:
@@ -120,7 +129,13 @@ def _tagged(
     else:
         table = one_annotation(annotations).withColumnRenamed("surface", "phrase")
         runs = lookup_join(
-            runs, table, ["language", "phrase"], "left", spread_by=["text_id"], condition=single
+            runs,
+            table,
+            on,
+            "left",
+            spread_by=["text_id"],
+            condition=single,
+            small=fits_broadcast(annotations),
         )
         pos = F.coalesce(F.col("pos"), rule_type(F.col("phrase")))
         lemma = F.coalesce(F.col("lemma"), F.col("phrase"))
