@@ -24,6 +24,13 @@ def test_patterns_match_as_in_python(spark, pattern):
         assert at_start == bool(re.match(pattern, TEXTS[n])), TEXTS[n]
 
 
+def test_any_of_several_patterns(spark):
+    df = spark.createDataFrame([(t,) for t in TEXTS], "t string")
+    for patterns in ([r"\d", r"^x", "[[]"], [r"(x)\1", r"a.b"], [r"(?i)É"], [r"x$"], []):
+        got = [r[0] for r in df.select(rx.contains_any(F.col("t"), patterns)).collect()]
+        assert got == [any(re.search(p, t) for p in patterns) for t in TEXTS], patterns
+
+
 @pytest.mark.parametrize(
     "pattern, replacement",
     [

@@ -8,12 +8,18 @@ character class nests, named groups are spelt differently, and replacements use
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, functions as F
 
 _UNICODE_CLASS = re.compile(r"\\[wWdDsSbB]")
 _LINE_END = re.compile(r"[.^$]")
 
+# Group references, named groups and inline flags mean something else inside a joined pattern.
+_REFERS_OR_FLAGS = re.compile(r"\\[1-9]|\(\?P|\(\?[aiLmsux]")
+
 _NAMED_GROUP = re.compile(r"\(\?P<(\w+)>")
 _NAMED_BACKREF = re.compile(r"\(\?P=(\w+)\)")
 _CLASS = re.compile(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]", re.DOTALL)
@@ -31,13 +37,18 @@ def _fix_class(match: re.Match) -> str:
     return body[:head] + re.sub(r"^\]", r"\\]", inner) + "]"
 
 
-def java_pattern(pattern: str) -> str:
-    """Translate a Python pattern. U: Unicode character classes. d: only \\n ends a line."""
+def _translated(pattern: str) -> tuple[str, str]:
+    """Flags and Java form. U: Unicode character classes. d: only \\n ends a line."""
     flags = "U" * bool(_UNICODE_CLASS.search(pattern)) + "d" * bool(_LINE_END.search(pattern))
-    prefix = f"(?{flags})" if flags else ""
     out = _NAMED_GROUP.sub(r"(?<\1>", pattern)
     out = _NAMED_BACKREF.sub(r"\\k<\1>", out)
-    return prefix + _CLASS.sub(_fix_class, out)
+    return flags, _CLASS.sub(_fix_class, out)
+
+
+def java_pattern(pattern: str) -> str:
+    """Translate a Python pattern."""
+    flags, body = _translated(pattern)
+    return f"(?{flags}){body}" if flags else body
 
 
 def java_replacement(replacement: str) -> str:
@@ -61,6 +72,16 @@ def contains(col: Column, pattern: str) -> Column:
     return col.rlike(java_pattern(pattern))
 
 
+def contains_any(col: Column, patterns: Sequence[str]) -> Column:
+    """True where any pattern matches anywhere, in one pass where the patterns can be joined."""
+    if not patterns:
+        return F.lit(False)
+    if any(_REFERS_OR_FLAGS.search(p) for p in patterns):
+        return reduce(or_, [contains(col, p) for p in patterns])
+    joined = ("(?{}:{})".format(*_translated(p)) for p in patterns)
+    return col.rlike("|".join(joined))
+
+
 def matches_start(col: Column, pattern: str) -> Column:
     """True where the pattern matches at the first character."""
     return col.rlike(java_pattern(f"^(?:{pattern})"))

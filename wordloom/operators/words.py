@@ -29,8 +29,17 @@ _ANNOTATED = "text_id {id_type}, language string, type string, word string"
 
 
 def rule_type(surface: Column) -> Column:
-    """Type of a word no annotation knows: capitalised words count as proper nouns."""
-    return F.when(surface.rlike(tx.CAPITALISED), F.lit("PROPN")).otherwise(F.lit("WORD"))
+    """Type of a word no annotation knows: capitalised words count as proper nouns.
+
+    ASCII letters are told apart by comparison; only other first letters need the pattern.
+    """
+    return (
+        F.when(surface.isNull(), F.lit(None).cast("string"))
+        .when((surface >= "A") & (surface < "["), F.lit("PROPN"))
+        .when((surface >= "a") & (surface < "{"), F.lit("WORD"))
+        .when(surface.rlike(tx.CAPITALISED), F.lit("PROPN"))
+        .otherwise(F.lit("WORD"))
+    )
 
 
 def one_annotation(annotations: DataFrame) -> DataFrame:
@@ -69,7 +78,7 @@ def annotate_tokens(
         return rows.withColumns(
             {
                 "lemma": F.col("surface"),
-                "pos": F.when(F.col("surface").isNotNull(), rule_type(F.col("surface"))),
+                "pos": rule_type(F.col("surface")),
             }
         )
     joined = lookup_join(
@@ -86,7 +95,7 @@ def annotate_tokens(
         "language",
         "surface",
         F.coalesce("lemma", surface).alias("lemma"),
-        F.coalesce("pos", F.when(surface.isNotNull(), rule_type(surface))).alias("pos"),
+        F.coalesce("pos", rule_type(surface)).alias("pos"),
     )
 
 

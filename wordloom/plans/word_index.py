@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from ..functions.masks import sum_counts
+from ..functions.masks import sum_counts, type_language_mask
 from ..operators.index import (
     WORD_KEYS,
-    _cleaned_rows,
+    _kept_words,
     _lexicon_rows,
+    _rewritten,
     remove_blacklisted,
     select_word_index,
 )
@@ -32,8 +33,8 @@ def build_word_index(
     row by row and counts are summed, so one final count replaces the count after each step.
     """
     chosen = select_word_index(words, language, type_limits)
-    rows = _cleaned_rows(chosen, remove, replace or {}, word_types, [language])
-    rows = rows.where(F.col("word_r").isNull()).select(*WORD_KEYS, "count")
+    mask = type_language_mask(word_types, [language])
+    rows = _rewritten(_kept_words(chosen, remove, mask), replace or {}, mask)
     rows = remove_blacklisted(rows, blacklist, word_types, [language])
     rows = _lexicon_rows(rows, lexicon, word_types, [language], False, False)
     return sum_counts(rows, WORD_KEYS)
