@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 import wordloom as wl
 from wordloom.functions import joins
@@ -215,3 +216,32 @@ def test_size_is_measured(spark, monkeypatch):
     assert joins.fits_broadcast(df)
     monkeypatch.setattr(joins, "BROADCAST_MAX_ROWS", 1)
     assert not joins.fits_broadcast(df)
+
+
+def test_hot_keys_spread_over_the_shuffle(spark):
+    """A word with most of the rows, in and outside the lookup, must not fill one partition."""
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        names = ["hot", "lost", None, "hot", "lost"]
+        data = [(n, "DE", "PROPN", names[n % 6] if n % 6 < 5 else f"w{n}", n) for n in range(6000)]
+        left = words(spark, *data)
+        right = spark.createDataFrame([("hot", 1)] + [(f"w{n}", n) for n in range(6000)], "word string, v int")
+        for how in ("left", "anti"):
+            out = joins.lookup_join(left, right, ["word"], how, ["text_id"], small=False)
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin [__place" in plan
+            sizes = [r["n"] for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+            assert len(sizes) == 4 and max(sizes) < 1.2 * sum(sizes) / 4
+    finally:
+        for key, value in keep.items():
+            spark.conf.set(key, value)
+
+
+def test_totals_are_shuffled_once(spark, tmp_path):
+    data = [(n, "DE", "PROPN", f"w{n % 50}", 1) for n in range(500)]
+    words(spark, *data).write.parquet(str(tmp_path / "w"))
+    df = wl.select_word_index(spark.read.parquet(str(tmp_path / "w")))
+    df.collect()
+    assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()

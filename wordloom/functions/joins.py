@@ -17,7 +17,6 @@ BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
 # A key outside the HOT_KEYS most frequent ones holds at most 1/HOT_KEYS of all rows.
 HOT_KEYS = 10_000
-HOT_SPREAD = 8_192
 
 
 def measured_size(df: DataFrame) -> tuple[int, int]:
@@ -99,16 +98,21 @@ def lookup_join(
     tagged = left.withColumn("__ok", usable).join(
         F.broadcast(hot), [F.col("__ok")] + [F.col(c) == F.col(f"__h_{c}") for c in on], "left"
     )
-    # Hot rows and rows that cannot match get a spread salt that no right row carries.
-    spread = F.pmod(F.xxhash64(*spread_by), F.lit(HOT_SPREAD)) + 1
+    # The shuffle goes by __place: a hash of the key for cold rows, of other columns for hot rows
+    # and rows that cannot match, which spreads those. A hash, because the optimizer would take a
+    # constant salt out of the join keys.
+    cold_row = F.col("__ok") & F.col("__hot").isNull()
     tagged = tagged.withColumn(
-        "__salt",
-        F.when(F.col("__ok") & F.col("__hot").isNull(), F.lit(0).cast("bigint")).otherwise(spread),
+        "__place", F.when(cold_row, F.xxhash64(*on)).otherwise(F.xxhash64(*spread_by))
+    )
+    cold = table.withColumns(
+        {"__r_place": F.xxhash64(*[f"__r_{c}" for c in on]), "__cold": F.lit(True)}
     )
-    cold = table.withColumns({"__r_salt": F.lit(0).cast("bigint"), "__cold": F.lit(True)})
     joined = tagged.join(
         cold,
-        [F.col(c) == F.col(f"__r_{c}") for c in on] + [F.col("__salt") == F.col("__r_salt")],
+        [F.col("__place") == F.col("__r_place")]
+        + [F.col(c) == F.col(f"__r_{c}") for c in on]
+        + [F.col("__ok")],
         "left",
     )
     found = F.coalesce(F.col("__h_found"), F.col("__cold"), F.lit(False))

@@ -21,7 +21,8 @@ def dedupe_stream(
 ) -> DataFrame:
     """Each key once: within ``horizon`` of event time, or for ever without an event time.
 
-    Without an event time the state holds every key ever seen and only grows.
+    Without an event time the state holds every key ever seen and only grows. All copies of a key
+    travel to its state; where one key has very many copies, ``start_ingest`` reduces them first.
     """
     if event_time is None:
         return df.dropDuplicates([key])
