@@ -126,7 +126,10 @@ _P_PART = f"regexp_replace({_ARTICLE}, '(?s)^<h1>.*?</h1>', '')"
 
 
 def _decoded(x: str) -> str:
-    return f"replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&')"
+    """HTML reads these references without their semicolon too (a title may be cut there)."""
+    for name, char in (("lt", "'<'"), ("gt", "'>'"), ("quot", "chr(34)"), ("amp", "'&'")):
+        x = f"regexp_replace({x}, '&{name};?', {char}, 'g')"
+    return x
 
 
 _TEXT_PARTS = (
