@@ -188,7 +188,7 @@ def map_lexicon_large(spark, sf_dir):
         F.expr("element_at(array('FM','M','C'), 1 + length(word) % 3)").alias("mapping"),
         F.substring("word", 1, 1).alias("category"),
     )
-    return wl.map_lexicon(_stored_words(spark, sf_dir), lexicon)
+    return wl.map_lexicon(_stored_words(spark, sf_dir), settle(lexicon, "lexicon"))
 
 
 @query

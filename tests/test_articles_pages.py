@@ -156,6 +156,8 @@ def test_articles_of_every_medium(spark):
 def test_missing_page_and_broken_markup(spark):
     got = wl.extract_articles(pages(spark, ("FAZ", "https://www.faz.net/a", None))).first()
     assert got["text"] == [] and got["title"] == [] and got["index"] is None
+    cut = '<p class="atc-TextParagraph">a &amp b &amp</p>'
+    assert item(spark, "FAZ", "https://www.faz.net/a", cut)[1] == ["a & b &"]
     broken = '<p class="atc-TextParagraph">a</b></i><p class="atc-TextParagraph">b<div>c</div>d</p'
     assert item(spark, "FAZ", "https://www.faz.net/a", broken)[1] == ["a", "b"]
 

@@ -39,6 +39,9 @@ def test_languages_filter_takes_a_list(spark):
 def test_unsupported_languages_are_reported(spark):
     df = docs(spark, "a", language="XX").union(docs(spark, "b"))
     assert rows(wl.unsupported_languages(df)) == [("XX", 1)]
+    df = docs(spark, "Haus", language="XX")
+    assert wl.extract_words(df).count() == 0
+    assert wl.extract_words(df, supported=None).count() == 1
 
 
 def annotations(spark):

@@ -18,7 +18,7 @@ def word_frequency(
     """Total count per (language, type, word)."""
     require_columns(words, ["language", "type", "word", "count"], "word_frequency")
     rows = words.where(one_of("type", word_types) & one_of("language", languages))
-    rows = rows.withColumn("count", F.col("count").cast("int"))
+    rows = rows.withColumn("count", F.col("count").cast("bigint"))
     return sum_counts(rows, ["language", "type", "word"])
 
 

@@ -58,7 +58,7 @@ def index_topics(
     """
     require_columns(hits, ["text_id", "topic", "word"], "index_topics")
     num = F.count("keyword")
-    slack = (F.lit(float(tolerance)) * num).cast("int") if tolerance < 1 else F.lit(tolerance)
+    slack = (F.lit(float(tolerance)) * num).cast("bigint") if tolerance < 1 else F.lit(tolerance)
     limits = topic_keywords(topics).groupBy("topic").agg(
         (num - slack).cast("bigint").alias("min_num")
     )

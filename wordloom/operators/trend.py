@@ -113,7 +113,10 @@ def word_trend(
     if periods is None:
         periods = PERIODS if top_n is None else TOP_PERIODS
     rows = freq.where((F.col("type") == type) & one_of("language", languages)).select(
-        F.to_date("date").alias("date"), "language", "word", F.col("count").cast("int").alias("count")
+        F.to_date("date").alias("date"),
+        "language",
+        "word",
+        F.col("count").cast("bigint").alias("count"),
     )
     if blacklist is not None:
         listed, small = as_word_table(freq.sparkSession, blacklist)
@@ -149,7 +152,8 @@ def word_trend(
         F.sum("words").over(everything).alias("num_words"),
     )
     if top_n is None:
-        ranks = ranks.where(F.col("rank") <= (F.lit(float(top_ratio)) * F.col("num_words")).cast("int"))
+        last_rank = (F.lit(float(top_ratio)) * F.col("num_words")).cast("bigint")
+        ranks = ranks.where(F.col("rank") <= last_rank)
     else:
         ranks = ranks.where(F.col("rank") <= top_n)
     trend_columns = [c for p in periods for c in (f"trend_{p}", f"trend_{p}_ic")]

@@ -172,6 +172,7 @@ def extract_words(
     types: Sequence[str] = WORD_TYPES,
     entity_types: Sequence[str] = ENTITY_TYPES,
     languages: Sequence[str] | None = None,
+    supported: Sequence[str] | None = SUPPORTED_LANGUAGES,
     max_word_len: int = 80,
     min_word_len: int = 3,
     max_phrase_words: int = 3,
@@ -180,11 +181,11 @@ def extract_words(
 
     ``annotator`` receives batches (text_id, language, text) and yields batches
     (text_id, language, type, word); it is called once per partition, so it loads its model once.
-    Documents are filtered by language before any work on the text; missing texts have no words.
-    When the documents are already partitioned by id the count needs no shuffle.
+    Documents are filtered by language before any work on the text: those in ``languages`` and in
+    ``supported`` (``unsupported_languages`` reports the others). Missing texts have no words. When the documents are already partitioned by id the count needs no shuffle.
     """
     require_columns(docs, ["text_id", "language", "text"], "extract_words")
-    docs = docs.where(one_of("language", languages))
+    docs = docs.where(one_of("language", languages) & one_of("language", supported))
     if annotator is not None:
         docs = docs.where(F.col("text").isNotNull())
         id_type = docs.schema["text_id"].dataType.simpleString()
