@@ -224,7 +224,8 @@ lowered AS (
   FROM docs
 ),
 found AS (
-  SELECT text_id, avg((length(word) % 9 - 4) / 4.0::DOUBLE) AS p, avg(length(word) % 5 / 4.0::DOUBLE) AS s
+  SELECT text_id, avg((length(word) % 9 - 4) / 4.0::DOUBLE) AS p,
+         avg(length(word) % 5 / 4.0::DOUBLE) AS s
   FROM lowered JOIN scored USING (language, word) GROUP BY text_id
 )"""
 
@@ -299,10 +300,10 @@ tagged AS (
     "plugged_scorer": _with(
         DOCS,
         """SELECT text_id,
-       round_even((length(text) - length(replace(text, 'e', ''))) / greatest(length(text), 1) * 100, 0)
-         / 100 AS polarity,
-       round_even((length(text) - length(replace(text, ',', ''))) / greatest(length(text), 1) * 100, 0)
-         / 100 AS subjectivity
+       round_even((length(text) - length(replace(text, 'e', ''))) / greatest(length(text), 1)
+                  * 100, 0) / 100 AS polarity,
+       round_even((length(text) - length(replace(text, ',', ''))) / greatest(length(text), 1)
+                  * 100, 0) / 100 AS subjectivity
 FROM docs""",
     ),
     "word_frequency": _with(

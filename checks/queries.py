@@ -345,8 +345,8 @@ def prepare_sentiment_source(spark, sf_dir):
     names = [F.lit(x) for pair in i.SOURCE_LANGUAGES.items() for x in pair]
     d = i.table(spark, sf_dir, "documents")
     word = F.explode(tx.tokens(F.col("text")))
-    source = d.select(F.element_at(F.create_map(*names), F.col("lang")).alias("language"), word.alias("word"))
-    source = source.distinct().select(
+    language = F.element_at(F.create_map(*names), F.col("lang"))
+    source = d.select(language.alias("language"), word.alias("word")).distinct().select(
         "language",
         F.concat(F.lit(" \t"), "word", F.lit(" ")).alias("word"),
         F.length("word").cast("double").alias("value"),

@@ -182,7 +182,9 @@ def extract_words(
     ``annotator`` receives batches (text_id, language, text) and yields batches
     (text_id, language, type, word); it is called once per partition, so it loads its model once.
     Documents are filtered by language before any work on the text: those in ``languages`` and in
-    ``supported`` (``unsupported_languages`` reports the others). Missing texts have no words. When the documents are already partitioned by id the count needs no shuffle.
+    ``supported`` (``unsupported_languages`` reports the others). Missing texts have no words.
+    When the documents are already partitioned by id the count needs no shuffle. Otherwise, with
+    unique ids, ``repartition("text_id")`` first: texts are smaller than their word rows.
     """
     require_columns(docs, ["text_id", "language", "text"], "extract_words")
     docs = docs.where(one_of("language", languages) & one_of("language", supported))

@@ -17,7 +17,9 @@ SETTINGS = {
 }
 
 
-def settings_for(input_bytes: int, cores: int, partition_bytes: int = 128 * 1024 * 1024) -> dict[str, str]:
+def settings_for(
+    input_bytes: int, cores: int, partition_bytes: int = 128 * 1024 * 1024
+) -> dict[str, str]:
     """Shuffle settings for an input size: enough partitions that one fits an executor core.
 
     Adaptive execution merges partitions that turn out small but does not split ordinary shuffles,
@@ -32,7 +34,9 @@ def settings_for(input_bytes: int, cores: int, partition_bytes: int = 128 * 1024
     }
 
 
-def build_session(app_name: str = "wordloom", master: str | None = None, **extra: str) -> SparkSession:
+def build_session(
+    app_name: str = "wordloom", master: str | None = None, **extra: str
+) -> SparkSession:
     """Create (or reuse) a session; ``extra`` overrides the settings."""
     builder = SparkSession.builder.appName(app_name)
     if master:
