@@ -18,13 +18,10 @@ def as_word_table(
     """
     if isinstance(words, DataFrame):
         name = "word" if "word" in words.columns else words.columns[0]
-        table = words.select(F.col(name).alias("word"))
-        small = fits_broadcast(table)
-    else:
-        rows = [(w,) for w in words]
-        table = spark.createDataFrame(rows, "word string")
-        small = len(rows) <= BROADCAST_MAX_ROWS
-    return table.where(F.col("word").isNotNull()).distinct(), small
+        table = words.select(F.col(name).alias("word")).where(F.col("word").isNotNull())
+        return table.distinct(), fits_broadcast(table)
+    rows = [(w,) for w in dict.fromkeys(words) if w is not None]
+    return spark.createDataFrame(rows, "word string"), len(rows) <= BROADCAST_MAX_ROWS
 
 
 def first_per_key(
