@@ -51,6 +51,8 @@ def test_daily_frequency(spark):
     assert rows(wl.daily_word_frequency(index, meta, min_count=2), "word") == [("a",)]
     assert rows(wl.daily_word_frequency(index, meta, "DE", ["NOUN"]), "word") == [("b",), ("b",)]
     assert wl.daily_word_frequency(index, meta, "FR").count() == 0
+    twice = wl.daily_word_frequency(index, meta.union(meta), types=["NOUN"])
+    assert rows(twice, "date", "count") == [(past(1), 2), (DAY, 2)]
 
 
 def test_regression_excludes_the_edge_and_flat_lines_have_slope_zero(spark):
