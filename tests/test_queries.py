@@ -5,6 +5,8 @@ import pytest
 import __spark_entry__ as entry
 from checks.compare import compare, connect
 from checks import inputs
+from checks.oracles import ORACLES
+from checks.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -12,15 +14,15 @@ def con(sf_dir):
     return connect(sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, sf_dir, name):
     outcome = compare(spark, con, name, sf_dir)
-    assert outcome.startswith("OK" if name in entry.oracle_sql() else "ROWS"), outcome
+    assert outcome.startswith("OK" if name in ORACLES else "ROWS"), outcome
 
 
 def test_only_topic_finding_has_no_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"identify_topics"}
-    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(QUERIES) - set(ORACLES) == {"identify_topics"}
+    assert set(ORACLES) <= set(QUERIES)
 
 
 def test_entry(spark):

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,19 +12,12 @@ _CONF = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder the session names in ``spark.checkpoint.dir``.
 
-    Unset is accepted in local mode only, where one temporary folder serves the application.
+    Where that is unset, a folder below the warehouse, which every executor reaches as well.
     """
     folder = spark.conf.get(_CONF, None) or spark.sparkContext.getConf().get(_CONF, None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {_CONF} to a folder every executor can reach")
-    return _local_dir(spark.sparkContext.applicationId)
-
-
-@cache
-def _local_dir(application_id: str) -> str:
-    return tempfile.mkdtemp(prefix=f"wordloom-{application_id}-")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_wordloom"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
