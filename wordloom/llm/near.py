@@ -3,13 +3,14 @@
 1. Every text becomes a set of 64-bit shingle hashes; equal sets are one *class*.
 2. Classes that share a min-hash are compared with the smallest class of that min-hash; verified
    links merge into *groups* of similar documents, cut into parts of bounded size.
-3. The token-group matrix has a cell (shingle, part) for the shingles in the *prefix* of any member:
-   under one order of all shingles, two sets with a Jaccard index of at least T share one of
-   their first n - ceil(T n) + 1 shingles. Frequent shingles come last in the order, so passages
+3. The token-group matrix has a cell (shingle, part) for each shingle in the union of the members'
+   *prefixes*: under one order of all shingles, two sets with a Jaccard index of at least T share one
+   of their first n - ceil(T n) + 1 shingles. Frequent shingles come last in the order, so passages
    that many documents share are rarely in a prefix. Any order gives the same links.
-4. Parts of different groups that meet in a cell are candidates. For each set of the one part its
-   overlap with the other part's union is counted; only where that reaches T of its own size is the
-   other part opened and every member compared exactly.
+4. Parts of different groups that meet in cells are candidates when their sizes, and for lone sets
+   the number of common cells and what follows the last of them, allow a link. For each set of
+   the one part its overlap with the other's whole union is then counted; only where that reaches
+   T of its own size is the other part opened and every member compared exactly.
 
 Hashes are 64 bits wide; two different shingles or sets are taken for equal with probability 2^-64.
 """
@@ -20,8 +21,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.joins import fits_broadcast
 from ..functions.workdir import settle
 from .graph import connected_components
 from .words import mix, seeds, shingle_sets, slices
@@ -30,11 +32,12 @@ from .words import mix, seeds, shingle_sets, slices
 SHARED, UNION = 100, 75
 
 # Rows of the broadcast list of frequent shingles: 8 bytes each.
-FREQUENT = 1 << 20
+FREQUENT = 1 << 19
 
 # Shingles a task looks at together when it counts, and members of one part of a group.
 CHUNK = 2_000_000
 PART = 64
+PARTS_OPENED = 32
 POSTINGS_PER_BUCKET = 500_000
 MINHASHES = 4
 
@@ -45,11 +48,11 @@ def prefix_length(n: int) -> int:
 
 
 def _count_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles that at least four texts of one chunk hold, with their number."""
+    """Shingles that several texts of one chunk hold, with their number."""
 
     def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
         values, n = np.unique(np.concatenate(parts), return_counts=True)
-        many = n >= 4
+        many = n > 1
         return pa.RecordBatch.from_arrays(
             [pa.array(values[many].view(np.int64)), pa.array(n[many].astype(np.int64))],
             names=["shingle", "n"],
@@ -69,18 +72,34 @@ def _count_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield counted(parts)
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        columns = (batch.column(c).to_numpy().astype(np.int64).tobytes() for c in ("shingle", "n"))
+        yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in columns], names=["shingle", "n"])
+
+
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
     """The most frequent shingles of the whole corpus, rarest first; FREQUENT at most.
 
-    Only their order depends on this list, never a link.
+    Only their order depends on this list, never a link. Counts by power of two say from which power
+    on all fit, so only those reach the driver, packed.
     """
     counts = docs.select("text").mapInArrow(_count_chunks, "shingle long, n long")
-    top = (
-        counts.groupBy("shingle").agg(F.sum("n").alias("n"))
-        .orderBy(F.col("n").desc(), "shingle").limit(FREQUENT)
-    )
-    found = top.select("shingle").toPandas()["shingle"].to_numpy()
-    return found[::-1].astype(np.int64).view(np.uint64)
+    counts = settle(counts.groupBy("shingle").agg(F.sum("n").alias("n")), "near-frequent")
+    power = F.floor(F.log2("n") * 2)
+    steps = counts.groupBy(power.alias("power")).agg(F.count(F.lit(1)).alias("m")).collect()
+    least, total = None, 0
+    for step in sorted(steps, key=lambda r: -r["power"]):
+        total += step["m"]
+        if total > FREQUENT:
+            break
+        least = step["power"]
+    if least is None:
+        return np.zeros(0, np.uint64)
+    rows = counts.where(power >= least).mapInArrow(_pack, "shingle binary, n binary").collect()
+    shingle = np.frombuffer(b"".join(r["shingle"] for r in rows), np.int64)
+    n = np.frombuffer(b"".join(r["n"] for r in rows), np.int64)
+    return shingle[np.lexsort((shingle, n))].view(np.uint64)
 
 
 def _describe(ranked):
@@ -144,139 +163,192 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _postings(buckets: int):
-    """Cells (shingle, part) of a task, each once, packed by bucket of the shingle."""
+def _unique(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Rows sorted by the first column, then the others; and where a new row begins."""
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return columns, new
+
+
+def _cells(buckets: int):
+    """Cells of the matrix that a task fills, each once, packed by bucket of the shingle.
+
+    A set alone in its group brings its size and the shingle's place in the prefix; a part of a larger
+    group only minus its size band and its number.
+    """
 
     def packed(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        shingle, group, part, band = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((band, part, group, shingle))
-        shingle, group, part, band = shingle[order], group[order], part[order], band[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (
-            (shingle[1:] != shingle[:-1]) | (group[1:] != group[:-1])
-            | (part[1:] != part[:-1]) | (band[1:] != band[:-1])
-        )
-        shingle, group, part, band = shingle[new], group[new], part[new], band[new]
-        bucket = (shingle % np.uint64(buckets)).astype(np.int32)
+        columns, new = _unique([np.concatenate(x) for x in zip(*held, strict=True)])
+        columns = [c[new] for c in columns]
+        bucket = (columns[0] % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         bucket = bucket[order]
         cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
-        columns = [x[order] for x in (shingle, group, part, band)]
+        spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+        columns = [c[order] for c in columns]
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(bucket[cuts[:-1]]),
-                *[
-                    pa.array([x[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
-                    for x in columns
-                ],
+                *[pa.array([c[a:b].tobytes() for a, b in spans], pa.binary()) for c in columns],
             ],
-            names=["bucket", "shingles", "groups", "parts", "bands"],
+            names=["bucket", "shingles", "groups", "sizes", "spots"],
         )
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
         for batch in batches:
-            for prefix, group, part, n in zip(*(batch.column(c).to_pylist() for c in ("prefix", "gid", "part", "n")), strict=True):
+            columns = (batch.column(c).to_pylist() for c in ("prefix", "gid", "part", "n"))
+            for prefix, group, part, n in zip(*columns, strict=True):
                 own = np.frombuffer(prefix, np.uint64)
                 k = len(own)
-                held.append((own, np.full(k, group, np.int64), np.full(k, part, np.int32), np.full(k, band_of(n), np.uint8)))
+                size = n if part is None else -band_of(n)
+                spots = np.arange(k, dtype=np.int32) if part is None else np.full(k, part, np.int32)
+                held.append((own, np.full(k, group, np.int64), np.full(k, size, np.int32), spots))
                 total += k
-            if total >= CHUNK:
-                yield from packed(held)
-                held, total = [], 0
+                if total >= CHUNK:
+                    yield from packed(held)
+                    held, total = [], 0
         if held:
             yield from packed(held)
 
     return rows
 
 
-def band_of(n: int) -> int:
+def band_of(n):
     """Sizes whose ratio allows a link lie in the same or in neighbouring bands."""
-    return int(np.log(n) / np.log(SHARED / UNION) + 1e-9)
+    return int(np.log(n) / np.log(1.34))
+
+
+def _meeting(length: int, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places within lists of one length, some at a time."""
+    if length <= 128:
+        one, two = np.triu_indices(length, 1)
+        step = max(1, 500_000 // len(one))
+        for at in range(0, len(starts), step):
+            first = starts[at : at + step, None]
+            yield (first + one).ravel(), (first + two).ravel()
+    else:
+        for start in starts.tolist():
+            for i in range(length - 1):
+                rest = np.arange(start + i + 1, start + length)
+                yield np.full(len(rest), start + i), rest
+
+
+_PAIR = ["ga", "gb", "sa", "sb", "pa", "pb"]
 
 
 def _candidates(key, table):
-    """Pairs of parts of different groups that meet in a cell, each once per bucket."""
+    """Pairs of parts of different groups that meet in cells: number of cells and last places."""
     join = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
-    shingle, group = join("shingles", np.uint64), join("groups", np.int64)
-    part, band = join("parts", np.int32), join("bands", np.uint8)
-    order = np.lexsort((band, part, group, shingle))
-    shingle, group, part, band = shingle[order], group[order], part[order], band[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (
-        (shingle[1:] != shingle[:-1]) | (group[1:] != group[:-1])
-        | (part[1:] != part[:-1]) | (band[1:] != band[:-1])
-    )
-    shingle, group, part, band = shingle[new], group[new], part[new], band[new]
+    columns, new = _unique([join("shingles", np.uint64), join("groups", np.int64), join("sizes", np.int32), join("spots", np.int32)])
+    shingle, group, size, spot = (c[new] for c in columns)
+    single = size > 0
+    low = np.floor(np.log(np.maximum(size, 1)) / np.log(1.34)).astype(np.int32)
+    band = np.where(single, low, -size)
+    part = np.where(single, 0, spot)
     cuts = np.flatnonzero(np.concatenate(([True], shingle[1:] != shingle[:-1], [True])))
-    several = np.flatnonzero(np.diff(cuts) > 1)
-    found = set()
-    for at in several.tolist():
-        a, b = int(cuts[at]), int(cuts[at + 1])
-        g, p, w = group[a:b], part[a:b], band[a:b].astype(np.int16)
-        if g[0] == g[-1]:
-            continue
-        # Rows are sorted by group: row i meets all rows after the end of its own group.
-        ends = np.searchsorted(g, g, side="right")
-        for i in range(b - a):
-            j = np.flatnonzero(np.abs(w[ends[i] :] - w[i]) <= 1) + ends[i]
-            for x in j.tolist():
-                found.add((int(g[i]), int(p[i]), int(g[x]), int(p[x])))
-    rows = list(found)
-    columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32())
+    lengths = np.diff(cuts)
+    held: list[list[np.ndarray]] = []
+    waiting = 0
+
+    def summed(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+        """One row per pair: its keys, number of cells, last places."""
+        whole = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        order = np.lexsort(whole[5::-1])
+        whole = [c[order] for c in whole]
+        first = np.flatnonzero(np.concatenate(([True], np.any([c[1:] != c[:-1] for c in whole[:6]], axis=0))))
+        return [
+            *[c[first] for c in whole[:6]], np.add.reduceat(whole[6], first),
+            np.maximum.reduceat(whole[7], first), np.maximum.reduceat(whole[8], first),
+        ]
+
+    for length in np.unique(lengths[lengths > 1]).tolist():
+        for i, j in _meeting(length, cuts[:-1][lengths == length]):
+            fits = (group[i] != group[j]) & (np.abs(band[i] - band[j]) <= 1)
+            both = single[i] & single[j]
+            small, large = np.minimum(size[i], size[j]).astype(np.int64), np.maximum(size[i], size[j])
+            fits &= ~both | (SHARED * small >= UNION * large)
+            i, j = i[fits], j[fits]
+            if len(i):
+                held.append([
+                    group[i], group[j], size[i], size[j], part[i], part[j],
+                    np.ones(len(i), np.int64), spot[i].astype(np.int64), spot[j].astype(np.int64),
+                ])
+                waiting += len(i)
+            if waiting > CHUNK:
+                held = [summed(held)]
+                waiting = len(held[0][0]) // 2
+    found = summed(held) if held else [np.zeros(0, np.int64)] * 9
+    kinds = (pa.int64(), pa.int64(), *[pa.int32()] * 4, *[pa.int64()] * 3)
     return pa.table(
-        [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["ga", "pa", "gb", "pb"]
+        [pa.array(c, k) for c, k in zip(found, kinds, strict=True)], names=[*_PAIR, "cells", "la", "lb"]
     )
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between the members of two parts; a part is opened only when its union allows it."""
-    for batch in batches:
-        found: list[tuple[int, int]] = []
-        for row in range(batch.num_rows):  # one at a time: a part may be large
-            left, right = batch.column("left")[row].as_py(), batch.column("right")[row].as_py()
-            ones = [(m["sid"], np.frombuffer(m["shingles"], np.uint64)) for m in left]
-            others = [(m["sid"], np.frombuffer(m["shingles"], np.uint64)) for m in right]
-            union = others[0][1] if len(others) == 1 else np.unique(np.concatenate([s for _, s in others]))
-            for sid, own in ones:
-                at = np.minimum(np.searchsorted(union, own), len(union) - 1)
-                shared = own[union[at] == own]
-                if SHARED * len(shared) < UNION * len(own):
-                    continue
-                for other, theirs in others:
-                    at = np.minimum(np.searchsorted(theirs, shared), len(theirs) - 1)
-                    both = int((theirs[at] == shared).sum())
-                    if SHARED * both >= UNION * (len(own) + len(theirs) - both):
-                        found.append((sid, other))
-        a, b = zip(*found, strict=True) if found else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+def _may_link() -> Column:
+    """What pairs of lone sets can still share after their last common prefix shingle suffices.
+
+    Up to that shingle both prefixes are complete, so the cells counted are all they share there.
+    """
+    lone = (F.col("sa") > 0) & (F.col("sb") > 0)
+    most = F.col("cells") + F.least(F.col("sa") - F.col("la"), F.col("sb") - F.col("lb")) - 1
+    return ~lone | ((SHARED + UNION) * most >= UNION * (F.col("sa") + F.col("sb")))
+
+
+def _open(key, table):
+    """Links between one part and others; another part is opened only when its union allows it."""
+    left, right = {}, {}
+    columns = (table.column(c).to_pylist() for c in ("side", "gid", "part", "sid", "shingles"))
+    for side, gid, part, sid, data in zip(*columns, strict=True):
+        own = np.frombuffer(data, np.uint64)
+        if side:
+            right.setdefault((gid, part), {})[sid] = own
+        else:
+            left[sid] = own
+    found: list[tuple[int, int]] = []
+    for members in right.values():
+        union = next(iter(members.values())) if len(members) == 1 else np.unique(np.concatenate(list(members.values())))
+        for sid, own in left.items():
+            at = np.minimum(np.searchsorted(union, own), len(union) - 1)
+            shared = own[union[at] == own]
+            if SHARED * len(shared) < UNION * len(own):
+                continue
+            for other, theirs in members.items():
+                at = np.minimum(np.searchsorted(theirs, shared), len(theirs) - 1)
+                both = int((theirs[at] == shared).sum())
+                if SHARED * both >= UNION * (len(own) + len(theirs) - both):
+                    found.append((sid, other))
+    a, b = zip(*found, strict=True) if found else ((), ())
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """Marked for a broadcast when its measured size allows one, for a hash join otherwise."""
+    return F.broadcast(df) if fits_broadcast(df) else df.hint("shuffle_hash")
 
 
 def _links(pairs: DataFrame, members: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """Verified links of candidate ``pairs`` (left, right: lists of parts).
+    """Verified links of candidate parts.
 
-    ``pairs``: ga, pa, gb, pb; ``members``: gid, part, sid, doc_id of a document with that set.
+    ``pairs``: ga, pa, gb, pb; ``members``: gid, part, sid, doc_id of a document with that set. A task
+    opens one part against at most some PARTS_OPENED others, so each set travels about once.
     """
     pairs = settle(pairs, f"{name}-pairs")
-    ends = pairs.select(F.col("ga").alias("gid"), F.col("pa").alias("part")).unionByName(
-        pairs.select(F.col("gb").alias("gid"), F.col("pb").alias("part"))
-    )
-    needed = members.join(ends.distinct(), ["gid", "part"], "left_semi")
-    ids = settle(needed, f"{name}-needed")
-    texts = docs.select("doc_id", "text").join(
-        ids.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi"
-    )
+    n = pairs.groupBy("ga", "pa").agg(F.count(F.lit(1)).alias("c"))
+    run = F.pmod(F.xxhash64("gb", "pb"), F.ceil(F.col("c") / PARTS_OPENED)).cast("int")
+    units = settle(pairs.join(n, ["ga", "pa"]).withColumn("run", run), f"{name}-units")
+    unit = ["ga", "pa", "run"]
+    ends = units.select(*unit, F.lit(0).alias("side"), F.col("ga").alias("gid"), F.col("pa").alias("part")).distinct()
+    ends = ends.unionByName(units.select(*unit, F.lit(1).alias("side"), F.col("gb").alias("gid"), F.col("pb").alias("part")))
+    placed = settle(ends.join(members, ["gid", "part"]), f"{name}-placed")
+    ids = settle(placed.select("doc_id").distinct(), f"{name}-ids")
+    texts = docs.select("doc_id", "text").join(_small(ids), "doc_id", "left_semi")
     sets = texts.select("text").mapInArrow(_set_rows, "sid long, shingles binary")
-    opened = (
-        ids.join(sets.hint("shuffle_hash"), "sid").groupBy("gid", "part")
-        .agg(F.collect_set(F.struct("sid", "shingles")).alias("members"))
-    )
-    opened = settle(opened, f"{name}-parts")
-    one = opened.select(F.col("gid").alias("ga"), F.col("part").alias("pa"), F.col("members").alias("left"))
-    two = opened.select(F.col("gid").alias("gb"), F.col("part").alias("pb"), F.col("members").alias("right"))
-    met = pairs.join(one, ["ga", "pa"]).join(two, ["gb", "pb"]).select("left", "right")
-    return settle(met.mapInArrow(_compare, "a long, b long"), f"{name}-links")
+    opened = sets.join(_small(placed.drop("doc_id")), "sid").groupBy(*unit).applyInArrow(_open, "a long, b long")
+    return settle(opened, f"{name}-links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -302,13 +374,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
     # Groups: each class against the smallest class with the same min-hash.
-    by_key = classes.select(
-        "sid", F.posexplode(F.array(*keys)).alias("j", "key")
-    )
-    heads = by_key.groupBy("j", "key").agg(F.min("sid").alias("head"), F.count(F.lit(1)).alias("c"))
+    by_key = classes.select("sid", "n", F.posexplode(F.array(*keys)).alias("j", "key"))
+    heads = by_key.groupBy("j", "key").agg(
+        F.min(F.struct("sid", "n")).alias("head"), F.count(F.lit(1)).alias("c")
+    ).where("c > 1")
+    fits = SHARED * F.least("n", "head.n") >= UNION * F.greatest("n", "head.n")
+    # Two equal min-hashes of the four are likely for a link; what this leaves out comes later.
     stars = (
-        by_key.join(heads.where("c > 1"), ["j", "key"]).where("sid <> head")
-        .select(F.col("head").alias("ga"), F.col("sid").alias("gb")).distinct()
+        by_key.join(heads, ["j", "key"]).where((F.col("sid") != F.col("head.sid")) & fits)
+        .groupBy(F.col("head.sid").alias("ga"), F.col("sid").alias("gb"))
+        .agg(F.count(F.lit(1)).alias("equal")).where("equal > 1")
         .select("ga", F.lit(0).alias("pa"), "gb", F.lit(0).alias("pb"))
     )
     alone = classes.select(F.col("sid").alias("gid"), F.lit(0).alias("part"), "sid", "doc_id")
@@ -323,15 +398,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / PART)).cast("int").alias("part"),
     )
     parts = settle(parts, "near-parts-of-groups")
-    place = [F.coalesce("gid", "sid").alias("gid"), F.coalesce("part", F.lit(0)).alias("part")]
-    cells = worded.select("sid", "n", "prefix").join(parts, "sid", "left").select(*place, "n", "prefix")
+    cells = worded.select("sid", "n", "prefix").join(parts, "sid", "left").select(
+        F.coalesce("gid", "sid").alias("gid"), "part", "n", "prefix"
+    )
     total = worded.agg(F.sum(F.octet_length("prefix")).alias("b")).first()["b"] or 0
     buckets = max(64, total // 8 // POSTINGS_PER_BUCKET)
-    pairs = (
-        cells.mapInArrow(_postings(buckets), "bucket int, shingles binary, groups binary, parts binary, bands binary")
-        .groupBy("bucket").applyInArrow(_candidates, "ga long, pa int, gb long, pb int").distinct()
+    met = (
+        cells.mapInArrow(_cells(buckets), "bucket int, shingles binary, groups binary, sizes binary, spots binary")
+        .groupBy("bucket").applyInArrow(
+            _candidates, "ga long, gb long, sa int, sb int, pa int, pb int, cells long, la long, lb long"
+        )
+        .groupBy(*_PAIR).agg(F.sum("cells").alias("cells"), F.max("la").alias("la"), F.max("lb").alias("lb"))
+    )
+    pairs = met.where(_may_link()).select("ga", "pa", "gb", "pb").distinct()
+    members = classes.join(parts, "sid", "left").select(
+        F.coalesce("gid", "sid").alias("gid"), F.coalesce("part", F.lit(0)).alias("part"), "sid", "doc_id"
     )
-    members = classes.join(parts, "sid", "left").select(*place, "sid", "doc_id")
     second = _links(pairs, members, docs, "near-open")
 
     joined = connected_components(first.unionByName(second))
