@@ -3,7 +3,6 @@ from pyspark.sql import functions as F
 
 import wordloom as wl
 from wordloom.functions import joins
-from wordloom.operators import index
 
 from .conftest import rows
 
@@ -44,24 +43,32 @@ def test_database_names_are_accepted(spark):
     assert rows(wl.select_word_index(df)) == [(0, "DE", "PROPN", "A", 5)]
 
 
-REMOVE = [r"\d+", r'["\(\)""]', r"^[-'\./+]", r"[-\./+@]$"]
-REPLACE = {r"[\.@!?]": " "}
+REMOVE = [r"\d", r"[<>]", r"^[*_]", r"[~%]$"]
+REPLACE = {r"[;:%]": "/"}
 
 
 def test_cleansing(spark):
-    given = ["Covid19", "foo@", "-dash", "x(y", "a.b", "u!", "plain"]
+    given = ["Turm7", "rot%", "*Stern", "x<y", "a;b", "u:", "plain"]
     data, changes = wl.clean_words(propn(spark, *[(w, 1) for w in given]), REMOVE, REPLACE)
-    assert rows(data, "word") == [("a b",), ("plain",), ("u ",)]
+    assert rows(data, "word") == [("a/b",), ("plain",), ("u/",)]
     assert rows(changes) == [
-        ("-dash", "-dash", r"^[-'\./+]", None),
-        ("Covid19", "Covid19", r"\d+", None),
-        ("a.b", "a b", None, r"[\.@!?]"),
-        ("foo@", "foo ", r"[-\./+@]$", r"[\.@!?]"),
-        ("u!", "u ", None, r"[\.@!?]"),
-        ("x(y", "x(y", r'["\(\)""]', None),
+        ("*Stern", "*Stern", r"^[*_]", None),
+        ("Turm7", "Turm7", r"\d", None),
+        ("a;b", "a/b", None, r"[;:%]"),
+        ("rot%", "rot/", r"[~%]$", r"[;:%]"),
+        ("u:", "u/", None, r"[;:%]"),
+        ("x<y", "x<y", r"[<>]", None),
     ]
 
 
+def test_many_replacements_keep_the_plan_short(spark):
+    replace = {f"{a}{b}": b + a for a in "abcdef" for b in "uvwxyz"}
+    data, changes = wl.clean_words(propn(spark, ("auto", 1)), list(replace), replace)
+    for df in (data, changes):
+        assert len(df._jdf.queryExecution().optimizedPlan().toString()) < 30_000
+    assert rows(changes, "word_orig", "word", "word_m") == [("auto", "uato", "au")]
+
+
 def test_last_matching_removal_is_reported_and_order_of_replacements_counts(spark):
     df = propn(spark, ("a1b", 1), ("zz", 2))
     _, changes = wl.clean_words(df, [r"\d", "a"], {"z": "y", "yy": "Y"})
@@ -71,8 +78,8 @@ def test_last_matching_removal_is_reported_and_order_of_replacements_counts(spar
 def test_cleansing_counts_again_and_respects_the_mask(spark):
     df = words(
         spark,
-        (1, "DE", "PROPN", "a.b", 1),
-        (1, "DE", "PROPN", "a!b", 2),
+        (1, "DE", "PROPN", "a;b", 1),
+        (1, "DE", "PROPN", "a:b", 2),
         (1, "DE", "NOUN", "c9", 1),
         (1, "FR", "PROPN", "d9", 1),
         (1, "DE", "PROPN", "e9", 1),
@@ -81,7 +88,7 @@ def test_cleansing_counts_again_and_respects_the_mask(spark):
     data, _ = wl.clean_words(df, [r"\d"], REPLACE, languages=["DE"])
     assert rows(data) == [
         (1, "DE", "NOUN", "c9", 1),
-        (1, "DE", "PROPN", "a b", 3),
+        (1, "DE", "PROPN", "a/b", 3),
         (1, "FR", "PROPN", "d9", 1),
     ]
 
@@ -102,35 +109,38 @@ def test_blacklist_is_exact_and_keeps_null_words(spark):
 
 
 LEXICON = [
-    ("DE", "Corona", "M", "Pandemie"),
-    ("DE", "Virus", "M", "Pandemie"),
-    ("DE", "Spahn", "C", "Jens Spahn"),
-    ("DE", "CDU", "FM", "Partei"),
+    ("DE", "Apfel", "M", "Obst"),
+    ("DE", "Birne", "M", "Obst"),
+    ("DE", "Baum", "C", "Ein Baum"),
+    ("DE", "Ast", "FM", "Teil"),
+    ("DE", "Apfel", "X", "never"),
+    ("DE", "Apfel", "m", "never"),
+    ("DE", "Apfel", None, "never"),
 ]
 LEXICON_SCHEMA = "language string, word string, mapping string, category string"
-GIVEN = [("Coronavirus", 2), ("Jens Spahn", 1), ("CDU", 3), ("CDU-Chef", 1), ("Antivirus", 1)]
+GIVEN = [("Apfelmus", 2), ("Ein Baum", 1), ("Ast", 3), ("Ast-Loch", 1), ("Holzbirne", 1)]
 
 
-@pytest.fixture(params=["inline", "joined"])
-def lexicon_path(request, monkeypatch):
-    if request.param == "joined":
-        monkeypatch.setattr(index, "INLINE_LEXICON_ROWS", 0)
-    return request.param
+@pytest.fixture(params=[0, 1500])
+def unrelated(request):
+    """Rows that match nothing: any number of them changes nothing."""
+    kinds = ("FM", "M", "C")
+    return [("DE", f"Q{n}{'+' * (n % 7 == 0)}", kinds[n % 3], "never") for n in range(request.param)]
 
 
-def test_lexicon_adds_categories(spark, lexicon_path):
-    lexicon = spark.createDataFrame(LEXICON, LEXICON_SCHEMA)
+def test_lexicon_adds_categories(spark, unrelated):
+    lexicon = spark.createDataFrame(LEXICON + unrelated, LEXICON_SCHEMA)
     df = propn(spark, *GIVEN, (None, 5))
     got = wl.map_lexicon(df, lexicon)
     assert rows(got.where("type = 'LEX'"), "word", "count") == [
-        ("Jens Spahn", 1),
-        ("Pandemie", 2),
-        ("Partei", 3),
+        ("Ein Baum", 1),
+        ("Obst", 2),
+        ("Teil", 3),
     ]
     assert rows(got.where("type = 'PROPN'"), "word", "count") == sorted(GIVEN)
 
 
-def test_lexicon_regexes_masks_and_repeats(spark, lexicon_path):
+def test_lexicon_regexes_masks_and_repeats(spark, unrelated):
     lexicon = spark.createDataFrame(
         [
             ("DE", "Ha+s", "M", "X"),
@@ -138,6 +148,7 @@ def test_lexicon_regexes_masks_and_repeats(spark, lexicon_path):
             ("DE", "Haus", "FM", "X"),
             ("FR", "Ha", "M", "Y"),
             ("FR", "Hau.", "FM", "never"),
+            *unrelated,
         ],
         LEXICON_SCHEMA,
     )
@@ -191,20 +202,26 @@ def test_wide_lexicon(spark):
     ]
 
 
-@pytest.mark.parametrize("hot_keys", [1, 3, 100])
+def hot_answers(left, right, n):
+    """The most frequent keys with what the lookup holds of them."""
+    keys = left.groupBy("word").count().orderBy(F.desc("count"), "word").limit(n).select("word")
+    return keys.join(right.withColumn("found", F.lit(True)), "word", "left")
+
+
+@pytest.mark.parametrize("hot_keys", [0, 1, 3, 100])
 @pytest.mark.parametrize("how", ["left", "inner", "semi", "anti"])
-def test_shuffled_lookup_equals_broadcast(spark, monkeypatch, hot_keys, how):
-    monkeypatch.setattr(joins, "HOT_KEYS", hot_keys)
+def test_shuffled_lookup_equals_broadcast(spark, hot_keys, how):
     data = [(n, "DE", "PROPN", f"w{n % 7 if n % 3 else 0}", n) for n in range(300)]
     left = words(spark, *data, (900, "DE", "PROPN", None, 1), (901, "FR", "PROPN", "w1", 1))
     right = spark.createDataFrame(
         [(f"w{n}", None if n == 2 else n) for n in (0, 1, 2, 5, 9)], "word string, value int"
     )
     condition = left["language"] == "DE"
+    hot = hot_answers(left, right, hot_keys) if hot_keys else None
 
     def run(small):
         return rows(
-            joins.lookup_join(left, right, ["word"], how, ["text_id"], condition, small=small)
+            joins.lookup_join(left, right, ["word"], how, ["text_id"], condition, small=small, hot=hot)
         )
 
     assert run(False) == run(True)
@@ -228,8 +245,9 @@ def test_hot_keys_spread_over_the_shuffle(spark):
         data = [(n, "DE", "PROPN", names[n % 6] if n % 6 < 5 else f"w{n}", n) for n in range(6000)]
         left = words(spark, *data)
         right = spark.createDataFrame([("hot", 1)] + [(f"w{n}", n) for n in range(6000)], "word string, v int")
+        hot = hot_answers(left, right, 10)
         for how in ("left", "anti"):
-            out = joins.lookup_join(left, right, ["word"], how, ["text_id"], small=False)
+            out = joins.lookup_join(left, right, ["word"], how, ["text_id"], small=False, hot=hot)
             plan = out._jdf.queryExecution().executedPlan().toString()
             assert "SortMergeJoin [__place" in plan
             sizes = [r["n"] for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
