@@ -89,8 +89,11 @@ def test_entities_up_to_three_words(spark):
     both = wl.extract_words(df, gazetteer=gazetteer)
     plain = wl.extract_words(df)
     assert rows(both.where("type = 'PROPN'")) == rows(plain)
-    shorter = wl.extract_words(df, gazetteer=gazetteer, types=(), max_phrase_words=1)
-    assert rows(shorter, "word") == [("England",), ("England",)]
+    joined = wl.extract_words(df, gazetteer=gazetteer, broadcast=False)
+    assert rows(joined) == rows(both)
+    longer = spark.createDataFrame([("DE", "a b c d e f g h", "ORG")], gazetteer.schema)
+    found = wl.extract_words(docs(spark, "x a b c d e f g h a b c d e f g h"), gazetteer=longer, types=())
+    assert rows(found, "word", "count") == [("a b c d e f g h", 2)]
 
 
 def test_annotator_runs_once_per_partition(spark):

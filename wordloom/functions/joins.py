@@ -1,8 +1,8 @@
 """Joins of a large table to a lookup table, safe for hot keys.
 
 A lookup table is broadcast only after its size was measured (or where the caller proves a bound).
-Otherwise both sides are shuffled, and the most frequent keys of the large side are answered from
-a small broadcast and spread over many shuffle partitions, so no key piles up in one task.
+Otherwise both sides are shuffled once and adaptive execution splits frequent keys; a caller that
+knows the most frequent keys has them answered from a small broadcast and spread instead.
 """
 
 from __future__ import annotations
@@ -39,35 +39,24 @@ def fits_broadcast(df: DataFrame) -> bool:
     return rows <= BROADCAST_MAX_ROWS and size <= BROADCAST_MAX_BYTES
 
 
-def hot_lookup(key_counts: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    """The most frequent keys of the large side with their answer: ``on``, found, right columns.
-
-    ``key_counts`` holds the ``on`` columns and ``n``. Every broadcast here has at most HOT_KEYS
-    rows.
-    """
-    hot_keys = key_counts.orderBy(F.col("n").desc(), *on).limit(HOT_KEYS).select(*on)
-    answers = right.join(F.broadcast(hot_keys), list(on), "left_semi").withColumn(
-        "found", F.lit(True)
-    )
-    return hot_keys.join(F.broadcast(answers), list(on), "left")
-
-
 def lookup_join(
     left: DataFrame,
     right: DataFrame,
     on: Sequence[str],
     how: str,
-    spread_by: Sequence[str],
+    spread_by: Sequence[str] = (),
     condition: Column | None = None,
     small: bool | None = None,
     hot: DataFrame | None = None,
 ) -> DataFrame:
-    """Join ``left`` to ``right``, whose ``on`` keys are unique.
-
-    ``how``: left, inner, semi or anti. ``condition`` limits which left rows may match.
-    ``spread_by``: left columns that vary within a hot key. ``small``: True skips the measurement
-    because the caller has a bound, False goes straight to the shuffle, None measures.
-    ``hot`` may be passed when the caller has it (see ``hot_lookup``).
+    """Join ``left`` to ``right``.
+
+    ``how``: left, inner, semi or anti. ``condition`` limits which left rows may match. ``small``: True
+    skips the measurement because the caller has a bound, False goes straight to the shuffle, None
+    measures. Beyond the broadcast both sides meet in one shuffle, and adaptive execution splits
+    the left rows of a frequent key. With ``hot`` (``on``, found and
+    right columns of at most HOT_KEYS frequent keys; right keys unique) those are answered from that
+    small broadcast instead and spread by ``spread_by``, left columns that vary within a key.
     """
     on = list(on)
     if small is None:
@@ -76,12 +65,12 @@ def lookup_join(
     table = right.select(*[F.col(c).alias(f"__r_{c}") for c in right.columns])
     allowed = F.lit(True) if condition is None else F.coalesce(condition, F.lit(False))
 
-    if small:
+    if small or hot is None:
         equal = allowed
         for c in on:
             equal = equal & (F.col(c) == F.col(f"__r_{c}"))
         kind = {"semi": "left_semi", "anti": "left_anti"}.get(how, how)
-        joined = left.join(F.broadcast(table), equal, kind)
+        joined = left.join(F.broadcast(table) if small else table, equal, kind)
         if how in ("semi", "anti"):
             return joined
         return joined.select(*left.columns, *[F.col(f"__r_{c}").alias(c) for c in extra])
@@ -89,9 +78,6 @@ def lookup_join(
     usable = allowed
     for c in on:
         usable = usable & F.col(c).isNotNull()
-    if hot is None:
-        counts = left.where(usable).groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
-        hot = hot_lookup(counts, right, on)
     hot = hot.select(
         *[F.col(c).alias(f"__h_{c}") for c in hot.columns], F.lit(True).alias("__hot")
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -9,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.frames import as_word_table
 from ..functions.joins import lookup_join
 from ..functions.masks import one_of, sum_counts
-from ..functions.workdir import settle
 from ..schemas import canonical_names, require_columns
 
 # Default periods in days.
@@ -39,12 +39,12 @@ def _word_keywords(freq: DataFrame, lexicon: DataFrame) -> DataFrame:
         "language", "word", "o.mapping", "o.part"
     )
     hits = lookup_join(
-        offered, entries, ["language", "mapping", "part"], "inner", spread_by=["word"]
+        offered, entries, ["language", "mapping", "part"], "inner", small=False
     )
     # FM sorts before M; among stems the longest comes first.
     best = F.min(F.struct("mapping", (-F.length("part")).alias("n"), "keyword")).alias("best")
     chosen = hits.groupBy("language", "word").agg(best).select("language", "word", "best.keyword")
-    return settle(chosen, "word-keywords")
+    return chosen
 
 
 def merge_words(
@@ -60,7 +60,7 @@ def merge_words(
     """
     if lexicon is not None:
         keywords = _word_keywords(freq, lexicon)
-        freq = lookup_join(freq, keywords, ["language", "word"], "left", spread_by=["date"])
+        freq = lookup_join(freq, keywords, ["language", "word"], "left", small=False)
         freq = freq.withColumn("word", F.coalesce("keyword", "word")).drop("keyword")
     if merge:
         pairs = [F.lit(x) for key, variants in merge.items() for v in variants for x in (v, key)]
@@ -85,6 +85,21 @@ def _period_columns(periods: Sequence[int]) -> list[Column]:
     return columns
 
 
+def _day(freq: DataFrame) -> Column:
+    """The day of a row; a column of dates stays bare, so that partitions can be pruned."""
+    return F.col("date") if dict(freq.dtypes)["date"] == "date" else F.to_date("date")
+
+
+def _latest_day(freq: DataFrame, prepared) -> datetime.date | None:
+    """The latest day with rows that count: mostly the newest day of the table."""
+    newest = freq.agg(F.max("date").alias("d")).select(F.to_date("d")).first()[0]
+    if newest is None:
+        return None
+    if not prepared(freq.where(_day(freq) == F.lit(newest))).isEmpty():
+        return newest
+    return prepared(freq).agg(F.max("date")).first()[0]
+
+
 def word_trend(
     freq: DataFrame,
     blacklist: DataFrame | Iterable[str] | None = None,
@@ -105,38 +120,39 @@ def word_trend(
     share the best rank); ranks up to int(top_ratio * number of words) stay, or the first
     ``top_n`` words when given. For each period the regression of count on past days follows.
 
-    One aggregation serves all words and periods. The rank comes from the histogram of counts, so
-    no task has to sort all words.
+    The latest day comes first: it bounds the days that are read (a filter on ``date``, so a table
+    partitioned by it is pruned), and its ranks choose the words that are regressed, in one
+    aggregation for all periods. The rank comes from the histogram of counts, so no task has to
+    sort all words.
     """
     freq = canonical_names(freq)
     require_columns(freq, ["date", "language", "type", "word", "count"], "word_trend")
     if periods is None:
         periods = PERIODS if top_n is None else TOP_PERIODS
-    rows = freq.where((F.col("type") == type) & one_of("language", languages)).select(
-        F.to_date("date").alias("date"),
-        "language",
-        "word",
-        F.col("count").cast("bigint").alias("count"),
-    )
+    listed, listed_small = None, None
     if blacklist is not None:
-        listed, small = as_word_table(freq.sparkSession, blacklist)
-        rows = lookup_join(rows, listed, ["word"], "anti", spread_by=["date"], small=small)
-    rows = merge_words(rows, lexicon, merge)
-
-    daily = sum_counts(rows, ["date", "language", "word"])
-    # The test on count keeps both uses of the daily counts alike, so their shuffle runs once.
-    latest = daily.where(F.col("count").isNotNull()).agg(F.max("date").alias("latest"))
-    series = daily.withColumn("past_days", F.datediff("date", latest.scalar()))
-    today = F.col("past_days") == 0
-    lines = (
-        series.groupBy("language", "word")
-        .agg(
-            F.max(F.when(today, F.col("date"))).alias("date"),
-            F.sum(F.when(today, F.col("count"))).alias("count"),
-            *_period_columns(periods),
+        listed, listed_small = as_word_table(freq.sparkSession, blacklist)
+
+    def prepared(part: DataFrame) -> DataFrame:
+        rows = part.where((F.col("type") == type) & one_of("language", languages)).select(
+            F.to_date("date").alias("date"),
+            "language",
+            "word",
+            F.col("count").cast("bigint").alias("count"),
         )
-        .where(F.col("count") >= min_count)
-    )
+        if listed is not None:
+            rows = lookup_join(rows, listed, ["word"], "anti", small=listed_small)
+        return rows
+
+    latest = _latest_day(freq, prepared)
+    if latest is None:  # no rows: any day will do
+        latest = datetime.date(1970, 1, 1)
+    first = latest - datetime.timedelta(days=max(periods) - 1)
+    window = prepared(freq.where(_day(freq).between(F.lit(first), F.lit(latest))))
+    keys = ["date", "language", "word"]
+    rows = merge_words(window, lexicon, merge)
+    today = merge_words(prepared(freq.where(_day(freq) == F.lit(latest))), lexicon, merge)
+    lines = sum_counts(today, keys).where(F.col("count") >= min_count)
 
     # Counts of one day sum up to the day's words N, so there are at most sqrt(2N) distinct counts:
     # about 1.5 million for 10^12 words. That bounds both the window and the broadcast.
@@ -157,7 +173,15 @@ def word_trend(
     else:
         ranks = ranks.where(F.col("rank") <= top_n)
     trend_columns = [c for p in periods for c in (f"trend_{p}", f"trend_{p}_ic")]
-    ranked = lines.join(F.broadcast(ranks), [*group, "count"]).select(
+    chosen = lines.join(ranks, [*group, "count"]).select("date", "language", "word", "count", "rank")
+    past = F.datediff("date", F.lit(latest)).alias("past_days")
+    series = sum_counts(rows, keys).select("language", "word", past, "count")
+    lined = (
+        series.join(chosen.select("language", "word"), ["language", "word"], "left_semi")
+        .groupBy("language", "word")
+        .agg(*_period_columns(periods))
+    )
+    ranked = chosen.join(lined, ["language", "word"]).select(
         "date", "language", "word", "count", "rank", *trend_columns
     )
     if top_n is None:

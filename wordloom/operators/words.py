@@ -9,6 +9,7 @@ A model can be plugged in through ``annotator``.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -67,46 +68,49 @@ def annotate_tokens(
     docs: DataFrame,
     annotations: DataFrame | None = None,
     keep_empty: bool = False,
+    broadcast: bool | None = None,
 ) -> DataFrame:
-    """One row per word occurrence: (text_id, language, surface, lemma, pos).
+    """One row per document and distinct word: (text_id, language, surface, lemma, pos, count).
 
-    With ``keep_empty`` a document without words yields one row with a NULL word.
+    Words are counted before they are looked up. With ``keep_empty`` a document without words yields
+    one row with a NULL word. ``broadcast`` says whether the annotations are small; None measures.
     """
     unroll = F.explode_outer if keep_empty else F.explode
     rows = docs.select("text_id", "language", unroll(tx.tokens(F.col("text"))).alias("surface"))
+    rows = rows.groupBy("text_id", "language", "surface").agg(F.count(F.lit(1)).alias("count"))
+    surface = F.col("surface")
     if annotations is None:
-        return rows.withColumns(
-            {
-                "lemma": F.col("surface"),
-                "pos": rule_type(F.col("surface")),
-            }
+        return rows.select(
+            "text_id", "language", "surface", surface.alias("lemma"), rule_type(surface).alias("pos"), "count"
         )
     joined = lookup_join(
-        rows,
-        one_annotation(annotations),
-        ["language", "surface"],
-        "left",
-        spread_by=["text_id"],
-        small=fits_broadcast(annotations),
+        rows, one_annotation(annotations), ["language", "surface"], "left", small=_is_small(annotations, broadcast)
     )
-    surface = F.col("surface")
     return joined.select(
         "text_id",
         "language",
         "surface",
         F.coalesce("lemma", surface).alias("lemma"),
         F.coalesce("pos", rule_type(surface)).alias("pos"),
+        "count",
     )
 
 
-def _phrases(words: Column, longest: int) -> Column:
-    """All runs of 1..longest words, joined by blanks (words themselves hold none)."""
-    runs, shorter = [words], words
-    for n in range(2, longest + 1):
-        # Beyond the last full run the shorter side runs out, and concat gives NULL.
-        later = F.slice(words, F.lit(n), F.greatest(F.size(words), F.lit(0)))
-        shorter = F.zip_with(shorter, later, lambda run, word: F.concat(run, F.lit(" "), word))
-        runs.append(F.array_compact(shorter))
+def _is_small(table: DataFrame, broadcast: bool | None) -> bool:
+    return fits_broadcast(table) if broadcast is None else broadcast
+
+
+def _run(words: Column, n: int, at: Column) -> Column:
+    return F.array_join(F.slice(words, at, F.lit(n)), " ")
+
+
+def _phrases(words: Column, lengths: Sequence[int]) -> Column:
+    """The words and all runs of the given numbers of words, joined by blanks (words hold none)."""
+    runs = [words]
+    for n in lengths:
+        starts = F.sequence(F.lit(1), F.size(words) - n + 1)
+        joined = F.transform(starts, partial(_run, words, n))
+        runs.append(F.when(F.size(words) >= n, joined).otherwise(F.array().cast("array<string>")))
     return F.concat(*runs)
 
 
@@ -114,53 +118,48 @@ def _tagged(
     docs: DataFrame,
     annotations: DataFrame | None,
     gazetteer: DataFrame | None,
-    longest: int,
+    broadcast: bool | None,
 ) -> DataFrame:
-    """(text_id, language, type, word): one pass over the texts for words and entities."""
+    """(text_id, language, type, word, count): one pass over the texts for words and entities.
+
+    Runs of words are counted per document first and looked up then. The numbers of words of the
+    gazetteer's phrases say which runs are needed, however long.
+    """
     if gazetteer is None:
-        return annotate_tokens(docs, annotations).select(
-            "text_id", "language", F.col("pos").alias("type"), F.col("lemma").alias("word")
+        return annotate_tokens(docs, annotations, broadcast=broadcast).select(
+            "text_id", "language", F.col("pos").alias("type"), F.col("lemma").alias("word"), "count"
         )
+    sizes = gazetteer.select(F.size(F.split("phrase", " ")).alias("n")).where("n > 1").distinct()
+    lengths = sorted(row["n"] for row in sizes.collect())  # one row per number of words
     words = docs.select("text_id", "language", tx.tokens(F.col("text")).alias("words"))
     runs = words.select(
-        "text_id", "language", F.explode(_phrases(F.col("words"), longest)).alias("phrase")
-    )
-
-    labels = gazetteer.groupBy("language", "phrase").agg(F.collect_set("label").alias("labels"))
-    on = ["language", "phrase"]
-    runs = lookup_join(
-        runs, labels, on, "left", spread_by=["text_id"], small=fits_broadcast(gazetteer)
+        "text_id", "language", F.explode(_phrases(F.col("words"), lengths)).alias("phrase")
     )
+    runs = runs.groupBy("text_id", "language", "phrase").agg(F.count(F.lit(1)).alias("count"))
     single = ~F.col("phrase").contains(" ")
-    runs = runs.where(single | F.col("labels").isNotNull())
+    on = ["language", "phrase"]
+
+    # Entities: one row per label of a run.
+    labels = gazetteer.select("language", "phrase", "label").distinct()
+    no_label = F.lit(None).cast("string")
+    # A run that is a word comes once more without label, for the word itself.
+    listed = labels.unionByName(labels.select(*on).distinct().withColumn("label", no_label))
+    met = lookup_join(runs, listed, on, "left", small=_is_small(gazetteer, broadcast))
+    rows = met.where(single | F.col("label").isNotNull())
+    is_word = F.col("label").isNull()
     if annotations is None:
         pos, lemma = rule_type(F.col("phrase")), F.col("phrase")
     else:
         table = one_annotation(annotations).withColumnRenamed("surface", "phrase")
-        runs = lookup_join(
-            runs,
-            table,
-            on,
-            "left",
-            spread_by=["text_id"],
-            condition=single,
-            small=fits_broadcast(annotations),
-        )
+        rows = lookup_join(rows, table, on, "left", condition=is_word, small=_is_small(annotations, broadcast))
         pos = F.coalesce(F.col("pos"), rule_type(F.col("phrase")))
         lemma = F.coalesce(F.col("lemma"), F.col("phrase"))
-    # One row per label, and one without label for the word itself.
-    no_label = F.lit(None).cast("string")
-    roles = (
-        F.when(F.col("labels").isNull(), F.array(no_label))
-        .when(single, F.array_append("labels", no_label))
-        .otherwise(F.col("labels"))
-    )
-    is_word = F.col("label").isNull()
-    return runs.withColumn("label", F.explode(roles)).select(
+    return rows.select(
         "text_id",
         "language",
         F.when(is_word, pos).otherwise(F.col("label")).alias("type"),
         F.when(is_word, lemma).otherwise(F.col("phrase")).alias("word"),
+        "count",
     )
 
 
@@ -175,12 +174,13 @@ def extract_words(
     supported: Sequence[str] | None = SUPPORTED_LANGUAGES,
     max_word_len: int = 80,
     min_word_len: int = 3,
-    max_phrase_words: int = 3,
+    broadcast: bool | None = None,
 ) -> DataFrame:
     """Count words per (text_id, language, type, word).
 
     ``annotator`` receives batches (text_id, language, text) and yields batches
     (text_id, language, type, word); it is called once per partition, so it loads its model once.
+    ``broadcast`` says whether the tables are small enough for every executor; None measures them.
     Documents are filtered by language before any work on the text: those in ``languages`` and in
     ``supported`` (``unsupported_languages`` reports the others). Missing texts have no words.
     When the documents are already partitioned by id the count needs no shuffle. Otherwise, with
@@ -193,16 +193,12 @@ def extract_words(
         id_type = docs.schema["text_id"].dataType.simpleString()
         rows = docs.select("text_id", "language", "text").mapInPandas(
             annotator, _ANNOTATED.format(id_type=id_type)
-        )
+        ).withColumn("count", F.lit(1))
     else:
-        rows = _tagged(docs, annotations, gazetteer, max_phrase_words)
+        rows = _tagged(docs, annotations, gazetteer, broadcast)
     wanted = [*types, *entity_types]
     rows = rows.where(F.col("type").isin(wanted)).select(
-        "text_id",
-        "language",
-        "type",
-        F.substring("word", 1, max_word_len).alias("word"),
-        F.lit(1).alias("count"),
+        "text_id", "language", "type", F.substring("word", 1, max_word_len).alias("word"), "count"
     )
     rows = rows.where(F.length("word") >= min_word_len)
     return sum_counts(rows, ["text_id", "language", "type", "word"])
