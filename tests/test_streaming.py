@@ -4,7 +4,13 @@ import json
 import wordloom as wl
 from wordloom.sources.readers import read_article_lines
 from wordloom.streaming.articles import dedupe_stream, start_ingest, stream_articles
-from wordloom.streaming.words import daily_counts, start_append, start_complete, start_operator
+from wordloom.streaming.words import (
+    daily_counts,
+    latest_rows,
+    start_append,
+    start_operator,
+    start_updates,
+)
 
 from .conftest import rows
 from .test_articles_pages import LINE
@@ -68,8 +74,11 @@ def test_daily_counts_stream_and_batch(spark, tmp_path):
     df.repartition(3).write.parquet(str(tmp_path / "in"))
     expected = rows(daily_counts(df, "at"))
     stream = spark.readStream.schema(WORDS).parquet(str(tmp_path / "in"))
-    start_complete(daily_counts(stream, "at"), str(tmp_path / "all"), str(tmp_path / "cp1")).awaitTermination()
-    assert rows(spark.read.parquet(str(tmp_path / "all"))) == expected
+    late = spark.readStream.schema(WORDS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    start_updates(daily_counts(late, "at", "9 days"), str(tmp_path / "all"), str(tmp_path / "cp1")).awaitTermination()
+    updates = spark.read.parquet(str(tmp_path / "all"))
+    assert updates.select("batch").distinct().count() > 1
+    assert rows(latest_rows(updates, ["date", "language", "type", "word"])) == expected
     start_append(daily_counts(stream, "at"), str(tmp_path / "done"), str(tmp_path / "cp2")).awaitTermination()
     done = rows(spark.read.parquet(str(tmp_path / "done")))
     assert done and set(done) < set(expected)
@@ -87,11 +96,22 @@ def test_operator_per_batch_reads_current_list(spark, tmp_path):
         data = [(n, "DE", "PROPN", w, 1) for w in "abc"]
         spark.createDataFrame(data, words).coalesce(1).write.mode("append").parquet(folder)
         stream = spark.readStream.schema(words).parquet(folder)
-        start_operator(stream, operator, out, checkpoint).awaitTermination()
+        start_operator(stream, operator, out, checkpoint, document_id=None).awaitTermination()
         listed.append("b")
     assert rows(spark.read.parquet(out), "text_id", "word") == [(0, "b"), (0, "c"), (1, "c")]
 
 
+def test_documents_count_once_over_batches(spark, tmp_path):
+    schema = "text_id long, language string, text string"
+    folder, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    for ids in ((1, 2), (2, 3), (1,)):
+        data = [(i, "DE", "Haus") for i in ids]
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(schema).parquet(folder)
+        start_operator(stream, wl.extract_words, out, checkpoint, document_id="text_id").awaitTermination()
+    assert rows(spark.read.parquet(out), "text_id", "word", "count") == [(n, "Haus", 1) for n in (1, 2, 3)]
+
+
 def test_row_operators_on_a_stream(spark, tmp_path):
     words = "text_id long, language string, type string, word string, count int"
     spark.createDataFrame([(1, "DE", "PROPN", w, 1) for w in "ab"], words).write.parquet(str(tmp_path / "in"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from .articles import dedupe_stream
+
 
 def daily_counts(words: DataFrame, event_time: str, lateness: str = "1 day") -> DataFrame:
     """Count per (date, language, type, word) by event time; for streams and tables alike.
@@ -41,32 +43,51 @@ def start_append(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def start_complete(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Rewrite the whole result of an aggregation after each batch."""
+def start_updates(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write the rows of an aggregation that a batch changed, one folder per batch.
+
+    Nothing is rewritten, a batch that runs again overwrites its own folder, and a watermark in
+    ``df`` frees the state of finished days. ``latest_rows`` gives the current result.
+    """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return (
         df.writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
-        .outputMode("complete")
+        .outputMode("update")
         .trigger(availableNow=True)
         .start()
     )
 
 
+def latest_rows(updates: DataFrame, keys: Sequence[str], value: str = "count") -> DataFrame:
+    """The current value per key of what ``start_updates`` has written (with its column batch)."""
+    newest = F.max(F.struct("batch", value)).alias("newest")
+    return updates.groupBy(*keys).agg(newest).select(*keys, F.col(f"newest.{value}").alias(value))
+
+
 def start_operator(
     df: DataFrame,
     operator: Callable[[DataFrame], DataFrame],
     path: str,
     checkpoint: str,
+    *,
+    document_id: str | None,
+    event_time: str | None = None,
+    horizon: str = "30 days",
 ) -> StreamingQuery:
     """Run any DataFrame -> DataFrame operator on each micro-batch.
 
-    Lists the operator reads are loaded when it runs, so a batch sees their current content. Each
-    batch has its own folder and may be run again.
+    Rows whose ``document_id`` an earlier batch (or row) has brought are left out first, from the
+    stream's state (see ``dedupe_stream``); None for rows that may repeat, such as words. Lists the
+    operator reads are loaded when it runs, so a batch sees their current content. Each batch has
+    its own folder and may be run again. Operators that need the whole corpus (word index,
+    trends, topics) give wrong results per batch; run those on the stored output.
     """
+    if document_id is not None:
+        df = dedupe_stream(df, document_id, event_time, horizon)
 
     def store(batch: DataFrame, batch_id: int) -> None:
         operator(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
