@@ -13,7 +13,10 @@ def test_article_array_files(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps([old, old]))
     (tmp_path / "b.json").write_text(json.dumps([new]))
     (tmp_path / "c.json").write_text("[{broken")
-    got = readers.read_article_files(spark, str(tmp_path))
+    (tmp_path / "d.json").write_bytes(b"[{\"text\": \"\xff\"}]")
+    got, rejects = readers.read_article_files(spark, str(tmp_path))
+    reasons = [(r["file"][-6:], r["reject_reason"]) for r in rejects.orderBy("file").collect()]
+    assert reasons == [("c.json", "malformed JSON"), ("d.json", "not UTF-8")]
     assert rows(got, "text_id", "rubric", "num_characters", "date") == [
         (-5, "r", 3, datetime.date(2020, 3, 18)),
         (-5, "r", 3, datetime.date(2020, 3, 18)),
@@ -66,9 +69,11 @@ def test_catalog_tables(spark):
     writers.append_table(df.limit(1), "text_words")
     got = readers.read_table(spark, "text_words")
     assert rows(got, *schemas.TEXT_WORDS.names) == [
-        (1, "DE", "PROPN", "w" * 80, 3), (1, "DE", "PROPN", "w" * 80, 3), (2, "FR", "PROPN", "x", 1),
+        (1, "DE", "PROPN", "w" * 100, 3), (1, "DE", "PROPN", "w" * 100, 3), (2, "FR", "PROPN", "x", 1),
     ]
     assert rows(writers.key_duplicates(got, "text_words")) == [(3, 1)]
+    assert rows(schemas.values_to_cut(got, "text_words")) == [("language", 0), ("type", 0), ("word", 2)]
+    assert rows(schemas.fit_widths(got, "text_words"), "word", "count") == [("w" * 80, 6), ("x", 1)]
     day = datetime.date(2020, 3, 18)
     freq = spark.createDataFrame([(day, "DE", "PROPN", "a", 3)], schemas.WORD_FREQUENCY)
     writers.append_table(freq, "word_frequency")

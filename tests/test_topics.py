@@ -69,7 +69,7 @@ def test_topics_by_lda(spark):
     ]
     index = spark.createDataFrame(data + [(1, "DE", "NOUN", "Nie", 1)], INDEX)
     day = datetime.date(2020, 3, 18)
-    got = wl.identify_topics(index, 2, 3, run_date=day, max_iter=2, subsampling_rate=0.5)
+    got = wl.identify_topics(index, 2, 3, run_date=day, max_iter=2)
     assert got.columns[:7] == ["topic", "language", "type", "date", "expiry_date", "attribute", "keyword_1"]
     found = got.collect()
     assert sorted(r["topic"] for r in found) == [
@@ -80,6 +80,4 @@ def test_topics_by_lda(spark):
         assert len(words) == 3
         assert words <= ({"Wald", "Baum", "Blatt", "Ast"} if row["language"] == "DE" else set(groups["FR"]))
         assert row["type"] == "ALGO" and row["date"] == day
-    with pytest.raises(ValueError, match="max_vocabulary"):
-        wl.identify_topics(index, 2, max_vocabulary=2)
     assert wl.identify_topics(index.limit(0), 2, 3).count() == 0

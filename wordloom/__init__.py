@@ -9,7 +9,13 @@ from .operators.articles import (
     parse_article_lines,
     rejected,
 )
-from .operators.docs import MEDIA_LANGUAGES, media_language, prepare_docs, select_docs
+from .operators.docs import (
+    MEDIA_LANGUAGES,
+    media_language,
+    prepare_docs,
+    select_docs,
+    undecodable_docs,
+)
 from .operators.frequency import daily_word_frequency, word_frequency
 from .operators.index import (
     clean_words,
@@ -80,6 +86,7 @@ __all__ = [
     "settings_for",
     "topic_hits",
     "topic_keywords",
+    "undecodable_docs",
     "unsupported_languages",
     "word_frequency",
     "word_trend",

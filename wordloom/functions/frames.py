@@ -43,9 +43,13 @@ def first_per_key(
     )
 
 
-def duplicate_report(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row: how many rows there are and how many repeat an earlier row's key."""
-    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+def duplicate_report(df: DataFrame, keys: Sequence[str], wide: bool = False) -> DataFrame:
+    """One row: how many rows there are and how many repeat an earlier row's key.
+
+    ``wide`` keys, such as whole texts, are shuffled as 256-bit digests.
+    """
+    by = [F.unhex(F.sha2(F.col(k).cast("string"), 256)).alias(k) for k in keys] if wide else list(keys)
+    per_key = df.select(*by).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     return per_key.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("num_rows"),
         F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("num_duplicates"),

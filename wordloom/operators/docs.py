@@ -58,6 +58,17 @@ def media_language(
     return F.coalesce(F.try_element_at(F.create_map(*entries), media), F.lit(default))
 
 
+def undecodable_docs(df: DataFrame, text_col: str = "text", id_col: str = "text_id") -> DataFrame:
+    """Documents whose bytes are not UTF-8: text_id, reject_reason, text (the bytes).
+
+    ``prepare_docs`` keeps them with a NULL text.
+    """
+    bad = F.col(text_col).isNotNull() & tx.decode_utf8(F.col(text_col)).isNull()
+    return df.where(bad).select(
+        F.col(id_col).alias("text_id"), F.lit("not UTF-8").alias("reject_reason"), F.col(text_col).alias("text")
+    )
+
+
 def prepare_docs(
     df: DataFrame,
     text_col: str = "text",

@@ -16,10 +16,6 @@ from ..functions.joins import lookup_join
 from ..functions.masks import one_of
 from ..schemas import TOPIC_HEAD, canonical_names, require_columns
 
-# The model holds topics x words numbers on the driver; beyond this many words narrow the index
-# first (select_word_index) or raise the limit knowingly.
-MAX_VOCABULARY = 5_000_000
-
 
 def _keyword_columns(topics: DataFrame) -> list[str]:
     names = [c for c in topics.columns if re.fullmatch(r"keyword_\d+", c)]
@@ -39,13 +35,8 @@ def topic_hits(topics: DataFrame, index: DataFrame) -> DataFrame:
     """Index rows whose word is a keyword, once per topic with that keyword; all topics at once."""
     index = canonical_names(index)
     require_columns(index, ["text_id", "word"], "topic_hits")
-    by_word = (
-        topic_keywords(topics)
-        .groupBy(F.col("keyword").alias("word"))
-        .agg(F.collect_set("topic").alias("topics"))
-    )
-    hits = lookup_join(index, by_word, ["word"], "inner", spread_by=["text_id"])
-    return hits.select(*index.columns, F.explode("topics").alias("topic"))
+    by_word = topic_keywords(topics).select(F.col("keyword").alias("word"), "topic").distinct()
+    return lookup_join(index, by_word, ["word"], "inner")
 
 
 def index_topics(
@@ -94,13 +85,13 @@ def identify_topics(
     word_types: Sequence[str] | None = ("PROPN",),
     seed: int = 0,
     run_date: Date | None = None,
-    max_iter: int = 20,
-    subsampling_rate: float = 0.05,
-    max_vocabulary: int = MAX_VOCABULARY,
+    max_iter: int = 10,
 ) -> DataFrame:
     """Topics per language by online LDA, in the wide topic form (keyword_1..keyword_n).
 
-    All words count (no minimum document frequency, case kept). The bags are settled in the
+    Every iteration passes over all documents. All words count (no minimum document frequency, case
+    kept); the vocabulary and topics x words numbers live on the driver, so narrow a very large
+    index first (``select_word_index``). The bags are settled in the
     shared folder because every iteration reads them. Results repeat for a seed and a given
     partitioning of the input; they differ from those of other LDA implementations.
     """
@@ -116,11 +107,6 @@ def identify_topics(
         size = docs.select(F.explode("words").alias("w")).agg(F.count_distinct("w")).first()[0]
         if size == 0:
             continue
-        if size > max_vocabulary:
-            raise ValueError(
-                f"identify_topics: {size} distinct words for {language} exceed max_vocabulary="
-                f"{max_vocabulary}; select frequent words first or raise the limit"
-            )
         counter = CountVectorizer(
             inputCol="words", outputCol="features", minDF=1.0, vocabSize=size
         ).fit(docs)
@@ -129,7 +115,7 @@ def identify_topics(
             optimizer="online",
             seed=seed,
             maxIter=max_iter,
-            subsamplingRate=subsampling_rate,
+            subsamplingRate=1.0,
         ).fit(counter.transform(docs).select("features"))
         vocabulary = counter.vocabulary
         # The result rows: num_topics per language.

@@ -171,9 +171,21 @@ def require_columns(df: DataFrame, names: Iterable[str], operator: str) -> None:
 
 
 def fit_widths(df: DataFrame, table: str) -> DataFrame:
-    """Cut string columns to the stored width of ``table``."""
+    """Cut string columns to the stored width of ``table``; counts of keys that become equal add up."""
     cuts = {c: F.substring(c, 1, n) for c, n in WIDTHS.get(table, {}).items() if c in df.columns}
-    return df.withColumns(cuts) if cuts else df
+    df = df.withColumns(cuts) if cuts else df
+    if "count" not in df.columns:
+        return df
+    keys = [c for c in df.columns if c != "count"]
+    return df.groupBy(*keys).agg(F.sum("count").alias("count")).select(*df.columns)
+
+
+def values_to_cut(df: DataFrame, table: str) -> DataFrame:
+    """One row (column, n): how many values ``fit_widths`` would cut, for each column with a width."""
+    widths = {c: n for c, n in WIDTHS.get(table, {}).items() if c in df.columns}
+    totals = [F.count_if(F.length(c) > n).alias(c) for c, n in widths.items()]
+    pairs = [F.struct(F.lit(c).alias("column"), F.col(c).alias("n")) for c in widths]
+    return df.agg(*totals).select(F.explode(F.array(*pairs)).alias("p")).select("p.column", "p.n")
 
 
 def canonical_names(df: DataFrame) -> DataFrame:

@@ -17,6 +17,9 @@ SETTINGS = {
 }
 
 
+MOST_PARTITIONS = 200_000
+
+
 def settings_for(
     input_bytes: int, cores: int, partition_bytes: int = 128 * 1024 * 1024
 ) -> dict[str, str]:
@@ -25,9 +28,10 @@ def settings_for(
     Adaptive execution merges partitions that turn out small but does not split ordinary shuffles,
     so the starting number has to be high enough.
     """
+    # Beyond MOST_PARTITIONS the bookkeeping of map outputs on the driver costs more than it saves:
+    # partitions grow instead, in the scan as in the shuffle.
+    partition_bytes = max(partition_bytes, -(-input_bytes // MOST_PARTITIONS))
     partitions = max(cores, -(-input_bytes // partition_bytes))
-    # Beyond this many, the bookkeeping of map outputs on the driver costs more than it saves.
-    partitions = min(partitions, 200_000)
     return {
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.files.maxPartitionBytes": str(partition_bytes),

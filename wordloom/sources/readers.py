@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..operators.articles import stored_articles
 from ..schemas import (
@@ -25,18 +25,20 @@ def read_article_lines(spark: SparkSession, path: str, streaming: bool = False)
     return reader.format("text").load(path)
 
 
-def read_article_files(spark: SparkSession, path: str) -> DataFrame:
-    """A directory of files, each one JSON array of articles.
+def read_article_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """A directory of files, each one JSON array of articles: (articles, rejects).
 
-    A file that is not valid JSON is skipped, like a file the reader cannot decode.
+    Rejects are the files that are no JSON array of objects or not UTF-8: file, reject_reason.
     """
-    raw = (
-        spark.read.schema(ARTICLE_FILE)
-        .option("multiLine", True)
-        .option("mode", "DROPMALFORMED")
-        .json(path)
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
+    text = F.try_validate_utf8(F.col("content").cast("string"))
+    records = F.from_json(text, ArrayType(ARTICLE_FILE), {"mode": "PERMISSIVE"})
+    parsed = files.select("file", text.alias("text"), records.alias("records"))
+    rejects = parsed.where(F.col("records").isNull()).select(
+        "file",
+        F.when(F.col("text").isNull(), F.lit("not UTF-8")).otherwise(F.lit("malformed JSON")).alias("reject_reason"),
     )
-    return stored_articles(raw)
+    return stored_articles(parsed.select(F.inline("records"))), rejects
 
 
 def read_csv(

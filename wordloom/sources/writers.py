@@ -34,9 +34,10 @@ def create_table(spark: SparkSession, table: str, name: str | None = None) -> No
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name or table} ({columns}) USING parquet{by}")
 
 
-def _stored_form(df: DataFrame, table: str) -> DataFrame:
+def _stored_form(df: DataFrame, table: str, cut: bool) -> DataFrame:
     schema = TABLES[table]
-    df = fit_widths(df, table)
+    if cut:
+        df = fit_widths(df, table)
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
@@ -48,9 +49,15 @@ def _clustered(df: DataFrame, split: Sequence[str]) -> DataFrame:
     return df.hint("rebalance", *split) if split else df
 
 
-def append_table(df: DataFrame, table: str, name: str | None = None) -> None:
-    """Append rows to a catalog table made by ``create_table``."""
-    rows = _stored_form(df, table)
+def append_table(
+    df: DataFrame, table: str, name: str | None = None, cut: bool = False
+) -> None:
+    """Append rows to a catalog table made by ``create_table``.
+
+    Values are stored whole; ``cut`` fits them to the widths of a database table, and
+    ``values_to_cut`` says how many that changes.
+    """
+    rows = _stored_form(df, table, cut)
     # insertInto goes by position; partition columns come last in the table.
     target = df.sparkSession.table(name or table)
     _clustered(rows, PARTITIONS.get(table, [])).select(*target.columns).write.insertInto(
@@ -58,10 +65,12 @@ def append_table(df: DataFrame, table: str, name: str | None = None) -> None:
     )
 
 
-def write_parquet(df: DataFrame, path: str, table: str, mode: str = "append") -> None:
+def write_parquet(
+    df: DataFrame, path: str, table: str, mode: str = "append", cut: bool = False
+) -> None:
     """Write a table as Parquet files, partitioned as the catalog table would be."""
     split = PARTITIONS.get(table, [])
-    writer = _clustered(_stored_form(df, table), split).write.mode(mode)
+    writer = _clustered(_stored_form(df, table, cut), split).write.mode(mode)
     (writer.partitionBy(*split) if split else writer).parquet(path)
 
 
