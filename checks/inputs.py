@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import wordloom as wl
 from wordloom.functions import text as tx
+from wordloom.operators.docs import DEFAULT_REPLACEMENTS
 
 TOKEN = tx.TOKEN
 
@@ -26,8 +29,12 @@ LEXICON = [
     ("FR", "eau", "C", "Has eau"),
     ("FR", "Le", "FM", "Article"),
 ]
-REMOVE = [r"\d+", r"^[-'\./+]", r"[-\./+@]$", r"tion$"]
+REMOVE = [r"[0-9]", r"^[Qq]u", r"shly$", r"tion$"]
 REPLACE = {"-": " ", r"(th)(\w)": r"\2\1"}
+_LETTERS = "abcdefghijklmnopqrstuvwxyzéèüöçß"
+# Long lists: every letter doubled, and pairs of letters swapped one after the other.
+REMOVE_MANY = [letter * 3 for letter in _LETTERS]
+REPLACE_MANY = {f"({a})({b})": r"\2\1" for a, b in zip(_LETTERS, _LETTERS[4:] + _LETTERS[:4])}
 MERGE = {"The": ["This", "That"], "And": ["Anand"]}
 MEDIA = {"src1": "FR", "src2": "FR", "src3": "ES", "src4": "ES"}
 SOURCE_LANGUAGES = {"en": "english", "fr": "french", "de": "german", "es": "dutch"}
@@ -55,12 +62,7 @@ raw_docs AS (
 def repaired(text: str) -> str:
     """SQL of the default repairs."""
     out = text
-    for pattern, repl in (
-        (r"([\:,\.?!\)])([A-Z])", r"\1 \2"),
-        (r"(,)([a-z])", r"\1 \2"),
-        (r'("\.)([A-Z])', r"\1 \2"),
-        (r'(\.)("[A-Z])', r"\1 \2"),
-    ):
+    for pattern, repl in DEFAULT_REPLACEMENTS.items():
         out = f"regexp_replace({out}, '{pattern}', '{repl}', 'g')"
     return out
 
@@ -169,14 +171,21 @@ annotations AS (
 )
 
 
+def _run(n: int, at):
+    return F.array_join(F.slice("w", at, F.lit(n)), " ")
+
+
 def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring words of the conversations as phrases, the first one capitalised."""
+    """Runs of two to five words of the conversations as phrases, the first one capitalised."""
     talk = table(spark, sf_dir, "conversations").select(tx.tokens(F.col("text")).alias("w"))
-    pairs = F.transform(
-        F.sequence(F.lit(1), F.size("w") - 1),
-        lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)),
-    )
-    phrases = talk.where(F.size("w") > 1).select(F.explode(pairs).alias("phrase")).distinct()
+    runs = [
+        F.when(
+            F.size("w") >= n,
+            F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), partial(_run, n)),
+        ).otherwise(F.array().cast("array<string>"))
+        for n in range(2, 6)
+    ]
+    phrases = talk.select(F.explode(F.concat(*runs)).alias("phrase")).distinct()
     return phrases.where(F.col("phrase").rlike(tx.CAPITALISED)).select(
         F.explode(F.array(*[F.lit(x) for x in ("DE", "EN", "ES", "FR")])).alias("language"),
         "phrase",
@@ -184,6 +193,13 @@ def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def runs_sql(n: int) -> str:
+    """SQL list of all runs of n words of the list w."""
+    return f"list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))"
+
+
+ALL_RUNS = "list_concat(" + ", ".join(runs_sql(n) for n in range(2, 6)) + ")"
+
 GAZETTEER = f"""
 talk AS (
   SELECT regexp_extract_all(text, '{TOKEN}') AS w FROM conversations
@@ -191,8 +207,7 @@ talk AS (
 gazetteer AS (
   SELECT unnest(['DE', 'EN', 'ES', 'FR']) AS language, phrase,
          (['ORG','PER','LOC'])[1 + length(phrase) % 3] AS label
-  FROM (SELECT DISTINCT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))
-               AS phrase FROM talk)
+  FROM (SELECT DISTINCT unnest({ALL_RUNS}) AS phrase FROM talk)
   WHERE regexp_matches(phrase, '^\\p{{Lu}}')
 )"""
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .inputs import (
+    ALL_RUNS,
     ANNOTATIONS,
     ARTICLE_COLUMNS,
     BLACKLIST,
@@ -16,6 +17,8 @@ from .inputs import (
     MERGE,
     RAW_DOCS,
     REMOVE,
+    REMOVE_MANY,
+    REPLACE_MANY,
     SOURCE_LANGUAGES,
     TALK_WORDS,
     TOKEN,
@@ -184,7 +187,7 @@ _TALK_LEXICON = (
     + """,
 lexicon AS (
   SELECT word, (['FM','M','C'])[1 + length(word) % 3] AS mapping, word[1:1] AS category
-  FROM talk_words WHERE length(word) >= 4
+  FROM talk_words
 ),
 vocabulary AS (SELECT DISTINCT word FROM words WHERE type = 'PROPN'),
 matched AS (
@@ -201,7 +204,7 @@ _MERGE_LEXICON = (
 lexicon AS (
   SELECT word, CASE WHEN length(word) < 6 THEN 'M' ELSE 'FM' END AS mapping,
          word[1:3] AS category
-  FROM talk_words WHERE length(word) >= 3
+  FROM talk_words
 ),
 vocabulary AS (SELECT DISTINCT language, word FROM daily WHERE language IN ('EN', 'FR')),
 matched AS (
@@ -229,7 +232,92 @@ found AS (
   FROM lowered JOIN scored USING (language, word) GROUP BY text_id
 )"""
 
+def _many_cleaned() -> str:
+    """Long lists step by step: one subquery per replacement keeps the SQL short."""
+    removed = "CASE " + " ".join(
+        f"WHEN contains(word, '{p}') THEN '{p}'" for p in reversed(REMOVE_MANY)
+    ) + " END"
+    rows = f"""SELECT text_id, language, type, count, word AS word_orig, {removed} AS word_r,
+  word, NULL::VARCHAR AS word_m FROM words"""
+    for pattern, repl in REPLACE_MANY.items():
+        rows = f"""SELECT * REPLACE (
+  regexp_replace(word, '{pattern}', '{repl}', 'g') AS word,
+  CASE WHEN regexp_matches(word, '{pattern}') THEN '{pattern}' ELSE word_m END AS word_m)
+FROM ({rows})"""
+    return f""",
+cleaned AS MATERIALIZED ({rows})"""
+
+
+_COUNTED_CLEAN = """SELECT text_id, language, type, word, sum(count)::BIGINT AS count FROM cleaned
+WHERE word_r IS NULL GROUP BY 1, 2, 3, 4"""
+_CHANGED = """SELECT DISTINCT word_orig, word, word_r, word_m FROM cleaned
+WHERE word_r IS NOT NULL OR word_m IS NOT NULL"""
+
 ORACLES = {
+    "clean_words_many": _with(WORDS + _many_cleaned(), _COUNTED_CLEAN),
+    "clean_words_many_changes": _with(WORDS + _many_cleaned(), _CHANGED),
+    "annotate_words_joined": _with(
+        DOCS + "," + ANNOTATIONS + _TAGGED,
+        _COUNTED.format(source="tagged", types="'PROPN', 'NOUN', 'VERB', 'ADJ'"),
+    ),
+    "map_lexicon_mixed": _with(
+        WORDS
+        + ","
+        + _TALK_LEXICON.replace(
+            "(['FM','M','C'])[1 + length(word) % 3]", "(['FM','M','C','X','m',NULL])[1 + length(word) % 6]"
+        ),
+        _mapped(
+            "words",
+            """SELECT w.text_id, w.language, 'LEX', m.category, w.count
+  FROM words w JOIN matched m ON w.type = 'PROPN' AND w.word = m.word""",
+        ),
+    ),
+    "document_bags": _with(
+        WORDS,
+        """SELECT text_id, language, array_to_string(list_sort(list(word)), ' ') AS words
+FROM words WHERE type = 'PROPN' GROUP BY 1, 2""",
+    ),
+    "topic_shape": _with(
+        WORDS,
+        """SELECT language, 4::BIGINT AS topics, 40::BIGINT AS keywords, 40::BIGINT AS known_keywords
+FROM words WHERE type = 'PROPN' GROUP BY 1 HAVING count(DISTINCT word) >= 10""",
+    ),
+    "stream_rejects": """
+SELECT 'Spiegel' AS media,
+       CASE WHEN source = 'src7' THEN 'malformed JSON' ELSE 'missing title' END AS reject_reason,
+       count(*) AS n, true AS has_line
+FROM documents WHERE lang = 'es' OR source = 'src7' GROUP BY 1, 2""",
+    "csv_words": _with(WORDS, "SELECT * FROM words"),
+    "tsv_words": _with(WORDS, "SELECT text_id, word, count FROM words"),
+    "json_words": _with(WORDS, "SELECT * FROM words"),
+    "list_words": _with(TALK_WORDS, "SELECT word FROM talk_words"),
+    "lexicon_csv": _with(
+        TALK_WORDS,
+        """SELECT 'EN' AS language, word, (['FM','M','C'])[1 + length(word) % 3] AS mapping,
+       word[1:1] AS category FROM talk_words""",
+    ),
+    "sentiment_csv": _with(
+        TALK_WORDS,
+        "SELECT lower(word) AS word, (length(word) % 10) / 4.0::DOUBLE AS value FROM talk_words",
+    ),
+    "topics_csv": _with(TOPICS, "SELECT topic, word AS keyword FROM topic_words"),
+    "table_words": _with(WORDS, "SELECT * FROM words WHERE language IN ('EN', 'FR')"),
+    "cut_words": _with(
+        WORDS,
+        """SELECT text_id, language, type, repeat('x', 77) || word[1:3] AS word,
+       sum(count)::BIGINT AS count FROM words GROUP BY 1, 2, 3, 4""",
+    ),
+    "article_files": """
+SELECT source AS media, date '2024-01-15' AS date, doc_id AS text_id,
+       length(text)::BIGINT AS num_characters, text
+FROM documents WHERE source <> 'src7'""",
+    "article_file_rejects": """
+SELECT DISTINCT source, 'malformed JSON' AS reject_reason FROM documents WHERE source = 'src7'""",
+    "undecodable_docs": """
+SELECT doc_id AS text_id, 'not UTF-8' AS reject_reason FROM documents WHERE source = 'src7'""",
+    "article_ids": _with(
+        GOOD_ARTICLES, "SELECT count(*) AS articles, count(*) AS ids, count(*) AS texts FROM articles"
+    ),
     "prepare_docs": _with(RAW_DOCS, f"SELECT text_id, language, {_GLUED} AS text FROM raw_docs"),
     "prepare_docs_html": f"""
 SELECT page_id AS text_id, 'DE' AS language,
@@ -273,9 +361,7 @@ doc_words AS (
   SELECT text_id, language, regexp_extract_all(text, '{TOKEN}') AS w FROM docs
 ),
 runs AS (
-  SELECT text_id, language,
-         unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS phrase
-  FROM doc_words
+  SELECT text_id, language, unnest({ALL_RUNS}) AS phrase FROM doc_words
 ),
 all_rows AS (
   SELECT text_id, language, word, type FROM tagged
@@ -483,7 +569,7 @@ SELECT * FROM (
   SELECT source AS website, '2024-01-15' AS date, doc_id AS index,
          'https://www.example.org/' || doc_id AS url, NULL::VARCHAR AS rubrics,
          NULL::BOOLEAN AS paywall, 'Nr. ' || doc_id AS title,
-         {_strip("replace(text, chr(10), ' ')")} AS text
+         {_strip("replace(text, chr(10), ' ')")} AS text, {_strip("replace(text, chr(10), ' ')")} AS line
   FROM documents
   WHERE regexp_matches(string_split(text, chr(10))[1], '[{W}]')
 ) WHERE length(text) > 50""",

@@ -9,7 +9,10 @@ from wordloom.functions import text as tx
 from wordloom.functions.workdir import new_path, settle
 from wordloom.operators.pages import MediaRule, Step
 from wordloom.streaming.articles import start_ingest
-from wordloom.streaming.words import daily_counts, start_complete, start_operator
+from wordloom.schemas import TEXT_WORDS
+from wordloom.sources import readers, writers
+from wordloom.sources.writers import write_parquet
+from wordloom.streaming.words import daily_counts, latest_rows, start_operator, start_updates
 
 from . import inputs as i
 
@@ -103,7 +106,17 @@ def entity_words(spark, sf_dir):
         i.docs(spark, sf_dir),
         annotations=settle(i.annotations(spark, sf_dir)),
         gazetteer=settle(i.gazetteer(spark, sf_dir)),
-        max_phrase_words=2,
+    )
+
+
+@query
+def annotate_words_joined(spark, sf_dir):
+    """The annotation table as one too large for a broadcast."""
+    return wl.extract_words(
+        i.docs(spark, sf_dir),
+        annotations=i.annotations(spark, sf_dir),
+        types=("PROPN", "NOUN", "VERB", "ADJ"),
+        broadcast=False,
     )
 
 
@@ -158,6 +171,18 @@ def clean_words_changes(spark, sf_dir):
     return wl.clean_words(i.words(spark, sf_dir), i.REMOVE, i.REPLACE, i.TYPES, ["EN", "FR"])[1]
 
 
+@query
+def clean_words_many(spark, sf_dir):
+    words = i.words(spark, sf_dir)
+    return wl.clean_words(words, i.REMOVE_MANY, i.REPLACE_MANY, i.TYPES)[0]
+
+
+@query
+def clean_words_many_changes(spark, sf_dir):
+    words = i.words(spark, sf_dir)
+    return wl.clean_words(words, i.REMOVE_MANY, i.REPLACE_MANY, i.TYPES)[1]
+
+
 @query
 def remove_blacklisted(spark, sf_dir):
     return wl.remove_blacklisted(i.words(spark, sf_dir), i.BLACKLIST)
@@ -181,14 +206,24 @@ def map_lexicon_strict(spark, sf_dir):
 
 @query
 def map_lexicon_large(spark, sf_dir):
-    entries = i.talk_words(spark, sf_dir).where(F.length("word") >= 4)
-    lexicon = entries.select(
+    lexicon = _talk_lexicon(spark, sf_dir, "element_at(array('FM','M','C'), 1 + length(word) % 3)")
+    return wl.map_lexicon(_stored_words(spark, sf_dir), lexicon)
+
+
+@query
+def map_lexicon_mixed(spark, sf_dir):
+    """Rows whose mapping is unknown or missing among others match nothing."""
+    kinds = "element_at(array('FM','M','C','X','m',NULL), 1 + length(word) % 6)"
+    return wl.map_lexicon(_stored_words(spark, sf_dir), _talk_lexicon(spark, sf_dir, kinds))
+
+
+def _talk_lexicon(spark, sf_dir, mapping):
+    return i.talk_words(spark, sf_dir).select(
         F.lit("EN").alias("language"),
         "word",
-        F.expr("element_at(array('FM','M','C'), 1 + length(word) % 3)").alias("mapping"),
+        F.expr(mapping).alias("mapping"),
         F.substring("word", 1, 1).alias("category"),
     )
-    return wl.map_lexicon(_stored_words(spark, sf_dir), settle(lexicon, "lexicon"))
 
 
 @query
@@ -212,7 +247,7 @@ def duplicate_report(spark, sf_dir):
 
 @query
 def duplicate_texts(spark, sf_dir):
-    return wl.duplicate_report(i.raw_docs(spark, sf_dir), ["text"])
+    return wl.duplicate_report(i.raw_docs(spark, sf_dir), ["text"], wide=True)
 
 
 @query
@@ -237,7 +272,10 @@ def _daily(spark, sf_dir, **options):
 
 
 def _stored_daily(spark, sf_dir):
-    return settle(_daily(spark, sf_dir), "word-frequency")
+    """Daily frequencies as they are stored, partitioned by date."""
+    path = new_path(spark, "word-frequency")
+    write_parquet(_daily(spark, sf_dir), path, "word_frequency")
+    return spark.read.parquet(path)
 
 
 @query
@@ -283,8 +321,7 @@ def word_trend_by_language(spark, sf_dir):
 
 @query
 def merge_words(spark, sf_dir):
-    entries = i.talk_words(spark, sf_dir).where(F.length("word") >= 3)
-    lexicon = entries.select(
+    lexicon = i.talk_words(spark, sf_dir).select(
         F.explode(F.array(F.lit("EN"), F.lit("FR"))).alias("language"),
         "word",
         F.when(F.length("word") < 6, F.lit("M")).otherwise(F.lit("FM")).alias("mapping"),
@@ -308,7 +345,8 @@ def wordlist_sentiment(spark, sf_dir):
     tokens = wl.annotate_tokens(
         i.docs(spark, sf_dir), settle(i.annotations(spark, sf_dir)), keep_empty=True
     )
-    result = wl.wordlist_sentiment(tokens, _sentiment_list(spark, sf_dir), ("DE", "EN"))
+    listed = settle(_sentiment_list(spark, sf_dir), "sentiment-list")
+    result = wl.wordlist_sentiment(tokens, listed, ("DE", "EN"))
     return result.withColumn("sentiment", F.round("sentiment", 9))
 
 
@@ -323,7 +361,7 @@ def score_sentiment(spark, sf_dir):
             "subjectivity": F.length("word") % 5 / F.lit(4.0),
         }
     )
-    return wl.score_sentiment(i.docs(spark, sf_dir), scored)
+    return wl.score_sentiment(i.docs(spark, sf_dir), settle(scored, "scored-words"))
 
 
 def _exclamation_scorer(texts, languages):
@@ -406,7 +444,9 @@ def assemble_articles(spark, sf_dir):
         F.col("source").alias("website"),
         F.col("doc_id").alias("index"),
     )
-    return wl.assemble_articles(items, "2024-01-15").drop("line")
+    lines = wl.assemble_articles(items, "2024-01-15")
+    # What the line says must be what the columns say.
+    return lines.withColumn("line", F.get_json_object("line", "$.text"))
 
 
 _PAGE_RULE = {
@@ -478,15 +518,41 @@ def index_topics(spark, sf_dir):
     return wl.index_topics(wl.topic_hits(topics, words), topics, 0.5)
 
 
+@query
+def document_bags(spark, sf_dir):
+    bags = wl.document_bags(i.words(spark, sf_dir))
+    return bags.select("text_id", "language", F.array_join(F.sort_array("words"), " ").alias("words"))
+
+
+@query
+def topic_shape(spark, sf_dir):
+    """Per language: topics, keywords, and whether all keywords are words of that language."""
+    words = _stored_words(spark, sf_dir)
+    found = _found_topics(words)
+    keywords = found.select(
+        "language", "topic", F.explode(F.array(*[f"keyword_{n}" for n in range(1, 11)])).alias("word")
+    )
+    known = words.where("type = 'PROPN'").select("language", "word").distinct()
+    known = known.withColumn("known", F.lit(1))
+    return keywords.join(known, ["language", "word"], "left").groupBy("language").agg(
+        F.count_distinct("topic").alias("topics"),
+        F.count("word").alias("keywords"),
+        F.count("known").alias("known_keywords"),
+    )
+
+
 @query
 def identify_topics(spark, sf_dir):
+    return _found_topics(_stored_words(spark, sf_dir))
+
+
+def _found_topics(words):
     import datetime
 
     return wl.identify_topics(
-        _stored_words(spark, sf_dir),
+        words,
         num_topics=4,
         max_iter=4,
-        subsampling_rate=0.25,
         run_date=datetime.date(2024, 1, 31),
     )
 
@@ -516,10 +582,31 @@ def stream_ingest_dedup(spark, sf_dir):
     return spark.read.parquet(f"{base}/articles").drop("text_id", "batch")
 
 
+@query
+def article_ids(spark, sf_dir):
+    """One id per text and one text per id."""
+    articles, _ = wl.ingest_articles(i.article_lines(spark, sf_dir), "Spiegel", "2024-01-15")
+    return articles.agg(
+        F.count(F.lit(1)).alias("articles"),
+        F.count_distinct("text_id").alias("ids"),
+        F.count_distinct("text").alias("texts"),
+    )
+
+
+def _landed(spark, df, base, files, key):
+    """A table as a stream of files that arrive one by one."""
+    for n in range(files):
+        part = df.where(F.pmod(F.xxhash64(key), F.lit(files)) == n)
+        part.write.mode("append").parquet(f"{base}/in")
+    reader = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1)
+    return reader.parquet(f"{base}/in")
+
+
 @query
 def stream_daily_frequency(spark, sf_dir):
+    """Several batches, each with events of all days: most rows come late, none too late."""
     base, checkpoint = _stream_paths(spark, "daily")
-    events = _stream(spark, sf_dir, "events")
+    events = _landed(spark, i.table(spark, sf_dir, "events"), base, 4, "event_id")
     words = events.select(
         "ts",
         F.lit("EN").alias("language"),
@@ -527,21 +614,167 @@ def stream_daily_frequency(spark, sf_dir):
         F.col("event_type").alias("word"),
         F.lit(1).alias("count"),
     )
-    start_complete(daily_counts(words, "ts"), f"{base}/out", checkpoint).awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    counts = daily_counts(words, "ts", "60 days")
+    start_updates(counts, f"{base}/out", checkpoint).awaitTermination()
+    return latest_rows(spark.read.parquet(f"{base}/out"), ["date", "language", "type", "word"])
 
 
 @query
 def stream_remove_blacklisted(spark, sf_dir):
+    """Several batches; a third of the documents comes again in a later file."""
     base, checkpoint = _stream_paths(spark, "words")
-    docs = _stream(spark, sf_dir, "documents").select(
+    docs = i.table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("text_id"), F.upper("lang").alias("language"), "text"
     )
+    _landed(spark, docs, base, 3, "text_id")
+    docs = _landed(spark, docs.where("text_id % 3 = 0"), base, 1, "text_id")
 
     def to_words(batch):
         return wl.remove_blacklisted(
             wl.documents_to_words(batch, extract={"types": i.TYPES}), i.BLACKLIST
         )
 
-    start_operator(docs, to_words, f"{base}/out", checkpoint).awaitTermination()
+    start_operator(
+        docs, to_words, f"{base}/out", checkpoint, document_id="text_id"
+    ).awaitTermination()
     return spark.read.parquet(f"{base}/out").drop("batch")
+
+
+@query
+def stream_rejects(spark, sf_dir):
+    base, checkpoint = _stream_paths(spark, "ingest")
+    i.article_lines(spark, sf_dir).repartition(3).write.text(f"{base}/lines")
+    lines = spark.readStream.option("maxFilesPerTrigger", 1).text(f"{base}/lines")
+    start_ingest(
+        lines, "Spiegel", "2024-01-15", f"{base}/articles", f"{base}/rejects", checkpoint
+    ).awaitTermination()
+    rejects = spark.read.parquet(f"{base}/rejects")
+    return rejects.groupBy("media", "reject_reason").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.length("line") > 0).alias("has_line")
+    )
+
+
+# Readers and writers: write a table, read it back
+
+
+@query
+def csv_words(spark, sf_dir):
+    path = new_path(spark, "csv")
+    writers.write_csv(i.words(spark, sf_dir), path)
+    return readers.read_csv(spark, path, TEXT_WORDS)
+
+
+@query
+def tsv_words(spark, sf_dir):
+    path = new_path(spark, "tsv")
+    writers.write_csv(i.words(spark, sf_dir), path, sep="\t")
+    return readers.read_csv(spark, path, TEXT_WORDS, sep="\t", columns=["text_id", "word", "count"])
+
+
+@query
+def json_words(spark, sf_dir):
+    path = new_path(spark, "json")
+    writers.write_json(i.words(spark, sf_dir), path)
+    return spark.read.schema(TEXT_WORDS).json(path)
+
+
+@query
+def list_words(spark, sf_dir):
+    path = new_path(spark, "list")
+    i.talk_words(spark, sf_dir).write.text(path)
+    return readers.read_blacklist(spark, path)
+
+
+@query
+def lexicon_csv(spark, sf_dir):
+    path = new_path(spark, "lexicon")
+    writers.write_csv(_talk_lexicon(spark, sf_dir, "element_at(array('FM','M','C'), 1 + length(word) % 3)"), path)
+    return readers.read_lexicon(spark, path)
+
+
+@query
+def sentiment_csv(spark, sf_dir):
+    path = new_path(spark, "sentiment")
+    writers.write_csv(_sentiment_list(spark, sf_dir), path)
+    return readers.read_sentiment_list(spark, path)
+
+
+@query
+def topics_csv(spark, sf_dir):
+    path = new_path(spark, "topics")
+    writers.write_csv(
+        _topics(spark, sf_dir, _stored_words(spark, sf_dir)).select(
+            "topic",
+            F.lit("DE").alias("language"),
+            F.lit("ALGO").alias("type"),
+            F.lit("2024-01-31").alias("date"),
+            F.lit(None).cast("string").alias("expiry_date"),
+            F.lit(None).cast("string").alias("attribute"),
+            *[f"keyword_{n}" for n in range(1, 11)],
+        ),
+        path,
+    )
+    return wl.topic_keywords(readers.read_topics(spark, path))
+
+
+@query
+def table_words(spark, sf_dir):
+    """A catalog table, filled twice, read and dropped by its owner after it was copied."""
+    name = "words_" + new_path(spark, "t").rsplit("-", 1)[1]
+    writers.create_table(spark, "text_words", name)
+    for language in ("EN", "FR"):
+        rows = i.words(spark, sf_dir).where(F.col("language") == language)
+        writers.append_table(rows, "text_words", name)
+    copied = settle(readers.read_table(spark, name), "copied")
+    spark.sql(f"DROP TABLE {name}")
+    return copied.select(*TEXT_WORDS.names)
+
+
+@query
+def cut_words(spark, sf_dir):
+    """Parquet cut to the widths of a database table on request: counts of equal keys add up."""
+    path = new_path(spark, "cut")
+    rows = i.words(spark, sf_dir).withColumn("word", F.concat(F.repeat(F.lit("x"), 77), "word"))
+    write_parquet(rows, path, "text_words", cut=True)
+    return spark.read.parquet(path).select(*TEXT_WORDS.names)
+
+
+def _article_files(spark, sf_dir):
+    """One JSON array per source; the file of src7 is cut off."""
+    path = new_path(spark, "articles")
+    record = F.struct(
+        F.col("source").alias("media"),
+        F.lit("2024-01-15").alias("date"),
+        F.col("doc_id").alias("text_id"),
+        F.lit("t").alias("title"),
+        F.lit("r").alias("rubric"),
+        F.lit("u").alias("url"),
+        F.lit(False).alias("paywall"),
+        F.col("text"),
+    )
+    files = i.table(spark, sf_dir, "documents").groupBy("source").agg(
+        F.to_json(F.collect_list(record)).alias("value")
+    )
+    cut = F.when(F.col("source") == "src7", F.substring("value", F.lit(1), F.length("value") - 2))
+    files = files.withColumn("value", F.coalesce(cut, "value"))
+    files.write.partitionBy("source").option("lineSep", "\n").text(path)
+    return readers.read_article_files(spark, path)
+
+
+@query
+def article_files(spark, sf_dir):
+    return _article_files(spark, sf_dir)[0].select("media", "date", "text_id", "num_characters", "text")
+
+
+@query
+def article_file_rejects(spark, sf_dir):
+    rejects = _article_files(spark, sf_dir)[1]
+    return rejects.select(F.regexp_extract("file", "source=([a-z0-9]+)", 1).alias("source"), "reject_reason")
+
+
+@query
+def undecodable_docs(spark, sf_dir):
+    raw = i.raw_docs(spark, sf_dir)
+    bad = F.when(F.col("media") == "src7", F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit("")))
+    raw = raw.withColumn("text", F.concat(F.encode("text", "UTF-8"), bad))
+    return wl.undecodable_docs(raw).select("text_id", "reject_reason")
