@@ -13,12 +13,13 @@ import zlib
 
 import numpy as np
 
-BLOCK_IDS = 8192
+BLOCK_IDS = 4096
 MAX_BITS = 17
 SYMBOLS = MAX_BITS + 3
 
-_ONE, _TWO = 256, 512  # contexts of order 1 and 2
-_LAST_ONE, _LAST_TWO = 2048, 4096  # remembered ids of order 1 and 2
+# Powers of two: contexts of order 1 and 2, and remembered ids of order 1 and 2.
+_ONE, _TWO = 128, 256
+_LAST_ONE, _LAST_TWO = 1024, 2048
 _RATE = np.float32(1 / 24)
 _SCALE = np.float32(4000)
 _SUMS = np.triu(np.ones((SYMBOLS, SYMBOLS), np.float32))
@@ -43,10 +44,11 @@ class _Lanes:
     def predict(self) -> tuple[np.ndarray, np.ndarray]:
         """Cumulative frequencies of the symbols; also sets the two predicted ids."""
         h = self.hash
-        self.at_one = self.lane * _ONE + (self.before * 40503 >> 4) % _ONE
-        self.at_two = self.lane * _TWO + (h >> 7) % _TWO
-        self.place_one = self.lane * _LAST_ONE + self.before * 40503 % 65521 % _LAST_ONE
-        self.place_two = self.lane * _LAST_TWO + h % _LAST_TWO
+        mixed_one = self.before * 40503 >> 4
+        self.at_one = self.lane * _ONE + (mixed_one & (_ONE - 1))
+        self.at_two = self.lane * _TWO + (h >> 12 & (_TWO - 1))
+        self.place_one = self.lane * _LAST_ONE + (mixed_one & (_LAST_ONE - 1))
+        self.place_two = self.lane * _LAST_TWO + (h & (_LAST_TWO - 1))
         self.guess_one, self.guess_two = self.last_one[self.place_one], self.last_two[self.place_two]
         self.rows_one, self.rows_two = self.one[self.at_one], self.two[self.at_two]
         w = self.weights[:, :, None]
@@ -94,14 +96,15 @@ def encode(ids: np.ndarray, block: int = BLOCK_IDS) -> list[bytes]:
         raise ValueError(f"ids must be below {1 << MAX_BITS}")
     n = -(-len(ids) // block)
     steps = min(block, len(ids))
-    table = np.zeros(n * block, np.int64)
+    table = np.zeros(n * block, np.int32)
     table[: len(ids)] = ids
     table = table.reshape(n, block)[:, :steps].T.copy()
     lanes = _Lanes(n)
     low, span = np.zeros(n, _U), np.full(n, np.iinfo(np.uint64).max, _U)
     out = np.zeros((n, 2 * steps + 8), "<u2")
     size = np.zeros(n, np.int64)
-    for own in table:
+    for row in table:
+        own = row.astype(np.int64)
         frequency, ends = lanes.predict()
         bits = _bits(own)
         symbol = np.where(own == lanes.guess_two, 0, np.where(own == lanes.guess_one, 1, bits + 2))
@@ -145,7 +148,7 @@ def decode(blocks: list[bytes], counts: list[int]) -> list[np.ndarray]:
     code, at = np.zeros(n, _U), np.full(n, 4)
     for i in range(4):
         code = code << _WORD | data[:, i].astype(_U)
-    out = np.zeros((steps, n), np.int64)
+    out = np.zeros((steps, n), np.int32)
     last = data.shape[1] - 1
     for t in range(steps):
         frequency, ends = lanes.predict()

@@ -30,7 +30,7 @@ from .tokens import END_ID, Encoder, default_path
 from .words import slices
 
 MAGIC = b"WLTOK001"
-LANES = 512
+LANES = 2048
 TEXTS_PER_FILE = 8_000
 _HEAD, _FOOT = "<III", "<QQII"
 _DOCUMENT = np.dtype([("null", "u1"), ("id", "<i8"), ("n", "<u8")])

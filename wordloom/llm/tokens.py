@@ -1,9 +1,10 @@
 """Token ids of whole texts with a public tokenizer file; equal chunks are encoded once.
 
-The byte-level BPE splits a text before a blank that follows a character other than white space,
-whatever stands around it. Texts are cut there (only where the character before is sure not to be
-white space; cutting less never changes the ids), equal chunks of a slice are found by Arrow, and
-only chunks that are not in a bounded cache reach the tokenizer.
+Whatever stands around, the byte-level BPE splits a text before a blank that follows a character
+other than white space, between a letter or digit and ASCII punctuation or a line break after it, and
+between a line break and a letter or digit after it. Texts are cut there (only where the characters
+are sure to be of these kinds; cutting less never changes the ids), equal chunks of a slice are
+found by Arrow, and only chunks that are not in a bounded cache reach the tokenizer.
 """
 
 from __future__ import annotations
@@ -12,11 +13,40 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .words import text_bytes
 
 END_ID = 0
-CACHED = 300_000
+CACHED = 600_000
+
+_WORD = np.zeros(256, bool)
+_WORD[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_BREAK = np.zeros(256, bool)
+_BREAK[9:14] = True
+_MARK = _BREAK.copy()
+_MARK[33:127] = True
+_MARK &= ~_WORD
+
+
+def _cuts(data: np.ndarray, bounds: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Starts of chunks: wherever a split is certain, and at every text that is not empty.
+
+    ``whole``: numbers of texts that stay uncut.
+    """
+    before, here = data[:-1], data[1:]
+    # Of two bytes after 0xC3 all are letters but 0x97 and 0xB7, and none is white space.
+    latin = np.zeros(len(before), bool)
+    latin[1:] = (before[1:] >= 128) & (before[:-1] == 0xC3)
+    word = _WORD[before] | (latin & (before != 0x97) & (before != 0xB7))
+    visible = ((before > 32) & (before < 128)) | latin
+    cut = np.zeros(len(data) + 1, bool)
+    cut[1:-1] = ((here == 32) & visible) | (word & _MARK[here]) | (_BREAK[before] & _WORD[here])
+    for i in whole.tolist():
+        cut[bounds[i] : bounds[i + 1]] = False
+    cut[bounds] = True
+    cut[len(data)] = False
+    return np.flatnonzero(cut)
 
 
 def default_path() -> str:
@@ -31,6 +61,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.names = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._clear()
 
     def _clear(self) -> None:
@@ -59,15 +90,11 @@ class Encoder:
         data, bounds = text_bytes(texts)
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        cut = np.zeros(len(data) + 1, bool)
-        before = data[:-1]
-        plain = (before > 32) & (before < 128)
-        # Letters of two bytes that start with 0xC3 are no white space either.
-        plain[1:] |= (before[1:] >= 128) & (before[:-1] == 0xC3)
-        cut[1:-1] = (data[1:] == 32) & plain
-        cut[bounds] = True
-        cut[len(data)] = False
-        starts = np.flatnonzero(cut)
+        # A special token's name in a text is found before anything is split.
+        named = np.zeros(len(texts), bool)
+        for name in self.names:
+            named |= pc.fill_null(pc.match_substring(texts, name), False).to_numpy(zero_copy_only=False)
+        starts = _cuts(data, bounds, np.flatnonzero(named))
         offsets = np.append(starts, len(data)).astype(np.int32)
         chunks = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data))
         coded = chunks.dictionary_encode()
