@@ -1,151 +1,149 @@
-"""WARC archives: written by Spark, indexed by byte range, read back by coalesced ranges.
-
-The index comes first: records are dealt over archives of bounded size and ordered in each, so offset and
-length of every record follow from the lengths before it. Spark's text writer then writes one file
-per archive; the two line breaks that end a WARC record are its line separator. Readers take
-index rows, sort them by offset, merge neighbours into ranges of bounded size and parse the records.
-A payload that an earlier page has as well is written once; other pages revisit it by digest.
+"""WARC archives: written by tasks, indexed by byte range, read back by coalesced ranges.
+
+Pages meet what is known of their payload's digest in one shuffle, and each task writes its records to
+archives of bounded size, one gzip member per record, and returns an index row for each: archive, offset,
+length, URL and digest. Only archives of index rows that were kept belong to the output, so a
+task that runs again does no harm. Readers take index rows, sort them by offset, merge neighbours into
+ranges of bounded size and parse the records. A payload that an earlier page has as well is
+written once; other pages revisit it by digest.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.workdir import new_path, settle
 
-ARCHIVE_BYTES = 16 << 20
+ARCHIVE_BYTES = 64 << 20
 RANGE_BYTES = 4 << 20
 GAP_BYTES = 64 << 10
 REVISIT_BYTES = 100
 _END = "\r\n\r\n"
 
 RECORD = "page_id long, record_type string, refers_to long, payload binary, payload_digest string, url string"
+INDEX = "path string, offset long, length long, url string, payload_digest string, page_id long, record_type string, refers_to long"
 
 
 @dataclass
 class Archives:
-    path: str  # folders archive=<number>, one file each
-    index: DataFrame  # archive, seq, offset, length, page_id, url, payload_digest, record_type, refers_to
+    path: str  # the folder
+    index: DataFrame  # see INDEX
 
 
-def _lines(*pairs: tuple[str, Column]) -> Column:
-    """Header lines; a pair whose value is NULL is left out."""
-    return F.concat(*[
-        F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit("")) for name, value in pairs
-    ])
+def _store(path: str):
+    from pyarrow import fs
 
+    # Spark writes file:/a/b, Arrow reads file:///a/b.
+    path = re.sub("^file:/(?!/)", "file:///", path)
+    return fs.FileSystem.from_uri(path if ":" in path else f"file://{path}")
+
+
+def record_bytes(page_id, url, html: bytes, digest: str, refers_to, kind: str) -> bytes:
+    """A whole record, not compressed. A revisit has no block."""
+    block = b""
+    if kind == "response":
+        block = (
+            f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(html)}{_END}"
+        ).encode() + html
+    name = hashlib.md5(f"{page_id}|{url}|{digest}|{kind}".encode()).hexdigest()
+    fields = {
+        "WARC-Type": kind,
+        "WARC-Record-ID": f"<urn:uuid:{name[:8]}-{name[8:12]}-{name[12:16]}-{name[16:20]}-{name[20:]}>",
+        "WARC-Date": "2024-01-01T00:00:00Z",
+        "WARC-Target-URI": url,
+        "WARC-Payload-Digest": f"sha256:{digest}",
+        "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" if kind == "revisit" else None,
+        "WARC-Page-ID": page_id,
+        "WARC-Refers-To-Page-ID": refers_to,
+        "Content-Type": "application/http; msgtype=response",
+        "Content-Length": len(block),
+    }
+    lines = [f"{k}: {v}" for k, v in fields.items() if v is not None]
+    return ("\r\n".join(["WARC/1.1", *lines]) + _END).encode() + block + _END.encode()
+
+
+def _write(path: str, archive_bytes: int):
+    names = ["path", "offset", "length", "url", "payload_digest", "page_id", "record_type", "refers_to"]
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64())
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        store, folder = _store(path)
+        out, at, number, name = None, 0, 0, ""
+        try:
+            for batch in batches:
+                index: list[tuple] = []
+                for i in range(batch.num_rows):
+                    page, url, html, digest, kind, refers = (
+                        batch.column(c)[i].as_py()
+                        for c in ("page_id", "url", "html", "payload_digest", "record_type", "refers_to")
+                    )
+                    if out is None or at >= archive_bytes:
+                        if out is not None:
+                            out.close()
+                        store.create_dir(folder, recursive=True)
+                        name = f"{folder}/{task.partitionId():06d}-{task.taskAttemptId()}-{number:04d}.warc.gz"
+                        out, at, number = store.open_output_stream(name, compression=None), 0, number + 1
+                    # A line break or control character in a URL would end its header line.
+                    url = url and re.sub(r"[\x00-\x20\x7f]+", "%20", url)
+                    member = zlib.compressobj(1, zlib.DEFLATED, 31)
+                    data = member.compress(record_bytes(page, url, html.encode(), digest, refers, kind)) + member.flush()
+                    out.write(data)
+                    index.append((name, at, len(data), url, digest, page, kind, refers))
+                    at += len(data)
+                if index:
+                    columns = zip(*index, strict=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names
+                    )
+        finally:
+            if out is not None:
+                out.close()
 
-def records(pages: DataFrame) -> DataFrame:
-    """One record per row of ``pages`` (page_id, url, html), with its whole text but the final line breaks."""
-    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.select(
-        F.col("page_id").cast("long").alias("page_id"),
-        # A line break or control character in a URL would end its header line.
-        F.regexp_replace(F.col("url").cast("string"), r"[\x00-\x20\x7F]+", "%20").alias("url"),
-        html.alias("html"),
-        F.octet_length(html).cast("long").alias("payload_bytes"),
-        F.sha2(html, 256).alias("payload_digest"),
-    )
     return rows
 
 
 def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> Archives:
-    """Write a record per page below ``path`` and return the index.
+    """Write a record per row of ``pages`` (page_id, url, html) below ``path`` and return the index.
 
     Of records with equal payloads of at least 100 bytes that with the smallest page_id is a response, the
     others revisit it. NULL html is an empty payload, a NULL url leaves its line out, a NULL page_id
     comes after all others. Of rows that repeat the smallest id and payload one is the response.
     """
-    spark = pages.sparkSession
-    rows = records(pages)
-    narrow = settle(rows.drop("html"), "warc-digests")
-    # Rows alike are numbered; each page then has a record of its own.
-    alike = narrow.groupBy("page_id", "url", "payload_digest", "payload_bytes").agg(
-        F.count(F.lit(1)).cast("int").alias("copies")
-    )
-    least = F.min("page_id").alias("first_id")
-    first = narrow.where(F.col("payload_bytes") >= REVISIT_BYTES).groupBy("payload_digest").agg(
-        least, F.count(F.lit(1)).alias("sharing"),
-        F.min_by(F.struct("page_id", "url"), F.struct(F.col("page_id").isNull(), "page_id", "url")).alias("first"),
-    ).where("sharing > 1")
-    known = alike.join(first, "payload_digest", "left")
-    each = known.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    here = F.struct("page_id", "url").eqNullSafe(F.col("first"))
-    revisits = F.col("first").isNotNull() & ~(here & (F.col("copy") == 1))
-    total = narrow.agg(F.sum("payload_bytes").alias("b"), F.count(F.lit(1)).alias("n")).first()
-    archives = max(1, -(-((total["b"] or 0) + 600 * total["n"]) // archive_bytes))
-    place = F.xxhash64("page_id", "url", "payload_digest", "copy")
-    kind = F.when(revisits, F.lit("revisit")).otherwise(F.lit("response"))
-    each = each.select(
-        "page_id", "url", "payload_digest", "payload_bytes", "copy", "copies", kind.alias("record_type"),
-        F.when(revisits, F.col("first_id")).alias("refers_to"),
-        F.pmod(place, F.lit(archives)).cast("int").alias("archive"), place.alias("place"),
-    )
-
-    http = F.concat(
-        F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
-        F.col("payload_bytes").cast("string"), F.lit(_END),
-    )
-    response = F.col("record_type") == "response"
-    block_bytes = F.when(response, F.octet_length(http) + F.col("payload_bytes")).otherwise(F.lit(0))
-    digest = F.col("payload_digest")
-    uuid = F.concat(
-        F.lit("<urn:uuid:"),
-        F.regexp_replace(F.md5(F.concat_ws("|", F.hex("place"), F.col("page_id").cast("string"), F.col("copy").cast("string"), digest)), r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", r"$1-$2-$3-$4-$5"),
-        F.lit(">"),
-    )
-    head = F.concat(
-        F.lit("WARC/1.1\r\n"),
-        _lines(
-            ("WARC-Type", F.col("record_type")),
-            ("WARC-Record-ID", uuid),
-            ("WARC-Date", F.lit("2024-01-01T00:00:00Z")),
-            ("WARC-Target-URI", F.col("url")),
-            ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), digest)),
-            ("WARC-Profile", F.when(~response, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
-            ("WARC-Page-ID", F.col("page_id").cast("string")),
-            ("WARC-Refers-To-Page-ID", F.col("refers_to").cast("string")),
-            ("Content-Type", F.lit("application/http; msgtype=response")),
-            ("Content-Length", block_bytes.cast("string")),
-        ),
-        F.lit("\r\n"),
-    )
-    each = each.withColumn("head", F.concat(head, F.when(response, http).otherwise(F.lit(""))))
-    bare = F.octet_length("head") + F.when(response, F.col("payload_bytes")).otherwise(F.lit(0))
-    in_file = Window.partitionBy("archive").orderBy("place", "page_id", "payload_digest", "url", "copy")
-    each = each.withColumn("length", bare.cast("long"))
-    before = F.sum(F.col("length") + len(_END)).over(in_file.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    index = each.withColumn("offset", before - F.col("length") - len(_END)).withColumn("seq", F.row_number().over(in_file))
-    index = settle(index, "warc-index")
-
-    # A revisit needs no payload; the rest meets its html by digest, url and id.
-    keys = ["page_id", "url", "payload_digest"]
-    bodies = rows.select(*[F.col(c).alias(f"__{c}") for c in keys], "html")
-    if not index.where("copies > 1").isEmpty():
-        bodies = bodies.dropDuplicates([f"__{c}" for c in keys])
-    same = F.lit(True)
-    for c in keys:
-        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    whole = index.select("archive", "seq", "head", "record_type", *keys).join(bodies.hint("shuffle_hash"), same)
-    text = F.concat("head", F.when(F.col("record_type") == "response", F.col("html")).otherwise(F.lit("")))
-    (
-        whole.select("archive", "seq", text.alias("value"))
-        .repartition(archives, "archive").sortWithinPartitions("archive", "seq")
-        .select("archive", "value")
-        .write.partitionBy("archive").option("lineSep", _END).text(path)
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    rows = pages.select(
+        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"),
+        F.octet_length(html).cast("long").alias("payload_bytes"), F.sha2(html, 256).alias("payload_digest"),
     )
-    # Without records there is no archive whose folder could be read.
-    none = spark.createDataFrame([], "path string, file_bytes long, archive int")
-    files = none if not total["n"] else spark.read.format("binaryFile").load(path).select(
-        F.col("path"), F.col("length").alias("file_bytes"), F.col("archive").cast("int").alias("archive")
+    narrow = rows.where(F.col("payload_bytes") >= REVISIT_BYTES).select("page_id", "payload_digest")
+    shared = settle(
+        narrow.groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+        .where("n > 1").select("payload_digest", "first_id", F.lit(True).alias("shared")),
+        "warc-shared",
     )
-    return Archives(path, index.join(files, "archive").drop("head", "place", "copies"))
+    # By its digest a page meets what is known of it; adaptive execution splits a digest of many pages.
+    known = rows.join(shared, "payload_digest", "left")
+    first = F.col("shared").isNotNull() & F.col("page_id").eqNullSafe(F.col("first_id"))
+    response = F.col("shared").isNull() | first
+    typed = known.withColumn("record_type", F.when(response, F.lit("response")).otherwise(F.lit("revisit")))
+    # Several rows may have the first id and its payload: one of them is the response.
+    firsts = narrow.join(shared, "payload_digest").where(first).groupBy("payload_digest").agg(F.count(F.lit(1)).alias("n"))
+    if not firsts.where("n > 1").isEmpty():
+        place = F.row_number().over(Window.partitionBy("payload_digest").orderBy("url"))
+        one = F.when(F.col("place") == 1, F.lit("response")).otherwise(F.lit("revisit"))
+        some = typed.where(first).withColumn("place", place).withColumn("record_type", one).drop("place")
+        typed = typed.where(~first).unionByName(some)
+    refers = F.when(F.col("record_type") == "revisit", F.col("first_id"))
+    wanted = typed.select("page_id", "url", "html", "payload_digest", "record_type", refers.alias("refers_to"))
+    return Archives(path, settle(wanted.mapInArrow(_write(path, archive_bytes), INDEX), "warc-index"))
 
 
 def _ranges(rows: list[tuple[int, int]]) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
@@ -167,9 +165,10 @@ def _ranges(rows: list[tuple[int, int]]) -> Iterator[tuple[int, int, list[tuple[
 def parse_record(data: bytes) -> tuple:
     """page_id, type, refers_to, payload (NULL for a revisit), its digest, url.
 
-    The digest of a response is checked against its bytes.
+    ``data`` is one gzip member; the digest of a response is checked against its bytes.
     """
-    head, _, block = data.partition(_END.encode())
+    data = zlib.decompress(data, 31)
+    head, _, block = data.removesuffix(_END.encode()).partition(_END.encode())
     lines = head.decode("utf-8", "replace").split("\r\n")
     fields = dict(line.split(": ", 1) for line in lines[1:] if ": " in line)
     if lines[0] != "WARC/1.1" or len(block) != int(fields["Content-Length"]):
@@ -184,40 +183,43 @@ def parse_record(data: bytes) -> tuple:
     return page, fields["WARC-Type"], number("WARC-Refers-To-Page-ID"), payload, digest, fields.get("WARC-Target-URI")
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyarrow import fs
-
+def _read(folder: str):
     names = ["page_id", "record_type", "refers_to", "payload", "payload_digest", "url"]
     kinds = (pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.string())
-    for batch in batches:
-        at = 0
-        paths = batch.column("path").to_pylist()
-        spots = list(zip(batch.column("offset").to_pylist(), batch.column("length").to_pylist(), strict=True))
-        while at < len(paths):
-            to = at
-            while to < len(paths) and paths[to] == paths[at]:
-                to += 1
-            # Spark writes file:/a/b, Arrow reads file:///a/b.
-            store, inner = fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", paths[at]))
-            with store.open_input_file(inner) as file:
-                for start, end, within in _ranges(spots[at:to]):
-                    data = file.read_at(end - start, start)
-                    rows = [parse_record(data[o - start : o - start + n]) for o, n in within]
-                    columns = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names
-                    )
-            at = to
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = _store(folder)
+        for batch in batches:
+            at = 0
+            paths = batch.column("path").to_pylist()
+            spots = list(zip(batch.column("offset").to_pylist(), batch.column("length").to_pylist(), strict=True))
+            while at < len(paths):
+                to = at
+                while to < len(paths) and paths[to] == paths[at]:
+                    to += 1
+                with store.open_input_file(paths[at]) as file:
+                    for start, end, within in _ranges(spots[at:to]):
+                        data = file.read_at(end - start, start)
+                        found = [parse_record(data[o - start : o - start + n]) for o, n in within]
+                        columns = zip(*found, strict=True)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names
+                        )
+                at = to
+
+    return rows
 
 
-def read_records(selected: DataFrame) -> DataFrame:
+def read_records(selected: DataFrame, folder: str) -> DataFrame:
     """Records of the index rows in ``selected`` (path, offset, length); see RECORD for the columns.
 
     Rows of one stretch of an archive meet in one task, sorted by offset, so that their reads merge.
     """
-    stretch = F.floor(F.col("offset") / F.lit(4 * RANGE_BYTES))
-    dealt = selected.select("path", "offset", "length").repartition("path", stretch)
-    return dealt.sortWithinPartitions("path", "offset").mapInArrow(_read, RECORD)
+    total = selected.agg(F.sum("length")).first()[0] or 0
+    stretch = F.floor(F.col("offset") / F.lit(RANGE_BYTES))
+    # By number: index rows are small, and the tasks must follow the bytes that they stand for.
+    dealt = selected.select("path", "offset", "length").repartition(1 + total // RANGE_BYTES, "path", stretch)
+    return dealt.sortWithinPartitions("path", "offset").mapInArrow(_read(folder), RECORD)
 
 
 def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
@@ -228,7 +230,7 @@ def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
     """
     path = path or new_path(pages.sparkSession, "warc")
     archives = write_archives(pages, path)
-    read = read_records(archives.index).select(
+    read = read_records(archives.index, archives.path).select(
         "page_id", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("payload_bytes"), "payload_digest", "url"
     )
     read = settle(read, "warc-read")
