@@ -4,8 +4,8 @@ The counts of unigrams and bigrams of all training texts are gathered by hash bu
 filter is built in each, and the slices together are broadcast. An n-gram of count c is inserted once for
 each level up to c (1, 2, 3, 4, 6, 8, 12, ...); probing level after level until one is missing gives
 a lower bound of its count, with a small chance of one level more. The filter's size is fixed. It takes
-the n-grams by falling count, as many as keep its error rate: the least count of a bigram that
-enters follows from the counts of all.
+the n-grams by falling count, as many as keep its error rate: the least level that enters, and is
+probed first, follows from the counts of all.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.workdir import settle
 from .words import hashed_words, mix, seeds, slices
 
-FILTER_BYTES = 16 << 20
+FILTER_BYTES = 32 << 20
 BITS_PER_ENTRY = 9
 PROBES = 5
 SLICES = 64
@@ -35,8 +35,8 @@ END = mix(np.array([0xE4D], _U))[0]
 START = mix(np.array([0x57A47], _U))[0]
 
 LEVELS = np.unique(np.concatenate([[2**i, 3 * 2**i] for i in range(40)])).astype(np.int64)
-# Weight of a bigram's relative frequency by the level of its first word's count.
-_RARE, _OFTEN = 0.15, 0.6
+# Weight of a bigram's relative frequency: from a first word seen once to one seen 2 ** 14 times or more.
+_RARE, _OFTEN = 0.3, 0.7
 
 
 def with_ends(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -124,12 +124,10 @@ def _sum(key, table):
 _SUMS = "bucket int, n int, grams binary, counts binary, levels array<bigint>, distinct long, total long"
 
 
-def _places(grams: np.ndarray, level: np.ndarray | int, bits: int) -> Iterator[np.ndarray]:
-    """The bit places of n-grams at a level, one probe after the other."""
-    base = mix(grams ^ (np.asarray(level, dtype=_U) * _SALTS[2]))
-    step = mix(grams + np.asarray(level, dtype=_U) * _SALTS[3]) | _U(1)
-    for i in range(PROBES):
-        yield ((base + _U(i) * step) >> _U(20)) % _U(bits)
+def _probe(keys: np.ndarray, level: int, i: int, bits: int) -> np.ndarray:
+    """The bit of the i-th probe for n-grams at a level."""
+    one, two = (_U(level * int(salt) & 0xFFFFFFFFFFFFFFFF) for salt in _SALTS[2:])
+    return (((mix(keys ^ one) + _U(i) * (mix(keys + two) | _U(1))) >> _U(20)) % _U(bits)).astype(np.int64)
 
 
 def _slice(bits: int, least: dict[int, int]):
@@ -142,9 +140,9 @@ def _slice(bits: int, least: dict[int, int]):
             level = np.searchsorted(LEVELS, np.frombuffer(row["counts"], np.int64), side="right")
             enters = level >= least[row["n"]]
             grams, level = grams[enters], level[enters]
-            for j in range(1, int(level.max(initial=0)) + 1):
-                for place in _places(grams[level >= j], j, bits):
-                    out[place] = True
+            for j in range(least[row["n"]], int(level.max(initial=0)) + 1):
+                for i in range(PROBES):
+                    out[_probe(grams[level >= j], j, i, bits)] = True
         return pa.table(
             [pa.array([key[0].as_py() % SLICES], pa.int32()), pa.array([np.packbits(out).tobytes()], pa.binary())],
             names=["slice", "bits"],
@@ -164,7 +162,8 @@ def _either(key, table):
 class Filter:
     """The whole filter in a worker."""
 
-    def __init__(self, bits: int, data: np.ndarray, n_tokens: int, n_distinct: int, n_texts: int):
+    def __init__(self, bits: int, data: np.ndarray, n_tokens: int, n_distinct: int, n_texts: int, least: dict[int, int]):
+        self.least = least
         self.bits, self.data = bits, data  # data: one row per slice
         self.n_tokens, self.n_distinct, self.n_texts = n_tokens, n_distinct, n_texts
 
@@ -174,15 +173,13 @@ class Filter:
         own = grams ^ _SALTS[order - 1]
         level = np.zeros(len(grams), np.int64)
         live = np.arange(len(grams))
-        for j in range(1, len(LEVELS) + 1):
+        for j in range(self.least[order], len(LEVELS) + 1):
             if not len(live):
                 break
             there = live
             keys = own[live]
             for i in range(PROBES):
-                base = mix(keys ^ (_U(j) * _SALTS[2]))
-                step = mix(keys + _U(j) * _SALTS[3]) | _U(1)
-                place = (((base + _U(i) * step) >> _U(20)) % _U(self.bits)).astype(np.int64)
+                place = _probe(keys, j, i, self.bits)
                 hit = (self.data[bucket[there], place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
                 there, keys = there[hit], keys[hit]
                 if not len(there):
@@ -213,9 +210,10 @@ def build_filter(counts: DataFrame, levels: dict, n_tokens: int, n_distinct: int
     room = filter_bytes * 8 // BITS_PER_ENTRY
     least, taken = {}, 0
     for n, limit in ((1, room // 2), (2, room)):
-        entries = levels[n] * np.arange(len(levels[n]))
-        least[n] = next(j for j in range(1, len(entries) + 1) if taken + int(entries[j:].sum()) <= limit)
-        taken += int(entries[least[n] :].sum())
+        # An n-gram of level k enters k - j + 1 times when j is the least level.
+        entries = [int((levels[n][j:] * np.arange(1, len(levels[n]) - j + 1)).sum()) for j in range(len(levels[n]) + 1)]
+        least[n] = next(j for j in range(1, len(entries)) if taken + entries[j] <= limit)
+        taken += entries[least[n]]
     bits = filter_bytes * 8 // SLICES
     parts = counts.select("bucket", "n", "grams", "counts").groupBy("bucket").applyInArrow(
         _slice(bits, least), "slice int, bits binary"
@@ -224,7 +222,7 @@ def build_filter(counts: DataFrame, levels: dict, n_tokens: int, n_distinct: int
     data = np.zeros((SLICES, bits // 8), np.uint8)
     for row in made:
         data[row["slice"]] = np.frombuffer(row["bits"], np.uint8)
-    return Filter(bits, data, n_tokens, n_distinct, n_texts)
+    return Filter(bits, data, n_tokens, n_distinct, n_texts, least)
 
 
 def log_probabilities(model: Filter, tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -247,7 +245,7 @@ def log_probabilities(model: Filter, tokens: np.ndarray, counts: np.ndarray) ->
     of_pair = model.levels(grams, 2)
     seen = np.where(of_pair > 0, LEVELS[np.maximum(of_pair - 1, 0)], 0)[place]
     seen = np.minimum(seen, np.minimum(most[own], most[prior]))
-    share = np.clip(_RARE + (_OFTEN - _RARE) * (level[prior] - 4) / 20, _RARE, _OFTEN)
+    share = np.clip(_RARE + (_OFTEN - _RARE) * (level[prior] - 1) / 27, _RARE, _OFTEN)
     share = np.where(most[prior] > 0, share, 0.0)
     relative = np.where(most[prior] > 0, seen / np.maximum(most[prior], 1), 0.0)
     return np.log10(share * relative + (1 - share) * plain)
