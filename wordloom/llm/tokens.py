@@ -72,16 +72,18 @@ class Encoder:
         self.used = 0
 
     def _learn(self, chunks: list[str]) -> None:
-        encoded = [e.ids for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
-        sizes = np.array([len(e) for e in encoded], np.int64)
-        n, total = len(self.known), int(sizes.sum())
+        # One call for all: chunks go in as words of one text, which are never merged.
+        encoded = self.tokenizer.encode(chunks, is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(encoded.ids, np.uint32)
+        sizes = np.bincount(np.array(encoded.word_ids, np.int64), minlength=len(chunks))
+        n, total = len(self.known), len(ids)
         while len(self.first) < n + len(chunks):
             self.first, self.count = (np.concatenate((x, np.zeros_like(x))) for x in (self.first, self.count))
         while len(self.ids) < self.used + total:
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
         self.first[n : n + len(chunks)] = self.used + np.cumsum(sizes) - sizes
         self.count[n : n + len(chunks)] = sizes
-        self.ids[self.used : self.used + total] = [i for e in encoded for i in e]
+        self.ids[self.used : self.used + total] = ids
         self.used += total
         self.known.update(zip(chunks, range(n, n + len(chunks)), strict=True))
 
