@@ -287,3 +287,46 @@ SELECT 'Spiegel' AS media, date '2024-01-15' AS date, 'Nr. ' || doc_id AS title,
        'homepage' AS rubric, 'https://www.example.org/' || source || '/' || doc_id AS url,
        lang = 'fr' AS paywall, length(text)::BIGINT AS num_characters, text
 FROM articles"""
+
+
+MEDIA_NAMES = tuple(wl.MEDIA_RULES)
+
+
+def _around(path) -> tuple[str, str]:
+    """Markup that opens and closes the elements of a path."""
+    opened, closed = "", ""
+    for step in path:
+        tag = step.tag or "div"
+        opened += f"<{tag}" + (f' {step.attribute}="{step.value}"' if step.test else "") + ">"
+        closed = f"</{tag}>" + closed
+    return opened, closed
+
+
+def media_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages of all media in turn, each in the markup its rule reads; every third one
+    behind a paywall. One in nine belongs to a medium without a rule."""
+    d = table(spark, sf_dir, "documents")
+    escaped = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    lines = F.filter(F.split(escaped, "\n"), lambda line: line != "")
+    closed = F.col("doc_id") % 3 == 0
+    html, url = F.lit(""), F.concat(F.lit("https://www.example.org/"), F.col("doc_id"))
+    for n, name in enumerate(MEDIA_NAMES):
+        rule = wl.MEDIA_RULES[name]
+        (t0, t1), (p0, p1) = _around(rule.title), _around(rule.text)
+        page = F.concat(
+            F.lit(f"<html><body>{t0}Nr. "), F.col("doc_id"), F.lit(t1),
+            F.array_join(F.transform(lines, partial(_wrapped, p0, p1)), ""),
+        )
+        if rule.paywall:
+            mark = "x".join(_around(rule.paywall))
+            page = F.when(closed, F.concat(page, F.lit(mark))).otherwise(page)
+        html = F.when(F.col("doc_id") % 9 == n, F.concat(page, F.lit("</body></html>"))).otherwise(html)
+        if rule.paywall_query:
+            here = (F.col("doc_id") % 9 == n) & closed
+            url = F.when(here, F.concat(url, F.lit(f"?{rule.paywall_query}"))).otherwise(url)
+    media = F.get(F.array(*[F.lit(n) for n in MEDIA_NAMES], F.lit("Other")), (F.col("doc_id") % 9).cast("int"))
+    return d.select(media.alias("media"), url.alias("url"), html.alias("html"))
+
+
+def _wrapped(before: str, after: str, line):
+    return F.concat(F.lit(before), line, F.lit(after))

@@ -14,6 +14,7 @@ from .inputs import (
     LEXICON,
     LIMITS,
     MEDIA,
+    MEDIA_NAMES,
     MERGE,
     RAW_DOCS,
     REMOVE,
@@ -589,6 +590,18 @@ SELECT * FROM (
          {_strip(f"array_to_string({_TEXT_PARTS}, ' ')")} AS text
   FROM pages WHERE regexp_matches({_TEXT_PARTS}[1], '[{W}]')
 ) WHERE length(text) > 50""",
+    "media_articles": f"""
+SELECT media, 'https://www.example.org/' || doc_id
+         || CASE WHEN media = 'Sueddeutsche' AND doc_id % 3 = 0 THEN '?reduced=true' ELSE '' END AS url,
+       'example' AS website, CASE WHEN media <> 'Bild' THEN 'homepage' END AS rubrics,
+       CASE WHEN media <> 'Bild' THEN doc_id % 3 = 0 AND media <> 'Elpais' END AS paywall,
+       'Nr. ' || doc_id AS title,
+       array_to_string(list_filter(string_split(text, chr(10)), lambda x: x <> ''), '|') AS text
+FROM (SELECT *, ([{sql_list(MEDIA_NAMES)}])[1 + doc_id % 9] AS media FROM documents)
+WHERE media IS NOT NULL""",
+    "pages_without_rule": """
+SELECT 'Other' AS media, 'https://www.example.org/' || doc_id AS url, 'no rule' AS reject_reason
+FROM documents WHERE doc_id % 9 = 8""",
     "website_names": f"SELECT page_id, {_SITE} AS website FROM pages",
     "topic_keywords": _with(TOPICS, "SELECT topic, word AS keyword FROM topic_words"),
     "topic_hits": _with(TOPICS, "SELECT * FROM hits"),

@@ -486,6 +486,26 @@ def page_articles(spark, sf_dir):
     return wl.assemble_articles(items, "2024-01-15").select("website", "url", "title", "text")
 
 
+@query
+def media_articles(spark, sf_dir):
+    """All media rules, each on pages in its own markup."""
+    items = wl.extract_articles(i.media_pages(spark, sf_dir))
+    return items.select(
+        "media",
+        "url",
+        "website",
+        "rubrics",
+        "paywall",
+        F.array_join("title", "|").alias("title"),
+        F.array_join("text", "|").alias("text"),
+    )
+
+
+@query
+def pages_without_rule(spark, sf_dir):
+    return wl.pages_without_rule(i.media_pages(spark, sf_dir))
+
+
 @query
 def website_names(spark, sf_dir):
     return i.table(spark, sf_dir, "pages").select(

@@ -24,7 +24,14 @@ from .operators.index import (
     remove_blacklisted,
     select_word_index,
 )
-from .operators.pages import MEDIA_RULES, MediaRule, Step, extract_articles, extract_links
+from .operators.pages import (
+    MEDIA_RULES,
+    MediaRule,
+    Step,
+    extract_articles,
+    extract_links,
+    pages_without_rule,
+)
 from .operators.sentiment import (
     prepare_sentiment_source,
     rescale_sentiment_list,
@@ -73,6 +80,7 @@ __all__ = [
     "map_lexicon",
     "media_language",
     "merge_words",
+    "pages_without_rule",
     "parse_article_lines",
     "prepare_docs",
     "prepare_sentiment_source",

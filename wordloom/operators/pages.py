@@ -291,6 +291,18 @@ def _with_media(
     return pages.where(F.col("media").isin(list(rules)))
 
 
+def pages_without_rule(
+    pages: DataFrame, rules: dict[str, MediaRule] | None = None, media: Column | str | None = None
+) -> DataFrame:
+    """Pages that no rule can read: media, url, reject_reason."""
+    rules = MEDIA_RULES if rules is None else rules
+    if media is not None:
+        pages = pages.withColumn("media", F.lit(media) if isinstance(media, str) else media)
+    require_columns(pages, ["url", "media"], "pages")
+    known = F.coalesce(F.col("media").isin(list(rules)), F.lit(False))
+    return pages.where(~known).select("media", "url", F.lit("no rule").alias("reject_reason"))
+
+
 def extract_articles(
     pages: DataFrame, rules: dict[str, MediaRule] | None = None, media: Column | str | None = None
 ) -> DataFrame:
