@@ -17,7 +17,8 @@ from .words import hash_spans, mix, seeds, text_bytes, word_spans
 from .words import _LOWER
 
 BITS = 20
-PREFIXES = (4, 5, 6)
+PENALTY = 1.0
+PREFIXES = (3, 4, 5, 6, 7, 8)
 _U = np.uint64
 
 
@@ -26,15 +27,15 @@ class Chain:
     """Features of the words of some texts."""
 
     features: np.ndarray  # places in the weight table, one row per kind of feature
-    own: int  # the first rows: features of the word itself; the rest are its neighbours'
     first: np.ndarray  # True at a text's first word
     counts: np.ndarray  # words of each text
     starts: np.ndarray  # bytes from the start of its text
     ends: np.ndarray
+    around: np.ndarray  # hash of the words before and after
 
 
 def chain(texts: pa.Array) -> Chain:
-    """Hashed features: the word, its first 4, 5 and 6 bytes, and the words before and after."""
+    """Hashed features: the word and its first 3 to 8 bytes; neighbours count through the chain."""
     data, bounds = text_bytes(texts)
     low = _LOWER[data]
     starts, ends = word_spans(low, bounds)
@@ -42,19 +43,16 @@ def chain(texts: pa.Array) -> Chain:
     counts = np.diff(at)
     first = np.zeros(len(starts), bool)
     first[at[:-1][counts > 0]] = True
-    salts = seeds(len(PREFIXES) + 3, 4242)
+    salts = seeds(len(PREFIXES) + 1, 4242)
     word = hash_spans(low, starts, ends)
     kinds = [word ^ salts[0]]
     for j, n in enumerate(PREFIXES):
         kinds.append(hash_spans(low, starts, np.minimum(ends, starts + n)) ^ salts[1 + j])
-    before, after = np.zeros_like(word), np.zeros_like(word)
-    before[1:] = word[:-1]
-    before[first] = 0
-    after[:-1] = np.where(first[1:], _U(0), word[1:])
-    kinds += [before ^ salts[-2], after ^ salts[-1]]
     places = np.stack([(mix(k) >> _U(64 - BITS)).astype(np.int32) for k in kinds]) if len(word) else np.zeros((len(kinds), 0), np.int32)
     base = np.repeat(bounds[:-1], counts)
-    return Chain(places, 1 + len(PREFIXES), first, counts, starts - base, ends - base)
+    before, after = np.zeros_like(word), np.zeros_like(word)
+    before[1:], after[:-1] = np.where(first[1:], _U(0), word[:-1]), np.where(first[1:], _U(0), word[1:])
+    return Chain(places, first, counts, starts - base, ends - base, mix(before * salts[0] + after))
 
 
 @dataclass
@@ -140,29 +138,37 @@ def document_scores(model: Model, p: np.ndarray, counts: np.ndarray) -> np.ndarr
 
 
 def word_labels(chains: list[Chain], toxic: np.ndarray, ratio: float = 40.0, least: int = 4) -> list[np.ndarray]:
-    """Labels of words from labels of texts: 1 in a toxic text for a word of which a feature of its own
-    is at least ``ratio`` times as frequent among toxic texts as among others."""
+    """Labels of words from labels of texts: 1 in a toxic text for a word of which a feature is at least
+    ``ratio`` times as frequent in toxic texts as in others.
+
+    A feature counts once for each pair of words that it stands between, so copies of a text, near
+    ones too, do not make its words toxic.
+    """
+    texts = np.concatenate([np.repeat(np.arange(len(c.counts)), c.counts) + at for c, at in zip(chains, _starts(chains), strict=True)])
+    label = toxic[texts].astype(bool)
+    around = np.concatenate([c.around for c in chains])
     seen = np.zeros((2, 1 << BITS))
-    at = 0
-    for c in chains:
-        text = np.repeat(np.arange(len(c.counts)), c.counts)
-        label = toxic[at : at + len(c.counts)]
-        for line in c.features[: c.own]:
-            pair = np.unique(text.astype(np.int64) << BITS | line)
-            place, which = pair & ((1 << BITS) - 1), label[pair >> BITS]
-            for y in (0, 1):
-                seen[y] += np.bincount(place[which == y], minlength=1 << BITS)
-        at += len(c.counts)
+    for j in range(len(chains[0].features)):
+        line = np.concatenate([c.features[j] for c in chains]).astype(np.int64)
+        for y in (0, 1):
+            own = line[label == y]
+            _, first = np.unique(around[label == y] ^ mix(own.astype(_U)), return_index=True)
+            seen[y] += np.bincount(own[first], minlength=1 << BITS)
     many = np.maximum(np.bincount(toxic.astype(int), minlength=2), 1)
     strong = (seen[1] >= least) & ((seen[1] + 0.5) / many[1] >= ratio * (seen[0] + 0.5) / many[0])
     out, at = [], 0
     for c in chains:
-        label = np.repeat(toxic[at : at + len(c.counts)], c.counts).astype(bool)
-        out.append((label & strong[c.features[: c.own]].any(axis=0)).astype(np.float64))
-        at += len(c.counts)
+        n = c.features.shape[1]
+        out.append((label[at : at + n] & strong[c.features].any(axis=0)).astype(np.float64))
+        at += n
     return out
 
 
+def _starts(chains: list[Chain]) -> list[int]:
+    """Number of texts before each chain."""
+    return np.cumsum([0, *[len(c.counts) for c in chains[:-1]]]).tolist()
+
+
 def fit(chains: list[Chain], toxic: np.ndarray, rounds: int = 40, rate: float = 0.5) -> Model:
     """Maximise the likelihood of the word labels by adaptive gradient steps, then fit the score."""
     model = Model()
@@ -188,7 +194,7 @@ def fit(chains: list[Chain], toxic: np.ndarray, rounds: int = 40, rate: float =
             joint /= joint.sum(axis=0)
             pair = (2 * y[inner - 1] + y[inner]).astype(int)
             small[1:] += np.bincount(pair, minlength=4) - joint.sum(axis=1)
-        gradient -= 1e-2 * model.weights
+        gradient -= PENALTY * model.weights
         squares += (gradient.astype(np.float32)) ** 2
         model.weights += (rate * gradient / np.sqrt(squares)).astype(np.float32)
         small /= n
