@@ -276,3 +276,15 @@ def test_warc_reads_selected_records_only(spark, tmp_path):
     assert all(r.payload.decode() == f"page {r.page_id} " * 30 and r.url == f"http://h/{r.page_id}" for r in got)
     assert list(warc._ranges([(0, 10), (10, 5), (15 + warc.GAP_BYTES + 1, 3)])) == [
         (0, 15, [(0, 10), (10, 5)]), (16 + warc.GAP_BYTES, 19 + warc.GAP_BYTES, [(16 + warc.GAP_BYTES, 3)])]
+
+
+def test_word_labels_ignore_what_only_copies_share():
+    rng = np.random.default_rng(2)
+    plain = lambda: " ".join(f"n{i}" for i in rng.integers(0, 300, 40))
+    copied = "these words stand in one text that was copied often"
+    toxic = [f"{plain()} slur{i % 3} {plain()}" for i in range(60)] + [copied] * 60
+    c = crf.chain(pa.array(toxic + [plain() for _ in range(120)]))
+    labels = crf.word_labels([c], np.repeat([1.0, 0.0], 120))[0]
+    words = " ".join(toxic).split()
+    assert {w for w, y in zip(words, labels, strict=False) if y} == {"slur0", "slur1", "slur2"}
+    assert labels.sum() == 60
