@@ -337,6 +337,8 @@ SELECT md5(text) AS text_id, language, {repaired('text')} AS text FROM (
          row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS i
   FROM documents
 ) WHERE i = 1""",
+    "prepared_counts": """
+SELECT 2 * count(*)::BIGINT AS raw, count(DISTINCT doc_id) AS prepared FROM documents""",
     "unseen_docs": _with(
         DOCS, "SELECT * FROM docs WHERE text_id NOT IN (SELECT doc_id FROM labels)"
     ),

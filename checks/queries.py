@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 import wordloom as wl
 from wordloom.functions import text as tx
@@ -63,6 +63,16 @@ def dedupe_docs(spark, sf_dir):
     return wl.prepare_docs(raw, id_col="hash", order_by=["text_id"])
 
 
+@query
+def prepared_counts(spark, sf_dir):
+    """Documents before and after preparation, the latter observed while they are written."""
+    raw = i.raw_docs(spark, sf_dir)
+    twice = raw.unionByName(raw)
+    seen = Observation()
+    wl.prepare_docs(twice, observation=seen).write.format("noop").mode("overwrite").save()
+    return twice.agg(F.count(F.lit(1)).alias("raw"), F.lit(seen.get["rows"]).alias("prepared"))
+
+
 @query
 def unseen_docs(spark, sf_dir):
     seen = i.table(spark, sf_dir, "labels").select("doc_id")
