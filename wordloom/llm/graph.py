@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..functions.workdir import settle
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    row = edges.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s"),
-    ).first()
-    return row["n"], row["s"]
+def _stored(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges in the shared folder, with their number and a sum of their hashes."""
+    seen = Observation()
+    pair = F.xxhash64("a", "b").cast("decimal(38,0)")
+    edges = settle(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(pair).alias("s")), "edges")
+    return edges, (seen.get["n"], seen.get["s"])
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -26,8 +26,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = edges.where("a is not null and b is not null and a <> b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     )
-    edges = settle(edges.distinct(), "edges")
-    before = _fingerprint(edges)
+    edges, before = _stored(edges.distinct())
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
@@ -37,8 +36,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         lowest = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.where("a <> b").unionByName(lowest.select("a", F.col("m").alias("b")))
-        edges = settle(small.distinct(), "edges")
-        after = _fingerprint(edges)
+        edges, after = _stored(small.distinct())
         if after == before:
             break
         before = after

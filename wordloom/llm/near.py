@@ -31,15 +31,20 @@ from .words import mix, seeds, shingle_sets, slices
 # Similarity as a fraction: 100 * shared >= 75 * union.
 SHARED, UNION = 100, 75
 
-# Rows of the broadcast list of frequent shingles: 8 bytes each.
+# What is broadcast about repeated shingles, whatever the corpus: a list of the most frequent (8 bytes
+# each) and a bit map (16 MB) in which at most one bit in three is set.
 FREQUENT = 1 << 19
+MAP_BITS = 27
+MAP_MOST = (1 << MAP_BITS) * 2 // 5
 
 # Shingles a task looks at together when it counts, and members of one part of a group.
 CHUNK = 2_000_000
 PART = 64
 PARTS_OPENED = 32
 POSTINGS_PER_BUCKET = 500_000
-MINHASHES = 4
+MINHASHES = 8
+EQUAL = 3
+TEXTS_PER_BUCKET = 20_000
 
 
 def prefix_length(n: int) -> int:
@@ -47,69 +52,159 @@ def prefix_length(n: int) -> int:
     return n - -(-UNION * n // SHARED) + 1
 
 
-def _count_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles that several texts of one chunk hold, with their number."""
+LEVELS = np.unique(np.round(2.0 ** (np.arange(2, 120) / 2))).astype(np.int64)  # 2, 3, 4, 6, 8, 11, ...
 
-    def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
-        values, n = np.unique(np.concatenate(parts), return_counts=True)
-        many = n > 1
+
+def _marks(bits: int):
+    """Shingles of a task, each once per chunk, as the 32 bits that follow the bits of their bucket."""
+
+    def packed(parts: list[np.ndarray]) -> pa.RecordBatch:
+        every = np.sort(np.concatenate(parts) >> np.uint64(32 - bits))
+        first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+        n = np.diff(np.append(first, len(every)))
+        every = every[first]
+        cuts = np.searchsorted(every, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(32))
+        low = every.astype(np.uint32)
+        spans = [(k, a, b) for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
+        many = [np.flatnonzero(n[a:b] > 1) + a for _, a, b in spans]
         return pa.RecordBatch.from_arrays(
-            [pa.array(values[many].view(np.int64)), pa.array(n[many].astype(np.int64))],
-            names=["shingle", "n"],
+            [
+                pa.array([k for k, _, _ in spans], pa.int32()),
+                pa.array([low[a:b].tobytes() for _, a, b in spans], pa.binary()),
+                pa.array([low[m].tobytes() for m in many], pa.binary()),
+                pa.array([(n[m] - 1).astype(np.uint32).tobytes() for m in many], pa.binary()),
+            ],
+            names=["bucket", "marks", "again", "times"],
         )
 
-    parts: list[np.ndarray] = []
-    held = 0
-    for batch in batches:
-        for part in slices(batch, "text"):
-            sets = shingle_sets(part.column("text"))
-            parts += sets
-            held += sum(map(len, sets))
-            if held >= CHUNK:
-                yield counted(parts)
-                parts, held = [], 0
-    if held:
-        yield counted(parts)
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[np.ndarray] = []
+        held = 0
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets = shingle_sets(part.column("text"))
+                parts += sets
+                held += sum(map(len, sets))
+                if held >= CHUNK:
+                    yield packed(parts)
+                    parts, held = [], 0
+        if held:
+            yield packed(parts)
 
+    return rows
+
+
+def _repeated(key, table):
+    """The shingles of a bucket that more than one text holds, their numbers, and how many by level."""
+    join = lambda c: np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint32)
+    marks = np.sort(join("marks"))
+    first = np.flatnonzero(np.concatenate(([True], marks[1:] != marks[:-1]))) if len(marks) else np.zeros(0, np.int64)
+    n = np.diff(np.append(first, len(marks)))
+    marks = marks[first]
+    again = join("again")
+    if len(again):
+        n = n + np.bincount(np.searchsorted(marks, again), weights=join("times"), minlength=len(marks)).astype(np.int64)
+    some = n > 1
+    marks, n = marks[some], n[some]
+    levels = np.bincount(np.searchsorted(LEVELS, n, side="right"), minlength=len(LEVELS) + 1)
+    return pa.table(
+        [
+            pa.array([key[0].as_py()], pa.int32()), pa.array([marks.tobytes()], pa.binary()),
+            pa.array([np.minimum(n, 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary()), pa.array([levels.tolist()], pa.list_(pa.int64())),
+        ],
+        names=["bucket", "marks", "counts", "levels"],
+    )
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        columns = (batch.column(c).to_numpy().astype(np.int64).tobytes() for c in ("shingle", "n"))
-        yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in columns], names=["shingle", "n"])
 
+def _map_slices(bits: int, least: int, often: int):
+    """A bucket's slice of the map, and its shingles that go to the list with their counts."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for bucket, marks, counts in zip(*(batch.column(c).to_pylist() for c in ("bucket", "marks", "counts")), strict=True):
+                marks, counts = np.frombuffer(marks, np.uint32), np.frombuffer(counts, np.uint32)
+                width = max(MAP_BITS - bits, 0)
+                held = np.zeros(1 << max(width, 3), bool)
+                held[marks[counts >= least] >> np.uint32(32 - width)] = True
+                top = counts >= often
+                keys = np.uint64(bucket) << np.uint64(32) | marks[top].astype(np.uint64)
+                out.append((bucket, np.packbits(held).tobytes(), keys.tobytes(), counts[top].tobytes()))
+            columns = zip(*out, strict=True)
+            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "held", "keys", "counts"]
+            )
 
-def frequent_shingles(docs: DataFrame) -> np.ndarray:
-    """The most frequent shingles of the whole corpus, rarest first; FREQUENT at most.
+    return rows
 
-    Only their order depends on this list, never a link. Counts by power of two say from which power
-    on all fit, so only those reach the driver, packed.
+
+class Order:
+    """One order of all shingles: those that repeat come last, the most frequent at the very end."""
+
+    def __init__(self, bits: int, held: np.ndarray, keys: np.ndarray, ranks: np.ndarray):
+        self.bits, self.held, self.keys, self.ranks = bits, held, keys, ranks
+
+    def prefix(self, own: np.ndarray) -> np.ndarray:
+        """The first shingles of a sorted set, as many as must be looked up."""
+        n = prefix_length(len(own))
+        slot = (own >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+        repeats = (self.held[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
+        alone = own[~repeats]
+        if len(alone) >= n:
+            return alone[:n]
+        late = own[repeats]
+        rank = np.zeros(len(late), np.int64)
+        if len(self.keys):
+            key = late >> np.uint64(32 - self.bits)
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            rank = np.where(self.keys[at] == key, self.ranks[at], 0)
+        return np.concatenate((alone, late[np.argsort(rank, kind="stable")]))[:n]
+
+
+def shingle_order(docs: DataFrame) -> Order:
+    """Count every shingle of the corpus by bucket and say which repeat.
+
+    Only the order depends on this, never a link. From how many texts on a shingle counts as repeated,
+    and as frequent, follows from the counts of all, so that both fit their bound.
     """
-    counts = docs.select("text").mapInArrow(_count_chunks, "shingle long, n long")
-    counts = settle(counts.groupBy("shingle").agg(F.sum("n").alias("n")), "near-frequent")
-    power = F.floor(F.log2("n") * 2)
-    steps = counts.groupBy(power.alias("power")).agg(F.count(F.lit(1)).alias("m")).collect()
-    least, total = None, 0
-    for step in sorted(steps, key=lambda r: -r["power"]):
-        total += step["m"]
-        if total > FREQUENT:
-            break
-        least = step["power"]
-    if least is None:
-        return np.zeros(0, np.uint64)
-    rows = counts.where(power >= least).mapInArrow(_pack, "shingle binary, n binary").collect()
-    shingle = np.frombuffer(b"".join(r["shingle"] for r in rows), np.int64)
-    n = np.frombuffer(b"".join(r["n"] for r in rows), np.int64)
-    return shingle[np.lexsort((shingle, n))].view(np.uint64)
-
-
-def _describe(ranked):
+    n = docs.count()
+    bits = min(MAP_BITS - 3, max(6, int(np.ceil(np.log2(max(1, n / TEXTS_PER_BUCKET))))))
+    marks = docs.select("text").mapInArrow(_marks(bits), "bucket int, marks binary, again binary, times binary")
+    counts = settle(
+        marks.groupBy("bucket").applyInArrow(_repeated, "bucket int, marks binary, counts binary, levels array<bigint>"),
+        "near-repeated",
+    )
+    totals = np.zeros(len(LEVELS) + 1, np.int64)
+    by_level = counts.select(F.posexplode("levels").alias("level", "m")).groupBy("level").agg(F.sum("m").alias("m"))
+    for row in by_level.collect():
+        totals[row["level"]] = row["m"]
+
+    def from_count(most: int) -> int:
+        level = next(j for j in range(1, len(totals) + 1) if int(totals[j:].sum()) <= most)
+        return int(LEVELS[level - 1]) if level <= len(LEVELS) else 0xFFFFFFFF
+
+    made = counts.select("bucket", "marks", "counts").mapInArrow(
+        _map_slices(bits, from_count(MAP_MOST), from_count(FREQUENT)), "bucket int, held binary, keys binary, counts binary"
+    ).collect()
+    held = np.zeros(1 << (MAP_BITS - 3), np.uint8)
+    width = len(held) >> bits
+    for row in made:
+        held[row["bucket"] * width : (row["bucket"] + 1) * width] = np.frombuffer(row["held"], np.uint8)
+    keys = np.frombuffer(b"".join(r["keys"] for r in made), np.uint64)
+    often = np.frombuffer(b"".join(r["counts"] for r in made), np.uint32)
+    by_key = np.argsort(keys)
+    rank = np.empty(len(keys), np.int64)
+    rank[np.lexsort((keys, often))] = np.arange(1, len(keys) + 1)
+    return Order(bits, held, keys[by_key], rank[by_key])
+
+
+def _describe(shared):
     """Rows of the set table: size, class, min-hashes and prefix of every text."""
     salts = seeds(MINHASHES, 77)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = ranked.value
-        by_value = np.argsort(order)
-        values = order[by_value]
+        order = shared.value
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingle_sets(part.column("text"))
@@ -124,18 +219,8 @@ def _describe(ranked):
                     sid[full] = mix(np.add.reduceat(mix(every ^ seeds(1, 5)[0]), first) + sizes[full].astype(np.uint64))
                     for j in range(MINHASHES):
                         keys[j, full] = np.minimum.reduceat(mix(every ^ salts[j]), first)
-                    if len(values):
-                        at = np.minimum(np.searchsorted(values, every), len(values) - 1)
-                        rank = np.where(values[at] == every, by_value[at] + 1, 0)
-                    else:
-                        rank = np.zeros(len(every), np.int64)
-                    starts = np.cumsum(sizes) - sizes
                     for i in full.tolist():
-                        a, n = int(starts[i]), int(sizes[i])
-                        own = rank[a : a + n]
-                        late = np.flatnonzero(own)
-                        line = np.concatenate((sets[i][own == 0], sets[i][late[np.argsort(own[late])]]))
-                        prefixes[i] = line[: prefix_length(n)].tobytes()
+                        prefixes[i] = order.prefix(sets[i]).tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"), pa.array(sizes), pa.array(sid.view(np.int64)),
@@ -339,12 +424,12 @@ def _links(pairs: DataFrame, members: DataFrame, docs: DataFrame, name: str) ->
     pairs = settle(pairs, f"{name}-pairs")
     n = pairs.groupBy("ga", "pa").agg(F.count(F.lit(1)).alias("c"))
     run = F.pmod(F.xxhash64("gb", "pb"), F.ceil(F.col("c") / PARTS_OPENED)).cast("int")
-    units = settle(pairs.join(n, ["ga", "pa"]).withColumn("run", run), f"{name}-units")
+    units = pairs.join(n, ["ga", "pa"]).withColumn("run", run)
     unit = ["ga", "pa", "run"]
     ends = units.select(*unit, F.lit(0).alias("side"), F.col("ga").alias("gid"), F.col("pa").alias("part")).distinct()
     ends = ends.unionByName(units.select(*unit, F.lit(1).alias("side"), F.col("gb").alias("gid"), F.col("pb").alias("part")))
     placed = settle(ends.join(members, ["gid", "part"]), f"{name}-placed")
-    ids = settle(placed.select("doc_id").distinct(), f"{name}-ids")
+    ids = placed.select("doc_id").distinct()
     texts = docs.select("doc_id", "text").join(_small(ids), "doc_id", "left_semi")
     sets = texts.select("text").mapInArrow(_set_rows, "sid long, shingles binary")
     opened = sets.join(_small(placed.drop("doc_id")), "sid").groupBy(*unit).applyInArrow(_open, "a long, b long")
@@ -361,10 +446,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranked = spark.sparkContext.broadcast(frequent_shingles(docs))
+    order = spark.sparkContext.broadcast(shingle_order(docs))
     keys = [f"k{j}" for j in range(MINHASHES)]
     schema = "doc_id long, n long, sid long, " + ", ".join(f"{k} long" for k in keys) + ", prefix binary"
-    sets = settle(docs.mapInArrow(_describe(ranked), schema), "near-sets")
+    sets = settle(docs.mapInArrow(_describe(order), schema), "near-sets")
     worded = sets.where("n > 0")
     classes = settle(
         worded.groupBy("sid").agg(
@@ -379,11 +464,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.min(F.struct("sid", "n")).alias("head"), F.count(F.lit(1)).alias("c")
     ).where("c > 1")
     fits = SHARED * F.least("n", "head.n") >= UNION * F.greatest("n", "head.n")
-    # Two equal min-hashes of the four are likely for a link; what this leaves out comes later.
+    # So many equal min-hashes are nearly certain for a link; what this leaves out comes later.
     stars = (
         by_key.join(heads, ["j", "key"]).where((F.col("sid") != F.col("head.sid")) & fits)
         .groupBy(F.col("head.sid").alias("ga"), F.col("sid").alias("gb"))
-        .agg(F.count(F.lit(1)).alias("equal")).where("equal > 1")
+        .agg(F.count(F.lit(1)).alias("equal")).where(F.col("equal") >= EQUAL)
         .select("ga", F.lit(0).alias("pa"), "gb", F.lit(0).alias("pb"))
     )
     alone = classes.select(F.col("sid").alias("gid"), F.lit(0).alias("part"), "sid", "doc_id")
