@@ -25,7 +25,8 @@ PROBES = 5
 SLICES = 64
 TEXTS_PER_BUCKET = 20_000
 HEAD = 1 << 19
-CHUNK = 2_000_000
+CHUNK = 1_000_000
+SCORED_BYTES = 1 << 20  # of text scored together: bounds the arrays per token
 FOLDS = 7
 HELD_OUT = 2
 
@@ -276,7 +277,7 @@ def _score(shared):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, head, head_counts = shared.value
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SCORED_BYTES):
                 tokens, counts = with_ends(part.column("text"))
                 text = np.repeat(np.arange(len(counts)), counts)
                 total = np.bincount(text, weights=log_probabilities(model, tokens, counts), minlength=len(counts))
