@@ -1,13 +1,14 @@
 """Near-duplicate documents: exact self-join on 5-word shingle sets with a token-group matrix.
 
 1. Every text becomes a set of 64-bit shingle hashes; equal sets are one *class*.
-2. Classes that share a min-hash are compared with the smallest class of that min-hash; verified
-   links merge into *groups* of similar documents, cut into parts of bounded size.
+2. Classes that share min-hashes are compared with the smallest class of a min-hash. Verified links
+   merge into *groups* whose members need no more comparison; similar classes without a link form
+   groups too. Groups are cut into parts of bounded number and like sizes.
 3. The token-group matrix has a cell (shingle, part) for each shingle in the union of the members'
    *prefixes*: under one order of all shingles, two sets with a Jaccard index of at least T share one
    of their first n - ceil(T n) + 1 shingles. Frequent shingles come last in the order, so passages
    that many documents share are rarely in a prefix. Any order gives the same links.
-4. Parts of different groups that meet in cells are candidates when their sizes, and for lone sets
+4. Parts that meet in cells, unless linked already, are candidates when their sizes, and for lone sets
    the number of common cells and what follows the last of them, allow a link. For each set of
    the one part its overlap with the other's whole union is then counted; only where that reaches
    T of its own size is the other part opened and every member compared exactly.
@@ -262,7 +263,7 @@ def _cells(buckets: int):
     """Cells of the matrix that a task fills, each once, packed by bucket of the shingle.
 
     A set alone in its group brings its size and the shingle's place in the prefix; a part of a larger
-    group only minus its size band and its number.
+    group only minus its size band and its number. Odd group ids mean that all members are linked.
     """
 
     def packed(held: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -326,7 +327,7 @@ _PAIR = ["ga", "gb", "sa", "sb", "pa", "pb"]
 
 
 def _candidates(key, table):
-    """Pairs of parts of different groups that meet in cells: number of cells and last places."""
+    """Pairs of parts that meet in cells and are not known to be linked: number of cells, last places."""
     join = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
     columns, new = _unique([join("shingles", np.uint64), join("groups", np.int64), join("sizes", np.int32), join("spots", np.int32)])
     shingle, group, size, spot = (c[new] for c in columns)
@@ -352,7 +353,7 @@ def _candidates(key, table):
 
     for length in np.unique(lengths[lengths > 1]).tolist():
         for i, j in _meeting(length, cuts[:-1][lengths == length]):
-            fits = (group[i] != group[j]) & (np.abs(band[i] - band[j]) <= 1)
+            fits = ((group[i] != group[j]) | (group[i] & 1 == 0)) & (np.abs(band[i] - band[j]) <= 1)
             both = single[i] & single[j]
             small, large = np.minimum(size[i], size[j]).astype(np.int64), np.maximum(size[i], size[j])
             fits &= ~both | (SHARED * small >= UNION * large)
@@ -384,30 +385,45 @@ def _may_link() -> Column:
 
 
 def _open(key, table):
-    """Links between one part and others; another part is opened only when its union allows it."""
-    left, right = {}, {}
+    """Links between one part and others; another part is opened only when its union allows it.
+
+    The others' shingles form two inverted lists, of parts and of members. A query counts its shingles
+    in each part's union first, then in the members of the parts that qualify.
+    """
+    left: dict[int, np.ndarray] = {}
+    right: dict[tuple, np.ndarray] = {}
     columns = (table.column(c).to_pylist() for c in ("side", "gid", "part", "sid", "shingles"))
     for side, gid, part, sid, data in zip(*columns, strict=True):
-        own = np.frombuffer(data, np.uint64)
-        if side:
-            right.setdefault((gid, part), {})[sid] = own
-        else:
-            left[sid] = own
-    found: list[tuple[int, int]] = []
-    for members in right.values():
-        union = next(iter(members.values())) if len(members) == 1 else np.unique(np.concatenate(list(members.values())))
-        for sid, own in left.items():
-            at = np.minimum(np.searchsorted(union, own), len(union) - 1)
-            shared = own[union[at] == own]
-            if SHARED * len(shared) < UNION * len(own):
-                continue
-            for other, theirs in members.items():
-                at = np.minimum(np.searchsorted(theirs, shared), len(theirs) - 1)
-                both = int((theirs[at] == shared).sum())
-                if SHARED * both >= UNION * (len(own) + len(theirs) - both):
-                    found.append((sid, other))
-    a, b = zip(*found, strict=True) if found else ((), ())
-    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        (right if side else left)[(gid, part, sid) if side else sid] = np.frombuffer(data, np.uint64)
+    empty = pa.table([pa.array([], pa.int64())] * 2, names=["a", "b"])
+    if not left or not right:
+        return empty
+    names = list(right)
+    number = {k: n for n, k in enumerate(dict.fromkeys(k[:2] for k in names))}
+    part_of = np.array([number[k[:2]] for k in names])
+    sids = np.array([k[2] for k in names], np.int64)
+    sizes = np.array([len(right[k]) for k in names])
+    tokens = np.concatenate([right[k] for k in names])
+    member = np.repeat(np.arange(len(names)), sizes)
+    order = np.argsort(tokens, kind="stable")
+    tokens, member = tokens[order], member[order]
+    found_a, found_b = [], []
+    for sid, own in left.items():
+        low, high = np.searchsorted(tokens, own), np.searchsorted(tokens, own, side="right")
+        n = high - low
+        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+        which = np.repeat(np.arange(len(own)), n)
+        # Each shingle once per part: the overlap with the part's union.
+        cells = np.unique(which * len(number) + part_of[member[at]])
+        overlap = np.bincount(cells % len(number), minlength=len(number))
+        opened = SHARED * overlap >= UNION * len(own)
+        hits = member[at]
+        hits = hits[opened[part_of[hits]]]
+        both = np.bincount(hits, minlength=len(names))
+        linked = (SHARED * both >= UNION * (len(own) + sizes - both)) & (sids != sid)
+        found_b.append(sids[linked])
+        found_a.append(np.full(int(linked.sum()), sid, np.int64))
+    return pa.table([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], names=["a", "b"])
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -465,22 +481,38 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ).where("c > 1")
     fits = SHARED * F.least("n", "head.n") >= UNION * F.greatest("n", "head.n")
     # So many equal min-hashes are nearly certain for a link; what this leaves out comes later.
-    stars = (
+    stars = settle(
         by_key.join(heads, ["j", "key"]).where((F.col("sid") != F.col("head.sid")) & fits)
         .groupBy(F.col("head.sid").alias("ga"), F.col("sid").alias("gb"))
         .agg(F.count(F.lit(1)).alias("equal")).where(F.col("equal") >= EQUAL)
-        .select("ga", F.lit(0).alias("pa"), "gb", F.lit(0).alias("pb"))
+        .select("ga", F.lit(0).alias("pa"), "gb", F.lit(0).alias("pb"), "equal"),
+        "near-stars",
     )
     alone = classes.select(F.col("sid").alias("gid"), F.lit(0).alias("part"), "sid", "doc_id")
-    first = _links(stars, alone, docs, "near-star")
+    first = _links(stars.drop("equal"), alone, docs, "near-star")
     groups = settle(connected_components(first), "near-groups")
 
-    # Parts of bounded size, then the matrix.
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("c"))
-    parts = groups.join(sizes, "component").select(
-        F.col("node").alias("sid"),
-        F.col("component").alias("gid"),
-        F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / PART)).cast("int").alias("part"),
+    # Similar classes without a link form groups as well, around the class they resemble most.
+    nearest = F.max_by("ga", F.struct("equal", -F.col("ga"))).alias("head")
+    loose = stars.join(groups, stars.gb == groups.node, "left_anti").groupBy(F.col("gb").alias("sid")).agg(nearest)
+    centres = loose.select(F.col("head").alias("sid"), "head").distinct()
+    centres = centres.join(groups, centres.sid == groups.node, "left_anti").join(loose.select("sid"), "sid", "left_anti")
+    even = F.lit(-2)  # the last bit says whether the members are linked
+    grouped = groups.select(
+        F.col("node").alias("sid"), F.xxhash64("component").bitwiseAND(even).bitwiseOR(F.lit(1)).alias("gid")
+    ).unionByName(
+        loose.unionByName(centres).select("sid", F.xxhash64("head", F.lit("similar")).bitwiseAND(even).alias("gid"))
+    )
+    # Parts of bounded number and like sizes, then the matrix.
+    banded = grouped.join(classes.select("sid", "n"), "sid").withColumn(
+        "band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.34))).cast("int")
+    )
+    sizes = banded.groupBy("gid", "band").agg(F.count(F.lit(1)).alias("c"))
+    # A similar class alone in its band is a lone set like any other.
+    shared = sizes.where("c > 1 or gid % 2 <> 0")
+    parts = banded.join(shared, ["gid", "band"]).select(
+        "sid", "gid",
+        (F.col("band") * (1 << 24) + F.pmod(F.xxhash64("sid"), F.ceil(F.col("c") / PART))).cast("int").alias("part"),
     )
     parts = settle(parts, "near-parts-of-groups")
     cells = worded.select("sid", "n", "prefix").join(parts, "sid", "left").select(
@@ -495,7 +527,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         )
         .groupBy(*_PAIR).agg(F.sum("cells").alias("cells"), F.max("la").alias("la"), F.max("lb").alias("lb"))
     )
-    pairs = met.where(_may_link()).select("ga", "pa", "gb", "pb").distinct()
+    inside = parts.where("gid % 2 = 0").groupBy("gid", "part").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    inside = inside.select(F.col("gid").alias("ga"), F.col("part").alias("pa"), F.col("gid").alias("gb"), F.col("part").alias("pb"))
+    pairs = met.where(_may_link()).select("ga", "pa", "gb", "pb").distinct().unionByName(inside)
     members = classes.join(parts, "sid", "left").select(
         F.coalesce("gid", "sid").alias("gid"), F.coalesce("part", F.lit(0)).alias("part"), "sid", "doc_id"
     )
