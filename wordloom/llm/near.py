@@ -33,9 +33,9 @@ from .words import mix, seeds, shingle_sets, slices
 SHARED, UNION = 100, 75
 
 # What is broadcast about repeated shingles, whatever the corpus: a list of the most frequent (8 bytes
-# each) and a bit map (16 MB) in which at most one bit in three is set.
+# each) and a bit map (8 MB) in which at most one bit in three is set.
 FREQUENT = 1 << 19
-MAP_BITS = 27
+MAP_BITS = 26
 MAP_MOST = (1 << MAP_BITS) * 2 // 5
 
 # Shingles a task looks at together when it counts, and members of one part of a group.
@@ -466,6 +466,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     keys = [f"k{j}" for j in range(MINHASHES)]
     schema = "doc_id long, n long, sid long, " + ", ".join(f"{k} long" for k in keys) + ", prefix binary"
     sets = settle(docs.mapInArrow(_describe(order), schema), "near-sets")
+    order.destroy()  # the sets are stored; nothing needs it again, on the driver neither
     worded = sets.where("n > 0")
     classes = settle(
         worded.groupBy("sid").agg(
