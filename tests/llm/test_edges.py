@@ -1,5 +1,7 @@
 """NULLs, empty and long texts, ties, repeated rows, empty tables and extra columns for every operator."""
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wordloom.llm import crf, exact, mixing, near, ngrams, packing, resampling, search, tokenfiles, toxicity, warc
 from wordloom.llm.graph import connected_components
+from wordloom.llm.tokens import END_ID, Encoder, default_path
 
 SCHEMA = "doc_id long, text string, source string, n int, sid long, gid long, key long, size long, bucket int, place int, component_id long, __id long"
 LONG = " ".join(f"w{i % 977}" for i in range(30_000))
@@ -130,6 +133,18 @@ def test_packing(docs, none):
     assert packing.pack_documents(none).count() == 0
 
 
+def test_packing_and_token_files_of_texts_with_blank_lines(spark):
+    texts = ["a\n\nb", "a\n\n\n\nb", "end.\n\nThe next", "a\n\n", "b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    encoder = Encoder(default_path())
+    ids = [[*encoder.tokenizer.encode(t, add_special_tokens=False).ids, END_ID] for t in texts]
+    crc = [zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids]
+    want = [(n, len(x), c) for n, (x, c) in enumerate(zip(ids, crc, strict=True))]
+    assert rows_of(packing.pack_documents(df), "doc_id", "length", "ids_crc32") == want
+    want = [(n, sum(map(len, ids[:n])), len(x), c) for n, (x, c) in enumerate(zip(ids, crc, strict=True))]
+    assert rows_of(tokenfiles.round_trip(df), "doc_id", "start", "n_tokens", "ids_crc32") == want
+
+
 def test_open_bins_take_the_best_and_close_the_fullest():
     bins = packing.OpenBins(10, 2)
     assert [bins.place(n) for n in (6, 7)] == [(0, 0), (1, 0)]  # 4 and 3 places left

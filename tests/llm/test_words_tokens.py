@@ -60,6 +60,18 @@ def test_encoder_gives_the_tokenizers_ids():
             assert ids[end - n : end].tolist() == encoder.tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
+def test_encoder_gives_the_tokenizers_ids_at_blank_lines():
+    random.seed(3)
+    texts = ["a\n\nb", "a\n\n\n\nb", "end.\n\nThe next", "a\n\n", "b\n", "\nc", "\n\nc", "a\r\n\r\nb", "a \n\t\nb", "\xa0\nb", "a\n \n b", "\n\n", "x", "<|endoftext|>\n\n", "y"]
+    pieces = ["a", "1", "The", " ", "\n", "\n\n", "\n", "\t", "\r\n", "\x0b", ".", "'s", "é", "×", "\xa0", "\u2003", "日", "\x85"]
+    texts += ["".join(random.choices(pieces, k=random.randrange(12))) for _ in range(20_000)]
+    encoder = Encoder(default_path())
+    ids, counts = encoder.encode(pa.array(texts))
+    ends = np.cumsum(counts)
+    for text, end, n in zip(texts, ends, counts, strict=True):
+        assert ids[end - n : end].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 @pytest.mark.parametrize("n", [1, 2, 100, 8192, 8193, 40_000])
 def test_codec_round_trip(n):
     rng = np.random.default_rng(n)

@@ -2,9 +2,10 @@
 
 Whatever stands around, the byte-level BPE splits a text before a blank that follows a character
 other than white space, between a letter or digit and ASCII punctuation or a line break after it, and
-between a line break and a letter or digit after it. Texts are cut there (only where the characters
-are sure to be of these kinds; cutting less never changes the ids), equal chunks of a slice are
-found by Arrow, and only chunks that are not in a bounded cache reach the tokenizer.
+before and after a line break that a letter or digit follows (white space before that break is a word
+of its own, without it). Texts are cut there (only where the characters are sure to be of these kinds;
+cutting less never changes the ids), equal chunks of a slice are found by Arrow, and only chunks
+that are not in a bounded cache reach the tokenizer.
 """
 
 from __future__ import annotations
@@ -41,7 +42,10 @@ def _cuts(data: np.ndarray, bounds: np.ndarray, whole: np.ndarray) -> np.ndarray
     word = _WORD[before] | (latin & (before != 0x97) & (before != 0xB7))
     visible = ((before > 32) & (before < 128)) | latin
     cut = np.zeros(len(data) + 1, bool)
-    cut[1:-1] = ((here == 32) & visible) | (word & _MARK[here]) | (_BREAK[before] & _WORD[here])
+    last = _BREAK[before] & _WORD[here]  # the last of a run of white space
+    last[bounds[(bounds > 0) & (bounds < len(data))] - 1] = False  # a run at a text's end stays whole
+    cut[1:-1] = ((here == 32) & visible) | (word & _MARK[here]) | last
+    cut[:-2] |= last
     for i in whole.tolist():
         cut[bounds[i] : bounds[i + 1]] = False
     cut[bounds] = True
