@@ -241,6 +241,17 @@ def test_filter_counts(spark):
     assert (ngrams.LEVELS[want - 1] <= np.unique(tokens, return_counts=True)[1]).all()
 
 
+def test_scores_do_not_depend_on_the_size_of_the_broadcast_filter(docs):
+    """What the broadcast has no room for is found in the rest of the filter; a bucket apart, false hits differ."""
+    score = lambda size: {r[0]: (r[1], r[2]) for r in rows_of(ngrams.score_documents(docs, filter_bytes=size), "doc_id", "score", "n_tokens")}
+    want = score(ngrams.FILTER_BYTES)
+    for size in (1 << 9, 1 << 12, 1 << 14):
+        got = score(size)
+        assert got.keys() == want.keys()
+        for i, (value, n) in want.items():
+            assert got[i][0] / n == pytest.approx(value / n, abs=0.1), (size, i)
+
+
 def test_resampling(docs, none):
     labels = docs.select("doc_id", F.lit(1).alias("quality"))
     assert resampling.quality_sample(docs, labels).count() == len(ROWS)
