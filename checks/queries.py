@@ -769,8 +769,11 @@ def cut_words(spark, sf_dir):
     return spark.read.parquet(path).select(*TEXT_WORDS.names)
 
 
+ARTICLE_FILE_BYTES = 8 << 20  # about so much text in one array
+
+
 def _article_files(spark, sf_dir):
-    """One JSON array per source; the file of src7 is cut off."""
+    """JSON arrays of a bounded size, as many as a source needs; the files of src7 are cut off."""
     path = new_path(spark, "articles")
     record = F.struct(
         F.col("source").alias("media"),
@@ -782,12 +785,19 @@ def _article_files(spark, sf_dir):
         F.lit(False).alias("paywall"),
         F.col("text"),
     )
-    files = i.table(spark, sf_dir, "documents").groupBy("source").agg(
+    docs = i.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    # 200 bytes for what an article has besides its text.
+    size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 200)
+    blocks = docs.groupBy(F.col("source").alias("of")).agg(F.ceil(size / ARTICLE_FILE_BYTES).alias("blocks"))
+    # By row number, not by id: rows with one id or none spread as well.
+    dealt = docs.withColumn("row", F.monotonically_increasing_id()).join(blocks, F.col("source").eqNullSafe(F.col("of")))
+    files = dealt.groupBy("source", F.pmod(F.xxhash64("row"), "blocks").alias("block")).agg(
         F.to_json(F.collect_list(record)).alias("value")
-    )
+    ).drop("block")
     cut = F.when(F.col("source") == "src7", F.substring("value", F.lit(1), F.length("value") - 2))
     files = files.withColumn("value", F.coalesce(cut, "value"))
-    files.write.partitionBy("source").option("lineSep", "\n").text(path)
+    # One array is one file.
+    files.write.partitionBy("source").option("lineSep", "\n").option("maxRecordsPerFile", 1).text(path)
     return readers.read_article_files(spark, path)
 
 
@@ -799,7 +809,7 @@ def article_files(spark, sf_dir):
 @query
 def article_file_rejects(spark, sf_dir):
     rejects = _article_files(spark, sf_dir)[1]
-    return rejects.select(F.regexp_extract("file", "source=([a-z0-9]+)", 1).alias("source"), "reject_reason")
+    return rejects.select(F.regexp_extract("file", "source=([a-z0-9]+)", 1).alias("source"), "reject_reason").distinct()
 
 
 @query

@@ -1,6 +1,8 @@
 import datetime
 import json
+from pathlib import Path
 
+from checks import queries
 from wordloom import schemas
 from wordloom.sources import readers, writers
 
@@ -25,6 +27,20 @@ def test_article_array_files(spark, tmp_path):
     assert got.columns == schemas.ARTICLES.names
 
 
+def test_article_files_do_not_grow_with_a_source(spark, tmp_path, monkeypatch):
+    """A source that holds most of the rows, all with one id or none, makes many files of a bounded size."""
+    docs = [(1 if n % 2 else None, "hot", f"{n} " + "x" * 1000) for n in range(400)] + [(n, "src7", "y" * 1000) for n in range(100)]
+    spark.createDataFrame([*docs, (5, None, None)], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(queries, "ARTICLE_FILE_BYTES", 20_000, raising=False)
+    got = queries.article_files(spark, str(tmp_path))
+    sizes = [len(Path(f.removeprefix("file:")).read_bytes()) for f in got.inputFiles()]
+    assert len(sizes) > 20 and max(sizes) < 60_000
+    hot = sorted(r.text for r in got.where("media = 'hot'").collect())
+    assert hot == sorted(d[2] for d in docs if d[1] == "hot")
+    assert got.count() == 401
+    assert rows(queries.article_file_rejects(spark, str(tmp_path))) == [("src7", "malformed JSON")]
+
+
 def test_csv_forms(spark, tmp_path):
     (tmp_path / "words.csv").write_text("text_id,language,type,word,count\n1,DE,PROPN,Grüße,3\n2,DE,PROPN,b,1\n")
     (tmp_path / "docs.tsv").write_text("text_id\tlanguage\ttext\n1\tDE\ta b\n")
