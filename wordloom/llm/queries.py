@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact, mixing, near, ngrams, packing, resampling, search, tokenfiles, toxicity, warc
+from . import exact, mixing, near, ngrams, packing, resampling, search, spelling, tokenfiles, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_spellings(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -69,6 +73,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_source_mixing": op9_source_mixing,
     "op10_warc": op10_warc,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 # op2, op3, op4, op5, op6, op8 and op9's taken words have none: trained models, tokenizers, reachability
@@ -109,4 +114,54 @@ ORACLES = {
                CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
         FROM f
     """,
+    "op13_spelling_variants": """
+        WITH RECURSIVE bits(i, c, k) AS (
+            SELECT i, CAST(i AS BIGINT), 0 FROM range(256) r(i)
+            UNION ALL
+            SELECT i, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
+        ), crc AS (
+            SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8
+        ), runs AS (
+            SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')),
+                                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+            FROM documents
+        ), counted AS (
+            SELECT run, count(*) AS n, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS key
+            FROM runs WHERE length(run) >= 6 GROUP BY doc_id, run
+        ), hashed AS (
+            SELECT run, n, xor(4294967295, list_reduce(
+                list_transform(range(0, strlen(key)), lambda i: CAST('0x' || substr(hex(encode(key)), 2 * i + 1, 2) AS BIGINT)),
+                lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295)) AS h
+            FROM counted, crc
+        ), typed AS (
+            SELECT CASE WHEN h % 199 = 0
+                        THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2)
+                        ELSE run END AS word, n
+            FROM hashed
+        ), words AS MATERIALIZED (
+            SELECT word, CAST(sum(n) AS BIGINT) AS n FROM typed WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+        ), gaps AS MATERIALIZED (
+            SELECT DISTINCT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest
+            FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM words)
+        ), pairs AS (
+            SELECT a.word, b.word AS other, b.n AS m FROM gaps a JOIN gaps b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+            UNION
+            SELECT a.word, b.word, b.n FROM gaps a JOIN words b ON a.rest = b.word
+            UNION
+            SELECT b.word, a.word, a.n FROM gaps a JOIN words b ON a.rest = b.word
+        ), best AS (
+            SELECT word, count(*) AS n_near, first(struct_pack(other := other, m := m) ORDER BY m DESC, other) AS top
+            FROM pairs GROUP BY word
+        ), linked AS MATERIALIZED (
+            SELECT w.word, w.n, coalesce(n_near, 0) AS n_near,
+                   CASE WHEN top.m >= 5 * w.n THEN top.other END AS form, CASE WHEN top.m >= 5 * w.n THEN top.m END AS form_n
+            FROM words w LEFT JOIN best USING (word)
+        ), chain(word, here) AS (
+            SELECT word, word FROM linked
+            UNION ALL
+            SELECT c.word, l.form FROM chain c JOIN linked l ON c.here = l.word WHERE l.form IS NOT NULL
+        )
+        SELECT l.word, l.form, c.here AS root, l.n, l.n_near, l.form_n
+        FROM linked l JOIN chain c USING (word) JOIN linked e ON e.word = c.here WHERE e.form IS NULL
+    """,
 }
