@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact, mixing, near, ngrams, packing, resampling, search, spelling, tokenfiles, toxicity, warc
+from . import conversations, exact, mixing, near, ngrams, packing, resampling, search, spelling, tokenfiles, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.audit_conversations(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_spellings(table(spark, sf_dir, "documents"))
 
@@ -73,9 +77,29 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_source_mixing": op9_source_mixing,
     "op10_warc": op10_warc,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
+# The table of unsigned CRC-32 (polynomial 0xEDB88320), one entry for each byte; a CRC is a fold over a key's bytes.
+_CRC_TABLE = """WITH RECURSIVE bits(i, c, k) AS (
+            SELECT i, CAST(i AS BIGINT), 0 FROM range(256) r(i)
+            UNION ALL
+            SELECT i, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
+        ), crc AS (
+            SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8
+        )"""
+
+
+def _crc32(key: str) -> str:
+    """SQL for the unsigned CRC-32 of a string's UTF-8 bytes."""
+    byte = f"CAST('0x' || substr(hex(encode({key})), 2 * i + 1, 2) AS BIGINT)"
+    return (
+        f"xor(4294967295, list_reduce(list_transform(range(0, strlen({key})), lambda i: {byte}), "
+        "lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295))"
+    )
+
+
 # op2, op3, op4, op5, op6, op8 and op9's taken words have none: trained models, tokenizers, reachability
 # over all pairs and a random draw. tests/llm holds them against brute-force versions instead.
 ORACLES = {
@@ -114,14 +138,79 @@ ORACLES = {
                CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
         FROM f
     """,
-    "op13_spelling_variants": """
-        WITH RECURSIVE bits(i, c, k) AS (
-            SELECT i, CAST(i AS BIGINT), 0 FROM range(256) r(i)
+    "op12_conversation_repair": f"""
+        {_CRC_TABLE}, keyed AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key
+            FROM conversations
+        ), kinds AS (
+            SELECT conv_id, turn, role, text, {_crc32("key")} % 20 AS kind FROM keyed, crc
+        ), damaged AS (
+            SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                   CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                   unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+            FROM kinds
+        ), placed AS (
+            SELECT *, row_number() OVER c AS i, lag(role) OVER c AS role_before,
+                   row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
+                   rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body
+            FROM damaged WINDOW c AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)
+        ), judged AS MATERIALIZED (
+            SELECT *, CASE WHEN body = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+                           WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+            FROM placed
+        ), inserted(s, k, edits, put, e) AS (
+            SELECT s, 0, '', '', s FROM range(4) r(s)
             UNION ALL
-            SELECT i, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
-        ), crc AS (
-            SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8
-        ), runs AS (
+            SELECT s, k + 1, edits || 'I', put || CASE WHEN e = 2 THEN 'assistant:' ELSE 'user:' END || chr(10),
+                   CASE WHEN e = 2 THEN 3 ELSE 2 END
+            FROM inserted WHERE k < 2
+        ), ways(conv_id, i, s, best) AS (
+            SELECT conv_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), struct_pack(cost := CAST(0 AS BIGINT), audit := '', put := '')
+            FROM (SELECT DISTINCT conv_id FROM judged)
+            UNION ALL
+            SELECT conv_id, i, e, min(struct_pack(cost := cost, audit := audit, put := put))
+            FROM (
+                SELECT w.conv_id, j.i, o.e, w.best.cost + 3 * n.k + o.cost AS cost, w.best.audit || n.edits || o.edit AS audit,
+                       w.best.put || n.put || o.put AS put
+                FROM ways w JOIN judged j ON w.conv_id IS NOT DISTINCT FROM j.conv_id AND j.i = w.i + 1
+                JOIN inserted n ON n.s = w.s,
+                LATERAL (
+                    SELECT 4 AS cost, 'D' AS edit, '' AS put, n.e AS e
+                    UNION ALL
+                    SELECT CASE j.fault WHEN 'truncated' THEN 3 ELSE 0 END, 'K', j.role || ':' || j.text || chr(10),
+                           CASE left(j.role, 1) WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END
+                    WHERE j.fault NOT IN ('blank', 'duplicate')
+                      AND (left(j.role, 1) = 's' AND n.e = 0 OR left(j.role, 1) = 'u' AND n.e <> 2 OR left(j.role, 1) = 'a' AND n.e = 2)
+                    UNION ALL
+                    SELECT CASE j.fault WHEN 'truncated' THEN 6 ELSE 3 END, 'R',
+                           CASE WHEN n.e = 2 THEN 'assistant:' ELSE 'user:' END || j.text || chr(10),
+                           CASE WHEN n.e = 2 THEN 3 ELSE 2 END
+                    WHERE j.fault NOT IN ('blank', 'duplicate')
+                ) o
+            )
+            GROUP BY conv_id, i, e
+        ), faults AS (
+            SELECT conv_id, count(*) AS n, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps,
+                   count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                   count(*) FILTER (fault = 'truncated') AS truncated,
+                   count(*) FILTER (role_before IS NOT NULL AND left(role_before, 1) || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM judged GROUP BY conv_id
+        ), ended AS (
+            SELECT f.conv_id, min(struct_pack(cost := w.best.cost + 3 * n.k, audit := w.best.audit || n.edits, put := w.best.put || n.put)) AS best
+            FROM faults f JOIN ways w ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND w.i = f.n
+            JOIN inserted n ON n.s = w.s WHERE n.e IN (0, 3) GROUP BY f.conv_id
+        )
+        SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+               coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0) AS cost,
+               coalesce(best.audit, '') AS audit,
+               sha256(coalesce(left(best.put, length(best.put) - 1), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) c
+        LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM c.conv_id
+        LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+    """,
+    "op13_spelling_variants": f"""
+        {_CRC_TABLE}, runs AS (
             SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')),
                                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
             FROM documents
@@ -129,9 +218,7 @@ ORACLES = {
             SELECT run, count(*) AS n, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS key
             FROM runs WHERE length(run) >= 6 GROUP BY doc_id, run
         ), hashed AS (
-            SELECT run, n, xor(4294967295, list_reduce(
-                list_transform(range(0, strlen(key)), lambda i: CAST('0x' || substr(hex(encode(key)), 2 * i + 1, 2) AS BIGINT)),
-                lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295)) AS h
+            SELECT run, n, {_crc32("key")} AS h
             FROM counted, crc
         ), typed AS (
             SELECT CASE WHEN h % 199 = 0
