@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import conversations, exact, mixing, near, ngrams, packing, resampling, search, spelling, tokenfiles, toxicity, warc
+from . import conversations, exact, mixing, near, ngrams, packing, resampling, search, spelling, tokenfiles, toxicity, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
 
 
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.audit_conversations(conversations.damaged(table(spark, sf_dir, "conversations")))
 
@@ -77,6 +81,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_source_mixing": op9_source_mixing,
     "op10_warc": op10_warc,
+    "op11_url_filters": op11_url_filters,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_spelling_variants": op13_spelling_variants,
 }
@@ -100,7 +105,7 @@ def _crc32(key: str) -> str:
     )
 
 
-# op2, op3, op4, op5, op6, op8 and op9's taken words have none: trained models, tokenizers, reachability
+# op2, op3, op4, op5, op6, op8, op9's taken words and op11 have none: trained models, tokenizers, reachability
 # over all pairs and a random draw. tests/llm holds them against brute-force versions instead.
 ORACLES = {
     "op1_exact_top_k": """
