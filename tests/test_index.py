@@ -1,8 +1,13 @@
+import random
+import re
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 import wordloom as wl
-from wordloom.functions import joins
+from wordloom.functions import joins, regex as rx
+from wordloom.operators import index
 
 from .conftest import rows
 
@@ -263,3 +268,86 @@ def test_totals_are_shuffled_once(spark, tmp_path):
     df = wl.select_word_index(spark.read.parquet(str(tmp_path / "w")))
     df.collect()
     assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize(
+    "pattern, literals",
+    [
+        ("abc", ["abc"]),
+        ("^abc$", ["abc"]),
+        ("ab.*cd", ["ab", "cd"]),
+        ("a(bc)+d", ["a", "bc", "d"]),
+        ("a(bc)?d", ["a", "d"]),
+        ("ab|cd", []),
+        ("x(ab|cd)y", ["x", "y"]),
+        ("[ab]c", ["c"]),
+        ("[a]c", ["ac"]),
+        (r"\d+", []),
+        (r"a\.b", ["a.b"]),
+        (r"ab\bcd", ["abcd"]),
+        ("(?i)abc", []),
+        ("(?i:ab)cd", []),
+        ("a{2,3}b", ["a", "b"]),
+        ("a{0,3}b", ["b"]),
+        ("(?=abc)d", ["d"]),
+        ("(?:ab)", ["ab"]),
+        ("(unclosed", []),
+        ("", []),
+    ],
+)
+def test_required_literals(pattern, literals):
+    found = rx.required_literals(pattern)
+    assert found == literals
+    for text in ("abc", "abcd", "ababcdxy", "xaby", "abbcd", "aab", "ac", "bc", "abcbcd", "a.b", "xcdy", "12"):
+        if found and re.search(pattern, text):
+            assert all(f in text for f in found)
+
+
+def test_patterns_meet_words_with_their_factors_only(spark):
+    """2,000 patterns and 4,000 words: pairs are tried where a word holds the pattern's rarest letters."""
+    vocabulary = [f"w{i:04d}x{j}" for i in range(2000) for j in (1, 2)]
+    lexicon = [("EN", f"w{i:04d}x[12]$", "C", "c") for i in range(0, 4000, 2)] + [("EN", "[qz][89]", "C", "free"), ("EN", "zzzz.", "M", "absent")]
+    df = spark.createDataFrame([(w,) for w in vocabulary], "word string")
+    rules = index.lexicon_rules(spark.createDataFrame(lexicon, "language string, word string, mapping string, category string"))
+    pairs = index.lexicon_candidates(df, rules).select("word", "entry").collect()
+    free = [p for p in pairs if p["entry"] == "[qz][89]"]
+    assert len(free) == len(vocabulary)  # nothing is certain: it meets every word
+    assert len(pairs) - len(free) < 10 * len(vocabulary)  # of 8 million
+    matched = {(w, e) for _, e, _, _ in lexicon for w in vocabulary if e.startswith(w[:6])}
+    assert matched <= {tuple(p) for p in pairs}
+
+
+def test_patterns_of_all_kinds(spark):
+    """Every kind of rule against every word, by brute force."""
+    entries = ["ab", "abc", "a", "", "ab.", "^ab", "b$", "a.*d", "(ab|cd)", "[a-c]d", "x?bc", "(?i)AB", "abcdabcd", "abcde.", "cda+b"]
+    lexicon = [("EN", e, m, f"{m}:{e}") for e in entries for m in ("FM", "M", "C")] + [("EN", "ab", "X", "never")]
+    rng = random.Random(4)
+    vocabulary = sorted({"".join(rng.choice("abcd") for _ in range(rng.randint(1, 9))) for _ in range(300)} | {"AB", "abcdabcd"})
+    df = spark.createDataFrame([(1, "EN", "PROPN", w, 1) for w in vocabulary], "text_id long, language string, type string, word string, count long")
+    table = spark.createDataFrame(lexicon, "language string, word string, mapping string, category string")
+    got = index.map_lexicon(df, table).where("type = 'LEX'").collect()
+    expected = Counter()
+    for w in vocabulary:
+        for _, e, m, category in lexicon:
+            if m == "FM" and w == e or m == "M" and re.match(e, w) or m == "C" and re.search(e, w):
+                expected[category] += 1
+    assert {r["word"]: r["count"] for r in got} == expected
+
+
+def test_dictionary_holds_changed_words_only(spark):
+    rows = [(i, "EN", "PROPN", w, 1) for i, w in enumerate(["North-East", "Plain", "Plain", "x1", "North-East"])]
+    df = spark.createDataFrame(rows, "text_id long, language string, type string, word string, count long")
+    found = index.rewrite_dictionary(df, ["[0-9]"], {"-": " ", r"(N)(\w+)": r"\2\1"})
+    assert {tuple(r) for r in found.collect()} == {
+        ("North-East", "orthN East", None, r"(N)(\w+)"),
+        ("x1", "x1", "[0-9]", None),
+    }
+
+
+def test_many_patterns_one_plan(spark):
+    """A thousand patterns: the plan does not grow with them."""
+    df = spark.createDataFrame([(1, "EN", "PROPN", "w7-w8", 2)], "text_id long, language string, type string, word string, count long")
+    replace = {f"w{n}": f"v{n}" for n in range(1000)}
+    data, changes = index.clean_words(df, ["zz"] * 1000, replace)
+    assert [tuple(r) for r in data.collect()] == [(1, "EN", "PROPN", "v7-v8", 2)]
+    assert [tuple(r) for r in changes.collect()] == [("w7-w8", "v7-v8", None, "w8")]

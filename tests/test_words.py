@@ -1,8 +1,11 @@
+import random
+
 import pandas as pd
 import pytest
 
 import wordloom as wl
 from wordloom.functions import text as tx
+from wordloom.operators import words
 from pyspark.sql import functions as F
 
 from .conftest import rows
@@ -110,3 +113,51 @@ def test_annotator_runs_once_per_partition(spark):
 def test_keep_empty_documents(spark):
     tokens = wl.annotate_tokens(docs(spark, "Haus", ""), keep_empty=True)
     assert rows(tokens, "text_id", "lemma", "pos") == [(1, "Haus", "PROPN"), (2, None, None)]
+
+
+def _brute_phrases(docs, gazetteer):
+    from collections import Counter
+
+    found = Counter()
+    for text_id, language, text in docs:
+        words = (text or "").split()
+        listed = {p for code, p, _ in gazetteer if code == language and " " in p}
+        for i, word in enumerate(words):
+            found[text_id, language, word] += 1
+            for n in range(2, len(words) - i + 1):
+                run = " ".join(words[i : i + n])
+                if run in listed:
+                    found[text_id, language, run] += 1
+    return {(*k, n) for k, n in found.items()}
+
+
+@pytest.mark.parametrize("broadcast", [True, False, None])
+def test_phrases_along_the_trie(spark, broadcast):
+    """Phrases that begin, contain or overlap each other, up to twelve words, in two languages."""
+    rng = random.Random(3)
+    long = "a b a b c a b c d a b c"
+    gazetteer = [("EN", p, "ORG") for p in ("a b", "a b c", "b c d", "c a", "a b c d e", "a a a", "d", "a b", long, "z a")]
+    gazetteer += [("DE", "a b", "PER"), ("DE", "a b", "LOC"), ("EN", "a b", "LOC")]
+    docs = [(i, rng.choice(["EN", "DE", "FR"]), " ".join(rng.choice("abcd") for _ in range(rng.randint(0, 30)))) for i in range(60)]
+    docs += [(100, "EN", long + " " + long), (101, "EN", None), (102, "EN", ""), (103, "EN", "a"), (104, None, "a b")]
+    df = spark.createDataFrame(docs, "text_id long, language string, text string")
+    listed = spark.createDataFrame(gazetteer, "language string, phrase string, label string")
+    got = {tuple(r) for r in words.count_phrases(df, listed, broadcast).collect()}
+    assert got == _brute_phrases(docs, gazetteer)
+
+
+def test_trie_has_one_row_per_beginning(spark):
+    listed = spark.createDataFrame(
+        [("EN", "a b c", "ORG"), ("EN", "a b", "ORG"), ("EN", "a b d", "PER"), ("EN", "x", "LOC")],
+        "language string, phrase string, label string",
+    )
+    got = {tuple(r) for r in words.phrase_trie(listed).collect()}
+    assert got == {("EN", 2, "a b", True), ("EN", 3, "a b c", True), ("EN", 3, "a b d", True)}
+
+
+def test_phrase_list_without_long_phrases(spark):
+    df = spark.createDataFrame([(1, "EN", "a b a")], "text_id long, language string, text string")
+    for rows in ([], [("EN", "a", "ORG")]):
+        listed = spark.createDataFrame(rows, "language string, phrase string, label string")
+        got = {tuple(r) for r in words.count_phrases(df, listed).collect()}
+        assert got == {(1, "EN", "a", 2), (1, "EN", "b", 1)}

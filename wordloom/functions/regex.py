@@ -14,6 +14,11 @@ from operator import or_
 
 from pyspark.sql import Column, functions as F
 
+# The reader of patterns that the standard library itself uses.
+_parser = re._parser
+
+SYNTAX = r"[\\^$.|?*+()\[\]{}]"
+
 _UNICODE_CLASS = re.compile(r"\\[wWdDsSbB]")
 _LINE_END = re.compile(r"[.^$]")
 
@@ -101,4 +106,46 @@ def replace_each(col: Column, replacements: dict[str, str]) -> Column:
 
 def is_literal(pattern: str) -> bool:
     """True when a pattern holds no regex syntax, so a plain string comparison does."""
-    return re.search(r"[\\^$.|?*+()\[\]{}]", pattern) is None
+    return re.search(SYNTAX, pattern) is None
+
+
+def required_literals(pattern: str) -> list[str]:
+    """Strings that everything the pattern matches holds; none where nothing is certain.
+
+    Runs of plain characters, also inside groups and repeats that occur at least once. A pattern that
+    ignores case, or cannot be read, has none.
+    """
+    try:
+        parsed = _parser.parse(pattern)
+    except re.error:
+        return []
+    if parsed.state.flags & (re.IGNORECASE | re.VERBOSE):
+        return []
+    found: list[str] = []
+    return [f for f in dict.fromkeys(found) if f] if _collect(parsed, found) else []
+
+
+def _collect(parts, found: list[str]) -> bool:
+    """Gather the literals of a sequence; False when a part ignores case."""
+    run = ""
+    for kind, value in parts:
+        if kind is _parser.LITERAL:
+            run += chr(value)
+            continue
+        if kind is _parser.AT:  # takes no characters
+            continue
+        found.append(run)
+        run = ""
+        inner = None
+        if kind is _parser.SUBPATTERN:
+            if value[1] & re.IGNORECASE:
+                return False
+            inner = value[3]
+        elif kind in (_parser.MAX_REPEAT, _parser.MIN_REPEAT, _parser.POSSESSIVE_REPEAT) and value[0] > 0:
+            inner = value[2]
+        elif kind is _parser.ATOMIC_GROUP:
+            inner = value
+        if inner is not None and not _collect(inner, found):
+            return False
+    found.append(run)
+    return True

@@ -9,7 +9,6 @@ A model can be plugged in through ``annotator``.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -17,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import text as tx
 from ..functions.joins import fits_broadcast, lookup_join
 from ..functions.masks import one_of, sum_counts
+from ..functions.workdir import settle
 from ..schemas import require_columns
 
 WORD_TYPES = ("PROPN", "NOUN")
@@ -100,18 +100,76 @@ def _is_small(table: DataFrame, broadcast: bool | None) -> bool:
     return fits_broadcast(table) if broadcast is None else broadcast
 
 
-def _run(words: Column, n: int, at: Column) -> Column:
-    return F.array_join(F.slice(words, at, F.lit(n)), " ")
+def phrase_trie(gazetteer: DataFrame) -> DataFrame:
+    """(language, n, prefix, ends): the beginnings of two words or more of all phrases, each once.
 
+    ``ends``: whether the beginning is a whole phrase. As many rows as the phrases' trie has nodes.
+    """
+    words = F.split("phrase", " ")
+    first = gazetteer.select("language", words.alias("w")).where(F.size("w") > 1)
+    nodes = F.transform(F.sequence(F.lit(2), F.size("w")), _beginning)
+    each = first.select("language", F.explode(nodes).alias("node")).select("language", "node.*")
+    return each.groupBy("language", "n", "prefix").agg(F.max("ends").alias("ends"))
+
+
+def _beginning(n: Column) -> Column:
+    return F.struct(
+        n.alias("n"),
+        F.array_join(F.slice(F.col("w"), F.lit(1), n), " ").alias("prefix"),
+        (n == F.size("w")).alias("ends"),
+    )
 
-def _phrases(words: Column, lengths: Sequence[int]) -> Column:
-    """The words and all runs of the given numbers of words, joined by blanks (words hold none)."""
-    runs = [words]
-    for n in lengths:
-        starts = F.sequence(F.lit(1), F.size(words) - n + 1)
-        joined = F.transform(starts, partial(_run, words, n))
-        runs.append(F.when(F.size(words) >= n, joined).otherwise(F.array().cast("array<string>")))
-    return F.concat(*runs)
+
+def _with_phrases(positions: DataFrame, trie: DataFrame, longest: int, keep: bool, small: bool) -> DataFrame:
+    """``positions`` (.., language, ahead) with ``found``: the phrases that begin there.
+
+    ``ahead``: the word and those that follow. A position goes on to n words only if the n - 1 words before
+    are the beginning of a phrase, so the rows never grow. ``keep`` also keeps positions that no phrase
+    begins with; without it the first join drops them before anything else is done.
+    """
+    ahead = F.col("ahead")
+    rows = positions.withColumns({
+        "found": F.array().cast("array<string>"),
+        "prefix": F.when(F.size(ahead) > 1, F.array_join(F.slice(ahead, 1, 2), " ")),
+    })
+    for n in range(2, longest + 1):
+        level = trie.where(F.col("n") == n).select("language", "prefix", "ends")
+        how = "left" if keep or n > 2 else "inner"
+        rows = lookup_join(rows, level, ["language", "prefix"], how, small=small)
+        further = F.col("ends").isNotNull() & (F.size(ahead) > n)
+        rows = rows.withColumns({
+            "found": F.when(F.col("ends"), F.concat("found", F.array("prefix"))).otherwise(F.col("found")),
+            "prefix": F.when(further, F.array_join(F.slice(ahead, 1, n + 1), " ")),
+        }).drop("ends")
+    return rows.drop("prefix")
+
+
+def count_phrases(docs: DataFrame, gazetteer: DataFrame, broadcast: bool | None = None) -> DataFrame:
+    """(text_id, language, phrase, count): the words of each document and the phrases of the list in it.
+
+    Phrases are found along the trie of their words, so a document sends its words and its phrases
+    through the shuffle, never all runs of words, however long the phrases are. A trie too large for a
+    broadcast is met by shuffled joins of the positions whose first two words begin a phrase.
+    """
+    trie = settle(phrase_trie(gazetteer), "phrase-trie")  # read once per level
+    longest = trie.agg(F.max("n")).first()[0] or 1
+    words = docs.select("text_id", "language", tx.tokens(F.col("text")).alias("words"))
+    if longest == 1:
+        rows = words.select("text_id", "language", F.explode("words").alias("phrase"))
+        return rows.groupBy("text_id", "language", "phrase").agg(F.count(F.lit(1)).alias("count"))
+    starts = F.when(F.size("words") > 0, F.sequence(F.lit(1), F.size("words"))).otherwise(F.array().cast("array<int>"))
+    ahead = F.explode(F.transform(starts, lambda at: F.slice(F.col("words"), at, F.lit(longest))))
+    positions = words.select("text_id", "language", ahead.alias("ahead"))
+    small = _is_small(trie, broadcast)
+    if small:
+        met = _with_phrases(positions, trie, longest, True, True)
+        rows = met.select("text_id", "language", F.explode(F.concat(F.slice("ahead", 1, 1), "found")).alias("phrase"))
+    else:
+        met = _with_phrases(positions.where(F.size("ahead") > 1), trie, longest, False, False)
+        rows = words.select("text_id", "language", F.explode("words").alias("phrase")).unionByName(
+            met.select("text_id", "language", F.explode("found").alias("phrase"))
+        )
+    return rows.groupBy("text_id", "language", "phrase").agg(F.count(F.lit(1)).alias("count"))
 
 
 def _tagged(
@@ -120,22 +178,12 @@ def _tagged(
     gazetteer: DataFrame | None,
     broadcast: bool | None,
 ) -> DataFrame:
-    """(text_id, language, type, word, count): one pass over the texts for words and entities.
-
-    Runs of words are counted per document first and looked up then. The numbers of words of the
-    gazetteer's phrases say which runs are needed, however long.
-    """
+    """(text_id, language, type, word, count): words and entities, counted per document, then looked up."""
     if gazetteer is None:
         return annotate_tokens(docs, annotations, broadcast=broadcast).select(
             "text_id", "language", F.col("pos").alias("type"), F.col("lemma").alias("word"), "count"
         )
-    sizes = gazetteer.select(F.size(F.split("phrase", " ")).alias("n")).where("n > 1").distinct()
-    lengths = sorted(row["n"] for row in sizes.collect())  # one row per number of words
-    words = docs.select("text_id", "language", tx.tokens(F.col("text")).alias("words"))
-    runs = words.select(
-        "text_id", "language", F.explode(_phrases(F.col("words"), lengths)).alias("phrase")
-    )
-    runs = runs.groupBy("text_id", "language", "phrase").agg(F.count(F.lit(1)).alias("count"))
+    runs = count_phrases(docs, gazetteer, broadcast)
     single = ~F.col("phrase").contains(" ")
     on = ["language", "phrase"]
 

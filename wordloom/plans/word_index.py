@@ -7,12 +7,13 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 
 from ..functions.masks import sum_counts, type_language_mask
+from ..functions.workdir import settle
 from ..operators.index import (
     WORD_KEYS,
-    _kept_words,
     _lexicon_rows,
     _rewritten,
     remove_blacklisted,
+    rewrite_dictionary,
     select_word_index,
 )
 
@@ -34,7 +35,10 @@ def build_word_index(
     """
     chosen = select_word_index(words, language, type_limits)
     mask = type_language_mask(word_types, [language])
-    rows = _rewritten(_kept_words(chosen, remove, mask), replace or {}, mask)
+    rows = chosen
+    if remove or replace:
+        dictionary = settle(rewrite_dictionary(chosen, remove, replace, mask), "rewrites")
+        rows = _rewritten(rows, dictionary, mask)
     rows = remove_blacklisted(rows, blacklist, word_types, [language])
     rows = _lexicon_rows(rows, lexicon, word_types, [language], False, False)
     return sum_counts(rows, WORD_KEYS)
