@@ -81,3 +81,29 @@ def test_topics_by_lda(spark):
         assert words <= ({"Wald", "Baum", "Blatt", "Ast"} if row["language"] == "DE" else set(groups["FR"]))
         assert row["type"] == "ALGO" and row["date"] == day
     assert wl.identify_topics(index.limit(0), 2, 3).count() == 0
+
+
+def test_words_of_one_feature_are_told_apart_by_count(spark):
+    """Two features for all words: a topic's keywords are the most frequent words of each."""
+    from wordloom.operators import topics
+
+    counts = {w: n for n, w in enumerate(["a", "b", "c", "d", "e", "f", "g", "h"], 3)}
+    data = [(doc, "DE", "PROPN", w, 1) for w, n in counts.items() for doc in range(n)] + [(1, "FR", "PROPN", "z z", 1)]
+    df = spark.createDataFrame(data, INDEX)
+    hashed = {(r["language"], r["word"]): (r["feature"], r["n"]) for r in topics.hashed_words(df, 2).collect()}
+    assert {w: hashed["DE", w][1] for w in counts} == counts and hashed["FR", "z"][1] == 2
+    best = {}
+    for (language, word), (feature, n) in hashed.items():
+        best[language, feature] = min(best.get((language, feature), (0, "")), (-n, word))
+    names = {(r["language"], r["feature"]): r["word"] for r in topics.feature_names(topics.hashed_words(df, 2)).collect()}
+    assert names == {k: w for k, (_, w) in best.items()}
+    found = wl.identify_topics(df, 2, 3, languages=["DE"], max_iter=1, features=2, run_date=datetime.date(2020, 3, 18))
+    for row in found.collect():
+        held = [row[f"keyword_{i}"] for i in (1, 2, 3)]
+        assert set(held) - {None} == {w for (code, _), w in names.items() if code == "DE"}
+
+
+def test_topic_ids(spark):
+    data = [(n, "DE", "PROPN", w, 1) for n in range(6) for w in "abc"]
+    found = wl.identify_topics(spark.createDataFrame(data, INDEX), 2, 2, run_date=datetime.date(2020, 3, 18), max_iter=1)
+    assert sorted(r["topic"] for r in found.collect()) == ["2020-03-18-DE-0", "2020-03-18-DE-1"]
