@@ -2,8 +2,10 @@ import datetime
 import json
 from pathlib import Path
 
+import wordloom as wl
 from checks import queries
 from wordloom import schemas
+from wordloom.schemas import WORD_FREQUENCY
 from wordloom.sources import readers, writers
 
 from .conftest import rows
@@ -105,3 +107,40 @@ def test_partitioned_parquet(spark, tmp_path):
     writers.write_parquet(df, f"{tmp_path}/w", "text_words")
     assert sorted(p.name for p in (tmp_path / "w").glob("language=*")) == ["language=DE", "language=FR"]
     assert spark.read.parquet(f"{tmp_path}/w").count() == 4
+
+
+def test_replaced_partitions(spark, tmp_path):
+    path = str(tmp_path / "daily")
+
+    def day(number, *counts):
+        data = [(datetime.date(2020, 3, number), "EN", "PROPN", w, n) for w, n in counts]
+        return spark.createDataFrame(data, "date date, language string, type string, word string, count long")
+
+    writers.replace_partitions(day(1, ("a", 1)).union(day(2, ("a", 2), ("b", 3))), path, "word_frequency")
+    for _ in range(2):
+        writers.replace_partitions(day(2, ("c", 4)).union(day(3, ("d", 5))), path, "word_frequency")
+    stored = spark.read.schema(WORD_FREQUENCY).parquet(path)
+    assert sorted((r["date"].day, r["word"], r["count"]) for r in stored.collect()) == [(1, "a", 1), (2, "c", 4), (3, "d", 5)]
+
+
+def test_daily_frequencies_of_deliveries(spark, tmp_path):
+    path = str(tmp_path / "daily")
+    index = spark.createDataFrame(
+        [(n, "EN", "PROPN", w, 1) for n, w in ((1, "a"), (2, "a"), (3, "b"), (4, "a"))],
+        "text_id long, language string, type string, word string, count long",
+    )
+    dates = {1: 1, 2: 1, 3: 2, 4: 1}
+
+    def metadata(*ids):
+        data = [(n, datetime.date(2020, 3, dates[n])) for n in ids]
+        return spark.createDataFrame(data, "text_id long, date date")
+
+    def deliver(known, *new):
+        wl.update_daily_frequency(index, metadata(*known), spark.createDataFrame([(n,) for n in new], "text_id long"), path)
+        stored = spark.read.schema(WORD_FREQUENCY).parquet(path)
+        return sorted((r["date"].day, r["word"], r["count"]) for r in stored.collect())
+
+    assert deliver([1, 2], 1, 2) == [(1, "a", 2)]
+    assert deliver([1, 2], 1, 2) == [(1, "a", 2)]
+    assert deliver([1, 2, 3], 3) == [(1, "a", 2), (2, "b", 1)]
+    assert deliver([1, 2, 3, 4], 4) == [(1, "a", 3), (2, "b", 1)]

@@ -1,13 +1,20 @@
 import datetime
 import json
 
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
 import wordloom as wl
 from wordloom.sources.readers import read_article_lines
 from wordloom.streaming.articles import dedupe_stream, start_ingest, stream_articles
+from wordloom.streaming.log import BatchLog
+from wordloom.streaming.memory import IdMemory
 from wordloom.streaming.words import (
+    current_rows,
     daily_counts,
     latest_rows,
     start_append,
+    start_current,
     start_operator,
     start_updates,
 )
@@ -119,3 +126,98 @@ def test_row_operators_on_a_stream(spark, tmp_path):
     kept = wl.remove_blacklisted(stream, ["a"])
     start_append(kept, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert rows(spark.read.parquet(str(tmp_path / "out")), "word") == [("b",)]
+
+
+def test_log_of_batches_and_bases(spark, tmp_path):
+    schema = StructType.fromDDL("day int, n int")
+    log = BatchLog(spark, str(tmp_path / "log"), schema, "day", create=True)
+
+    def put(batch, *data):
+        log.write(spark.createDataFrame(list(data), schema), batch)
+
+    def largest(stored):
+        return stored.groupBy("day").agg(F.max("n").alias("n"))
+
+    put(0, (1, 10), (2, 20))
+    put(1, (1, 11))
+    assert rows(log.read(), "day", "n", "batch") == [(1, 10, 0), (1, 11, 1), (2, 20, 0)]
+    log.compact(1, largest)
+    assert log.compacted() == 1 and log.newer().count() == 0
+    assert rows(log.read(), "day", "n") == [(1, 11), (2, 20)]
+    put(2, (2, 21), (3, 30))
+    put(2, (2, 22), (3, 30))  # the batch runs again
+    log.compact(2, largest)
+    log.compact(2, largest)
+    put(3, (1, 9))
+    reader = BatchLog(spark, str(tmp_path / "log"), schema, "day")
+    assert rows(reader.read(), "day", "n", "batch") == [(1, 9, 3), (1, 11, 2), (2, 22, 2), (3, 30, 2)]
+    assert rows(reader.read(before=3, only=[1, 3]), "day", "n") == [(1, 11), (3, 30)]
+    # Only the days that batch 2 touched were written again.
+    written = [f for f in reader.base().inputFiles() if "through=2" in f]
+    assert written and all("day=2" in f or "day=3" in f for f in written)
+
+
+def test_base_without_mark_is_not_read(spark, tmp_path):
+    schema = StructType.fromDDL("day int, n int")
+    log = BatchLog(spark, str(tmp_path / "log"), schema, "day", create=True)
+    log.write(spark.createDataFrame([(1, 1)], schema), 0)
+    spark.createDataFrame([(1, 99)], schema).write.partitionBy("day").parquet(f"{tmp_path}/log-base/through=0")
+    assert rows(log.read(), "day", "n") == [(1, 1)]
+
+
+def test_memory_of_ids(spark, tmp_path):
+    """Twenty batches of new ids: however many are stored, a batch of new ids reads next to none of them."""
+    memory = IdMemory(spark, str(tmp_path / "ids"), buckets=64)
+
+    def ids(*values):
+        return spark.createDataFrame([(v,) for v in values], "text_id long")
+
+    read = []
+    for batch in range(20):
+        new = list(range(batch * 200, batch * 200 + 200))
+        assert memory.unseen(ids(*new[:20], None), batch).count() == 21
+        maybe = memory.maybe_known(ids(*new[:20]), batch)
+        read.append(maybe.select("bucket").distinct().count())
+        memory.remember(ids(*new, new[0], None), batch)
+        if batch == 11:
+            memory.compact(batch - 1)
+            assert memory.ids.compacted() == 10
+    assert sum(read) <= 20 and max(read[10:]) <= 5  # of 64 buckets, where the filter errs
+    again = memory.unseen(ids(3, 1999, 4000, 3999, -7), 20)
+    assert rows(again) == [(-7,), (4000,)]
+    # A batch that runs again does not meet its own ids.
+    assert memory.unseen(ids(*range(3800, 3810)), 19).count() == 10
+    assert {r["bucket"] for r in memory.ids.read(20, [1, 2]).select("bucket").collect()} <= {1, 2}
+
+
+def test_ingest_compacts_and_counts(spark, tmp_path):
+    landing = tmp_path / "lines"
+    out = [str(tmp_path / n) for n in ("articles", "rejects", "checkpoint")]
+    texts = ["ab", "bc", "ca", "dd", "ae", "fa"]
+    for n, letters in enumerate(texts):
+        land(landing, f"{n}.json", *({**LINE, "text": t} for t in letters), "{broken")
+        lines = read_article_lines(spark, str(landing), streaming=True)
+        start_ingest(
+            lines, "FAZ", "2020-03-18", *out, counts_path=str(tmp_path / "counts"), buckets=4, compact_every=2
+        ).awaitTermination()
+    assert rows(spark.read.parquet(out[0]), "text") == [(t,) for t in "abcdef"]
+    counts = rows(spark.read.parquet(str(tmp_path / "counts")), "batch", "lines", "rejected", "repeated", "articles")
+    assert counts == [(0, 3, 1, 0, 2), (1, 3, 1, 1, 1), (2, 3, 1, 2, 0), (3, 3, 1, 1, 1), (4, 3, 1, 1, 1), (5, 3, 1, 1, 1)]
+
+
+def test_current_rows_with_bases(spark, tmp_path):
+    landing = tmp_path / "in"
+    schema = "ts timestamp, language string, type string, word string, count long"
+    keys = ["date", "language", "type", "word"]
+    stamps = [datetime.datetime(2020, 3, 1 + n % 3, 12) for n in range(10)]
+    for n in range(5):
+        data = [(t, "EN", "T", "w", 1) for t in stamps[: n + 2]]
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(str(landing))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(landing))
+        counts = daily_counts(stream, "ts", "60 days")
+        start_current(counts, str(tmp_path / "out"), str(tmp_path / "cp"), keys, compact_every=2).awaitTermination()
+    expected = daily_counts(spark.read.schema(schema).parquet(str(landing)), "ts")
+    got = current_rows(spark, str(tmp_path / "out"), counts.schema, keys)
+    assert rows(got, *keys, "count") == rows(expected, *keys, "count")
+    log = BatchLog(spark, str(tmp_path / "out"), counts.select(*keys, "count").schema, "date")
+    assert log.compacted() >= 1

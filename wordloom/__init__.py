@@ -47,7 +47,8 @@ from .operators.topics import (
     topic_keywords,
 )
 from .operators.trend import merge_words, word_trend
-from .operators.words import annotate_tokens, extract_words, unsupported_languages
+from .operators.words import annotate_tokens, count_phrases, extract_words, unsupported_languages
+from .plans.daily import update_daily_frequency
 from .plans.documents import documents_to_words, index_to_trend
 from .plans.word_index import build_word_index
 from .session import build_session, settings_for
@@ -63,6 +64,7 @@ __all__ = [
     "build_session",
     "build_word_index",
     "clean_words",
+    "count_phrases",
     "count_rows",
     "crawl_summary",
     "daily_word_frequency",
@@ -96,6 +98,7 @@ __all__ = [
     "topic_keywords",
     "undecodable_docs",
     "unsupported_languages",
+    "update_daily_frequency",
     "word_frequency",
     "word_trend",
     "wordlist_sentiment",

@@ -74,6 +74,17 @@ def write_parquet(
     (writer.partitionBy(*split) if split else writer).parquet(path)
 
 
+def replace_partitions(df: DataFrame, path: str, table: str, cut: bool = False) -> None:
+    """Replace those partitions of a Parquet table that ``df`` has rows of; all others stay as they are.
+
+    Running it again leaves the same table, where appending would store the rows twice.
+    """
+    split = PARTITIONS[table]
+    rows = _clustered(_stored_form(df, table, cut), split)
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*split).parquet(path)
+
+
 def key_duplicates(df: DataFrame, table: str) -> DataFrame:
     """Rows that repeat the key of ``table``; Parquet tables do not enforce keys."""
     return duplicate_report(df, KEYS[table])

@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from datetime import date as Date
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.frames import first_per_key
 from ..operators.articles import parse_article_lines, rejected
 from ..schemas import ARTICLES
+from .memory import BUCKETS, IdMemory
 
 _BATCH = "batch"
-_STORED = StructType([*ARTICLES.fields, StructField(_BATCH, LongType(), True)])
 
 
 def dedupe_stream(
@@ -50,26 +49,44 @@ def start_ingest(
     articles_path: str,
     rejects_path: str,
     checkpoint: str,
+    counts_path: str | None = None,
+    buckets: int = BUCKETS,
+    compact_every: int = 50,
 ) -> StreamingQuery:
     """Ingest what is available, then stop: articles and rejects, one folder per batch.
 
-    The stored articles serve as the memory of ids, so nothing has to stay in state, and copies
-    within a batch are reduced before any shuffle. A batch that is run again overwrites its own
-    folder, so a failure leaves no article twice.
+    Ids are remembered in hash buckets beside the articles (see ``IdMemory``), so a batch reads neither the
+    articles nor all ids, nothing has to stay in state, and copies within a batch are reduced before any
+    shuffle. Every ``compact_every`` batches the memory is compacted. With ``counts_path`` each batch
+    stores how many lines it had, how many were rejected, repeated or stored. A batch that is run again
+    overwrites its own folders, so a failure leaves no article twice.
     """
     spark = lines.sparkSession
     empty = spark.createDataFrame([], ARTICLES)
     empty.write.mode("overwrite").parquet(f"{articles_path}/{_BATCH}=-1")
+    memory = IdMemory(spark, f"{articles_path}-ids", buckets)
 
     def store(batch: DataFrame, batch_id: int) -> None:
+        if batch_id and batch_id % compact_every == 0:
+            memory.compact(batch_id - 1)
         parsed = parse_article_lines(batch, media, crawl_date).persist()
         good = parsed.where(F.col("reject_reason").isNull()).drop("line", "reject_reason")
         fresh = first_per_key(good, ["text_id"], ["index", "media", "url"]).select(ARTICLES.names)
-        stored = batch.sparkSession.read.schema(_STORED).parquet(articles_path)
-        earlier = stored.where(F.col(_BATCH) < batch_id).select("text_id")
-        fresh = fresh.join(earlier, "text_id", "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{articles_path}/{_BATCH}={batch_id}")
+        seen = Observation()
+        fresh = memory.unseen(fresh, batch_id).observe(seen, F.count(F.lit(1)).alias("articles"))
+        path = f"{articles_path}/{_BATCH}={batch_id}"
+        fresh.write.mode("overwrite").parquet(path)
+        # Read back: the ids that are remembered are those that were stored.
+        memory.remember(batch.sparkSession.read.schema(ARTICLES).parquet(path), batch_id)
         rejected(parsed).write.mode("overwrite").parquet(f"{rejects_path}/{_BATCH}={batch_id}")
+        if counts_path is not None:
+            bad = F.count("reject_reason")
+            stored = F.lit(seen.get["articles"])
+            counted = parsed.agg(
+                F.count(F.lit(1)).alias("lines"), bad.alias("rejected"),
+                (F.count(F.lit(1)) - bad - stored).alias("repeated"), stored.alias("articles"),
+            )
+            counted.write.mode("overwrite").parquet(f"{counts_path}/{_BATCH}={batch_id}")
         parsed.unpersist()
 
     return (

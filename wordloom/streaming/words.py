@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from .articles import dedupe_stream
+from .log import BatchLog
 
 
 def daily_counts(words: DataFrame, event_time: str, lateness: str = "1 day") -> DataFrame:
@@ -68,6 +70,41 @@ def latest_rows(updates: DataFrame, keys: Sequence[str], value: str = "count") -
     return updates.groupBy(*keys).agg(newest).select(*keys, F.col(f"newest.{value}").alias(value))
 
 
+def start_current(
+    df: DataFrame,
+    path: str,
+    checkpoint: str,
+    keys: Sequence[str],
+    split: str = "date",
+    value: str = "count",
+    compact_every: int = 20,
+) -> StreamingQuery:
+    """Like ``start_updates``, with bases: every ``compact_every`` batches what the batches before changed is
+    merged into the base of each ``split`` value they touch, so ``current_rows`` reads a base and few batches."""
+    schema = df.select(*keys, value).schema
+    log = BatchLog(df.sparkSession, path, schema, split, create=True)
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        if batch_id and batch_id % compact_every == 0:
+            log.compact(batch_id - 1, lambda rows: latest_rows(rows, keys, value))
+        log.write(batch, batch_id)
+
+    return (
+        df.writeStream.foreachBatch(store)
+        .option("checkpointLocation", checkpoint)
+        .outputMode("update")
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def current_rows(
+    spark: SparkSession, path: str, schema: StructType, keys: Sequence[str], split: str = "date", value: str = "count"
+) -> DataFrame:
+    """The current value per key of what ``start_current`` has written: bases and newer batches only."""
+    return latest_rows(BatchLog(spark, path, schema, split).read(), keys, value)
+
+
 def start_operator(
     df: DataFrame,
     operator: Callable[[DataFrame], DataFrame],
