@@ -24,6 +24,7 @@ LANGUAGE_CODES = {
 
 # Sums of list values are exact in decimals, so results do not depend on the order of rows.
 _EXACT = "decimal(28,8)"
+_SCORE = "decimal(20,8)"  # a score times the number of its words stays exact as well
 
 Scorer = Callable[[pd.Series, pd.Series], pd.DataFrame]
 
@@ -100,8 +101,8 @@ def score_sentiment(
     if scored_lexicon is None:
         raise ValueError("score_sentiment: pass scored_lexicon or scorer")
     table = scored_lexicon.groupBy("language", "word").agg(
-        F.max(F.col("polarity").cast(_EXACT)).alias("polarity"),
-        F.max(F.col("subjectivity").cast(_EXACT)).alias("subjectivity"),
+        F.max(F.col("polarity").cast(_SCORE)).alias("polarity"),
+        F.max(F.col("subjectivity").cast(_SCORE)).alias("subjectivity"),
     )
     missing = F.col("text").isNull().alias("missing")
     rows = docs.select(
@@ -110,12 +111,17 @@ def score_sentiment(
         missing,
         F.explode_outer(tokens(F.lower("text"))).alias("word"),
     )
+    # Words are counted per text first, so that each meets the lexicon once.
+    times = F.count(F.lit(1)).cast("decimal(10,0)")
+    rows = rows.groupBy("text_id", "language", "missing", "word").agg(times.alias("times"))
     small = fits_broadcast(scored_lexicon)
     on = ["language", "word"]
     hits = lookup_join(rows, table, on, "left", spread_by=["text_id"], small=small)
     means = {
         name: round_half_even(
-            F.sum(name).cast("double") / F.nullif(F.count(name), F.lit(0).cast("bigint")), 2
+            F.sum(F.col(name) * F.col("times")).cast("double")
+            / F.nullif(F.sum(F.when(F.col(name).isNotNull(), F.col("times"))).cast("double"), F.lit(0.0)),
+            2,
         )
         for name in ("polarity", "subjectivity")
     }
