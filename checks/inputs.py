@@ -193,6 +193,42 @@ def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+LONG_RUNS = (2, 3, 5, 8, 12)
+
+
+def passage_gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of up to twelve words of the benchmark's passages, which documents hold as a whole."""
+    passages = table(spark, sf_dir, "benchmark").select(tx.tokens(F.col("text")).alias("w"))
+    runs = [
+        F.when(
+            F.size("w") >= n,
+            F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), partial(_run, n)),
+        ).otherwise(F.array().cast("array<string>"))
+        for n in LONG_RUNS
+    ]
+    phrases = passages.select(F.explode(F.concat(*runs)).alias("phrase")).distinct()
+    return phrases.select(
+        F.explode(F.array(*[F.lit(x) for x in ("DE", "EN", "ES", "FR")])).alias("language"),
+        "phrase",
+        F.expr("element_at(array('ORG','PER','LOC'), 1 + length(phrase) % 3)").alias("label"),
+    )
+
+
+def pattern_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the conversations as patterns: their ends with anything between, their start with a gap."""
+    long = talk_words(spark, sf_dir).where(F.length("word") >= 6)
+    ends = F.concat(F.substring("word", 1, 3), F.lit(".*"), F.substring("word", -3, 3), F.lit("$"))
+    gap = F.concat(F.substring("word", 1, 3), F.lit("."), F.substring("word", 5, 2))
+    return long.select(
+        F.lit("EN").alias("language"),
+        F.when(F.length("word") % 2 == 0, ends).otherwise(gap).alias("word"),
+        F.when(F.length("word") % 2 == 0, F.lit("C")).otherwise(F.lit("M")).alias("mapping"),
+        F.lower(F.substring("word", 1, 2)).alias("category"),
+    ).unionByName(
+        spark.createDataFrame([("EN", "[xyz][aeiou]", "C", "no letter is certain")], "language string, word string, mapping string, category string")
+    )
+
+
 def runs_sql(n: int) -> str:
     """SQL list of all runs of n words of the list w."""
     return f"list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))"
@@ -212,6 +248,17 @@ gazetteer AS (
 )"""
 
 
+PASSAGE_GAZETTEER = f"""
+passages AS (
+  SELECT regexp_extract_all(text, '{TOKEN}') AS w FROM benchmark
+),
+gazetteer AS (
+  SELECT unnest(['DE', 'EN', 'ES', 'FR']) AS language, phrase,
+         (['ORG','PER','LOC'])[1 + length(phrase) % 3] AS label
+  FROM (SELECT DISTINCT unnest(list_concat({", ".join(runs_sql(n) for n in LONG_RUNS)})) AS phrase FROM passages)
+)"""
+
+
 def source_topics(words_df: DataFrame, metadata_df: DataFrame) -> DataFrame:
     """One topic per medium: its ten most frequent capitalised words, in wide form."""
     from pyspark.sql import Window
@@ -249,7 +296,7 @@ hits AS (
 )
 
 
-def article_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def article_lines(spark: SparkSession, sf_dir: str, keep=()) -> DataFrame:
     """Documents as crawled JSON lines: Spanish ones without title, those of src7 cut off."""
     d = table(spark, sf_dir, "documents")
     record = F.struct(
@@ -267,7 +314,8 @@ def article_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(
         F.when(whole, line).otherwise(F.substring(line, F.lit(1), F.length(line) - 1)).alias(
             "value"
-        )
+        ),
+        *keep,
     )
 
 

@@ -13,9 +13,11 @@ from .inputs import (
     GOOD_ARTICLES,
     LEXICON,
     LIMITS,
+    LONG_RUNS,
     MEDIA,
     MEDIA_NAMES,
     MERGE,
+    PASSAGE_GAZETTEER,
     RAW_DOCS,
     REMOVE,
     REMOVE_MANY,
@@ -27,6 +29,7 @@ from .inputs import (
     TYPE_RULE,
     WORDS,
     repaired,
+    runs_sql,
     sql_list,
     sql_rows,
 )
@@ -254,7 +257,69 @@ WHERE word_r IS NULL GROUP BY 1, 2, 3, 4"""
 _CHANGED = """SELECT DISTINCT word_orig, word, word_r, word_m FROM cleaned
 WHERE word_r IS NOT NULL OR word_m IS NOT NULL"""
 
+_LONG_ENTITIES = _with(
+    DOCS
+    + ","
+    + PASSAGE_GAZETTEER
+    + f""",
+doc_words AS (
+  SELECT text_id, language, regexp_extract_all(text, '{TOKEN}') AS w FROM docs
+),
+runs AS (
+  SELECT text_id, language, unnest(list_concat({", ".join(runs_sql(n) for n in LONG_RUNS)})) AS phrase FROM doc_words
+),
+found AS (
+  SELECT r.text_id, r.language, r.phrase AS word, g.label AS type
+  FROM runs r JOIN gazetteer g ON g.language = r.language AND g.phrase = r.phrase
+)""",
+    _COUNTED.format(source="found", types="'ORG', 'PER', 'LOC'"),
+)
+
+# Each pattern as what it says: the three letters it ends in join the words, so no pair is tried in vain.
+_PATTERN_LEXICON = (
+    TALK_WORDS
+    + """,
+patterns AS (
+  SELECT word AS p, lower(word[1:2]) AS category FROM talk_words WHERE length(word) >= 6
+),
+vocabulary AS (SELECT DISTINCT word FROM words),
+matched AS (
+  SELECT v.word, p.category FROM vocabulary v JOIN patterns p
+    ON right(v.word, 3) = right(p.p, 3) AND length(p.p) % 2 = 0
+  WHERE contains(left(v.word, length(v.word) - 3), p.p[1:3])
+  UNION ALL
+  SELECT v.word, p.category FROM vocabulary v JOIN patterns p
+    ON v.word[1:3] = p.p[1:3] AND v.word[5:6] = p.p[5:6] AND length(p.p) % 2 = 1
+  UNION ALL
+  SELECT word, 'no letter is certain' FROM vocabulary WHERE regexp_matches(word, '[xyz][aeiou]')
+)"""
+)
+
+_DAILY_EVENTS = """
+SELECT CAST(ts AS DATE) AS date, 'EN' AS language, 'EVENT' AS type, event_type AS word,
+       count(*) AS count
+FROM events GROUP BY 1, 2, 3, 4"""
+
 ORACLES = {
+    "stream_daily_compacted": _DAILY_EVENTS,
+    "stream_ingest_many": _with(GOOD_ARTICLES, ARTICLE_COLUMNS),
+    "stream_counts": _with(
+        GOOD_ARTICLES,
+        """SELECT 20::BIGINT AS batches, (SELECT count(*) FROM documents) AS lines,
+       (SELECT count(*) FROM documents WHERE lang = 'es' OR source = 'src7') AS rejected,
+       (SELECT count(*) FROM good) - (SELECT count(*) FROM articles) AS repeated,
+       (SELECT count(*) FROM articles) AS articles""",
+    ),
+    "daily_redelivered": _with(DAILY, "SELECT * FROM daily"),
+    "entity_words_long": _LONG_ENTITIES,
+    "entity_words_joined": _LONG_ENTITIES,
+    "map_lexicon_patterns": _with(
+        WORDS + "," + _PATTERN_LEXICON,
+        _mapped(
+            "words",
+            "SELECT w.text_id, w.language, 'LEX', m.category, w.count FROM words w JOIN matched m ON w.word = m.word",
+        ),
+    ),
     "clean_words_many": _with(WORDS + _many_cleaned(), _COUNTED_CLEAN),
     "clean_words_many_changes": _with(WORDS + _many_cleaned(), _CHANGED),
     "annotate_words_joined": _with(

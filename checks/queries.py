@@ -9,10 +9,17 @@ from wordloom.functions import text as tx
 from wordloom.functions.workdir import new_path, settle
 from wordloom.operators.pages import MediaRule, Step
 from wordloom.streaming.articles import start_ingest
-from wordloom.schemas import TEXT_WORDS
+from wordloom.schemas import TEXT_WORDS, WORD_FREQUENCY
 from wordloom.sources import readers, writers
 from wordloom.sources.writers import write_parquet
-from wordloom.streaming.words import daily_counts, latest_rows, start_operator, start_updates
+from wordloom.streaming.words import (
+    current_rows,
+    daily_counts,
+    latest_rows,
+    start_current,
+    start_operator,
+    start_updates,
+)
 
 from . import inputs as i
 
@@ -119,6 +126,22 @@ def entity_words(spark, sf_dir):
     )
 
 
+@query
+def entity_words_long(spark, sf_dir):
+    """Entities of up to twelve words."""
+    return wl.extract_words(
+        i.docs(spark, sf_dir), gazetteer=settle(i.passage_gazetteer(spark, sf_dir)), types=()
+    )
+
+
+@query
+def entity_words_joined(spark, sf_dir):
+    """The phrases as a list too large for a broadcast."""
+    return wl.extract_words(
+        i.docs(spark, sf_dir), gazetteer=settle(i.passage_gazetteer(spark, sf_dir)), types=(), broadcast=False
+    )
+
+
 @query
 def annotate_words_joined(spark, sf_dir):
     """The annotation table as one too large for a broadcast."""
@@ -173,23 +196,23 @@ def select_word_index(spark, sf_dir):
 
 @query
 def clean_words(spark, sf_dir):
-    return wl.clean_words(i.words(spark, sf_dir), i.REMOVE, i.REPLACE, i.TYPES, ["EN", "FR"])[0]
+    return wl.clean_words(_stored_words(spark, sf_dir), i.REMOVE, i.REPLACE, i.TYPES, ["EN", "FR"])[0]
 
 
 @query
 def clean_words_changes(spark, sf_dir):
-    return wl.clean_words(i.words(spark, sf_dir), i.REMOVE, i.REPLACE, i.TYPES, ["EN", "FR"])[1]
+    return wl.clean_words(_stored_words(spark, sf_dir), i.REMOVE, i.REPLACE, i.TYPES, ["EN", "FR"])[1]
 
 
 @query
 def clean_words_many(spark, sf_dir):
-    words = i.words(spark, sf_dir)
+    words = _stored_words(spark, sf_dir)
     return wl.clean_words(words, i.REMOVE_MANY, i.REPLACE_MANY, i.TYPES)[0]
 
 
 @query
 def clean_words_many_changes(spark, sf_dir):
-    words = i.words(spark, sf_dir)
+    words = _stored_words(spark, sf_dir)
     return wl.clean_words(words, i.REMOVE_MANY, i.REPLACE_MANY, i.TYPES)[1]
 
 
@@ -200,13 +223,13 @@ def remove_blacklisted(spark, sf_dir):
 
 @query
 def map_lexicon(spark, sf_dir):
-    return wl.map_lexicon(i.words(spark, sf_dir), i.lexicon(spark), word_types=i.TYPES)
+    return wl.map_lexicon(_stored_words(spark, sf_dir), i.lexicon(spark), word_types=i.TYPES)
 
 
 @query
 def map_lexicon_strict(spark, sf_dir):
     return wl.map_lexicon(
-        i.words(spark, sf_dir),
+        _stored_words(spark, sf_dir),
         i.lexicon(spark),
         languages=["EN"],
         match_language=True,
@@ -214,6 +237,12 @@ def map_lexicon_strict(spark, sf_dir):
     )
 
 
+@query
+def map_lexicon_patterns(spark, sf_dir):
+    """Thousands of rows with regex syntax."""
+    return wl.map_lexicon(_stored_words(spark, sf_dir), settle(i.pattern_lexicon(spark, sf_dir)), word_types=i.TYPES)
+
+
 @query
 def map_lexicon_large(spark, sf_dir):
     lexicon = _talk_lexicon(spark, sf_dir, "element_at(array('FM','M','C'), 1 + length(word) % 3)")
@@ -298,6 +327,22 @@ def daily_word_frequency_filtered(spark, sf_dir):
     return _daily(spark, sf_dir, language="EN", types=["PROPN"], min_count=2)
 
 
+@query
+def daily_redelivered(spark, sf_dir):
+    """Deliveries of some days each, one of them twice, and a late one for days that are stored already."""
+    words, metadata = _stored_words(spark, sf_dir), i.metadata(spark, sf_dir)
+    path = new_path(spark, "daily-table")
+    early = F.col("text_id") % 4 != 0  # the others come late
+    first, second = early & (F.dayofmonth("date") <= 15), early & (F.dayofmonth("date") > 15)
+    so_far = F.lit(False)
+    for part in (first, first, second, ~early, first):
+        so_far = so_far | part
+        known = metadata.where(so_far)
+        delivered = metadata.where(part)
+        wl.update_daily_frequency(words, known, delivered, path)
+    return spark.read.schema(WORD_FREQUENCY).parquet(path)
+
+
 def _rounded(trend: DataFrame) -> DataFrame:
     names = [c for c in trend.columns if c.startswith("trend_")]
     # Adding zero turns -0.0 into 0.0.
@@ -612,6 +657,38 @@ def stream_ingest_dedup(spark, sf_dir):
     return spark.read.parquet(f"{base}/articles").drop("text_id", "batch")
 
 
+@query
+def stream_ingest_many(spark, sf_dir):
+    """Twenty batches by falling age; the memory of ids is compacted on the way."""
+    return _ingested_in_batches(spark, sf_dir)[0]
+
+
+@query
+def stream_counts(spark, sf_dir):
+    """What each of twenty batches had, rejected, left out and stored, added up."""
+    counts = _ingested_in_batches(spark, sf_dir)[1]
+    return counts.agg(
+        F.count(F.lit(1)).alias("batches"),
+        *[F.sum(c).cast("long").alias(c) for c in ("lines", "rejected", "repeated", "articles")],
+    )
+
+
+def _ingested_in_batches(spark, sf_dir, batches=20):
+    base, checkpoint = _stream_paths(spark, "ingest")
+    lines = settle(i.article_lines(spark, sf_dir, keep=["doc_id"]), "lines")
+    last = lines.agg(F.max("doc_id")).first()[0] or 0
+    for n in range(batches):  # one after the other, so that the files have their age in order
+        part = lines.where(F.floor(F.col("doc_id") * batches / (last + 1)) == n).select("value")
+        part.coalesce(1).write.mode("append").text(f"{base}/lines")
+    stream = spark.readStream.option("maxFilesPerTrigger", 1).text(f"{base}/lines")
+    start_ingest(
+        stream, "Spiegel", "2024-01-15", f"{base}/articles", f"{base}/rejects", checkpoint,
+        counts_path=f"{base}/counts", buckets=16, compact_every=7,
+    ).awaitTermination()
+    articles = spark.read.parquet(f"{base}/articles").drop("text_id", "batch")
+    return articles, spark.read.parquet(f"{base}/counts")
+
+
 @query
 def article_ids(spark, sf_dir):
     """One id per text and one text per id."""
@@ -649,6 +726,24 @@ def stream_daily_frequency(spark, sf_dir):
     return latest_rows(spark.read.parquet(f"{base}/out"), ["date", "language", "type", "word"])
 
 
+@query
+def stream_daily_compacted(spark, sf_dir):
+    """As above, in six batches with a base after every two."""
+    base, checkpoint = _stream_paths(spark, "daily")
+    events = _landed(spark, i.table(spark, sf_dir, "events"), base, 6, "event_id")
+    words = events.select(
+        "ts",
+        F.lit("EN").alias("language"),
+        F.lit("EVENT").alias("type"),
+        F.col("event_type").alias("word"),
+        F.lit(1).alias("count"),
+    )
+    counts = daily_counts(words, "ts", "60 days")
+    keys = ["date", "language", "type", "word"]
+    start_current(counts, f"{base}/out", checkpoint, keys, compact_every=2).awaitTermination()
+    return current_rows(spark, f"{base}/out", counts.schema, keys)
+
+
 @query
 def stream_remove_blacklisted(spark, sf_dir):
     """Several batches; a third of the documents comes again in a later file."""
