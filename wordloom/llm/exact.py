@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.workdir import settle
 from . import fuse
+from .names import unused
 
 DIGESTS_PER_BUCKET = 250_000
 MIN_BUCKETS = 16
@@ -63,10 +64,13 @@ def _build(key, table):
     )
 
 
-def take_snapshot(rows: DataFrame) -> Snapshot:
-    """Store the digests of ``rows`` (doc_id, text_sha256) with a filter for every bucket."""
+def take_snapshot(rows: DataFrame, expected: int = 0) -> Snapshot:
+    """Store the digests of ``rows`` (doc_id, text_sha256) with a filter for every bucket.
+
+    ``expected``: rows of the largest batch to come; buckets are as many as it or the snapshot needs.
+    """
     entries = settle(_grouped(rows), "snapshot-digests")
-    buckets = max(MIN_BUCKETS, -(-entries.count() // DIGESTS_PER_BUCKET))
+    buckets = max(MIN_BUCKETS, -(-max(entries.count(), expected) // DIGESTS_PER_BUCKET))
     entries = _bucketed(entries, buckets)
     filters = entries.select("bucket", "key").groupBy("bucket").applyInArrow(_build, _FILTERS)
     return Snapshot(entries, settle(filters, "snapshot-filters"), buckets)
@@ -141,7 +145,7 @@ def deduplicate(docs: DataFrame, is_old=None) -> DataFrame:
     if is_old is None:
         is_old = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
     rows = settle(digests(docs).withColumn("old", F.coalesce(is_old, F.lit(False))), "digests")
-    snapshot = take_snapshot(rows.where("old").drop("old"))
+    snapshot = take_snapshot(rows.where("old").drop("old"), rows.where("not old").count())
     groups = dedup_batch(docs, rows.where("not old").drop("old"), [snapshot])
     counted = rows.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).cast("int").alias("copies"))
     joined = counted.join(groups, "text_sha256", "left")
@@ -156,15 +160,22 @@ def deduplicate(docs: DataFrame, is_old=None) -> DataFrame:
 
 
 def keep_last_of_each(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` without exact copies: of equal texts the largest doc_id stays, once."""
+    """Rows of ``docs`` without exact copies, with all their columns: of equal texts the largest doc_id, once.
+
+    NULL and empty texts are equal; a row without id stays only where all its copies have none, and one of
+    repeated rows. Columns may have any name; an empty table gives an empty one.
+    """
     found = settle(deduplicate(docs), "dedup")
-    kept = found.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    own, kept_id, kept_sha = unused(docs.columns, "own", "id", "sha")
+    kept = found.where("kept").select(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(kept_sha))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    marked = docs.withColumn("__own", F.sha2(text, 256))
+    marked = docs.withColumn(own, F.sha2(text, 256))
     rows = marked.join(
-        kept.hint("shuffle_hash"), marked["doc_id"].cast("long").eqNullSafe(kept["__id"]) & (marked["__own"] == kept["__sha"]), "left_semi"
+        kept.hint("shuffle_hash"),
+        F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_sha)),
+        "left_semi",
     )
     repeated = found.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if not repeated.isEmpty():
-        rows = rows.dropDuplicates(["doc_id", "__own"])
-    return rows.drop("__own")
+        rows = rows.dropDuplicates(["doc_id", own])
+    return rows.drop(own)

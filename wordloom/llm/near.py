@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.joins import fits_broadcast
 from ..functions.workdir import settle
 from .graph import connected_components
+from .names import unused
 from .words import mix, seeds, shingle_sets, slices
 
 # Similarity as a fraction: 100 * shared >= 75 * union.
@@ -224,25 +225,29 @@ def _describe(shared):
                         prefixes[i] = order.prefix(sets[i]).tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("doc_id"), pa.array(sizes), pa.array(sid.view(np.int64)),
+                        part.column("doc_id"), part.column("row"), pa.array(sizes), pa.array(sid.view(np.int64)),
                         *[pa.array(k.view(np.int64)) for k in keys],
                         pa.array(prefixes, pa.binary()),
                     ],
-                    names=["doc_id", "n", "sid", *[f"k{j}" for j in range(MINHASHES)], "prefix"],
+                    names=["doc_id", "row", "n", "sid", *[f"k{j}" for j in range(MINHASHES)], "prefix"],
                 )
 
     return rows
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """sid and the whole sorted set of every text, as bytes."""
+    """sid and the whole sorted set of every text, as bytes; each set once per task."""
+    seen: set[int] = set()
     for batch in batches:
         for part in slices(batch, "text"):
-            sets = [s for s in shingle_sets(part.column("text")) if len(s)]
-            sid = [
-                mix(np.array([mix(s ^ seeds(1, 5)[0]).sum(dtype=np.uint64) + np.uint64(len(s))]))[0]
-                for s in sets
-            ]
+            sets, sid = [], []
+            for own in shingle_sets(part.column("text")):
+                if len(own):
+                    name = mix(np.array([mix(own ^ seeds(1, 5)[0]).sum(dtype=np.uint64) + np.uint64(len(own))]))[0]
+                    if int(name) not in seen:
+                        seen.add(int(name))
+                        sets.append(own)
+                        sid.append(name)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.array(sid, np.uint64).view(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary())],
                 names=["sid", "shingles"],
@@ -434,7 +439,7 @@ def _small(df: DataFrame) -> DataFrame:
 def _links(pairs: DataFrame, members: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     """Verified links of candidate parts.
 
-    ``pairs``: ga, pa, gb, pb; ``members``: gid, part, sid, doc_id of a document with that set. A task
+    ``pairs``: ga, pa, gb, pb; ``members``: gid, part, sid, row of a document with that set. A task
     opens one part against at most some PARTS_OPENED others, so each set travels about once.
     """
     pairs = settle(pairs, f"{name}-pairs")
@@ -445,13 +450,24 @@ def _links(pairs: DataFrame, members: DataFrame, docs: DataFrame, name: str) ->
     ends = units.select(*unit, F.lit(0).alias("side"), F.col("ga").alias("gid"), F.col("pa").alias("part")).distinct()
     ends = ends.unionByName(units.select(*unit, F.lit(1).alias("side"), F.col("gb").alias("gid"), F.col("pb").alias("part")))
     placed = settle(ends.join(members, ["gid", "part"]), f"{name}-placed")
-    ids = placed.select("doc_id").distinct()
-    texts = docs.select("doc_id", "text").join(_small(ids), "doc_id", "left_semi")
+    wanted = placed.select("row").distinct()
+    texts = docs.select("row", "text").join(_small(wanted), "row", "left_semi")
     sets = texts.select("text").mapInArrow(_set_rows, "sid long, shingles binary")
-    opened = sets.join(_small(placed.drop("doc_id")), "sid").groupBy(*unit).applyInArrow(_open, "a long, b long")
+    opened = sets.join(_small(placed.drop("row")), "sid").groupBy(*unit).applyInArrow(_open, "a long, b long")
     return settle(opened, f"{name}-links")
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """doc_id, text and ``row``: a hash of both, which a row without id has as well."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.withColumn("row", F.xxhash64("doc_id", "text"))
+
+
+def _first_row() -> Column:
+    """The row of the smallest doc_id, one without id only where no other is."""
+    return F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"]
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
 
@@ -460,17 +476,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     keep their own id, repeated rows come back as often as they were given, rows without an
     id take part like others, and other columns are ignored. An empty table gives an empty table.
     """
+    sets, labelled = _components(_named(docs))
+    return sets.select("doc_id", "n", "sid").join(labelled, (sets.sid == labelled.sid) & (F.col("n") > 0), "left").select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+    )
+
+
+def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sets (doc_id, row, n, sid) of all rows, and sid, component, component_id of all sets with words."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = spark.sparkContext.broadcast(shingle_order(docs))
     keys = [f"k{j}" for j in range(MINHASHES)]
-    schema = "doc_id long, n long, sid long, " + ", ".join(f"{k} long" for k in keys) + ", prefix binary"
+    schema = "doc_id long, row long, n long, sid long, " + ", ".join(f"{k} long" for k in keys) + ", prefix binary"
     sets = settle(docs.mapInArrow(_describe(order), schema), "near-sets")
     order.destroy()  # the sets are stored; nothing needs it again, on the driver neither
     worded = sets.where("n > 0")
     classes = settle(
         worded.groupBy("sid").agg(
-            F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), *[F.max(k).alias(k) for k in keys]
+            F.min("doc_id").alias("doc_id"), _first_row().alias("row"), F.max("n").alias("n"), *[F.max(k).alias(k) for k in keys]
         ),
         "near-classes",
     )
@@ -489,7 +514,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .select("ga", F.lit(0).alias("pa"), "gb", F.lit(0).alias("pb"), "equal"),
         "near-stars",
     )
-    alone = classes.select(F.col("sid").alias("gid"), F.lit(0).alias("part"), "sid", "doc_id")
+    alone = classes.select(F.col("sid").alias("gid"), F.lit(0).alias("part"), "sid", "row")
     first = _links(stars.drop("equal"), alone, docs, "near-star")
     groups = settle(connected_components(first), "near-groups")
 
@@ -532,7 +557,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     inside = inside.select(F.col("gid").alias("ga"), F.col("part").alias("pa"), F.col("gid").alias("gb"), F.col("part").alias("pb"))
     pairs = met.where(_may_link()).select("ga", "pa", "gb", "pb").distinct().unionByName(inside)
     members = classes.join(parts, "sid", "left").select(
-        F.coalesce("gid", "sid").alias("gid"), F.coalesce("part", F.lit(0)).alias("part"), "sid", "doc_id"
+        F.coalesce("gid", "sid").alias("gid"), F.coalesce("part", F.lit(0)).alias("part"), "sid", "row"
     )
     second = _links(pairs, members, docs, "near-open")
 
@@ -541,17 +566,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "sid", "doc_id", F.coalesce("component", "sid").alias("component")
     )
     least = known.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    labelled = known.join(least, "component").select("sid", "component_id")
-    return sets.select("doc_id", "n", "sid").join(labelled, (sets.sid == labelled.sid) & (F.col("n") > 0), "left").select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-    )
+    return sets.select("doc_id", "row", "n", "sid"), known.join(least, "component").select("sid", "component", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` without near duplicates: of each component the smallest doc_id stays."""
-    found = near_duplicates(docs).select("doc_id", "component_id").distinct()
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = kept.select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(ids, docs.doc_id.eqNullSafe(ids["__kept"]), "left_semi")
+    """Rows of ``docs`` without near duplicates, with all their columns: one row of each component stays.
+
+    It is the one with the smallest doc_id, a row without id only where the component has no other, and one of
+    repeated rows. Rows whose texts have no words (NULL, empty, blank) are alike to nothing and all stay. Columns
+    may have any name; an empty table gives an empty one.
+    """
+    sets, labelled = _components(_named(docs))
+    worded = settle(sets.where("n > 0").join(labelled, "sid").select("doc_id", "row", "component"), "near-rows")
+    first = worded.groupBy("component").agg(_first_row().alias("row"))
+    own, kept, one = unused(docs.columns, "row", "kept", "one")
+    stay = first.select("row", F.lit(True).alias(one)).unionByName(
+        sets.where("n = 0").select("row", F.lit(False).alias(one)).distinct()
+    ).withColumnRenamed("row", kept)
+    row = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    marked = docs.withColumn(own, row)
+    rows = marked.join(stay.hint("shuffle_hash"), F.col(own) == F.col(kept))
+    if not worded.groupBy("row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        rows = rows.where(~F.col(one)).unionByName(rows.where(F.col(one)).dropDuplicates([own]))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

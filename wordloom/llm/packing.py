@@ -74,18 +74,18 @@ def _cut(path: str, size: int):
             for part in slices(batch, "text"):
                 ids, counts = encoder.encode(part.column("text"))
                 ends = np.cumsum(counts)
-                out: list[tuple] = []
+                out: list[list] = [[] for _ in range(5)]
                 for doc, a, b in zip(part.column("doc_id").to_pylist(), (ends - counts).tolist(), ends.tolist(), strict=True):
                     own = np.append(ids[a:b], np.uint32(END_ID)).astype("<u4")
                     start, piece = 0, 0
                     end = len(own) % size or size
                     while start < len(own):
-                        out.append((doc, piece, start, end - start, zlib.crc32(own[start:end].tobytes())))
+                        for column, value in zip(out, (doc, piece, start, end - start, zlib.crc32(own[start:end].tobytes())), strict=True):
+                            column.append(value)
                         start, end, piece = end, end + size, piece + 1
-                columns = zip(*out, strict=True)
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+                    [pa.array(c, k) for c, k in zip(out, kinds, strict=True)],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 

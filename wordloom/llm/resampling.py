@@ -109,7 +109,9 @@ def quality_sample(docs: DataFrame, labels: DataFrame, target_rows: int = TARGET
     """Documents drawn to resemble those labelled of good quality, as many as are good by the labels.
 
     The target is a bounded sample: at most ``target_rows`` labelled documents, by a hash of their id.
-    k is the share of good ones among the labels, of all documents; without labels all stay.
+    k is the share of good ones among the labels, of all documents; without labels all stay. Labels without
+    id or of another value are left out. NULL and empty texts have weight 1; repeated rows and rows without id
+    are drawn like others; other columns are ignored; an empty table gives an empty one.
     """
     known = labels.where("doc_id is not null and quality in (0, 1)").select(
         F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("quality")

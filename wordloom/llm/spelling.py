@@ -210,11 +210,17 @@ def spelling_variants(words: DataFrame, factor: int = FACTOR) -> DataFrame:
 
 
 def _ends(links: DataFrame) -> DataFrame:
-    """id, root_id: the last of each chain; each round doubles the steps."""
+    """id, root_id: the last of each chain; each round doubles the steps and is stored."""
     for _ in range(JUMPS):
         onward = links.select(F.col("id").alias("at"), F.col("root_id").alias("onward"))
         met = links.join(onward, F.col("root_id") == F.col("at"), "left")
-        links = met.select("id", F.coalesce("onward", "root_id").alias("root_id"))
+        moved = settle(
+            met.select("id", F.coalesce("onward", "root_id").alias("root_id"), F.col("onward").isNotNull().alias("moved")),
+            "spelling-roots",
+        )
+        links = moved.select("id", "root_id")
+        if moved.where("moved").isEmpty():
+            break
     return links
 
 

@@ -193,7 +193,7 @@ def _read(path: str):
 def read_documents(files: DataFrame, path: str) -> DataFrame:
     """Per document of the listed files: doc_id, start, n_tokens, ids_crc32, from the decoded ids."""
     n = max(1, files.count())
-    dealt = files.select("file", "name", "first").repartition(n, "file")
+    dealt = files.select("file", "name", "first").repartitionByRange(n, "file")
     return dealt.mapInArrow(_read(path), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

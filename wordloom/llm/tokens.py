@@ -5,7 +5,7 @@ other than white space, between a letter or digit and ASCII punctuation or a lin
 before and after a line break that a letter or digit follows (white space before that break is a word
 of its own, without it). Texts are cut there (only where the characters are sure to be of these kinds;
 cutting less never changes the ids), equal chunks of a slice are found by Arrow, and only chunks
-that are not in a bounded cache reach the tokenizer.
+that are not in a cache of bounded size reach the tokenizer.
 """
 
 from __future__ import annotations
@@ -19,7 +19,9 @@ import pyarrow.compute as pc
 from .words import text_bytes
 
 END_ID = 0
-CACHED = 600_000
+# Of a worker's cache: a chunk counts its text, its ids and what its entry takes.
+CACHE_BYTES = 48 << 20
+ENTRY_BYTES = 200
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
@@ -73,7 +75,7 @@ class Encoder:
         self.first = np.zeros(1 << 14, np.int64)
         self.count = np.zeros(1 << 14, np.int64)
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.used = 0
+        self.used = self.held = 0
 
     def _learn(self, chunks: list[str]) -> None:
         # One call for all: chunks go in as words of one text, which are never merged.
@@ -89,6 +91,7 @@ class Encoder:
         self.count[n : n + len(chunks)] = sizes
         self.ids[self.used : self.used + total] = ids
         self.used += total
+        self.held += sum(map(len, chunks)) + 4 * total + ENTRY_BYTES * len(chunks)
         self.known.update(zip(chunks, range(n, n + len(chunks)), strict=True))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +108,7 @@ class Encoder:
         chunks = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data))
         coded = chunks.dictionary_encode()
         words = coded.dictionary.to_pylist()
-        if len(self.known) > CACHED:
+        if self.held > CACHE_BYTES:
             self._clear()
         new = [w for w in words if w not in self.known]
         if new:

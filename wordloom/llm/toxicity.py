@@ -124,12 +124,12 @@ def score_documents(docs: DataFrame, model: crf.Model) -> DataFrame:
     )
 
 
-def _keep(broadcast):
+def _keep(broadcast, text: str):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = broadcast.value
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
-                c = crf.chain(part.column("text"))
+            for part in slices(batch, text):
+                c = crf.chain(part.column(text))
                 clean = crf.document_scores(model, crf.tag(model, c), c.counts) < 0.5
                 yield part.filter(pa.array(clean))
 
@@ -137,6 +137,13 @@ def _keep(broadcast):
 
 
 def without_toxic(docs: DataFrame, model: crf.Model) -> DataFrame:
-    """The rows of ``docs`` whose score is below 0.5, with all their columns."""
+    """The rows of ``docs`` whose score is below 0.5, with all their columns.
+
+    A NULL, empty or blank text has the score of a text without tags; repeated rows and rows without id are
+    judged each. Columns may have any name; an empty table gives an empty one.
+    """
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_keep(broadcast), docs.schema)
+    # Numbered while Python sees them: a name with a dot would be read as a field.
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    text = f"c{docs.columns.index('text')}"
+    return numbered.mapInArrow(_keep(broadcast, text), numbered.schema).toDF(*docs.columns)
