@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import wordloom as wl
 from wordloom.functions import text as tx
 from wordloom.operators.docs import DEFAULT_REPLACEMENTS
 
+from .pages import FRONT, LIVE, SITES
+
 TOKEN = tx.TOKEN
 
 # Word types of these tables: no model runs here, so words are PROPN (capitalised) or WORD.
@@ -378,3 +380,56 @@ def media_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _wrapped(before: str, after: str, line):
     return F.concat(F.lit(before), line, F.lit(after))
+
+
+SITE_NAMES = tuple(SITES)
+
+
+def _put(template: str, **values) -> Column:
+    """A template with its marks replaced, in the order given."""
+    out = F.lit(template)
+    for mark, value in values.items():
+        out = F.replace(out, F.lit("{" + mark + "}"), value if isinstance(value, Column) else F.lit(value))
+    return out
+
+
+def _site(n: int) -> Column:
+    return F.col("doc_id") % len(SITES) == n
+
+
+def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages of the eight media in turn: each rubric, with and without a paywall, some of live news."""
+    d = table(spark, sf_dir, "documents")
+    turn = F.floor(F.col("doc_id") / len(SITES))
+    escaped = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    lines = F.filter(F.split(escaped, "\n"), lambda line: line != "")
+    number = F.col("doc_id").cast("string")
+    html = url = F.lit(None).cast("string")
+    for n, (name, site) in enumerate(SITES.items()):
+        body = F.array_join(F.transform(lines, partial(_line_of, site.line)), "")
+        wall = F.when(turn % 2 == 0, F.lit(site.wall)).otherwise(F.lit(""))
+        page = _put(site.page, id=number, wall=wall, body=body)
+        if name == "Lefigaro":
+            page = F.when(turn % 5 == 0, _put(LIVE, id=number, body=body)).otherwise(page)
+        rubric = F.get(F.array(*[F.lit(r) for r in site.rubrics or ("sport",) * 3]), (turn % 3).cast("int"))
+        at = _put(site.url, id=number, rubric=rubric)
+        if site.wall_in_url:
+            at = F.when(turn % 2 == 0, F.concat(at, F.lit("?" + site.wall_in_url))).otherwise(at)
+        html, url = F.when(_site(n), page).otherwise(html), F.when(_site(n), at).otherwise(url)
+    media = F.get(F.array(*[F.lit(n) for n in SITE_NAMES]), (F.col("doc_id") % len(SITES)).cast("int"))
+    return d.select(media.alias("media"), url.alias("url"), html.alias("html"))
+
+
+def _line_of(template: str, line: Column) -> Column:
+    return F.replace(F.lit(template), F.lit("{line}"), line)
+
+
+def front_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One front page per document, of the eight media in turn."""
+    d = table(spark, sf_dir, "documents")
+    number = F.col("doc_id").cast("string")
+    html = F.lit(None).cast("string")
+    for n, name in enumerate(SITE_NAMES):
+        html = F.when(_site(n), _put(f"<html><body><main>{FRONT[name]}</main></body></html>", id=number)).otherwise(html)
+    media = F.get(F.array(*[F.lit(n) for n in SITE_NAMES]), (F.col("doc_id") % len(SITES)).cast("int"))
+    return d.select(media.alias("media"), F.concat(F.lit("https://front.example/"), number).alias("url"), html.alias("html"))

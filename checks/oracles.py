@@ -34,6 +34,8 @@ from .inputs import (
     sql_rows,
 )
 
+from .pages import KEPT, SITES
+
 W = r"\p{L}\p{N}_"  # word characters
 SPACE = r"\s\p{Z}\x0b\x85"
 
@@ -300,12 +302,61 @@ SELECT CAST(ts AS DATE) AS date, 'EN' AS language, 'EVENT' AS type, event_type A
        count(*) AS count
 FROM events GROUP BY 1, 2, 3, 4"""
 
+def _site_rows() -> str:
+    """What every site's page says, from the document itself."""
+    rows = []
+    for n, (name, site) in enumerate(SITES.items()):
+        politics, economics, other = site.rubrics or ("sport",) * 3
+        part = f"(['{politics}', '{economics}', '{other}'])[1 + turn % 3]"
+        url = "'" + site.url.replace("{rubric}", f"' || {part} || '").replace("{id}", "' || doc_id || '") + "'"
+        if site.wall_in_url:
+            url += f" || CASE WHEN turn % 2 = 0 THEN '?{site.wall_in_url}' ELSE '' END"
+        rubrics = "(['politics', 'economics', 'homepage'])[1 + turn % 3]" if site.rubrics else "NULL"
+        paywall = "turn % 2 = 0" if site.wall or site.wall_in_url else "false"
+        text = f"flatten(list_transform(lines, lambda x: {site.parts}))"
+        if name == "Lefigaro":
+            paywall = "turn % 2 = 0 AND turn % 5 <> 0"
+            text = f"CASE WHEN turn % 5 = 0 THEN list_concat(['Direct'], lines) ELSE {text} END"
+        if name == "Bild":
+            paywall = "NULL"
+        rows.append(
+            f"SELECT '{name}' AS media, {url} AS url, '{site.website}' AS website, {rubrics} AS rubrics, "
+            f"{paywall} AS paywall, 'Nr. ' || doc_id AS title, array_to_string({text}, '|') AS text "
+            f"FROM d WHERE doc_id % {len(SITES)} = {n}"
+        )
+    return " UNION ALL ".join(rows)
+
+
+_SITE_ARTICLES = f"""
+WITH d AS (
+  SELECT doc_id, doc_id // {len(SITES)} AS turn, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS lines
+  FROM documents
+)
+SELECT *, NULL::BIGINT AS index, NULL::VARCHAR AS comments FROM ({_site_rows()})"""
+
+_SITE_LINKS = " UNION ALL ".join(
+    f"SELECT '{name}' AS media, 'https://front.example/' || doc_id AS page_url, 0::BIGINT AS index, "
+    f"replace('{KEPT[name]}', '{{id}}', doc_id::VARCHAR) AS url, {'NULL' if name == 'Bild' else repr('politics')} AS rubrics "
+    f"FROM documents WHERE doc_id % {len(SITES)} = {n}"
+    for n, name in enumerate(SITES)
+)
+
 ORACLES = {
+    "article_arrays": """
+SELECT source AS media, date '2024-01-15' AS date, doc_id AS text_id,
+       length(text)::BIGINT AS num_characters, text
+FROM documents WHERE doc_id < (SELECT max(doc_id) FROM documents)""",
+    "article_array_rejects": """
+SELECT 'malformed JSON' AS reject_reason, max(doc_id) AS text_id FROM documents""",
+    "site_articles": _SITE_ARTICLES,
+    "site_links": _SITE_LINKS,
+    "csv_head": "SELECT doc_id AS text_id, 'w' || doc_id AS word FROM documents ORDER BY doc_id LIMIT 25",
+    "words_of_missing_texts": _with(WORDS, "SELECT * FROM words WHERE text_id % 3 <> 0"),
     "stream_daily_compacted": _DAILY_EVENTS,
     "stream_ingest_many": _with(GOOD_ARTICLES, ARTICLE_COLUMNS),
     "stream_counts": _with(
         GOOD_ARTICLES,
-        """SELECT 20::BIGINT AS batches, (SELECT count(*) FROM documents) AS lines,
+        """SELECT 5::BIGINT AS batches, (SELECT count(*) FROM documents) AS lines,
        (SELECT count(*) FROM documents WHERE lang = 'es' OR source = 'src7') AS rejected,
        (SELECT count(*) FROM good) - (SELECT count(*) FROM articles) AS repeated,
        (SELECT count(*) FROM articles) AS articles""",

@@ -556,6 +556,19 @@ def media_articles(spark, sf_dir):
     )
 
 
+@query
+def site_articles(spark, sf_dir):
+    """All media rules on pages written without them, with rubrics, paywalls, live news and parts to leave out."""
+    items = wl.extract_articles(i.site_pages(spark, sf_dir))
+    return items.withColumns({"title": F.array_join("title", "|"), "text": F.array_join("text", "|")})
+
+
+@query
+def site_links(spark, sf_dir):
+    """All link rules on front pages written without them."""
+    return wl.extract_links(i.front_pages(spark, sf_dir))
+
+
 @query
 def pages_without_rule(spark, sf_dir):
     return wl.pages_without_rule(i.media_pages(spark, sf_dir))
@@ -660,20 +673,20 @@ def stream_ingest_dedup(spark, sf_dir):
 @query
 def stream_ingest_many(spark, sf_dir):
     """Twenty batches by falling age; the memory of ids is compacted on the way."""
-    return _ingested_in_batches(spark, sf_dir)[0]
+    return _ingested_in_batches(spark, sf_dir, 20)[0]
 
 
 @query
 def stream_counts(spark, sf_dir):
-    """What each of twenty batches had, rejected, left out and stored, added up."""
-    counts = _ingested_in_batches(spark, sf_dir)[1]
+    """What each of five batches had, rejected, left out and stored, added up."""
+    counts = _ingested_in_batches(spark, sf_dir, 5)[1]
     return counts.agg(
         F.count(F.lit(1)).alias("batches"),
         *[F.sum(c).cast("long").alias(c) for c in ("lines", "rejected", "repeated", "articles")],
     )
 
 
-def _ingested_in_batches(spark, sf_dir, batches=20):
+def _ingested_in_batches(spark, sf_dir, batches):
     base, checkpoint = _stream_paths(spark, "ingest")
     lines = settle(i.article_lines(spark, sf_dir, keep=["doc_id"]), "lines")
     last = lines.agg(F.max("doc_id")).first()[0] or 0
@@ -803,6 +816,23 @@ def json_words(spark, sf_dir):
     return spark.read.schema(TEXT_WORDS).json(path)
 
 
+@query
+def csv_head(spark, sf_dir):
+    """The first rows of a file written in order by one task."""
+    path = new_path(spark, "csv")
+    ordered = i.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), F.lit("EN").alias("language"))
+    ordered = ordered.withColumns({"type": F.lit("T"), "word": F.concat(F.lit("w"), "text_id"), "count": F.lit(1)})
+    writers.write_csv(ordered.select(*TEXT_WORDS.names).orderBy("text_id").coalesce(1), path)
+    return readers.read_csv(spark, path, TEXT_WORDS, columns=["text_id", "word"], limit=25)
+
+
+@query
+def words_of_missing_texts(spark, sf_dir):
+    """Every third text is missing: those documents have no words, the others all of theirs."""
+    docs = i.docs(spark, sf_dir).withColumn("text", F.when(F.col("text_id") % 3 != 0, F.col("text")))
+    return wl.extract_words(docs, types=i.TYPES)
+
+
 @query
 def list_words(spark, sf_dir):
     path = new_path(spark, "list")
@@ -907,6 +937,40 @@ def article_file_rejects(spark, sf_dir):
     return rejects.select(F.regexp_extract("file", "source=([a-z0-9]+)", 1).alias("source"), "reject_reason").distinct()
 
 
+ARRAY_DOCS = 5000
+
+
+def _article_arrays(spark, sf_dir):
+    """JSON arrays of the documents of some thousand ids each, a file each; the last record of all breaks off."""
+    path = new_path(spark, "arrays")
+    record = F.to_json(F.struct(
+        F.col("source").alias("media"), F.lit("2024-01-15").alias("date"), F.col("doc_id").alias("text_id"),
+        F.lit("t").alias("title"), F.lit("r").alias("rubric"), F.lit("u").alias("url"), F.lit(False).alias("paywall"), "text",
+    ))
+    docs = i.table(spark, sf_dir, "documents").withColumn("part", F.floor(F.col("doc_id") / ARRAY_DOCS))
+    ends = docs.groupBy("part").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    of_all = docs.agg(F.max("doc_id")).first()[0]
+    opened = F.concat(F.when(F.col("doc_id") == F.col("first"), "[").otherwise(","), record)
+    cut = F.expr("left(value, length(value) - 9)")
+    line = F.when(F.col("doc_id") == of_all, cut).when(F.col("doc_id") == F.col("last"), F.concat("value", F.lit("]")))
+    lines = docs.join(ends, "part").withColumn("value", opened).withColumn("value", F.coalesce(line, "value"))
+    lines = lines.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "value")
+    lines.write.partitionBy("part").text(path)
+    return readers.read_article_arrays(spark, path)
+
+
+@query
+def article_arrays(spark, sf_dir):
+    return _article_arrays(spark, sf_dir)[0].select("media", "date", "text_id", "num_characters", "text")
+
+
+@query
+def article_array_rejects(spark, sf_dir):
+    rejects = _article_arrays(spark, sf_dir)[1]
+    number = F.regexp_extract("record", r'"text_id":(\d+)', 1).cast("long")
+    return rejects.select("reject_reason", number.alias("text_id"))
+
+
 @query
 def undecodable_docs(spark, sf_dir):
     raw = i.raw_docs(spark, sf_dir)

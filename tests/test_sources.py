@@ -1,12 +1,18 @@
 import datetime
 import json
+import random
+from collections import Counter
 from pathlib import Path
 
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
 import wordloom as wl
 from checks import queries
 from wordloom import schemas
 from wordloom.schemas import WORD_FREQUENCY
-from wordloom.sources import readers, writers
+from wordloom.sources import json_arrays, readers, writers
 
 from .conftest import rows
 
@@ -144,3 +150,48 @@ def test_daily_frequencies_of_deliveries(spark, tmp_path):
     assert deliver([1, 2], 1, 2) == [(1, "a", 2)]
     assert deliver([1, 2, 3], 3) == [(1, "a", 2), (2, "b", 1)]
     assert deliver([1, 2, 3, 4], 4) == [(1, "a", 3), (2, "b", 1)]
+
+
+@pytest.mark.parametrize("width", ["97b", "1000b", "10m"])
+def test_arrays_split_over_ranges(spark, tmp_path, width):
+    """Braces, quotes and backslashes in strings, nested objects, blanks: whatever the ranges, the same records."""
+    rng = random.Random(6)
+    pieces = ["{", "}", '"', "\\", "[", "]", ",", "a", "é", " ", "\n", "},{", "\\\\", '\\"', "日本"]
+    wanted = []
+    for n in range(4):
+        some = []
+        for k in range(rng.randint(0, 40)):
+            record = {"n": n * 100 + k, "text": "".join(rng.choice(pieces) for _ in range(rng.randint(0, 60)))}
+            if rng.random() < 0.4:
+                record["more"] = {"{": [{"x": "}"}], "y": {"z": {}}}
+            some.append(record)
+        text = json.dumps(some, ensure_ascii=n % 2 == 0, indent=2 if n == 3 else None)
+        (tmp_path / f"{n}.json").write_text(" " * n + text + "\n" * n)
+        wanted += [(r["n"], r["text"]) for r in some]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", width)
+    try:
+        records = json_arrays.json_array_records(spark, str(tmp_path))
+        good, bad = json_arrays.parse_records(records, StructType.fromDDL("n long, text string"))
+        assert sorted(tuple(r) for r in good.collect()) == sorted(wanted)
+        assert bad.count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_broken_arrays_lose_one_record(spark, tmp_path):
+    whole = json.dumps([{"n": k, "text": f"t{k}"} for k in range(5)])
+    (tmp_path / "a.json").write_text(whole[:-1])  # only the bracket lacks
+    (tmp_path / "b.json").write_text(whole[:-2])  # the last record is open
+    (tmp_path / "c.json").write_text(whole.replace('"t2"', '"t2'))  # a quote lacks
+    (tmp_path / "d.json").write_bytes(whole.encode().replace(b"t3", b"t\xff"))
+    (tmp_path / "e.json").write_text("[]")
+    (tmp_path / "f.json").write_text('{"n": 1, "text": "no array"}')
+    records = json_arrays.json_array_records(spark, str(tmp_path))
+    good, bad = json_arrays.parse_records(records, StructType.fromDDL("n long, text string"))
+    name = F.regexp_extract("file", r"(\w)\.json", 1)
+    got = Counter(r[0] for r in records.where("whole").select(name).collect())
+    assert (got["a"], got["b"], got["d"], got["e"], got["f"]) == (5, 4, 5, 0, 0)
+    rejected = {(r[0], r[1]) for r in bad.select(name, "reject_reason").collect()}
+    assert rejected == {("b", "malformed JSON"), ("c", "malformed JSON"), ("d", "not UTF-8"), ("f", "malformed JSON")}
+    assert good.where("text = 't4'").count() == 2 and good.where("text = 't0'").count() == 4

@@ -17,6 +17,7 @@ from ..schemas import (
     canonical_names,
     topics_schema,
 )
+from .json_arrays import json_array_records, parse_records
 
 
 def read_article_lines(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
@@ -41,6 +42,15 @@ def read_article_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
     return stored_articles(parsed.select(F.inline("records"))), rejects
 
 
+def read_article_arrays(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """A directory of JSON arrays of articles, each of any size: (articles, rejects).
+
+    A large array is read by many tasks. Rejects are single records: file, number, reject_reason, record.
+    """
+    rows, rejects = parse_records(json_array_records(spark, path), ARTICLE_FILE)
+    return stored_articles(rows), rejects
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
