@@ -1,8 +1,10 @@
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from wordloom.llm import codec, fuse
@@ -76,16 +78,36 @@ def test_encoder_gives_the_tokenizers_ids_at_blank_lines():
 def test_codec_round_trip(n):
     rng = np.random.default_rng(n)
     ids = np.where(rng.random(n) < 0.5, rng.integers(0, 20, n), rng.integers(0, 1 << 17, n)).astype(np.uint32)
-    blocks = codec.encode(ids)
+    table, blocks = codec.encode(ids)
     counts = [min(codec.BLOCK_IDS, n - i) for i in range(0, n, codec.BLOCK_IDS)]
-    assert (np.concatenate(codec.decode(blocks, counts)) == ids).all()
+    assert (np.concatenate(codec.decode(table, blocks, counts)) == ids).all()
 
 
-def test_codec_learns_and_refuses():
+@pytest.mark.parametrize("ids", [[0], [2**32 - 1, 5, 5, 5], [7] * 9000, list(range(4097)), [2**31, 0] * 3000])
+def test_codec_of_any_ids(ids):
+    ids = np.array(ids, np.uint32)
+    table, blocks = codec.encode(ids)
+    counts = [min(codec.BLOCK_IDS, len(ids) - i) for i in range(0, len(ids), codec.BLOCK_IDS)]
+    assert (np.concatenate(codec.decode(table, blocks, counts)) == ids).all()
+    # A block is decoded without the others.
+    assert (codec.decode(table, blocks[-1:], counts[-1:])[0] == ids[len(ids) - counts[-1] :]).all()
+
+
+def test_codec_learns():
     ids = np.tile(np.arange(50, dtype=np.uint32) * 900, 400)
-    assert sum(map(len, codec.encode(ids))) < len(ids)  # under 8 bits an id
-    with pytest.raises(ValueError):
-        codec.encode(np.array([1 << 17]))
+    table, blocks = codec.encode(ids)
+    assert len(table) + sum(map(len, blocks)) < len(ids) / 4  # under 2 bits an id: each follows from the last
+
+
+def test_codec_beats_static_order_0_and_zlib(sf_dir):
+    """Whole files of real texts, table and block heads counted."""
+    texts = pq.read_table(f"{sf_dir}/documents.parquet").sort_by("doc_id").column("text").combine_chunks()
+    ids, _ = Encoder(default_path()).encode(texts)
+    table, blocks = codec.encode(ids)
+    size = len(table) + sum(map(len, blocks)) + 12 * len(blocks)
+    share = np.unique(ids, return_counts=True)[1] / len(ids)
+    assert size < 0.95 * len(ids) * -(share * np.log2(share)).sum() / 8
+    assert size < 0.9 * len(zlib.compress(ids.astype("<u2").tobytes()))
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 100, 5000, 100_000])

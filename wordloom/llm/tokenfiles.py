@@ -4,11 +4,12 @@ Documents are range-partitioned by id and tokenised where they land, so ids are
 task writes one file, coding many blocks side by side, and reports it; only files of tasks
 whose report was kept belong to the output, so a task that runs again does no harm. A file is
 
-    "WLTOK001", blocks, documents, footer
+    "WLTOK002", groups, documents, footer
 
+    group:      number of blocks, length and crc32 of the table of ids (each 4 bytes), table, blocks
     block:      number of ids, length and crc32 of the payload (each 4 bytes), payload
     documents:  a flag byte (1: the id is NULL), id (8 bytes) and number of ids (8 bytes) of each, in order
-    footer:     place of the documents (8 bytes), their number (8), crc32 of them (4), number of blocks (4)
+    footer:     place of the documents (8 bytes), their number (8), crc32 of them (4), number of groups (4)
 
 with little-endian integers. Blocks are coded independently, see ``codec``.
 """
@@ -29,8 +30,8 @@ from . import codec
 from .tokens import END_ID, Encoder, default_path
 from .words import slices
 
-MAGIC = b"WLTOK001"
-LANES = 2048
+MAGIC = b"WLTOK002"
+LANES = 1024
 TEXTS_PER_FILE = 8_000
 _HEAD, _FOOT = "<III", "<QQII"
 _DOCUMENT = np.dtype([("null", "u1"), ("id", "<i8"), ("n", "<u8")])
@@ -51,7 +52,7 @@ class Writer:
     def __init__(self, out, lanes: int = LANES):
         self.out, self.lanes = out, lanes
         self.waiting: list[np.ndarray] = []
-        self.held = self.blocks = 0
+        self.held = self.groups = 0
         self.at = out.write(MAGIC)
         self.documents: list[np.ndarray] = []
 
@@ -69,45 +70,51 @@ class Writer:
             self._code(every[:full])
             self.waiting, self.held = [every[full:]], self.held - full
 
+    def _put(self, n: int, payload: bytes) -> None:
+        self.at += self.out.write(struct.pack(_HEAD, n, len(payload), zlib.crc32(payload)) + payload)
+
     def _code(self, ids: np.ndarray) -> None:
-        left = len(ids)
-        for payload in codec.encode(ids):
-            n = min(codec.BLOCK_IDS, left)
-            left -= n
-            self.at += self.out.write(struct.pack(_HEAD, n, len(payload), zlib.crc32(payload)) + payload)
-            self.blocks += 1
+        """One group: the table of its ids and their blocks."""
+        table, payloads = codec.encode(ids)
+        if payloads:
+            self._put(len(payloads), table)
+            self.groups += 1
+        for i, payload in enumerate(payloads):
+            self._put(min(codec.BLOCK_IDS, len(ids) - i * codec.BLOCK_IDS), payload)
 
     def close(self) -> tuple[int, int]:
         """Number of documents and ids."""
         self._code(np.concatenate(self.waiting) if self.waiting else np.zeros(0, np.uint32))
         documents = np.concatenate(self.documents) if self.documents else np.zeros(0, _DOCUMENT)
         data = documents.tobytes()
-        self.out.write(data + struct.pack(_FOOT, self.at, len(documents), zlib.crc32(data), self.blocks))
+        self.out.write(data + struct.pack(_FOOT, self.at, len(documents), zlib.crc32(data), self.groups))
         return len(documents), int(documents["n"].sum())
 
 
-def read_file(file, lanes: int = LANES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def read_file(file) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Documents (null, id, n) and their ids, some documents at a time; checksums are verified."""
     end = file.size() - struct.calcsize(_FOOT)
-    place, n, crc, blocks = struct.unpack(_FOOT, file.read_at(struct.calcsize(_FOOT), end))
+    place, _, crc, groups = struct.unpack(_FOOT, file.read_at(struct.calcsize(_FOOT), end))
     data = file.read_at(end - place, place)
     if file.read_at(len(MAGIC), 0) != MAGIC or zlib.crc32(data) != crc:
         raise ValueError("not a whole token file")
     documents = np.frombuffer(data, _DOCUMENT)
     ends = np.cumsum(documents["n"].astype(np.int64))
     at, done, have, taken = len(MAGIC), 0, np.zeros(0, np.uint32), 0
-    while blocks:
-        payloads, counts = [], []
-        for _ in range(min(lanes, blocks)):
-            count, length, crc = struct.unpack(_HEAD, file.read_at(struct.calcsize(_HEAD), at))
-            payload = file.read_at(length, at + struct.calcsize(_HEAD))
-            if zlib.crc32(payload) != crc:
-                raise ValueError(f"block at {at}: checksum differs")
-            payloads.append(payload)
-            counts.append(count)
-            at += struct.calcsize(_HEAD) + length
-            blocks -= 1
-        have = np.concatenate([have, *codec.decode(payloads, counts)])
+
+    def part() -> tuple[int, bytes]:
+        nonlocal at
+        count, length, crc = struct.unpack(_HEAD, file.read_at(struct.calcsize(_HEAD), at))
+        payload = file.read_at(length, at + struct.calcsize(_HEAD))
+        if zlib.crc32(payload) != crc:
+            raise ValueError(f"block at {at}: checksum differs")
+        at += struct.calcsize(_HEAD) + length
+        return count, payload
+
+    for _ in range(groups):
+        blocks, table = part()
+        counts, payloads = zip(*[part() for _ in range(blocks)], strict=True)
+        have = np.concatenate([have, *codec.decode(table, list(payloads), list(counts))])
         whole = int(np.searchsorted(ends, taken + len(have), side="right"))
         if whole > done:
             used = int(ends[whole - 1]) - taken
