@@ -93,9 +93,9 @@ class Table:
     and id that occur, as one number, with their ``counts``; those of one state lie together.
     """
 
-    def __init__(self, values: np.ndarray, state: np.ndarray, keys: np.ndarray, counts: np.ndarray):
-        self.values, self.state, self.keys, self.counts = values, state, keys, counts.astype(_U)
-        self.states = int(state.max(initial=0)) + 1 if len(state) else 1
+    def __init__(self, values: np.ndarray, state: np.ndarray, states: int, keys: np.ndarray, counts: np.ndarray):
+        self.values, self.state, self.states = values, state, states
+        self.keys, self.counts = keys, counts.astype(_U)
         self.ends = np.cumsum(self.counts, dtype=_U)
         bounds = np.searchsorted(keys, np.arange(self.states + 1) * len(values))
         sums = np.concatenate((np.zeros(1, _U), self.ends))
@@ -113,7 +113,7 @@ class Table:
         before[1:] = state[numbers[:-1]]
         before[::block] = most
         keys, place, times = np.unique(before * len(values) + numbers, return_inverse=True, return_counts=True)
-        return cls(values.astype(np.uint32), state, keys, times), numbers.astype(np.int32), place.astype(np.int32)
+        return cls(values.astype(np.uint32), state, most + 1, keys, times), numbers.astype(np.int32), place.astype(np.int32)
 
     def pack(self) -> bytes:
         steps = np.diff(self.values, prepend=np.uint32(0)).astype("<u4")
@@ -142,7 +142,7 @@ class Table:
         state = np.full(n, most, np.int64)
         state[column(most, "<u4")] = np.arange(most)
         keys = np.cumsum(column(pairs, "<u8").astype(np.int64))
-        return cls(values, state, keys, column(pairs, "<u4"))
+        return cls(values, state, most + 1, keys, column(pairs, "<u4"))
 
 
 def _shift(low: np.ndarray, span: np.ndarray):
@@ -186,13 +186,17 @@ def encode(ids: np.ndarray, block: int = BLOCK_IDS) -> tuple[bytes, list[bytes]]
         low += start * unit
         span = part * unit
 
-    for row, place in zip(rows, places, strict=True):
+    short = len(ids) - (n - 1) * block  # the last block may be through before the others
+    for t, (row, place) in enumerate(zip(rows, places, strict=True)):
         own = row.astype(np.int64)
         frequency, ends = lanes.predict()
         symbol = np.where(own == lanes.guess_two, 0, np.where(own == lanes.guess_one, 1, 2))
         part = frequency[lanes.lane, symbol]
-        put((ends[lanes.lane, symbol] - part).astype(_U), part.astype(_U), ends[:, -1].astype(_U))
+        start, part, whole = (ends[lanes.lane, symbol] - part).astype(_U), part.astype(_U), ends[:, -1].astype(_U)
         free = symbol == 2
+        if t >= short:  # it stays as it is
+            start[-1], part[-1], free[-1] = 0, whole[-1], False
+        put(start, part, whole)
         total, count = table.total[state], table.counts[place]
         put(np.where(free, table.ends[place] - count - table.base[state], nothing), np.where(free, count, total), total)
         state = table.state[own]
@@ -225,7 +229,11 @@ def decode(table: bytes, blocks: list[bytes], counts: list[int]) -> list[np.ndar
         code = code << _WORD | data[:, i].astype(_U)
     out = np.zeros((steps, n), np.int32)
     last = data.shape[1] - 1
+    sizes, first_through = np.array(counts), min(counts)
     for t in range(steps):
+        if t >= first_through:  # lanes that are through read nothing more
+            through = sizes <= t
+            low[through], code[through], span[through] = 0, 0, np.iinfo(np.uint64).max
         frequency, ends = lanes.predict()
         unit = span // ends[:, -1].astype(_U)
         value = ((code - low) // unit).astype(np.float64)
@@ -237,7 +245,7 @@ def decode(table: bytes, blocks: list[bytes], counts: list[int]) -> list[np.ndar
         base, total = known.base[state], known.total[state]
         unit = span // total
         place = np.searchsorted(known.ends, base + np.minimum((code - low) // unit, total - one), side="right")
-        place = np.minimum(place, len(known.keys) - 1)  # lanes that are through read anything
+        place = np.minimum(place, len(known.keys) - 1)
         count = known.counts[place]
         low += np.where(free, known.ends[place] - count - base, nothing) * unit
         span = np.where(free, count, total) * unit
