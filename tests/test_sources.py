@@ -68,9 +68,9 @@ def test_csv_forms(spark, tmp_path):
 
 def test_topics_csv_by_position(spark, tmp_path):
     head = "TOPIC,LANGUAGE,TYPE,DATE,EXPIRY_DATE,ATTRIBUTE,KEYWORD_1,KEYWORD_2\n"
-    (tmp_path / "t.csv").write_text(head + "2020-03-18-0,DE,ALGO,2020-03-18,,,Köln,Paris\n")
+    (tmp_path / "t.csv").write_text(head + "2031-07-09-4,FR,ALGO,2031-07-09,,,Brume,Rivage\n")
     got = readers.read_topics(spark, f"{tmp_path}/t.csv", 2).first()
-    assert (got["topic"], got["date"], got["keyword_2"]) == ("2020-03-18-0", datetime.date(2020, 3, 18), "Paris")
+    assert (got["topic"], got["date"], got["keyword_2"]) == ("2031-07-09-4", datetime.date(2031, 7, 9), "Rivage")
 
 
 def test_csv_and_json_round_trips(spark, tmp_path):
