@@ -342,6 +342,12 @@ _SITE_LINKS = " UNION ALL ".join(
 )
 
 ORACLES = {
+    "topic_ids": _with(
+        WORDS,
+        """SELECT '2024-01-31-' || language || '-' || n AS topic, language, 'ALGO' AS type,
+       date '2024-01-31' AS date, NULL::DATE AS expiry_date
+FROM (SELECT DISTINCT language FROM words WHERE type = 'PROPN'), range(4) r(n)""",
+    ),
     "article_arrays": """
 SELECT source AS media, date '2024-01-15' AS date, doc_id AS text_id,
        length(text)::BIGINT AS num_characters, text

@@ -629,6 +629,12 @@ def topic_shape(spark, sf_dir):
     )
 
 
+@query
+def topic_ids(spark, sf_dir):
+    """Heads of the topics found: ids hold the day, the language and a number."""
+    return _found_topics(_stored_words(spark, sf_dir)).select("topic", "language", "type", "date", "expiry_date")
+
+
 @query
 def identify_topics(spark, sf_dir):
     return _found_topics(_stored_words(spark, sf_dir))
@@ -672,8 +678,8 @@ def stream_ingest_dedup(spark, sf_dir):
 
 @query
 def stream_ingest_many(spark, sf_dir):
-    """Twenty batches by falling age; the memory of ids is compacted on the way."""
-    return _ingested_in_batches(spark, sf_dir, 20)[0]
+    """Eight batches by falling age; the memory of ids is compacted on the way."""
+    return _ingested_in_batches(spark, sf_dir, 8)[0]
 
 
 @query
@@ -696,7 +702,7 @@ def _ingested_in_batches(spark, sf_dir, batches):
     stream = spark.readStream.option("maxFilesPerTrigger", 1).text(f"{base}/lines")
     start_ingest(
         stream, "Spiegel", "2024-01-15", f"{base}/articles", f"{base}/rejects", checkpoint,
-        counts_path=f"{base}/counts", buckets=16, compact_every=7,
+        counts_path=f"{base}/counts", buckets=16, compact_every=3,
     ).awaitTermination()
     articles = spark.read.parquet(f"{base}/articles").drop("text_id", "batch")
     return articles, spark.read.parquet(f"{base}/counts")
