@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.workdir import settle
-from .tokens import END_ID, Encoder, default_path
+from .tokens import END_ID, SLICE_BYTES, Encoder, default_path
 from .words import slices
 
 SEQUENCE = 2048
@@ -71,7 +71,7 @@ def _cut(path: str, size: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 ids, counts = encoder.encode(part.column("text"))
                 ends = np.cumsum(counts)
                 out: list[list] = [[] for _ in range(5)]

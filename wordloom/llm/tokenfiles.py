@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.workdir import new_path, settle
 from . import codec
-from .tokens import END_ID, Encoder, default_path
+from .tokens import END_ID, SLICE_BYTES, Encoder, default_path
 from .words import slices
 
 MAGIC = b"WLTOK002"
@@ -139,7 +139,7 @@ def _write(path: str, tokenizer: str):
             writer = Writer(out)
             batch = first
             while batch is not None:
-                for part in slices(batch, "text"):
+                for part in slices(batch, "text", SLICE_BYTES):
                     ids, counts = encoder.encode(part.column("text"))
                     ends = np.cumsum(counts + 1)
                     every = np.full(int(ends[-1]), END_ID, np.uint32)

@@ -20,8 +20,10 @@ from .words import text_bytes
 
 END_ID = 0
 # Of a worker's cache: a chunk counts its text, its ids and what its entry takes.
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 112 << 20
 ENTRY_BYTES = 200
+# Of text encoded together: repeats within it are found before the cache is asked.
+SLICE_BYTES = 3 << 20
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
