@@ -1,11 +1,14 @@
 """What only shows on larger tables, at a small size."""
 
-import os
+import re
 from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
+import wordloom as wl
 from checks import queries
+from wordloom.functions import frames, regex
+from wordloom.operators import index
 
 from .conftest import rows
 
@@ -40,3 +43,55 @@ def test_an_array_is_one_file_when_the_join_was_planned_as_a_shuffle(spark, tmp_
     with settings(spark, **confs):
         assert rows(queries.article_array_rejects(spark, str(tmp_path))) == [("malformed JSON", 399)]
         assert queries.article_arrays(spark, str(tmp_path)).count() == 399
+
+
+def test_texts_are_dealt_by_their_bytes(spark, monkeypatch):
+    """Tasks that count words get a share of the text that does not grow with it; many copies of an id go before."""
+    monkeypatch.setattr(frames, "TEXT_BYTES_PER_TASK", 2000)
+    docs = spark.range(400).select(F.col("id").alias("text_id"), F.lit("EN").alias("language"), F.repeat(F.lit("word "), 20).alias("text"))
+    copies = spark.range(100).select(
+        F.when(F.col("id") % 2 == 0, 7).cast("long").alias("text_id"), F.lit("EN").alias("language"),
+        F.concat(F.lit("aa"), F.repeat(F.lit("x"), 99)).alias("text"),
+    )
+    prepared = wl.prepare_docs(docs.unionByName(copies))
+    assert prepared.rdd.getNumPartitions() >= 400 * 100 // 2000
+    found = {r["text_id"]: r["text"][:4] for r in prepared.collect()}
+    assert prepared.count() == 401 and found == {**dict.fromkeys(range(400), "word"), 7: "aaxx", None: "aaxx"}
+
+
+def test_rows_of_words_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(frames, "WORD_ROWS_PER_TASK", 50)
+    words = spark.range(1000).select(
+        F.col("id").alias("text_id"), F.lit("EN").alias("language"), F.lit("PROPN").alias("type"),
+        F.lit("a1").alias("word"), F.lit(2).cast("long").alias("count"),
+    )
+    cleaned, _ = wl.clean_words(words.unionByName(words), replace={"1": "b"})
+    assert cleaned.rdd.getNumPartitions() >= 20
+    assert rows(cleaned, "text_id", "word", "count") == [(n, "ab", 4) for n in range(1000)]
+
+
+def test_equal_lexicon_rows_are_one_rule_and_count_each(spark):
+    """Patterns bound to an end meet only the words that have it."""
+    vocabulary = [a + b + c for a in ("abc", "abd", "xyz") for b in ("", "mno", "qrs") for c in ("abc", "tuv", "tuv\n")]
+    df = spark.createDataFrame([(1, "EN", "PROPN", w, 3) for w in vocabulary], "text_id long, language string, type string, word string, count long")
+    entries = [("abc.*tuv$", "C"), ("^abd", "C"), ("abc.no", "M"), ("xyz$", "C"), (r"mno\w*uv\Z", "C"), ("^(?:abc)?tuv|xyz$", "C")]
+    lexicon = [("EN", e, m, c) for e, m in entries for c in ("one", "two", "two")]
+    table = spark.createDataFrame(lexicon, "language string, word string, mapping string, category string")
+    rules = index.lexicon_rules(table)
+    assert rules.count() == len(entries)
+    pairs = index.lexicon_candidates(df.select("word"), rules)
+    assert {r["word"] for r in pairs.where("entry = 'abc.*tuv$'").collect()} <= {w for w in vocabulary if w.rstrip().endswith("tuv")}
+    n = sum(bool((re.match if m == "M" else re.search)(e, w)) for e, m in entries for w in vocabulary)
+    got = wl.map_lexicon(df, table).where("type = 'LEX'")
+    assert rows(got, "word", "count") == [("one", 3 * n), ("two", 6 * n)]
+    once = wl.map_lexicon(df, table, once_per_category=True).where("type = 'LEX'")
+    held = sum(any((re.match if m == "M" else re.search)(e, w) for e, m in entries) for w in vocabulary)
+    assert rows(once, "word", "count") == [("one", 3 * held), ("two", 3 * held)]
+
+
+def test_anchors():
+    assert regex.anchors("abc.*xyz$") == ("", "xyz")
+    assert regex.anchors("abc.d", True) == ("abc", "")
+    assert regex.anchors("^ab|cd$") == regex.anchors("(?i)^ab") == regex.anchors("(?m)ab$") == regex.anchors("(") == ("", "")
+    assert regex.anchors("^abc$") == ("abc", "abc")
+    assert regex.anchors("^abc?$") == ("ab", "")

@@ -6,7 +6,8 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
 
-from ..functions.masks import sum_counts, type_language_mask
+from ..functions.frames import sum_word_rows
+from ..functions.masks import type_language_mask
 from ..functions.workdir import settle
 from ..operators.index import (
     WORD_KEYS,
@@ -41,4 +42,4 @@ def build_word_index(
         rows = _rewritten(rows, dictionary, mask)
     rows = remove_blacklisted(rows, blacklist, word_types, [language])
     rows = _lexicon_rows(rows, lexicon, word_types, [language], False, False)
-    return sum_counts(rows, WORD_KEYS)
+    return sum_word_rows(rows, WORD_KEYS, words)
