@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import wordloom as wl
 from checks import queries
 from wordloom.functions import frames, regex
-from wordloom.operators import index
+from wordloom.operators import index, words as words_of
 
 from .conftest import rows
 
@@ -95,3 +95,21 @@ def test_anchors():
     assert regex.anchors("^ab|cd$") == regex.anchors("(?i)^ab") == regex.anchors("(?m)ab$") == regex.anchors("(") == ("", "")
     assert regex.anchors("^abc$") == ("abc", "abc")
     assert regex.anchors("^abc?$") == ("ab", "")
+
+
+def test_positions_are_held_against_the_beginnings_before_they_move(spark, monkeypatch):
+    """Of many positions few are joined by a shuffle, also where hashes of the map collide; phrases stay the same."""
+    docs = spark.range(50).select(
+        F.col("id").alias("text_id"), F.lit("EN").alias("language"),
+        F.concat_ws(" ", F.lit("New York City and"), F.expr("array_join(transform(sequence(1, 40), x -> concat('w', x, 'x', id)), ' ')"), F.lit("Rio Bravo")).alias("text"),
+    )
+    phrases = [("EN", "New York City", "LOC"), ("EN", "New York", "LOC"), ("DE", "Rio Bravo", "LOC"), ("EN", "and w1x7 w2x7", "ORG")]
+    gazetteer = spark.createDataFrame(phrases, "language string, phrase string, label string")
+    trie = words_of.phrase_trie(gazetteer)
+    ahead = F.expr("transform(sequence(1, 45), i -> slice(split(text, ' '), i, 3))")
+    positions = docs.select("text_id", "language", F.explode(ahead).alias("ahead"))
+    assert words_of._maybe_begins(positions, trie).count() <= 50 + 50 + 1
+    expected = rows(words_of.count_phrases(docs, gazetteer, broadcast=True))
+    for bits in (1 << 26, 64, 1):
+        monkeypatch.setattr(words_of, "_MAP_BITS", bits)
+        assert rows(words_of.count_phrases(docs, gazetteer, broadcast=False)) == expected
