@@ -1,13 +1,16 @@
 """What only shows on larger tables, at a small size."""
 
 import re
+import time
 from contextlib import contextmanager
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import wordloom as wl
 from checks import queries
-from wordloom.functions import frames, regex
+from wordloom.functions import frames, regex, workdir
+from wordloom.llm import ngrams
 from wordloom.operators import index, words as words_of
 
 from .conftest import rows
@@ -113,3 +116,30 @@ def test_positions_are_held_against_the_beginnings_before_they_move(spark, monke
     for bits in (1 << 26, 64, 1):
         monkeypatch.setattr(words_of, "_MAP_BITS", bits)
         assert rows(words_of.count_phrases(docs, gazetteer, broadcast=False)) == expected
+
+
+def test_a_settled_table_leaves_no_shuffle_files(spark):
+    """What a job shuffled is gone when its table is stored; the setting is as before."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    shuffled = lambda: sum(disk.getAllFiles().apply(n).getName().startswith("shuffle_") for n in range(disk.getAllFiles().size()))
+    before = shuffled(), spark.conf.get(name)
+    table = workdir.settle(spark.range(1000).groupBy((F.col("id") % 7).alias("a")).count())
+    for _ in range(50):
+        if shuffled() <= before[0]:
+            break
+        time.sleep(0.1)
+    assert shuffled() <= before[0] and spark.conf.get(name) == before[1]
+    assert rows(table) == [(n, 143 if n < 6 else 142) for n in range(7)]
+
+
+def test_what_texts_ask_for_is_stored_short():
+    """Six bytes an n-gram, in the order of its bucket; places and levels column by column."""
+    grams = np.random.default_rng(1).integers(0, 2**64, 500, dtype=np.uint64)
+    stored = ngrams.short_keys(grams).tobytes()
+    assert len(stored) == 6 * len(grams)
+    assert (ngrams.from_short(stored) == grams >> np.uint64(16)).all() and len(ngrams.from_short(b"")) == 0
+    assert (ngrams.from_short(stored) % np.uint64(64) == ngrams.bucket_of(grams, 64)).all()
+    places = np.arange(7, dtype="<u4").view(np.uint8).reshape(-1, 4)
+    assert ngrams.planes(places) == bytes(range(7)) + bytes(21)
+    assert (ngrams.from_planes(ngrams.planes(places), 4) == places).all() and ngrams.from_planes(b"", 3).shape == (0, 3)

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,8 +27,16 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write a DataFrame to the shared folder and read it back, cutting its lineage."""
+    """Write a DataFrame to the shared folder and read it back, cutting its lineage.
+
+    The shuffle files of the job that writes it go when it ends, as nothing reads them after the table is stored.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.select("*").write.parquet(path)  # a new plan, which takes the setting
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

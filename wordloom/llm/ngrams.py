@@ -36,6 +36,7 @@ FOLDS = 7
 HELD_OUT = 2
 
 _U = np.uint64
+_DROPPED = _U(16)  # bits of a hash that are not asked for
 _SALTS = seeds(4, 31337)
 END = mix(np.array([0xE4D], _U))[0]
 START = mix(np.array([0x57A47], _U))[0]
@@ -70,7 +71,7 @@ def _count(buckets: int):
 
     def packed(order: int, values: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         grams, n = np.unique(np.concatenate(values), return_counts=True)
-        bucket = (grams % _U(buckets)).astype(np.int32)
+        bucket = bucket_of(grams, buckets)
         spans, (grams, n) = by_bucket(bucket, [grams, n.astype(np.uint32)])
         yield pa.RecordBatch.from_arrays(
             [
@@ -101,6 +102,32 @@ def _count(buckets: int):
     return rows
 
 
+def bucket_of(grams: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each n-gram, from the part of its hash that is asked for."""
+    return ((grams >> _DROPPED) % _U(buckets)).astype(np.int32)
+
+
+def short_keys(grams: np.ndarray) -> np.ndarray:
+    """The upper 48 bits of each hash, six bytes a row: a false answer by them is far rarer than one of the filter."""
+    return (grams >> _DROPPED).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+
+
+def from_short(data: bytes) -> np.ndarray:
+    """The numbers that rows of six bytes stand for."""
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel().astype(_U)
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Rows of bytes, column by column: equal bytes lie together, so that files and shuffles compress them."""
+    return np.ascontiguousarray(values.T).tobytes()
+
+
+def from_planes(data: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(width, -1).T
+
+
 def by_bucket(bucket: np.ndarray, columns: list[np.ndarray]) -> tuple[list[tuple], list[np.ndarray]]:
     """Columns in the order of their bucket, and (bucket, start, end) of each bucket that occurs."""
     order = np.argsort(bucket, kind="stable")
@@ -150,10 +177,11 @@ def _slice(bits: int, least: dict[int, int]):
         out = np.zeros(bits, bool)
         below = []
         for row in table.to_pylist():
-            grams = np.frombuffer(row["grams"], _U) ^ _SALTS[row["n"] - 1]
+            own, salt = np.frombuffer(row["grams"], _U), _SALTS[row["n"] - 1]
+            grams = own ^ salt
             level = np.searchsorted(LEVELS, np.frombuffer(row["counts"], np.int64), side="right")
             enters = level >= least[row["n"]]
-            below.append((grams[~enters], level[~enters]))
+            below.append(((own[~enters] >> _DROPPED) ^ salt, level[~enters]))
             grams, level = grams[enters], level[enters]
             for j in range(least[row["n"]], int(level.max(initial=0)) + 1):
                 for i in range(PROBES):
@@ -214,7 +242,7 @@ class Filter:
 
     def levels(self, grams: np.ndarray, order: int) -> np.ndarray:
         """Level of each n-gram's count, 0 when it is not there."""
-        bucket = (grams % _U(SLICES)).astype(np.int64)
+        bucket = bucket_of(grams, SLICES)
         return _levels(self.data, bucket, grams ^ _SALTS[order - 1], self.bits, self.least[order], len(LEVELS) + 1)
 
 
@@ -287,7 +315,7 @@ def log_probabilities(own: np.ndarray, prior: np.ndarray, pair: np.ndarray, n_te
 def _asked(model: Filter, grams: np.ndarray, order: int, level: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """N-grams to ask the rest of the filter for, by bucket, and the place of each of ``grams`` among them."""
     which = np.flatnonzero(level == _ASKED) if model.least[order] > 1 else np.zeros(0, np.int64)
-    which = which[np.argsort(grams[which] % _U(buckets), kind="stable")]
+    which = which[np.argsort(bucket_of(grams[which], buckets), kind="stable")]
     place = np.zeros(len(grams), np.uint32)
     place[which] = np.arange(len(which))
     return grams[which], place
@@ -353,7 +381,7 @@ def _score(shared, buckets: int):
                 levels, places, asks, waiting = levels[waits], places[waits], asks[waits], text[waits]
                 parts = np.searchsorted(waiting, np.arange(len(counts) + 1)).tolist()
                 before = np.concatenate(([0], np.cumsum(asks.sum(axis=1))))[parts].tolist()
-                places = places[asks]
+                places = places[asks].astype("<u4").view(np.uint8).reshape(-1, 4)
                 chunk += 1
                 none = [b""] * (len(counts) - 1)
                 words, at = np.unique(tokens, return_inverse=True)
@@ -382,9 +410,9 @@ def _score(shared, buckets: int):
                         pa.array([gram[a:b].tobytes() for a, b in spans], pa.binary()),
                         pa.array([times[a:b].tobytes() for a, b in spans], pa.binary()),
                         pa.array([chunk] * len(counts), pa.int64()),
-                        pa.array([levels[a:b].tobytes() for a, b in zip(parts[:-1], parts[1:], strict=True)], pa.binary()),
-                        pa.array([places[a:b].tobytes() for a, b in zip(before[:-1], before[1:], strict=True)], pa.binary()),
-                        pa.array([ask_words.tobytes(), *none], pa.binary()), pa.array([ask_pairs.tobytes(), *none], pa.binary()),
+                        pa.array([planes(levels[a:b]) for a, b in zip(parts[:-1], parts[1:], strict=True)], pa.binary()),
+                        pa.array([planes(places[a:b]) for a, b in zip(before[:-1], before[1:], strict=True)], pa.binary()),
+                        pa.array([short_keys(ask_words).tobytes(), *none], pa.binary()), pa.array([short_keys(ask_pairs).tobytes(), *none], pa.binary()),
                     ],
                     names=["doc_id", "n_tokens", "known", "base", "score", "grams", "times", "chunk", "levels", "places", "words", "pairs"],
                 )
@@ -403,7 +431,7 @@ def _rare(buckets: int):
             keys = np.repeat(np.array(batch.column("key").to_pylist(), np.int64), [len(g) for g in grams])
             times = np.concatenate([np.frombuffer(x, np.uint32) for x in batch.column("times").to_pylist()])
             gram = np.concatenate(grams)
-            spans, columns = by_bucket((gram % _U(buckets)).astype(np.int32), [keys, gram, times])
+            spans, columns = by_bucket(bucket_of(gram, buckets), [keys, gram, times])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([k for k, _, _ in spans], pa.int32()),
@@ -460,7 +488,8 @@ def _questions(buckets: int):
     def packed(n: int, held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
         chunks = np.repeat(np.array([c for c, _ in held], np.int64), [len(g) for _, g in held])
         grams = np.concatenate([g for _, g in held])
-        out = list(_packed((grams % _U(buckets)).astype(np.int32), chunks, grams))
+        bucket = (from_short(grams.tobytes()) % _U(buckets)).astype(np.int32)
+        out = list(_packed(bucket, chunks, grams))
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([r[0] for r in out], pa.int32()), pa.array([n] * len(out), pa.int32()),
@@ -475,7 +504,7 @@ def _questions(buckets: int):
         for batch in batches:
             for n, name in ((1, "words"), (2, "pairs")):
                 for chunk, asked in zip(batch.column("chunk"), batch.column(name), strict=True):
-                    grams = np.frombuffer(asked.as_py(), _U)
+                    grams = np.frombuffer(asked.as_py(), np.uint8).reshape(-1, 6)
                     if len(grams):
                         held[n].append((chunk.as_py(), grams))
                         waiting[n] += len(grams)
@@ -500,7 +529,8 @@ def _answers(buckets: int, least: dict[int, int]):
             join = lambda c, kind: np.frombuffer(b"".join(part.column(c).to_pylist()), kind)  # noqa: B023, E731
             chunks = np.repeat(join("chunks", np.int64), join("sizes", np.uint32))
             data = np.frombuffer(rest[0], np.uint8)[None, :]
-            level = _levels(data, 0, join("grams", _U) ^ _SALTS[n - 1], data.size * 8, 1, least[n])
+            own = from_short(b"".join(part.column("grams").to_pylist())) ^ _SALTS[n - 1]
+            level = _levels(data, 0, own, data.size * 8, 1, least[n])
             target = (mix(chunks) % _U(buckets)).astype(np.int32)
             out += [(k, n, *found) for k, *found in _packed(target, chunks, level.astype(np.uint8))]
         return pa.table(
@@ -528,13 +558,14 @@ def _waiting(n_texts: int, denominator: int):
         order = np.lexsort((asked, n, chunks))  # as the chunk asked: words, then pairs, each by bucket
         chunks, found = chunks[order], found[order]
         own = np.array(texts.column("chunk").to_pylist(), np.int64)
-        levels = [np.frombuffer(x, np.uint8) for x in texts.column("levels").to_pylist()]
-        places = [np.frombuffer(x, np.uint32) for x in texts.column("places").to_pylist()]
+        levels = [from_planes(x, 3) for x in texts.column("levels").to_pylist()]
+        places = [from_planes(x, 4) for x in texts.column("places").to_pylist()]
         start = np.repeat(np.searchsorted(chunks, own), [len(x) for x in places])
-        text = np.repeat(np.arange(len(own)), [len(x) // 3 for x in levels])
-        level = np.concatenate([*levels, np.zeros(0, np.uint8)])
-        level[level == _ASKED] = found[start + np.concatenate([*places, np.zeros(0, np.uint32)])]
-        logs = log_probabilities(*level.reshape(-1, 3).T, n_texts, denominator)
+        text = np.repeat(np.arange(len(own)), [len(x) for x in levels])
+        level = np.concatenate([*levels, np.zeros((0, 3), np.uint8)])
+        place = np.ascontiguousarray(np.concatenate([*places, np.zeros((0, 4), np.uint8)])).view("<u4").ravel()
+        level[level == _ASKED] = found[start + place]
+        logs = log_probabilities(*level.T, n_texts, denominator)
         more = np.bincount(text, weights=logs, minlength=len(own))
         return pa.table([texts.column("key"), pa.array(more, pa.float64())], names=["key", "waited"])
 
