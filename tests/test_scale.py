@@ -12,6 +12,7 @@ from checks import queries
 from wordloom.functions import frames, regex, workdir
 from wordloom.llm import ngrams
 from wordloom.operators import index, words as words_of
+from wordloom.sources import writers
 
 from .conftest import rows
 
@@ -143,3 +144,30 @@ def test_what_texts_ask_for_is_stored_short():
     places = np.arange(7, dtype="<u4").view(np.uint8).reshape(-1, 4)
     assert ngrams.planes(places) == bytes(range(7)) + bytes(21)
     assert (ngrams.from_planes(ngrams.planes(places), 4) == places).all() and ngrams.from_planes(b"", 3).shape == (0, 3)
+
+
+def last_plan(spark):
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return runs.apply(runs.size() - 1).physicalPlanDescription()
+
+
+def test_rows_are_written_by_value_without_a_sort(spark, tmp_path):
+    """A task does not hold its rows to sort them; beyond the files it keeps open the rest is sorted. Values are whole."""
+    words = spark.range(400).select(
+        F.col("id").alias("text_id"), F.concat(F.lit("L"), F.col("id") % 40).alias("language"), F.lit("PROPN").alias("type"),
+        F.concat(F.lit("w"), "id").alias("word"), F.lit(2).alias("count"),
+    ).repartition(3)
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name, None)
+    writers.write_parquet(words, f"{tmp_path}/words", "text_words")
+    writers.write_parquet(words, f"{tmp_path}/words", "text_words")
+    assert "Sort" not in last_plan(spark)
+    assert spark.conf.get(name, None) == before
+    stored = spark.read.parquet(f"{tmp_path}/words")
+    expected = sorted(2 * [(n, f"L{n % 40}", f"w{n}", 2) for n in range(400)])
+    assert rows(stored, "text_id", "language", "word", "count") == expected
+    daily = stored.groupBy(F.expr("date_add(date'2024-01-01', cast(text_id % 9 as int))").alias("date"), "language", "type", "word").agg(F.sum("count").alias("count"))
+    writers.replace_partitions(daily, f"{tmp_path}/daily", "word_frequency")
+    writers.replace_partitions(daily.where("date < '2024-01-03'"), f"{tmp_path}/daily", "word_frequency")
+    assert "Sort" not in last_plan(spark)
+    assert spark.read.parquet(f"{tmp_path}/daily").agg(F.sum("count")).first()[0] == 1600

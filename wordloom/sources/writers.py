@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas
 from ..functions.frames import duplicate_report
+from ..functions.workdir import settings
 from ..schemas import KEYS, fit_widths
 
 # Columns a table is partitioned by: language for words, date for daily frequencies.
 PARTITIONS = {"text_words": ["language"], "word_index": ["language"], "word_frequency": ["date"]}
 
+# Files of partition values that a task keeps open, so that it need not sort its rows; beyond them it sorts the rest.
+OPEN_FILES = {"spark.sql.maxConcurrentOutputFileWriters": "32"}
+
 TABLES = {
     "doc_metadata": schemas.DOC_METADATA,
     "text_words": schemas.TEXT_WORDS,
@@ -44,7 +48,8 @@ def _stored_form(df: DataFrame, table: str, cut: bool) -> DataFrame:
 def _clustered(df: DataFrame, split: Sequence[str]) -> DataFrame:
     """Rows of one partition value near each other, a large value over several tasks and files.
 
-    REBALANCE lets adaptive execution split a value with very many rows.
+    REBALANCE lets adaptive execution split a value with very many rows. A task's rows are not sorted by value
+    before they are written (``OPEN_FILES``), which would hold them all.
     """
     return df.hint("rebalance", *split) if split else df
 
@@ -60,9 +65,10 @@ def append_table(
     rows = _stored_form(df, table, cut)
     # insertInto goes by position; partition columns come last in the table.
     target = df.sparkSession.table(name or table)
-    _clustered(rows, PARTITIONS.get(table, [])).select(*target.columns).write.insertInto(
-        name or table
-    )
+    with settings(df.sparkSession, OPEN_FILES):
+        _clustered(rows, PARTITIONS.get(table, [])).select(*target.columns).write.insertInto(
+            name or table
+        )
 
 
 def write_parquet(
@@ -71,7 +77,8 @@ def write_parquet(
     """Write a table as Parquet files, partitioned as the catalog table would be."""
     split = PARTITIONS.get(table, [])
     writer = _clustered(_stored_form(df, table, cut), split).write.mode(mode)
-    (writer.partitionBy(*split) if split else writer).parquet(path)
+    with settings(df.sparkSession, OPEN_FILES):
+        (writer.partitionBy(*split) if split else writer).parquet(path)
 
 
 def replace_partitions(df: DataFrame, path: str, table: str, cut: bool = False) -> None:
@@ -82,7 +89,8 @@ def replace_partitions(df: DataFrame, path: str, table: str, cut: bool = False)
     split = PARTITIONS[table]
     rows = _clustered(_stored_form(df, table, cut), split)
     writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy(*split).parquet(path)
+    with settings(df.sparkSession, OPEN_FILES):
+        writer.partitionBy(*split).parquet(path)
 
 
 def key_duplicates(df: DataFrame, table: str) -> DataFrame:
