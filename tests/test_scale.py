@@ -5,12 +5,13 @@ import time
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import wordloom as wl
 from checks import queries
 from wordloom.functions import frames, regex, workdir
-from wordloom.llm import ngrams
+from wordloom.llm import ngrams, words
 from wordloom.operators import index, words as words_of
 from wordloom.sources import writers
 
@@ -171,3 +172,33 @@ def test_rows_are_written_by_value_without_a_sort(spark, tmp_path):
     writers.replace_partitions(daily.where("date < '2024-01-03'"), f"{tmp_path}/daily", "word_frequency")
     assert "Sort" not in last_plan(spark)
     assert spark.read.parquet(f"{tmp_path}/daily").agg(F.sum("count")).first()[0] == 1600
+
+
+def test_batches_of_texts_are_bounded_by_bytes(spark):
+    """What packing reads of texts comes in batches far below Spark's own bound, and all of it."""
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"])
+
+    docs = spark.range(0, 400, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 20_000).alias("text"))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    found = workdir.settle(docs.mapInArrow(words.released(sizes), "n long, bytes long"), "sizes", workdir.TEXT_BATCHES)
+    assert spark.conf.get(name) == before
+    got = found.agg(F.sum("n"), F.max("bytes")).first()
+    assert got[0] == 400 and got[1] < 13 << 20
+
+
+def test_a_worker_gives_back_what_it_does_not_use():
+    """Free memory of Arrow's pool does not stay with the worker when its task is through."""
+    def resident():
+        return int(re.search(r"VmRSS:\s+(\d+)", open("/proc/self/status").read())[1]) >> 10
+
+    def some(batches):
+        held = [pa.array(range(200_000)) for _ in batches]
+        yield pa.RecordBatch.from_arrays([pa.array([len(held)])], names=["n"])
+
+    assert [b.to_pydict() for b in words.released(some)(iter(range(50)))] == [{"n": [50]}]
+    at = resident()
+    pa.default_memory_pool().release_unused()
+    assert at - resident() < 20

@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.joins import fits_broadcast
-from ..functions.workdir import settle
+from ..functions.workdir import TEXT_BATCHES, settle
 from .graph import connected_components
 from .names import unused
-from .words import mix, seeds, shingle_sets, slices
+from .words import mix, released, seeds, shingle_sets, slices
 
 # Similarity as a fraction: 100 * shared >= 75 * union.
 SHARED, UNION = 100, 75
@@ -172,7 +172,7 @@ def shingle_order(docs: DataFrame) -> Order:
     """
     n = docs.count()
     bits = min(MAP_BITS - 3, max(6, int(np.ceil(np.log2(max(1, n / TEXTS_PER_BUCKET))))))
-    marks = docs.select("text").mapInArrow(_marks(bits), "bucket int, marks binary, again binary, times binary")
+    marks = docs.select("text").mapInArrow(released(_marks(bits)), "bucket int, marks binary, again binary, times binary")
     counts = settle(
         marks.groupBy("bucket").applyInArrow(_repeated, "bucket int, marks binary, counts binary, levels array<bigint>"),
         "near-repeated",
@@ -452,7 +452,7 @@ def _links(pairs: DataFrame, members: DataFrame, docs: DataFrame, name: str) ->
     placed = settle(ends.join(members, ["gid", "part"]), f"{name}-placed")
     wanted = placed.select("row").distinct()
     texts = docs.select("row", "text").join(_small(wanted), "row", "left_semi")
-    sets = texts.select("text").mapInArrow(_set_rows, "sid long, shingles binary")
+    sets = texts.select("text").mapInArrow(released(_set_rows), "sid long, shingles binary")
     opened = sets.join(_small(placed.drop("row")), "sid").groupBy(*unit).applyInArrow(_open, "a long, b long")
     return settle(opened, f"{name}-links")
 
@@ -490,7 +490,7 @@ def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     order = spark.sparkContext.broadcast(shingle_order(docs))
     keys = [f"k{j}" for j in range(MINHASHES)]
     schema = "doc_id long, row long, n long, sid long, " + ", ".join(f"{k} long" for k in keys) + ", prefix binary"
-    sets = settle(docs.mapInArrow(_describe(order), schema), "near-sets")
+    sets = settle(docs.mapInArrow(released(_describe(order)), schema), "near-sets", TEXT_BATCHES)
     order.destroy()  # the sets are stored; nothing needs it again, on the driver neither
     worded = sets.where("n > 0")
     classes = settle(

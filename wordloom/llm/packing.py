@@ -16,9 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.workdir import settle
+from ..functions.workdir import TEXT_BATCHES, settle
 from .tokens import END_ID, SLICE_BYTES, Encoder, default_path
-from .words import slices
+from .words import released, slices
 
 SEQUENCE = 2048
 OPEN_BINS = 1024
@@ -95,7 +95,7 @@ def _cut(path: str, size: int):
 def document_pieces(docs: DataFrame, path: str | None = None, size: int = SEQUENCE) -> DataFrame:
     """Pieces of at most ``size`` ids; only the first piece of a longer document may be shorter."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_cut(path or default_path(), size), PIECES)
+    return docs.mapInArrow(released(_cut(path or default_path(), size)), PIECES)
 
 
 def _pack(size: int, most: int):
@@ -126,7 +126,7 @@ def pack_documents(
     as often as they come, a NULL doc_id is packed like any other, other columns are ignored, and
     an empty table gives an empty table. The same rows always get the same places.
     """
-    pieces = settle(document_pieces(docs, path, size), "pieces")
+    pieces = settle(document_pieces(docs, path, size), "pieces", TEXT_BATCHES)
     total = pieces.agg(F.sum("length").alias("n"), F.count(F.lit(1)).alias("c")).first()
     shards = max(1, -(-(total["n"] or 0) // (size * SHARD_SEQUENCES)), -(-total["c"] // SHARD_PIECES))
     place = F.xxhash64("doc_id", "piece", "ids_crc32")

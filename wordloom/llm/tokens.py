@@ -24,6 +24,8 @@ CACHE_BYTES = 112 << 20
 ENTRY_BYTES = 200
 # Of text encoded together: repeats within it are found before the cache is asked.
 SLICE_BYTES = 3 << 20
+# Chunks that go to the tokenizer at once: what it returns holds some hundred bytes a token besides the ids.
+LEARNT_CHUNKS = 1 << 14
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
@@ -113,12 +115,13 @@ class Encoder:
         if self.held > CACHE_BYTES:
             self._clear()
         new = [w for w in words if w not in self.known]
-        if new:
-            self._learn(new)
+        for i in range(0, len(new), LEARNT_CHUNKS):
+            self._learn(new[i : i + LEARNT_CHUNKS])
         place = np.array([self.known[w] for w in words], np.int64)[coded.indices.to_numpy()]
         counts = self.count[place]
         ends = np.cumsum(counts)
-        within = np.arange(int(ends[-1]), dtype=np.int64) - np.repeat(ends - counts, counts)
-        ids = self.ids[np.repeat(self.first[place], counts) + within]
+        at = np.repeat(self.first[place] - (ends - counts), counts)
+        at += np.arange(len(at))
+        ids = self.ids[at]
         totals = np.concatenate(([0], ends))[np.searchsorted(starts, bounds)]
         return ids, np.diff(totals)

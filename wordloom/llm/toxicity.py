@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import crf
-from .words import slices
+from .words import released, slices
 
 SAMPLE = 1500
 FOLDS = 5
@@ -71,7 +71,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> crf.Model
     """
     rows = training_sample(docs, labels, sample).coalesce(1)
     schema = "weights binary, bias double, step array<double>, document array<double>"
-    found = rows.mapInArrow(_fit, schema).collect()
+    found = rows.mapInArrow(released(_fit), schema).collect()
     if not found:
         model = crf.Model()
         model.document[0] = -3.0
@@ -115,7 +115,7 @@ def score_documents(docs: DataFrame, model: crf.Model) -> DataFrame:
     broadcast = docs.sparkSession.sparkContext.broadcast(model)  # 4 MB, whatever the corpus
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, score double, spans array<struct<start: long, end: long, probability: double>>"
-    return rows.mapInArrow(_score(broadcast), schema).select(
+    return rows.mapInArrow(released(_score(broadcast)), schema).select(
         "doc_id",
         F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"),
         "score",
@@ -146,4 +146,4 @@ def without_toxic(docs: DataFrame, model: crf.Model) -> DataFrame:
     # Numbered while Python sees them: a name with a dot would be read as a field.
     numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     text = f"c{docs.columns.index('text')}"
-    return numbered.mapInArrow(_keep(broadcast, text), numbered.schema).toDF(*docs.columns)
+    return numbered.mapInArrow(released(_keep(broadcast, text)), numbered.schema).toDF(*docs.columns)

@@ -7,7 +7,8 @@ only a single text longer than that makes a larger slice.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,25 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(start)
 
 
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def released(rows: Batches) -> Batches:
+    """``rows``, after which the worker gives back what Arrow and the C library hold free.
+
+    Spark keeps its Python workers for later tasks; what they do not need would stay beside those.
+    """
+
+    def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from rows(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+        if trim:
+            trim(0)
+
+    return through
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a text column one after the other, and n + 1 bounds; NULL is empty."""
     texts = pc.fill_null(texts, "") if texts.null_count else texts
