@@ -75,6 +75,33 @@ def test_rows_of_words_are_dealt_by_their_number(spark, monkeypatch):
     assert rows(cleaned, "text_id", "word", "count") == [(n, "ab", 4) for n in range(1000)]
 
 
+def test_rows_of_a_trend_are_dealt_by_their_number(spark, monkeypatch):
+    """Whatever the session's partitions, a task has a share of the days read; many words that become one, too."""
+    freq = spark.range(3000).select(
+        F.expr("date_add(date'2024-01-01', cast(id % 10 as int))").alias("date"), F.lit("EN").alias("language"),
+        F.lit("PROPN").alias("type"), F.concat(F.lit("w"), F.floor(F.col("id") / 10) % 150).alias("word"), (F.col("id") % 10 + 1).alias("count"),
+    )
+    merge = {"all": [f"w{n}" for n in range(100)]}
+    lexicon = spark.createDataFrame([("EN", "w1", "M", "one")], "language string, word string, mapping string, category string")
+    options = [{}, {"merge": merge}, {"lexicon": lexicon}, {"top_n": 40, "merge": merge}, {"rank_by_language": True}]
+
+    def trends():
+        return [wl.word_trend(freq, periods=[3, 7], top_ratio=1.0, **o) for o in options]
+
+    def found_in(trend):  # the order of the days moves the last digit
+        return [tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows(trend)]
+
+    expected = [found_in(t) for t in trends()]
+    assert [len(e) for e in expected] == [150, 51, 90, 40, 150]
+    assert [e[:5] for e in expected[1] if e[2] == "all"] == [(expected[0][0][0], "EN", "all", 2000, 1)]
+    monkeypatch.setattr(frames, "WORD_ROWS_PER_TASK", 50)
+    for found, wanted in zip(trends(), expected, strict=True):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        dealt = [int(n) for n in re.findall(r"RepartitionByExpression \[[^\]]*word#[^\]]*\], (\d+)", plan)]
+        assert max(dealt, default=0) >= 3000 * 7 // 10 // 50
+        assert found_in(found) == wanted
+
+
 def test_equal_lexicon_rows_are_one_rule_and_count_each(spark):
     """Patterns bound to an end meet only the words that have it."""
     vocabulary = [a + b + c for a in ("abc", "abd", "xyz") for b in ("", "mno", "qrs") for c in ("abc", "tuv", "tuv\n")]

@@ -74,6 +74,11 @@ def deal_texts(df: DataFrame, key: str, text: str, order_by: Sequence[str] | Non
     return df.repartition(partitions, key)
 
 
+def word_partitions(spark: SparkSession, rows: int) -> int:
+    """Partitions for so many rows of words."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // WORD_ROWS_PER_TASK))
+
+
 def sum_word_rows(rows: DataFrame, keys: Sequence[str], words: DataFrame) -> DataFrame:
     """Total ``count`` per key of rows made from a table of counted words.
 
@@ -81,7 +86,7 @@ def sum_word_rows(rows: DataFrame, keys: Sequence[str], words: DataFrame) -> Dat
     spare the shuffle nothing. They are dealt by key first, over as many partitions as the table ``words`` has
     rows for (a stored one knows its count).
     """
-    partitions = max(rows.sparkSession.sparkContext.defaultParallelism, -(-words.count() // WORD_ROWS_PER_TASK))
+    partitions = word_partitions(rows.sparkSession, words.count())
     return sum_counts(rows.where(keys_present(keys)).repartition(partitions, *keys), keys)
 
 

@@ -7,14 +7,16 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.frames import as_word_table
+from ..functions.frames import as_word_table, word_partitions
 from ..functions.joins import lookup_join
-from ..functions.masks import one_of, sum_counts
+from ..functions.masks import keys_present, one_of, sum_counts
 from ..schemas import canonical_names, require_columns
 
 # Default periods in days.
 PERIODS = (7, 17, 21, 28, 90)
 TOP_PERIODS = (7, 14, 21, 365)
+# Parts that the rows of one keyword are summed in first.
+_SPREAD = 64
 
 
 def _word_keywords(freq: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -90,9 +92,14 @@ def _day(freq: DataFrame) -> Column:
     return F.col("date") if dict(freq.dtypes)["date"] == "date" else F.to_date("date")
 
 
-def _latest_day(freq: DataFrame, prepared) -> datetime.date | None:
+def _rows_by_day(freq: DataFrame) -> dict[datetime.date, int]:
+    """Rows per day: one number for each day of the table (a stored one knows them)."""
+    counted = freq.groupBy(_day(freq).alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    return {row["day"]: row["n"] for row in counted.where(F.col("day").isNotNull()).collect()}
+
+
+def _latest_day(freq: DataFrame, newest: datetime.date | None, prepared) -> datetime.date | None:
     """The latest day with rows that count: mostly the newest day of the table."""
-    newest = freq.agg(F.max("date").alias("d")).select(F.to_date("d")).first()[0]
     if newest is None:
         return None
     if not prepared(freq.where(_day(freq) == F.lit(newest))).isEmpty():
@@ -124,6 +131,9 @@ def word_trend(
     partitioned by it is pruned), and its ranks choose the words that are regressed, in one
     aggregation for all periods. The rank comes from the histogram of counts, so no task has to
     sort all words.
+
+    Rows are dealt by word over as many partitions as the days read have rows for, and all that is done per
+    word stays there, so what a task holds depends neither on the table's size nor on the session's settings.
     """
     freq = canonical_names(freq)
     require_columns(freq, ["date", "language", "type", "word", "count"], "word_trend")
@@ -144,15 +154,28 @@ def word_trend(
             rows = lookup_join(rows, listed, ["word"], "anti", small=listed_small)
         return rows
 
-    latest = _latest_day(freq, prepared)
+    by_day = _rows_by_day(freq)
+    latest = _latest_day(freq, max(by_day, default=None), prepared)
     if latest is None:  # no rows: any day will do
         latest = datetime.date(1970, 1, 1)
     first = latest - datetime.timedelta(days=max(periods) - 1)
     window = prepared(freq.where(_day(freq).between(F.lit(first), F.lit(latest))))
-    keys = ["date", "language", "word"]
-    rows = merge_words(window, lexicon, merge)
-    today = merge_words(prepared(freq.where(_day(freq) == F.lit(latest))), lexicon, merge)
-    lines = sum_counts(today, keys).where(F.col("count") >= min_count)
+    today = prepared(freq.where(_day(freq) == F.lit(latest)))
+    by_word = ["language", "word"]
+    keys = ["date", *by_word]
+    parts = word_partitions(freq.sparkSession, sum(n for day, n in by_day.items() if first <= day <= latest))
+
+    def summed(rows: DataFrame, parts: int) -> DataFrame:
+        if lexicon is None and not merge:
+            return sum_counts(rows.where(keys_present(keys)).repartition(parts, *by_word), keys)
+        # Very many words may become one: their rows are summed in parts before they meet.
+        spread = rows.withColumn("__part", F.pmod(F.xxhash64("word"), F.lit(_SPREAD)))
+        merged = merge_words(spread, lexicon, merge).where(keys_present(keys))
+        sums = sum_counts(merged.repartition(parts, *by_word, "__part"), [*keys, "__part"])
+        return sum_counts(sums.repartition(parts, *by_word), keys)
+
+    lines = summed(today, word_partitions(freq.sparkSession, by_day.get(latest, 0)))
+    lines = lines.where(F.col("count") >= min_count)
 
     # Counts of one day sum up to the day's words N, so there are at most sqrt(2N) distinct counts:
     # about 1.5 million for 10^12 words. That bounds both the window and the broadcast.
@@ -174,14 +197,15 @@ def word_trend(
         ranks = ranks.where(F.col("rank") <= top_n)
     trend_columns = [c for p in periods for c in (f"trend_{p}", f"trend_{p}_ic")]
     chosen = lines.join(ranks, [*group, "count"]).select("date", "language", "word", "count", "rank")
+    chosen = chosen.repartition(parts, *by_word)
     past = F.datediff("date", F.lit(latest)).alias("past_days")
-    series = sum_counts(rows, keys).select("language", "word", past, "count")
+    series = summed(window, parts).select("language", "word", past, "count")
     lined = (
-        series.join(chosen.select("language", "word"), ["language", "word"], "left_semi")
-        .groupBy("language", "word")
+        series.join(chosen.select(*by_word), by_word, "left_semi")
+        .groupBy(*by_word)
         .agg(*_period_columns(periods))
     )
-    ranked = chosen.join(lined, ["language", "word"]).select(
+    ranked = chosen.join(lined, by_word).select(
         "date", "language", "word", "count", "rank", *trend_columns
     )
     if top_n is None:
