@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from wordloom.llm import codec, fuse
+from wordloom.llm import codec, fuse, tokens
 from wordloom.llm.tokens import Encoder, default_path
 from wordloom.llm.words import hashed_words, shingle_sets, slices
 
@@ -120,3 +120,32 @@ def test_fuse_filter_has_all_keys_and_few_others(n):
     assert fuse.contains(filter_, others).mean() < 1e-3
     if n >= 5000:
         assert len(filter_[3]) < 3.2 * n
+
+
+def test_a_chunk_is_looked_up_once(monkeypatch):
+    """Known and new chunks of a slice in one pass, also where the new ones are learnt in several calls."""
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            self.asked += 1
+            return super().get(*key)
+
+        def __contains__(self, key):
+            self.asked += 1
+            return super().__contains__(key)
+
+        def __getitem__(self, key):
+            self.asked += 1
+            return super().__getitem__(key)
+
+    monkeypatch.setattr(tokens, "LEARNT_CHUNKS", 3)
+    encoder = Encoder(default_path())
+    encoder.known = Counted()
+    for texts in (["one two three two", "", None, "four five six one"], ["six seven one eight nine", "ten two"]):
+        distinct = {c for t in texts if t for c in re.findall(r" ?\S+", t)}
+        before = encoder.known.asked
+        ids, counts = encoder.encode(pa.array(texts, pa.string()))
+        assert encoder.known.asked - before == len(distinct)
+        plain = [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert ids.tolist() == sum(plain, []) and counts.tolist() == [len(p) for p in plain]

@@ -11,6 +11,7 @@ that are not in a cache of bounded size reach the tokenizer.
 from __future__ import annotations
 
 import os
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -114,10 +115,13 @@ class Encoder:
         words = coded.dictionary.to_pylist()
         if self.held > CACHE_BYTES:
             self._clear()
-        new = [w for w in words if w not in self.known]
+        # One look-up a chunk; those not found get the numbers that follow, in their order.
+        number = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(number < 0)
+        number[new] = len(self.known) + np.arange(len(new))
         for i in range(0, len(new), LEARNT_CHUNKS):
-            self._learn(new[i : i + LEARNT_CHUNKS])
-        place = np.array([self.known[w] for w in words], np.int64)[coded.indices.to_numpy()]
+            self._learn([words[at] for at in new[i : i + LEARNT_CHUNKS].tolist()])
+        place = number[coded.indices.to_numpy()]
         counts = self.count[place]
         ends = np.cumsum(counts)
         at = np.repeat(self.first[place] - (ends - counts), counts)
