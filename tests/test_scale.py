@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import wordloom as wl
 from checks import queries
-from wordloom.functions import frames, regex, workdir
+from wordloom.functions import frames, joins, regex, workdir
 from wordloom.llm import ngrams, words
 from wordloom.operators import index, words as words_of
 from wordloom.sources import writers
@@ -229,3 +229,24 @@ def test_a_worker_gives_back_what_it_does_not_use():
     at = resident()
     pa.default_memory_pool().release_unused()
     assert at - resident() < 20
+
+
+def test_a_lexicon_is_broadcast_by_the_size_of_its_hash_table(spark, monkeypatch):
+    """Rows of short words take several times their letters on the driver; a list beyond the bound is shuffled."""
+    words = [f"w{n:03}x" for n in range(400)]
+    df = spark.createDataFrame([(n, "EN", "PROPN", w, 2) for n, w in enumerate(words)], "text_id long, language string, type string, word string, count long")
+    rules = [("EN", w, ("FM", "M", "C")[n % 3], "abc"[n % 2]) for n, w in enumerate(words)]
+    lexicon = spark.createDataFrame(rules, "language string, word string, mapping string, category string")
+    plans = {}
+
+    def settled(table, name="table", *args):
+        plans[name] = table._jdf.queryExecution().executedPlan().toString()
+        return workdir.settle(table, name, *args)
+
+    monkeypatch.setattr(index, "settle", settled)
+    for most, broadcast in ((1 << 20, True), (50_000, False)):  # 400 rows: 20 KB of fields, 70 KB of hash table
+        monkeypatch.setattr(joins, "BROADCAST_MAX_BYTES", most)
+        with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+            got = wl.map_lexicon(df, lexicon).where("type = 'LEX'")
+            assert rows(got, "word", "count") == [("ab"[n % 2], 2) for n in sorted(range(400), key=lambda n: n % 2)]
+        assert ("Broadcast" in plans["lexicon-hits"]) == broadcast
