@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 import wordloom as wl
+from checks import queries
 from wordloom.sources.readers import read_article_lines
 from wordloom.streaming.articles import dedupe_stream, start_ingest, stream_articles
 from wordloom.streaming.log import BatchLog
@@ -221,3 +222,17 @@ def test_current_rows_with_bases(spark, tmp_path):
     assert rows(got, *keys, "count") == rows(expected, *keys, "count")
     log = BatchLog(spark, str(tmp_path / "out"), counts.select(*keys, "count").schema, "date")
     assert log.compacted() >= 1
+
+
+def test_batches_do_not_grow_with_the_files(spark, tmp_path, monkeypatch):
+    """Tables that land in many files are a batch each, whatever their size; the rows are those of one batch."""
+    docs = spark.range(240).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("Paris The word"), F.col("id") % 50, F.repeat(F.lit(" more"), 20)).alias("text"),
+        F.lit("en").alias("lang"), F.lit("src1").alias("source"),
+    )
+    docs.repartition(6).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(queries, "_stream_paths", lambda spark, name: (f"{tmp_path}/s", f"{tmp_path}/s/checkpoint"))
+    got = queries.stream_remove_blacklisted(spark, str(tmp_path))
+    assert len([p for p in (tmp_path / "s/in").iterdir() if p.suffix == ".parquet"]) >= 8
+    assert sorted(p.name for p in (tmp_path / "s/checkpoint/offsets").iterdir() if p.name.isdigit()) == ["0", "1", "2", "3"]
+    assert rows(got) == rows(queries.remove_blacklisted(spark, str(tmp_path)))

@@ -9,7 +9,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,6 +53,6 @@ def settle(df: DataFrame, name: str = "table", planned: dict[str, str] | None =
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    with settings(spark, {_CLEANUP: "true", **(planned or {})}):
+    with settings(spark, {CLEANUP: "true", **(planned or {})}):
         df.select("*").write.parquet(path)  # a new plan, which takes the settings
     return spark.read.schema(df.schema).parquet(path)

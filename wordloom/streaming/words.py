@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from ..functions.workdir import CLEANUP, settings
 from .articles import dedupe_stream
 from .log import BatchLog
 
+# Shuffle files go with the job that made them; few texts at a time are packed to be kept.
+BATCH_SETTINGS = {CLEANUP: "true", "spark.sql.inMemoryColumnarStorage.batchSize": "500"}
+
 
 def daily_counts(words: DataFrame, event_time: str, lateness: str = "1 day") -> DataFrame:
     """Count per (date, language, type, word) by event time; for streams and tables alike.
@@ -122,16 +126,25 @@ def start_operator(
     operator reads are loaded when it runs, so a batch sees their current content. Each batch has
     its own folder and may be run again. Operators that need the whole corpus (word index,
     trends, topics) give wrong results per batch; run those on the stored output.
+
+    Operators may read a batch several times (to measure its texts, say): it is kept while it is worked on, so
+    that the state is asked once, and what its jobs shuffled goes with them.
     """
     if document_id is not None:
         df = dedupe_stream(df, document_id, event_time, horizon)
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        operator(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    return (
-        df.writeStream.foreachBatch(store)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+        batch.persist()
+        try:
+            operator(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        finally:
+            batch.unpersist()
+
+    # A stream takes the settings it is started with.
+    with settings(df.sparkSession, BATCH_SETTINGS):
+        return (
+            df.writeStream.foreachBatch(store)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
