@@ -250,3 +250,35 @@ def test_a_lexicon_is_broadcast_by_the_size_of_its_hash_table(spark, monkeypatch
             got = wl.map_lexicon(df, lexicon).where("type = 'LEX'")
             assert rows(got, "word", "count") == [("ab"[n % 2], 2) for n in sorted(range(400), key=lambda n: n % 2)]
         assert ("Broadcast" in plans["lexicon-hits"]) == broadcast
+
+
+def test_words_stay_with_their_document_beside_a_shuffled_list(spark, monkeypatch):
+    """Words are counted without a shuffle, and frequent ones are annotated without one; no step leaves shuffle files."""
+    docs = spark.range(60).select(
+        F.col("id").alias("text_id"), F.lit("EN").alias("language"),
+        F.concat(F.lit("New York City and Rio Bravo and Rio again w"), F.col("id") % 7).alias("text"),
+    )
+    phrases = [("EN", "New York City", "LOC"), ("EN", "New York", "LOC"), ("EN", "New York", "ORG"), ("EN", "Rio", "PER"), ("DE", "Rio Bravo", "LOC")]
+    gazetteer = spark.createDataFrame(phrases, "language string, phrase string, label string")
+    surfaces = [("EN", "Rio", "rio", "NOUN"), ("EN", "again", "Again", "NOUN"), ("EN", "York", "york", "X")]
+    annotations = spark.createDataFrame(surfaces, "language string, surface string, lemma string, pos string")
+    dealt = wl.prepare_docs(docs)
+    counted, found = words_of._counted(dealt, gazetteer, False)
+    assert "ENSURE_REQUIREMENTS" not in counted._jdf.queryExecution().executedPlan().toString()
+    assert {r["phrase"] for r in found.collect()} == {"New York City", "New York"}
+    expected = rows(wl.extract_words(dealt, annotations, gazetteer, broadcast=True))
+    assert len(expected) == 60 * 9
+    assert rows(wl.extract_words(dealt, annotations, gazetteer, broadcast=False)) == expected
+    moved = {}
+
+    def settled(table, name="table", *args):
+        stored = workdir.settle(table, name, *args)
+        moved[name] = table._jdf.queryExecution().optimizedPlan().toString()
+        return stored
+
+    monkeypatch.setattr(words_of, "settle", settled)
+    for hot in (0, 3, 10_000):
+        monkeypatch.setattr(words_of, "HOT_KEYS", hot)
+        assert rows(wl.extract_words(dealt, annotations, gazetteer, broadcast=False)) == expected
+    assert {"document-words", "document-phrases", "document-entities", "typed-words"} <= set(moved)
+    assert "LeftAnti" in moved["typed-words"]
